@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import browse
+from ..operators import browse, related
 from ..sources import requests as rq
 from ..sources.binding import Binding
 
@@ -53,3 +53,22 @@ def _browse_totals(spark, sf_dir):
 def _browse_requests(spark, sf_dir):
     b = Binding(spark, sf_dir)
     return browse.validate_http_browse(rq.http_browse_requests(b.t))
+
+
+# -- related items (U5-U7) -------------------------------------------------------
+@query("similar_items")
+def _similar_items(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return related.similar_items(rq.seed_requests(b.t), b.catalog())
+
+
+@query("more_from_brand")
+def _more_from_brand(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return related.more_from_brand(rq.seed_requests(b.t), b.catalog())
+
+
+@query("more_like")
+def _more_like(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return related.more_like(rq.seed_requests(b.t), b.catalog())
