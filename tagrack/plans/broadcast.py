@@ -1,0 +1,17 @@
+"""Broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``None``.
+
+    The check stops after ``max_rows + 1`` rows (a bounded job), so a large
+    side costs no more than reading that many rows; the caller then takes its
+    non-broadcast plan.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else None

@@ -261,3 +261,46 @@ register("more_like", with_binding(SEED_REQ, RELATED_CORE, body="""
 SELECT request_id, 'similar_items' AS kind, rank, item_name, brand_name, thumbnail_url FROM similar_list
 UNION ALL
 SELECT request_id, 'more_from_brand' AS kind, rank, item_name, brand_name, thumbnail_url FROM from_brand"""))
+
+# ---------------------------------------------------------------------------
+# Search and brand index
+from ..model import INDEX_LETTERS  # noqa: E402
+
+NAMES = f"""
+fnamed AS (
+  SELECT kind, name, name_id, {FOLD('name')} AS fname FROM (
+    SELECT 'tags' AS kind, name, CAST(tag_id AS BIGINT) AS name_id FROM tag
+    UNION ALL SELECT 'brands', name, CAST(brand_id AS BIGINT) FROM brand
+    UNION ALL SELECT 'items', name, CAST(base_item_id AS BIGINT) FROM base_item) n)"""
+
+register("search_names", with_binding(SEARCH_REQ, NAMES, body=f"""
+SELECT query_id, kind, rank, name FROM (
+  SELECT q.query_id, n.kind, n.name,
+         row_number() OVER (PARTITION BY q.query_id, n.kind
+                            ORDER BY CASE WHEN n.fname ILIKE (q.fq || '%') THEN 0 ELSE 1 END,
+                                     n.fname, n.name, n.name_id) AS rank
+    FROM (SELECT query_id, {FOLD('q')} AS fq FROM search_req) q
+    JOIN fnamed n ON n.fname ILIKE ('%' || q.fq || '%')) x
+ WHERE rank <= 5"""))
+
+register("normalize_queries", with_binding(SEARCH_REQ, body=r"""
+SELECT query_id, q FROM (
+  SELECT query_id, regexp_replace(q, '^\s+|\s+$', '', 'g') AS q FROM search_req) x
+ WHERE length(q) >= 1"""))
+
+BRAND_INDEX = f"""
+brand_initials AS (
+  SELECT brand_id, name, fname,
+         CASE WHEN regexp_matches(substring(fname, 1, 1), '^[0-9]') THEN '#'
+              ELSE upper(substring(fname, 1, 1)) END AS initial
+    FROM (SELECT brand_id, name, {FOLD('name')} AS fname FROM brand) b)"""
+
+register("brand_index", with_binding(BRAND_INDEX, body="""
+SELECT initial, row_number() OVER (PARTITION BY initial ORDER BY fname, name, brand_id) AS rank, name
+  FROM brand_initials"""))
+
+_LETTER_ROWS = ", ".join(f"({i}, '{s}')" for i, s in enumerate(INDEX_LETTERS))
+register("brand_index_letters", with_binding(BRAND_INDEX, body=f"""
+SELECT l.letter_order, l.initial, CAST(coalesce(c.n, 0) AS BIGINT) AS n_brands
+  FROM (VALUES {_LETTER_ROWS}) l(letter_order, initial)
+  LEFT JOIN (SELECT initial, count(*) AS n FROM brand_initials GROUP BY initial) c USING (initial)"""))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import browse, related
+from ..operators import browse, related, search
 from ..sources import requests as rq
 from ..sources.binding import Binding
 
@@ -72,3 +72,26 @@ def _more_from_brand(spark, sf_dir):
 def _more_like(spark, sf_dir):
     b = Binding(spark, sf_dir)
     return related.more_like(rq.seed_requests(b.t), b.catalog())
+
+
+# -- search and brand index (U8-U11) ---------------------------------------------
+@query("search_names")
+def _search_names(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return search.search_names(rq.search_requests(b.t), b.catalog())
+
+
+@query("normalize_queries")
+def _normalize_queries(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return search.normalize_queries(rq.search_requests(b.t))
+
+
+@query("brand_index")
+def _brand_index(spark, sf_dir):
+    return search.brand_index(Binding(spark, sf_dir).brand)
+
+
+@query("brand_index_letters")
+def _brand_index_letters(spark, sf_dir):
+    return search.brand_index_letters(Binding(spark, sf_dir).brand)
