@@ -304,3 +304,42 @@ register("brand_index_letters", with_binding(BRAND_INDEX, body=f"""
 SELECT l.letter_order, l.initial, CAST(coalesce(c.n, 0) AS BIGINT) AS n_brands
   FROM (VALUES {_LETTER_ROWS}) l(letter_order, initial)
   LEFT JOIN (SELECT initial, count(*) AS n FROM brand_initials GROUP BY initial) c USING (initial)"""))
+
+# ---------------------------------------------------------------------------
+# Stock ledger
+EV_ORDER = "transaction_date, l_orderkey, l_suppkey, l_quantity, l_extendedprice"
+STOCK_CORE = f"""
+ev AS (
+  SELECT *, CASE WHEN transaction_event IN ('ship-out', 'scrap') THEN -quantity ELSE quantity END AS v,
+         CASE WHEN transaction_event = 'audit' THEN 1 ELSE 0 END AS a
+    FROM stock_event),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {EV_ORDER}) AS rn FROM ev),
+last_audit AS (
+  SELECT item_id, max(rn) FILTER (WHERE a = 1) AS last_a FROM ordered GROUP BY item_id),
+closing AS (
+  SELECT o.item_id,
+         CAST(sum(o.v) FILTER (WHERE l.last_a IS NULL OR o.rn >= l.last_a) AS BIGINT) AS stock_quantity
+    FROM ordered o JOIN last_audit l USING (item_id) GROUP BY o.item_id)"""
+
+register("fold_stock_events", with_binding(STOCK_CORE, body=f"""
+SELECT item_id, transaction_event, quantity, transaction_date, l_orderkey, l_suppkey, l_quantity,
+       l_extendedprice, CAST(r AS BIGINT) AS stock_after,
+       CAST(r - coalesce(lag(r) OVER (PARTITION BY item_id ORDER BY {EV_ORDER}), 0) AS BIGINT) AS delta_quantity
+  FROM (SELECT *, sum(v) OVER (PARTITION BY item_id, s ORDER BY {EV_ORDER}
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
+          FROM (SELECT *, sum(a) OVER (PARTITION BY item_id ORDER BY {EV_ORDER}
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
+                  FROM ev) x) y"""))
+
+register("stock_levels", with_binding(STOCK_CORE, body="SELECT item_id, stock_quantity FROM closing"))
+register("apply_stock_events", with_binding(STOCK_CORE, body="SELECT item_id, stock_quantity FROM closing"))
+
+register("validate_stock_events", with_binding(body="""
+SELECT e.*, CASE WHEN e.transaction_event IS NULL
+                   OR e.transaction_event NOT IN ('audit', 'ship-in', 'ship-out', 'scrap') THEN 'invalid_event'
+                 WHEN e.quantity IS NULL THEN 'null_quantity'
+                 WHEN e.transaction_event = 'audit' AND e.quantity < 0 THEN 'negative_audit'
+                 WHEN NOT EXISTS (SELECT 1 FROM sku s WHERE s.item_id = e.item_id) THEN 'unknown_item'
+                 ELSE 'ok' END AS status
+  FROM stock_event e"""))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import browse, related, search
+from ..operators import browse, related, search, stock
 from ..sources import requests as rq
 from ..sources.binding import Binding
 
@@ -95,3 +95,39 @@ def _brand_index(spark, sf_dir):
 @query("brand_index_letters")
 def _brand_index_letters(spark, sf_dir):
     return search.brand_index_letters(Binding(spark, sf_dir).brand)
+
+
+# -- stock ledger (U17-U20) ------------------------------------------------------
+LEDGER_CUT = "1998-01-01"  # events before it form the existing ledger in apply_stock_events
+
+
+def _bound_fold(b: Binding, events=None, opening=None):
+    ev = b.stock_event if events is None else events
+    return stock.fold_stock_events(ev, stock.BOUND_ORDER, stock.bound_bucket(), opening)
+
+
+@query("fold_stock_events")
+def _fold_stock_events(spark, sf_dir):
+    return _bound_fold(Binding(spark, sf_dir))
+
+
+@query("stock_levels")
+def _stock_levels(spark, sf_dir):
+    return stock.stock_levels(_bound_fold(Binding(spark, sf_dir)))
+
+
+@query("validate_stock_events")
+def _validate_stock_events(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return stock.validate_stock_events(b.stock_event, b.sku)
+
+
+@query("apply_stock_events")
+def _apply_stock_events(spark, sf_dir):
+    from pyspark.sql import functions as F
+    b = Binding(spark, sf_dir)
+    cut = F.col("transaction_date") < F.lit(LEDGER_CUT).cast("timestamp_ntz")
+    old = _bound_fold(b, b.stock_event.filter(cut))
+    ledger, _rejects = stock.apply_stock_events(old, b.stock_event.filter(~cut), b.sku,
+                                                stock.BOUND_ORDER, stock.bound_bucket())
+    return stock.stock_levels(ledger)
