@@ -343,3 +343,72 @@ SELECT e.*, CASE WHEN e.transaction_event IS NULL
                  WHEN NOT EXISTS (SELECT 1 FROM sku s WHERE s.item_id = e.item_id) THEN 'unknown_item'
                  ELSE 'ok' END AS status
   FROM stock_event e"""))
+
+# ---------------------------------------------------------------------------
+# Detail (U12-U16) and size rank
+from ..model import SIZES  # noqa: E402
+
+_SIZE_ROWS = ", ".join(f"('{s}', {i})" for i, s in enumerate(SIZES, start=1))
+SIZES_CTE = f"basic_size AS (SELECT * FROM (VALUES {_SIZE_ROWS}) v(size, relative_order))"
+
+DETAIL_CORE = """
+first_brand AS (
+  SELECT lower(bi.name) AS nk, min_by(b.name, bi.base_item_id) AS inferred
+    FROM base_item bi JOIN brand b ON b.brand_id = bi.brand_id GROUP BY lower(bi.name)),
+inferred AS (
+  SELECT r.request_id, coalesce(r.brand_name, f.inferred) AS brand_name
+    FROM detail_req r LEFT JOIN first_brand f ON f.nk = lower(r.base_item_name)),
+per_key AS (
+  SELECT lower(bi.name) AS nk, lower(b.name) AS bk, min(bi.base_item_id) AS id, count(*) AS n
+    FROM base_item bi JOIN brand b ON b.brand_id = bi.brand_id GROUP BY lower(bi.name), lower(b.name)),
+resolved AS (
+  SELECT r.request_id, r.base_item_name, i.brand_name,
+         CASE WHEN r.base_item_name IS NOT NULL AND i.brand_name IS NOT NULL THEN p.id END AS base_item_id,
+         CASE WHEN r.base_item_name IS NULL THEN 'missing_name' WHEN i.brand_name IS NULL THEN 'no_brand'
+              WHEN p.id IS NULL THEN 'missing' WHEN p.n > 1 THEN 'ambiguous' ELSE 'ok' END AS status
+    FROM detail_req r JOIN inferred i USING (request_id)
+    LEFT JOIN per_key p ON p.nk = lower(r.base_item_name) AND p.bk = lower(i.brand_name)),
+images AS (
+  SELECT bi.base_item_id, CAST(count(i.url) AS BIGINT) AS n_images,
+         coalesce(string_agg(i.url, ',' ORDER BY i.image_id), '') AS image_urls
+    FROM base_item bi LEFT JOIN (
+      SELECT bii.base_item_id, im.image_id, im.url
+        FROM base_item_image bii JOIN image im ON im.image_id = bii.image_id) i
+      ON i.base_item_id = bi.base_item_id
+   GROUP BY bi.base_item_id),
+availability AS (
+  SELECT s.base_item_id, s.basic_size, bs.relative_order, coalesce(c.stock_quantity, 0) > 0 AS in_stock
+    FROM sku s JOIN basic_size bs ON upper(s.basic_size) = bs.size
+    LEFT JOIN closing c ON c.item_id = s.item_id)"""
+
+register("infer_brand", with_binding(DETAIL_REQ, DETAIL_CORE, body="SELECT request_id, brand_name FROM inferred"))
+register("resolve_items", with_binding(DETAIL_REQ, DETAIL_CORE, body="""
+SELECT request_id, base_item_name, brand_name, base_item_id, status FROM resolved"""))
+register("item_images", with_binding(DETAIL_REQ, DETAIL_CORE, body="SELECT * FROM images"))
+register("size_availability", with_binding(STOCK_CORE, SIZES_CTE, DETAIL_REQ, DETAIL_CORE, body="""
+SELECT base_item_id, basic_size, relative_order, in_stock FROM availability"""))
+register("seed_sizes", with_binding(SIZES_CTE, body="""
+SELECT s.item_id, s.basic_size, bs.relative_order
+  FROM sku s LEFT JOIN basic_size bs ON upper(s.basic_size) = bs.size"""))
+
+DETAIL_SEEDS = """
+seed_req AS (
+  SELECT request_id, base_item_name, brand_name, 4 AS k FROM resolved WHERE status IN ('ok', 'ambiguous'))"""
+
+register("item_detail", with_binding(STOCK_CORE, SIZES_CTE, DETAIL_REQ, DETAIL_CORE, DETAIL_SEEDS,
+                                     RELATED_CORE, body="""
+SELECT r.request_id, r.status, r.base_item_name AS item_name, r.brand_name, bi.description, bi.rating,
+       im.image_urls,
+       CASE WHEN bi.base_item_id IS NOT NULL THEN coalesce(sz.sizes, '') END AS sizes,
+       CASE WHEN bi.base_item_id IS NOT NULL THEN coalesce(sm.l, '') END AS similar,
+       CASE WHEN bi.base_item_id IS NOT NULL THEN coalesce(fb.l, '') END AS more_from_brand
+  FROM resolved r
+  LEFT JOIN base_item bi ON bi.base_item_id = r.base_item_id AND r.status IN ('ok', 'ambiguous')
+  LEFT JOIN images im ON im.base_item_id = bi.base_item_id
+  LEFT JOIN (SELECT base_item_id, string_agg(concat(basic_size, ':', CAST(in_stock AS VARCHAR)), '|'
+                                             ORDER BY relative_order) AS sizes
+               FROM availability GROUP BY base_item_id) sz ON sz.base_item_id = bi.base_item_id
+  LEFT JOIN (SELECT request_id, string_agg(item_name, '|' ORDER BY rank) AS l
+               FROM similar_list GROUP BY request_id) sm ON sm.request_id = r.request_id
+  LEFT JOIN (SELECT request_id, string_agg(item_name, '|' ORDER BY rank) AS l
+               FROM from_brand GROUP BY request_id) fb ON fb.request_id = r.request_id"""))

@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import browse, related, search, stock
+from ..model import size_rank
+from ..operators import browse, detail, related, search, stock
 from ..sources import requests as rq
 from ..sources.binding import Binding
 
@@ -131,3 +132,41 @@ def _apply_stock_events(spark, sf_dir):
     ledger, _rejects = stock.apply_stock_events(old, b.stock_event.filter(~cut), b.sku,
                                                 stock.BOUND_ORDER, stock.bound_bucket())
     return stock.stock_levels(ledger)
+
+
+# -- item detail (U12-U16), size rank (D4 / U40) ---------------------------------
+@query("infer_brand")
+def _infer_brand(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return detail.infer_brand(rq.detail_requests(b.t), b.catalog())
+
+
+@query("resolve_items")
+def _resolve_items(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return detail.resolve_items(rq.detail_requests(b.t), b.catalog())
+
+
+@query("item_images")
+def _item_images(spark, sf_dir):
+    return detail.item_images(Binding(spark, sf_dir).catalog())
+
+
+@query("size_availability")
+def _size_availability(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return detail.size_availability(b.sku, stock.stock_levels(_bound_fold(b)))
+
+
+@query("item_detail")
+def _item_detail(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return detail.item_detail(rq.detail_requests(b.t), b.catalog(),
+                              stock.stock_levels(_bound_fold(b)))
+
+
+@query("seed_sizes")
+def _seed_sizes(spark, sf_dir):
+    from pyspark.sql import functions as F
+    sku = Binding(spark, sf_dir).sku
+    return sku.select("item_id", "basic_size", size_rank(F.col("basic_size")).alias("relative_order"))
