@@ -412,3 +412,135 @@ SELECT r.request_id, r.status, r.base_item_name AS item_name, r.brand_name, bi.d
                FROM similar_list GROUP BY request_id) sm ON sm.request_id = r.request_id
   LEFT JOIN (SELECT request_id, string_agg(item_name, '|' ORDER BY rank) AS l
                FROM from_brand GROUP BY request_id) fb ON fb.request_id = r.request_id"""))
+
+# ---------------------------------------------------------------------------
+# Users, sessions, closets
+from ..model import EMAIL_REGEX  # noqa: E402
+
+AS_OF_SQL = "TIMESTAMP '2024-01-29 12:00:00'"
+_EMAIL_SQL = EMAIL_REGEX.replace("'", "''")
+
+SIGNUPS = """
+signup_req AS (
+  SELECT e.event_id AS seq, 'New' AS first_name, concat('User', CAST(e.user_id AS VARCHAR)) AS last_name,
+         CASE WHEN e.event_id % 4 = 0 THEN c.c_name WHEN e.event_id % 4 = 1 THEN lower(c.c_name)
+              WHEN e.event_id % 4 = 2 THEN concat('new-', CAST(e.user_id AS VARCHAR))
+              ELSE concat('new-', CAST(e.event_id AS VARCHAR)) END AS username,
+         CASE WHEN e.event_id % 5 = 0 THEN upper(concat(replace(c.c_name, '#', '.'), '@example.com'))
+              WHEN e.event_id % 5 = 1 THEN 'not an email' WHEN e.event_id % 5 = 2 THEN NULL
+              ELSE concat('u', CAST(e.event_id AS VARCHAR), '@example.org') END AS email
+    FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'signup')"""
+
+register("register_users", with_binding(SIGNUPS, body=f"""
+SELECT seq, status,
+       CASE WHEN status = 'ok' THEN (SELECT max(site_user_id) FROM site_user)
+            + row_number() OVER (PARTITION BY status = 'ok' ORDER BY seq) END AS site_user_id
+  FROM (SELECT seq,
+               CASE WHEN base IS NOT NULL THEN base
+                    WHEN row_number() OVER (PARTITION BY base IS NULL, username ORDER BY seq) > 1
+                      OR row_number() OVER (PARTITION BY base IS NULL, lower(email) ORDER BY seq) > 1
+                    THEN 'duplicate_in_batch' ELSE 'ok' END AS status
+          FROM (SELECT s.*,
+                       CASE WHEN s.first_name IS NULL OR s.last_name IS NULL OR s.username IS NULL
+                                 OR s.email IS NULL THEN 'missing_field'
+                            WHEN NOT regexp_matches(s.email, '{_EMAIL_SQL}') THEN 'bad_email'
+                            WHEN EXISTS (SELECT 1 FROM site_user u WHERE u.username = s.username)
+                              THEN 'username_taken'
+                            WHEN EXISTS (SELECT 1 FROM site_user u WHERE lower(u.email) = lower(s.email))
+                              THEN 'email_taken' END AS base
+                  FROM signup_req s) a) b"""))
+
+SESSIONS = """
+sessions AS (
+  SELECT session_id, site_user_id, session_token, created_at, created_at + INTERVAL 1 DAY AS expires_at
+    FROM (SELECT *, row_number() OVER (PARTITION BY site_user_id
+                                       ORDER BY created_at DESC, session_id DESC) AS rn
+            FROM session_open) s WHERE rn = 1)"""
+
+register("open_sessions", with_binding(SESSIONS, body="SELECT * FROM sessions"))
+
+register("active_sessions", with_binding(SESSIONS, body=f"""
+SELECT s.session_token, s.site_user_id, u.username, u.email, u.first_name, u.last_name, u.is_staff, u.is_admin
+  FROM sessions s JOIN site_user u ON u.site_user_id = s.site_user_id
+ WHERE s.expires_at > {AS_OF_SQL}
+   AND (SELECT count(*) FROM sessions t WHERE t.session_token = s.session_token
+                                          AND t.expires_at > {AS_OF_SQL}) = 1"""))
+
+register("close_sessions", with_binding(SESSIONS, body="""
+SELECT * FROM sessions s WHERE NOT EXISTS (
+  SELECT 1 FROM events e WHERE e.event_type = 'error'
+     AND concat('tok-', CAST(e.event_id - 1 AS VARCHAR)) = s.session_token)"""))
+
+register("add_closets", with_binding(body=f"""
+SELECT seq, status,
+       CASE WHEN status = 'ok' THEN (SELECT max(closet_id) FROM closet)
+            + row_number() OVER (PARTITION BY status = 'ok' ORDER BY seq) END AS closet_id
+  FROM (SELECT a.seq,
+               CASE WHEN u.site_user_id IS NULL THEN 'unknown_user'
+                    WHEN EXISTS (SELECT 1 FROM closet c WHERE c.site_user_id = u.site_user_id
+                                                          AND c.name = a.closet_name)
+                      OR row_number() OVER (PARTITION BY u.site_user_id, a.closet_name ORDER BY a.seq) > 1
+                    THEN 'duplicate' ELSE 'ok' END AS status
+          FROM (SELECT e.event_id AS seq,
+                       CASE WHEN e.event_id % 9 = 0 THEN 'nobody' ELSE c.c_name END AS username,
+                       CASE WHEN e.event_id % 3 = 0 THEN '1-URGENT' WHEN e.event_id % 3 = 1 THEN 'Favorites'
+                            ELSE concat('Wishlist ', CAST(e.event_id % 4 AS VARCHAR)) END AS closet_name
+                  FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id
+                 WHERE e.event_type = 'purchase') a
+          LEFT JOIN site_user u ON u.username = a.username) x"""))
+
+register("remove_closets", with_binding(body="""
+SELECT seq, status, CASE WHEN status = 'ok' THEN closet_id END AS closet_id
+  FROM (SELECT r.seq, c.closet_id,
+               CASE WHEN u.site_user_id IS NULL THEN 'unknown_user'
+                    WHEN c.closet_id IS NULL THEN 'unknown_closet'
+                    WHEN row_number() OVER (PARTITION BY c.closet_id ORDER BY r.seq) > 1 THEN 'unknown_closet'
+                    ELSE 'ok' END AS status
+          FROM (SELECT e.event_id AS seq, cu.c_name AS username,
+                       CASE WHEN e.event_id % 3 = 0 THEN '5-LOW' WHEN e.event_id % 3 = 1 THEN '2-HIGH'
+                            ELSE 'Nope' END AS closet_name
+                  FROM events e LEFT JOIN customer cu ON cu.c_custkey = e.user_id
+                 WHERE e.event_type = 'error') r
+          LEFT JOIN site_user u ON u.username = r.username
+          LEFT JOIN closet c ON c.site_user_id = u.site_user_id AND c.name = r.closet_name) x"""))
+
+register("add_items_to_closets", with_binding(body="""
+SELECT seq, status, closet_id, item_id FROM (
+  SELECT a.seq, c.closet_id, k.item_id,
+         CASE WHEN u.site_user_id IS NULL THEN 'unknown_user'
+              WHEN c.closet_id IS NULL THEN 'unknown_closet'
+              WHEN k.item_id IS NULL THEN 'unknown_item'
+              WHEN EXISTS (SELECT 1 FROM closet_item ci WHERE ci.closet_id = c.closet_id AND ci.item_id = k.item_id)
+                OR row_number() OVER (PARTITION BY c.closet_id, k.item_id ORDER BY a.seq) > 1
+              THEN 'already_present' ELSE 'ok' END AS status
+    FROM (SELECT e.event_id AS seq, cu.c_name AS username,
+                 CASE e.event_id % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM'
+                      WHEN 3 THEN '4-NOT SPECIFIED' WHEN 4 THEN '5-LOW' ELSE 'Nope' END AS closet_name,
+                 lower(p.p_name) AS base_item_name,
+                 CASE WHEN e.event_id % 10 = 0 THEN 'Brand#999' ELSE p.p_brand END AS brand_name
+            FROM events e LEFT JOIN customer cu ON cu.c_custkey = e.user_id
+            LEFT JOIN part p ON p.p_partkey = e.user_id
+           WHERE e.event_type = 'click') a
+    LEFT JOIN site_user u ON u.username = a.username
+    LEFT JOIN closet c ON c.site_user_id = u.site_user_id AND c.name = a.closet_name
+    LEFT JOIN (SELECT lower(bi.name) AS nk, lower(b.name) AS bk, min(bi.base_item_id) AS item_id
+                 FROM base_item bi JOIN brand b ON b.brand_id = bi.brand_id
+                GROUP BY lower(bi.name), lower(b.name)) k
+      ON k.nk = lower(a.base_item_name) AND k.bk = lower(a.brand_name)) x"""))
+
+register("user_closets", with_binding(body="""
+SELECT u.username, c.closet_rank, c.name AS closet_name, i.item_rank, i.item_name, i.brand_name, i.thumbnail_url
+  FROM site_user u
+  LEFT JOIN (SELECT closet_id, site_user_id, name,
+                    row_number() OVER (PARTITION BY site_user_id ORDER BY name, closet_id) AS closet_rank
+               FROM closet) c ON c.site_user_id = u.site_user_id
+  LEFT JOIN (SELECT ci.closet_id, bi.name AS item_name, b.name AS brand_name, img.url AS thumbnail_url,
+                    row_number() OVER (PARTITION BY ci.closet_id
+                                       ORDER BY lower(bi.name), bi.name, bi.base_item_id) AS item_rank
+               FROM closet_item ci JOIN base_item bi ON bi.base_item_id = ci.item_id
+               JOIN brand b ON b.brand_id = bi.brand_id
+               LEFT JOIN image img ON img.image_id = bi.thumbnail_image_id) i ON i.closet_id = c.closet_id"""))
+
+register("closet_item_counts", with_binding(body="""
+SELECT c.closet_id, CAST(count(ci.item_id) AS BIGINT) AS n_items
+  FROM closet c LEFT JOIN closet_item ci ON ci.closet_id = c.closet_id GROUP BY c.closet_id"""))

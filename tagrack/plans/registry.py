@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import size_rank
-from ..operators import browse, detail, related, search, stock
+from ..operators import browse, detail, related, search, stock, users
 from ..sources import requests as rq
 from ..sources.binding import Binding
 
@@ -170,3 +170,74 @@ def _seed_sizes(spark, sf_dir):
     from pyspark.sql import functions as F
     sku = Binding(spark, sf_dir).sku
     return sku.select("item_id", "basic_size", size_rank(F.col("basic_size")).alias("relative_order"))
+
+
+# -- users, sessions, closets (U30-U38) ------------------------------------------
+AS_OF = "2024-01-29 12:00:00"  # late in the log, so some sessions have expired
+
+
+def _as_of():
+    from pyspark.sql import functions as F
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+@query("register_users")
+def _register_users(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    _state, statuses = users.register_users(b.site_user, rq.signups(b.t))
+    return statuses
+
+
+@query("open_sessions")
+def _open_sessions(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return users.open_sessions(b.session_open.limit(0), b.session_open)
+
+
+@query("active_sessions")
+def _active_sessions(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    s = users.open_sessions(b.session_open.limit(0), b.session_open)
+    return users.active_sessions(s, b.site_user, _as_of())
+
+
+@query("close_sessions")
+def _close_sessions(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    s = users.open_sessions(b.session_open.limit(0), b.session_open)
+    return users.close_sessions(s, rq.session_closes(b.t))
+
+
+@query("add_closets")
+def _add_closets(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    _state, statuses = users.add_closets(b.closet, b.site_user, rq.closet_adds(b.t), _as_of())
+    return statuses
+
+
+@query("remove_closets")
+def _remove_closets(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    _c, _ci, statuses = users.remove_closets(b.closet, b.closet_item, b.site_user,
+                                             rq.closet_removes(b.t))
+    return statuses
+
+
+@query("add_items_to_closets")
+def _add_items_to_closets(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    _state, statuses = users.add_items_to_closets(b.closet, b.closet_item, b.site_user, b.catalog(),
+                                                  rq.closet_item_adds(b.t), _as_of())
+    return statuses
+
+
+@query("user_closets")
+def _user_closets(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return users.user_closets(b.site_user, b.closet, b.closet_item, b.catalog())
+
+
+@query("closet_item_counts")
+def _closet_item_counts(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return users.closet_item_counts(b.closet, b.closet_item)

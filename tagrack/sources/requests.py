@@ -99,3 +99,74 @@ def detail_requests(t: Tables) -> DataFrame:
              .when(eid % 13 == 2, F.lit("Brand#999"))
              .otherwise(F.col("p_brand")))
     return x.select(eid.alias("request_id"), name.alias("base_item_name"), brand.alias("brand_name"))
+
+
+def _events_with_customer(t: Tables, event_type: str) -> DataFrame:
+    e = t.events.filter(F.col("event_type") == event_type).select("event_id", "user_id")
+    c = t.customer.select("c_custkey", "c_name")
+    return e.join(c, e.user_id == c.c_custkey, "left")
+
+
+def signups(t: Tables) -> DataFrame:
+    """(seq, first_name, last_name, username, email) from ``signup`` events."""
+    x = _events_with_customer(t, "signup")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    username = (F.when(eid % 4 == 0, F.col("c_name")).when(eid % 4 == 1, F.lower("c_name"))
+                .when(eid % 4 == 2, F.concat(F.lit("new-"), uid.cast("string")))
+                .otherwise(F.concat(F.lit("new-"), eid.cast("string"))))
+    email = (F.when(eid % 5 == 0, F.upper(F.concat(F.replace(F.col("c_name"), F.lit("#"), F.lit(".")),
+                                                    F.lit("@example.com"))))
+             .when(eid % 5 == 1, F.lit("not an email"))
+             .when(eid % 5 == 2, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("u"), eid.cast("string"), F.lit("@example.org"))))
+    return x.select(eid.alias("seq"), F.lit("New").alias("first_name"),
+                    F.concat(F.lit("User"), uid.cast("string")).alias("last_name"),
+                    username.alias("username"), email.alias("email"))
+
+
+def session_closes(t: Tables) -> DataFrame:
+    """(session_token) to sign out, from ``error`` events (some unknown)."""
+    e = t.events.filter(F.col("event_type") == "error")
+    return e.select(F.concat(F.lit("tok-"), (F.col("event_id") - 1).cast("string")).alias("session_token"))
+
+
+def closet_adds(t: Tables) -> DataFrame:
+    """(seq, username, closet_name) from ``purchase`` events."""
+    x = _events_with_customer(t, "purchase")
+    eid = F.col("event_id")
+    user = F.when(eid % 9 == 0, F.lit("nobody")).otherwise(F.col("c_name"))
+    name = (F.when(eid % 3 == 0, F.lit("1-URGENT")).when(eid % 3 == 1, F.lit("Favorites"))
+            .otherwise(F.concat(F.lit("Wishlist "), (eid % 4).cast("string"))))
+    return x.select(eid.alias("seq"), user.alias("username"), name.alias("closet_name"))
+
+
+def closet_removes(t: Tables) -> DataFrame:
+    """(seq, username, closet_name) from ``error`` events."""
+    x = _events_with_customer(t, "error")
+    eid = F.col("event_id")
+    name = (F.when(eid % 3 == 0, F.lit("5-LOW")).when(eid % 3 == 1, F.lit("2-HIGH"))
+            .otherwise(F.lit("Nope")))
+    return x.select(eid.alias("seq"), F.col("c_name").alias("username"), name.alias("closet_name"))
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def closet_item_adds(t: Tables) -> DataFrame:
+    """(seq, username, closet_name, base_item_name, brand_name) from ``click`` events."""
+    x = _events_with_customer(t, "click")
+    p = t.part.select("p_partkey", "p_name", "p_brand")
+    x = x.join(p, x.user_id == p.p_partkey, "left")
+    eid = F.col("event_id")
+    name = F.when(eid % 6 == 5, F.lit("Nope"))
+    for i, pr in enumerate(PRIORITIES):
+        name = name.when(eid % 6 == i, F.lit(pr))
+    brand = F.when(eid % 10 == 0, F.lit("Brand#999")).otherwise(F.col("p_brand"))
+    return x.select(eid.alias("seq"), F.col("c_name").alias("username"), name.alias("closet_name"),
+                    F.lower("p_name").alias("base_item_name"), brand.alias("brand_name"))
+
+
+def delete_requests(t: Tables) -> DataFrame:
+    """(base_item_id) to delete, from ``view`` events' users."""
+    e = t.events.filter(F.col("event_type") == "view")
+    return e.select(F.col("user_id").alias("base_item_id")).distinct()
