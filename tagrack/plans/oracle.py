@@ -544,3 +544,25 @@ SELECT u.username, c.closet_rank, c.name AS closet_name, i.item_rank, i.item_nam
 register("closet_item_counts", with_binding(body="""
 SELECT c.closet_id, CAST(count(ci.item_id) AS BIGINT) AS n_items
   FROM closet c LEFT JOIN closet_item ci ON ci.closet_id = c.closet_id GROUP BY c.closet_id"""))
+
+# ---------------------------------------------------------------------------
+# Integrity and summaries
+register("delete_base_items", with_binding(body="""
+SELECT d.base_item_id,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM base_item bi WHERE bi.base_item_id = d.base_item_id) THEN 'missing'
+            WHEN EXISTS (SELECT 1 FROM sku s JOIN stock_event l ON l.item_id = s.item_id
+                          WHERE s.base_item_id = d.base_item_id) THEN 'restricted'
+            ELSE 'ok' END AS status
+  FROM (SELECT DISTINCT user_id AS base_item_id FROM events WHERE event_type = 'view') d"""))
+
+register("rating_buckets", with_binding(body="""
+SELECT brand_id, full_stars, half_star, 5 - full_stars - half_star AS empty_stars, count(*) AS n_items
+  FROM (SELECT brand_id, CAST(floor(rating) AS INT) AS full_stars,
+               CASE WHEN rating - floor(rating) >= 0.25 AND rating - floor(rating) < 0.75 THEN 1 ELSE 0 END
+                 AS half_star
+          FROM base_item WHERE rating IS NOT NULL) r
+ GROUP BY brand_id, full_stars, half_star"""))
+
+register("users_by_role", with_binding(body="""
+SELECT CASE WHEN is_admin THEN 'Admin' WHEN is_staff THEN 'Staff' ELSE 'Member' END AS role, count(*) AS n_users
+  FROM site_user GROUP BY 1"""))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import size_rank
-from ..operators import browse, detail, related, search, stock, users
+from ..operators import browse, detail, integrity, related, search, stock, summaries, users
 from ..sources import requests as rq
 from ..sources.binding import Binding
 
@@ -241,3 +241,21 @@ def _user_closets(spark, sf_dir):
 def _closet_item_counts(spark, sf_dir):
     b = Binding(spark, sf_dir)
     return users.closet_item_counts(b.closet, b.closet_item)
+
+
+# -- integrity, summaries (U39, D1, D3) ------------------------------------------
+@query("delete_base_items")
+def _delete_base_items(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    _cat, status = integrity.delete_base_items(b.catalog(), b.stock_event, rq.delete_requests(b.t))
+    return status
+
+
+@query("rating_buckets")
+def _rating_buckets(spark, sf_dir):
+    return summaries.rating_buckets(Binding(spark, sf_dir).base_item)
+
+
+@query("users_by_role")
+def _users_by_role(spark, sf_dir):
+    return summaries.users_by_role(Binding(spark, sf_dir).site_user)
