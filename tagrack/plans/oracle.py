@@ -566,3 +566,121 @@ SELECT brand_id, full_stars, half_star, 5 - full_stars - half_star AS empty_star
 register("users_by_role", with_binding(body="""
 SELECT CASE WHEN is_admin THEN 'Admin' WHEN is_staff THEN 'Staff' ELSE 'Member' END AS role, count(*) AS n_users
   FROM site_user GROUP BY 1"""))
+
+# ---------------------------------------------------------------------------
+# Feed ingest (U21-U29, D2): the feed's content computed straight from part.
+FEED_CORE = """
+fi AS (
+  SELECT CAST(p_partkey // 48 + 1 AS INT) AS page, p_partkey AS k, p_size, p_brand,
+         CAST(p_partkey AS VARCHAR) AS feed_item_id,
+         CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS title,
+         CASE WHEN p_partkey % 97 = 0 THEN 'Unknown Vendor'
+              WHEN p_partkey % 89 = 0 THEN concat('Label ', CAST(p_partkey % 7 AS VARCHAR))
+              WHEN p_partkey % 5 = 0 THEN upper(p_brand) ELSE p_brand END AS vendor,
+         CAST(p_partkey % 23 AS DOUBLE) * 0.25 AS rating_raw,
+         CASE WHEN p_partkey % 4 = 0 THEN concat('feed-', CAST(p_partkey AS VARCHAR), '-t.jpg')
+              ELSE concat('img-', CAST(p_partkey AS VARCHAR), '.jpg') END AS thumbnail_image,
+         CASE WHEN p_partkey % 6 = 0
+                THEN [concat('feed-', CAST(p_partkey AS VARCHAR), '-a.jpg'), concat('feed-', CAST(p_partkey AS VARCHAR), '-b.jpg'),
+                      concat('feed-', CAST(p_partkey AS VARCHAR), '-a.jpg')]
+              WHEN p_partkey % 5 = 0
+                THEN [concat('feed-', CAST(p_partkey AS VARCHAR), '-a.jpg'), concat('img-', CAST(p_partkey AS VARCHAR), '.jpg')]
+              ELSE [concat('feed-', CAST(p_partkey AS VARCHAR), '-a.jpg'), concat('feed-', CAST(p_partkey AS VARCHAR), '-b.jpg')]
+              END AS images
+    FROM part),
+fi_sizes AS (
+  SELECT feed_item_id, k, 'XS' AS size, CAST(p_size % 3 AS BIGINT) AS count FROM fi
+  UNION ALL SELECT feed_item_id, k, 'M', CAST(p_size % 4 AS BIGINT) FROM fi
+  UNION ALL SELECT feed_item_id, k, 'L', 1 FROM fi WHERE k % 2 = 0
+  UNION ALL SELECT feed_item_id, k, 's', 2 FROM fi WHERE k % 7 = 0
+  UNION ALL SELECT feed_item_id, k, 'XXXXL', 1 FROM fi WHERE k % 11 = 0),
+fi_tags AS (
+  SELECT DISTINCT CAST(tn.base_item_id AS VARCHAR) AS feed_item_id,
+         concat(upper(substring(t.name, 1, 1)), substring(t.name, 2)) AS tag_name
+    FROM tag_name tn JOIN tag t ON t.name = tn.name
+  UNION
+  SELECT feed_item_id, concat('Size-', CAST(p_size % 5 AS VARCHAR)) FROM fi),
+new_tags AS (
+  SELECT (SELECT max(tag_id) FROM tag) + row_number() OVER (ORDER BY lower(name)) AS tag_id, name
+    FROM (SELECT DISTINCT concat('Size-', CAST(p_size % 5 AS VARCHAR)) AS name FROM fi) s
+   WHERE NOT EXISTS (SELECT 1 FROM tag t WHERE lower(t.name) = lower(s.name))),
+all_tags AS (SELECT tag_id, name FROM tag UNION ALL SELECT tag_id, name FROM new_tags),
+new_brands AS (
+  SELECT (SELECT max(brand_id) FROM brand) + row_number() OVER (ORDER BY lower(name)) AS brand_id, name
+    FROM (SELECT DISTINCT concat('Label ', CAST(k % 7 AS VARCHAR)) AS name FROM fi
+           WHERE k % 89 = 0 AND k % 97 <> 0) s
+   WHERE NOT EXISTS (SELECT 1 FROM brand b WHERE lower(b.name) = lower(s.name))),
+all_brands AS (SELECT brand_id, name FROM brand UNION ALL SELECT brand_id, name FROM new_brands),
+accepted AS (
+  SELECT fi.*, TRY_CAST(rating_raw AS DECIMAL(2,1)) AS rating FROM fi
+   WHERE TRY_CAST(rating_raw AS DECIMAL(2,1)) BETWEEN 0 AND 5),
+new_images AS (
+  SELECT (SELECT max(image_id) FROM image) + row_number() OVER (ORDER BY url) AS image_id, url
+    FROM (SELECT thumbnail_image AS url FROM accepted UNION SELECT unnest(images) FROM accepted) u
+   WHERE NOT EXISTS (SELECT 1 FROM image i WHERE i.url = u.url)),
+all_images AS (SELECT image_id, url FROM image UNION ALL SELECT image_id, url FROM new_images),
+new_items AS (
+  SELECT a.feed_item_id, a.k,
+         (SELECT max(base_item_id) FROM base_item) + row_number() OVER (ORDER BY a.page, a.k) AS base_item_id,
+         a.title AS name, b.brand_id, im.image_id AS thumbnail_image_id, a.rating
+    FROM accepted a LEFT JOIN all_brands b ON lower(b.name) = lower(a.vendor)
+    LEFT JOIN all_images im ON im.url = a.thumbnail_image),
+sku_rows AS (
+  SELECT s.*, n.base_item_id, bs.relative_order,
+         CASE WHEN n.base_item_id IS NULL THEN 'no_base_item'
+              WHEN bs.relative_order IS NULL THEN 'unknown_size' END AS code
+    FROM fi_sizes s LEFT JOIN new_items n USING (feed_item_id)
+    LEFT JOIN basic_size bs ON bs.size = upper(s.size)),
+new_skus AS (
+  SELECT (SELECT max(item_id) FROM sku) + row_number() OVER (ORDER BY base_item_id, relative_order) AS item_id,
+         base_item_id, size AS basic_size, feed_item_id, count
+    FROM sku_rows WHERE code IS NULL)"""
+
+_FEED = (SIZES_CTE, FEED_CORE)
+
+register("parse_feed", with_binding(*_FEED, body="""
+SELECT feed_item_id, page, title, vendor, rating_raw, len(images) AS n_images,
+       CAST((SELECT count(*) FROM fi_sizes s WHERE s.k = fi.k) AS INT) AS n_sizes,
+       CAST((SELECT count(DISTINCT name) FROM tag_name tn WHERE tn.base_item_id = fi.k) + 1
+            + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS INT) AS n_tags
+  FROM fi"""))
+
+register("insert_if_absent", with_binding(*_FEED, body="""
+SELECT 'tag' AS dim, CAST(tag_id AS INT) AS id, name FROM new_tags
+UNION ALL SELECT 'brand', CAST(brand_id AS INT), name FROM new_brands"""))
+
+register("feed_item_tags", with_binding(*_FEED, body="SELECT feed_item_id, tag_name FROM fi_tags"))
+
+register("add_base_items", with_binding(*_FEED, body="""
+SELECT feed_item_id, CAST(base_item_id AS BIGINT) AS base_item_id, name, brand_id,
+       CAST(thumbnail_image_id AS BIGINT) AS thumbnail_image_id, rating FROM new_items"""))
+
+register("attach_images", with_binding(*_FEED, body="""
+SELECT DISTINCT CAST(n.base_item_id AS BIGINT) AS base_item_id, CAST(im.image_id AS BIGINT) AS image_id
+  FROM new_items n JOIN accepted a USING (feed_item_id)
+  JOIN (SELECT feed_item_id, unnest(images) AS url FROM accepted) u USING (feed_item_id)
+  JOIN all_images im ON im.url = u.url"""))
+
+register("attach_tags", with_binding(*_FEED, body="""
+SELECT DISTINCT t.tag_id, CAST(n.base_item_id AS BIGINT) AS base_item_id
+  FROM new_items n JOIN fi_tags f USING (feed_item_id)
+  JOIN all_tags t ON lower(t.name) = lower(f.tag_name)"""))
+
+register("add_skus", with_binding(*_FEED, body="""
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(base_item_id AS BIGINT) AS base_item_id, basic_size,
+       feed_item_id, count FROM new_skus"""))
+
+register("opening_stock", with_binding(*_FEED, body="""
+SELECT CAST(item_id AS BIGINT) AS item_id, 'audit' AS transaction_event, count AS quantity,
+       count AS delta_quantity FROM new_skus"""))
+
+register("ingest_feed", with_binding(*_FEED, body="""
+SELECT 'base_item' AS stage, feed_item_id, CAST(rating_raw AS VARCHAR) AS detail, 'bad_rating' AS code
+  FROM fi WHERE NOT (TRY_CAST(rating_raw AS DECIMAL(2,1)) BETWEEN 0 AND 5)
+UNION ALL
+SELECT 'sku', feed_item_id, size, code FROM sku_rows WHERE code IS NOT NULL
+UNION ALL
+SELECT 'tag', feed_item_id, '9999', 'unknown_tag_id' FROM fi WHERE k % 13 = 0"""))
+
+register("feed_image_urls", with_binding(*_FEED, body="""
+SELECT DISTINCT format('https://images.example.com/products/{}?profile=a', unnest(images)) AS url FROM fi"""))

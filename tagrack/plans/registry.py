@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import size_rank
-from ..operators import browse, detail, integrity, related, search, stock, summaries, users
+from ..operators import browse, detail, ingest, integrity, related, search, stock, summaries, users
+from ..sources import feed
 from ..sources import requests as rq
 from ..sources.binding import Binding
 
@@ -259,3 +260,73 @@ def _rating_buckets(spark, sf_dir):
 @query("users_by_role")
 def _users_by_role(spark, sf_dir):
     return summaries.users_by_role(Binding(spark, sf_dir).site_user)
+
+
+# -- feed ingest (U21-U29, D2) ----------------------------------------------------
+def _feed_docs(b: Binding):
+    return feed.parse_documents(feed.feed_from_part(b.t, b.tag))
+
+
+def _ingest(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return b, ingest.ingest_feed(b.catalog(), _feed_docs(b))
+
+
+@query("parse_feed")
+def _parse_feed(spark, sf_dir):
+    return ingest.parse_feed(_feed_docs(Binding(spark, sf_dir)))
+
+
+@query("insert_if_absent")
+def _insert_if_absent(spark, sf_dir):
+    from pyspark.sql import functions as F
+    b = Binding(spark, sf_dir)
+    docs = _feed_docs(b)
+    tags = ingest.feed_tag_names(docs).select(F.col("website_text").alias("name"), "page", "ord")
+    _t, new_tags = ingest.insert_if_absent(b.tag, "tag_id", tags, ["page", "ord"])
+    vendors = ingest.feed_vendor_names(docs).select("name", "page", "handle")
+    _b, new_brands = ingest.insert_if_absent(b.brand, "brand_id", vendors, ["page", "handle"])
+    return (new_tags.select(F.lit("tag").alias("dim"), F.col("tag_id").alias("id"), "name")
+            .unionByName(new_brands.select(F.lit("brand").alias("dim"), F.col("brand_id").alias("id"), "name")))
+
+
+@query("feed_item_tags")
+def _feed_item_tags(spark, sf_dir):
+    return ingest.feed_item_tags(_feed_docs(Binding(spark, sf_dir)))
+
+
+@query("add_base_items")
+def _add_base_items(spark, sf_dir):
+    _b, r = _ingest(spark, sf_dir)
+    return r.new_base_items.select("feed_item_id", "base_item_id", "name", "brand_id",
+                                   "thumbnail_image_id", "rating")
+
+
+@query("attach_images")
+def _attach_images(spark, sf_dir):
+    return _ingest(spark, sf_dir)[1].new_item_images
+
+
+@query("attach_tags")
+def _attach_tags(spark, sf_dir):
+    return _ingest(spark, sf_dir)[1].new_item_tags
+
+
+@query("add_skus")
+def _add_skus(spark, sf_dir):
+    return _ingest(spark, sf_dir)[1].new_skus
+
+
+@query("opening_stock")
+def _opening_stock(spark, sf_dir):
+    return _ingest(spark, sf_dir)[1].opening_ledger
+
+
+@query("ingest_feed")
+def _ingest_feed(spark, sf_dir):
+    return _ingest(spark, sf_dir)[1].rejects
+
+
+@query("feed_image_urls")
+def _feed_image_urls(spark, sf_dir):
+    return ingest.feed_image_urls(_feed_docs(Binding(spark, sf_dir)))
