@@ -684,3 +684,21 @@ SELECT 'tag', feed_item_id, '9999', 'unknown_tag_id' FROM fi WHERE k % 13 = 0"""
 
 register("feed_image_urls", with_binding(*_FEED, body="""
 SELECT DISTINCT format('https://images.example.com/products/{}?profile=a', unnest(images)) AS url FROM fi"""))
+
+# ---------------------------------------------------------------------------
+# Streams (S1-S3) equal their batch twins.
+SQL["stream_stock_ledger"] = SQL["fold_stock_events"]
+SQL["stream_ingest"] = SQL["ingest_feed"]
+
+DEBOUNCE_SQL = with_binding(body="""
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end,
+       arg_max(query, ts) AS last_query, count(*) AS n_queries
+  FROM (SELECT *, sum(new_burst) OVER (PARTITION BY user_id ORDER BY ts
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst
+          FROM (SELECT user_id, ts, query,
+                       CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR
+                            THEN 0 ELSE 1 END AS new_burst
+                  FROM search_log) s) b
+ GROUP BY user_id, burst""")
+register("stream_search_debounce", DEBOUNCE_SQL)
+register("search_debounce", DEBOUNCE_SQL)

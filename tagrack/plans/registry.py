@@ -330,3 +330,44 @@ def _ingest_feed(spark, sf_dir):
 @query("feed_image_urls")
 def _feed_image_urls(spark, sf_dir):
     return ingest.feed_image_urls(_feed_docs(Binding(spark, sf_dir)))
+
+
+# -- streams (S1-S3): run to completion, read the sink back ------------------------
+DEBOUNCE_GAP = "6 hours"      # events of one user lie hours apart in the log
+DEBOUNCE_WATERMARK = "1 hour"
+
+
+@query("stream_stock_ledger")
+def _stream_stock_ledger(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..streaming import runner
+    b = Binding(spark, sf_dir)
+    cut = F.col("transaction_date") < F.lit(LEDGER_CUT).cast("timestamp_ntz")
+    waves = [b.stock_event.filter(cut), b.stock_event.filter(~cut)]
+    ledger, _rejects = runner.run_ledger(spark, waves, b.sku, stock.BOUND_ORDER)
+    return ledger
+
+
+@query("stream_search_debounce")
+def _stream_search_debounce(spark, sf_dir):
+    from ..streaming import runner
+    b = Binding(spark, sf_dir)
+    return runner.run_debounce(spark, b.search_log, DEBOUNCE_GAP, DEBOUNCE_WATERMARK)
+
+
+@query("search_debounce")
+def _search_debounce(spark, sf_dir):
+    from ..streaming import debounce
+    return debounce.debounce(Binding(spark, sf_dir).search_log, DEBOUNCE_GAP)
+
+
+@query("stream_ingest")
+def _stream_ingest(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..streaming import runner
+    b = Binding(spark, sf_dir)
+    raw = feed.feed_from_part(b.t, b.tag)
+    half = raw.agg(F.percentile_approx("page_id", 0.5)).first()[0]
+    waves = [raw.filter(F.col("page_id") <= half), raw.filter(F.col("page_id") > half)]
+    _cat, _ledger, rejects = runner.run_ingest(spark, b.catalog(), waves)
+    return rejects
