@@ -25,45 +25,82 @@ OUT_SCHEMA = ("item_id long, transaction_event string, quantity long, transactio
               "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
               "stock_after long, delta_quantity long, status string")
 OUT_COLUMNS = [f.split()[0] for f in OUT_SCHEMA.split(", ")]
-STATE_SCHEMA = "stock long"
 
 
-def _status(pdf: pd.DataFrame) -> pd.Series:
-    ev, q = pdf["transaction_event"], pdf["quantity"]
-    status = pd.Series("ok", index=pdf.index, dtype=object)
-    status[~pdf["_known"].astype(bool)] = "unknown_item"
-    status[(ev == "audit") & (q < 0)] = "negative_audit"
-    status[q.isna()] = "null_quantity"
-    status[ev.isna() | ~ev.isin(EVENT_TYPES)] = "invalid_event"
-    return status
+_OUT_OF_STOCK = ("ship-out", "scrap")
+# SKUs per state key: the stateful operator is keyed by ``item_id div STATE_RANGE``
+# and keeps that range's stocks as two arrays, so one Python call folds a whole
+# range (vectorised) instead of paying the per-key overhead once per SKU.
+STATE_RANGE = 4096
+STATE_SCHEMA = "items array<bigint>, stocks array<bigint>"
 
 
-def _fold_group(order: Sequence[str]):
-    """Per SKU: vectorised replay of the batch's events on top of the stored stock
-    (the same segment recipe as the batch fold: audits start segments)."""
+def _fold_range(order: Sequence[str]):
+    """Per SKU range: replay the batch's events on top of the stored stocks with
+    numpy. Rows are sorted by (item_id, order); a running sum restarts at each
+    SKU's first row and at each audit; a SKU's first segment starts from its
+    stored stock (0 if new)."""
+    order = list(order)
+    valid = np.array(EVENT_TYPES, dtype=object)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="stable")
-        pdf = pdf.reset_index(drop=True)
-        stock0 = int(state.get[0]) if state.exists else 0
-        status = _status(pdf)
-        ok = (status == "ok").to_numpy()
-        v = pdf["quantity"].where(~pdf["transaction_event"].isin(["ship-out", "scrap"]),
-                                  -pdf["quantity"])
-        after = pd.array([None] * len(pdf), dtype="Int64")
-        delta = pd.array([None] * len(pdf), dtype="Int64")
+        parts = list(pdfs)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        n = len(pdf)
+        idx = np.lexsort([pdf[c].to_numpy() for c in reversed(["item_id"] + order)])
+        pdf = pdf.iloc[idx]
+        if state.exists:
+            st_items = np.asarray(state.get[0], dtype=np.int64)
+            st_stocks = np.asarray(state.get[1], dtype=np.int64)
+        else:
+            st_items = np.empty(0, dtype=np.int64)
+            st_stocks = np.empty(0, dtype=np.int64)
+        item = pdf["item_id"].to_numpy(dtype=np.int64)
+        ev = pdf["transaction_event"].to_numpy(dtype=object)
+        q = pdf["quantity"].to_numpy(dtype="float64")
+        known = pdf["_known"].to_numpy(dtype=bool)
+        is_audit = ev == "audit"
+        status = np.full(n, "ok", dtype=object)
+        status[~known] = "unknown_item"
+        status[is_audit & (q < 0)] = "negative_audit"
+        status[np.isnan(q)] = "null_quantity"
+        status[~np.isin(ev, valid)] = "invalid_event"
+        ok = status == "ok"
+        after = np.full(n, np.nan)
+        delta = np.full(n, np.nan)
         if ok.any():
-            vv = v[ok].astype("int64").to_numpy()
-            audit = (pdf["transaction_event"][ok] == "audit").to_numpy()
-            seg = np.cumsum(audit)
-            run = pd.Series(vv).groupby(seg).cumsum().to_numpy() + np.where(seg == 0, stock0, 0)
-            prev = np.concatenate([[stock0], run[:-1]])
+            it, a = item[ok], is_audit[ok]
+            qv = q[ok].astype(np.int64)
+            v = np.where(np.isin(ev[ok], _OUT_OF_STOCK), -qv, qv)
+            m = len(v)
+            first = np.r_[True, it[1:] != it[:-1]]
+            opening = np.zeros(m, dtype=np.int64)
+            if len(st_items):
+                pos = np.clip(np.searchsorted(st_items, it), 0, len(st_items) - 1)
+                opening = np.where(st_items[pos] == it, st_stocks[pos], 0)
+            seg_start = first | a
+            starts = np.flatnonzero(seg_start)
+            csum = np.cumsum(v)
+            base = np.repeat(csum[starts] - v[starts], np.diff(np.r_[starts, m]))
+            # segments that open a SKU without an audit continue from its stored stock
+            carry = np.repeat(np.where(first[starts] & ~a[starts], opening[starts], 0),
+                              np.diff(np.r_[starts, m]))
+            run = csum - base + carry
+            prev = np.where(first, opening, np.r_[0, run[:-1]])
             after[ok] = run
             delta[ok] = run - prev
-            stock0 = int(run[-1])
-        state.update((stock0,))
-        out = pdf.drop(columns=["_known"]).assign(stock_after=after, delta_quantity=delta,
-                                                  status=status.to_numpy())
+            last = np.r_[it[1:] != it[:-1], True]
+            new_items, new_stocks = it[last], run[last]
+            keep = ~np.isin(st_items, new_items)
+            st_items = np.r_[st_items[keep], new_items]
+            st_stocks = np.r_[st_stocks[keep], new_stocks]
+            o = np.argsort(st_items, kind="stable")
+            st_items, st_stocks = st_items[o], st_stocks[o]
+        state.update((st_items.tolist(), st_stocks.tolist()))
+        out = pdf.drop(columns=["_known", "_range"])
+        out = out.assign(stock_after=pd.array(after, dtype="Float64").astype("Int64"),
+                         delta_quantity=pd.array(delta, dtype="Float64").astype("Int64"),
+                         status=status)
         yield out[OUT_COLUMNS]
 
     return fn
@@ -73,12 +110,15 @@ def ledger_stream(events: DataFrame, sku: DataFrame, order: Sequence[str]) -> Da
     """Streaming DataFrame of events with (stock_after, delta_quantity, status).
 
     ``events`` is a streaming DataFrame of stock events; ``sku`` a static one.
-    The SKU check is a stream-static left join; the fold keeps one long per SKU.
+    The SKU check is a stream-static left join; state is one pair of arrays
+    per SKU range (bounded by STATE_RANGE entries).
     """
     known = sku.select("item_id").distinct().withColumn("_known", F.lit(True))
-    x = events.join(known, "item_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    return x.groupBy("item_id").applyInPandasWithState(
-        _fold_group(order), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    x = (events.join(known, "item_id", "left")
+         .withColumn("_known", F.coalesce("_known", F.lit(False)))
+         .withColumn("_range", F.floor(F.col("item_id") / STATE_RANGE)))
+    return x.groupBy("_range").applyInPandasWithState(
+        _fold_range(order), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def write_ledger_batches(out_dir: str):
