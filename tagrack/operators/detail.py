@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_key
 from ..model import DEFAULT_RELATED_K, Catalog, seed_sizes
+from ..plans.materialize import materialize
 from . import related
 
 
@@ -88,7 +89,7 @@ def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame) -> Data
     description, rating, image_urls, sizes ('XS:true|S:false', size order),
     similar and more_from_brand (names by rank, k=4) and a status; fields stay
     NULL on error rows (missing_name, no_brand, missing)."""
-    res = resolve_items(requests, catalog)
+    res = materialize(resolve_items(requests, catalog))
     ok = res.filter(F.col("status").isin("ok", "ambiguous"))
     bi = catalog.base_item.select("base_item_id", "description", "rating")
     imgs = item_images(catalog).select("base_item_id", "image_urls")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import top_k
 from ..functions.text import name_key
 from ..model import Catalog
+from ..plans.materialize import materialize
 
 
 def _k(c="k"):
@@ -73,9 +74,9 @@ def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None) -
     kmax = max_k(seeds) if kmax is None else kmax
     keep = kmax + 1
     resolved = resolve_seeds(seeds, catalog).filter(F.col("k") > 0)
-    sigs = item_signatures(catalog)
-    seed_sig = resolved.join(sigs.withColumnRenamed("base_item_id", "seed_id"), "seed_id") \
-        .withColumnRenamed("sig", "a")
+    sigs = materialize(item_signatures(catalog))
+    seed_sig = materialize(resolved.join(sigs.withColumnRenamed("base_item_id", "seed_id"), "seed_id")
+                           .withColumnRenamed("sig", "a"))
     a_tags = (seed_sig.select("a").distinct()
               .select("a", F.explode(F.split("a", ",")).alias("tag")))
     b_tags = (sigs.select(F.col("sig").alias("b")).distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import positions
 from ..functions.text import name_key
 from ..model import Catalog
+from ..plans.materialize import materialize
 from .tables import Tables
 
 
@@ -90,8 +91,9 @@ class Binding:
         # the first two characters so no window spans the whole vocabulary.
         names = self.tag_name.select("name").distinct()
         ranked = positions(names, [], ["name"], bucket=F.substring("name", 1, 2), pos_col="tag_id")
-        return (ranked.select(F.col("tag_id").cast("int"), "name")
-                .withColumn("name_key", name_key("name")))
+        # a small dimension read by many branches: written once
+        return materialize(ranked.select(F.col("tag_id").cast("int"), "name")
+                           .withColumn("name_key", name_key("name")))
 
     @cached_property
     def tag_item(self) -> DataFrame:
