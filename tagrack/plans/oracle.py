@@ -209,7 +209,7 @@ register("browse_requests", with_binding(HTTP_BROWSE_REQ, body="""
 SELECT request_id, status,
        CASE WHEN status = 'ok' THEN pg END AS page_index,
        CASE WHEN status = 'ok' THEN sz END AS items_per_page,
-       len(tags) AS n_tags, array_to_string(tags, '|') AS tags
+       CAST(len(tags) AS INTEGER) AS n_tags, array_to_string(tags, '|') AS tags
   FROM (SELECT request_id, pg, sz, list_append(query_tags, path_tag) AS tags,
                CASE WHEN pg IS NULL OR pg < 1 THEN 'bad_page'
                     WHEN sz IS NULL OR sz < 1 OR sz > 100 THEN 'bad_page_size' ELSE 'ok' END AS status
@@ -252,15 +252,18 @@ from_brand AS (
    WHERE rank <= k)"""
 
 register("similar_items", with_binding(SEED_REQ, RELATED_CORE, body="""
-SELECT request_id, rank, item_name, brand_name, thumbnail_url, shared_tag_count FROM similar_list"""))
+SELECT request_id, CAST(rank AS INTEGER) AS rank, item_name, brand_name, thumbnail_url, shared_tag_count
+  FROM similar_list"""))
 
 register("more_from_brand", with_binding(SEED_REQ, RELATED_CORE, body="""
-SELECT request_id, rank, item_name, brand_name, thumbnail_url FROM from_brand"""))
+SELECT request_id, CAST(rank AS INTEGER) AS rank, item_name, brand_name, thumbnail_url FROM from_brand"""))
 
 register("more_like", with_binding(SEED_REQ, RELATED_CORE, body="""
-SELECT request_id, 'similar_items' AS kind, rank, item_name, brand_name, thumbnail_url FROM similar_list
+SELECT request_id, 'similar_items' AS kind, CAST(rank AS INTEGER) AS rank, item_name, brand_name, thumbnail_url
+  FROM similar_list
 UNION ALL
-SELECT request_id, 'more_from_brand' AS kind, rank, item_name, brand_name, thumbnail_url FROM from_brand"""))
+SELECT request_id, 'more_from_brand' AS kind, CAST(rank AS INTEGER) AS rank, item_name, brand_name, thumbnail_url
+  FROM from_brand"""))
 
 # ---------------------------------------------------------------------------
 # Search and brand index
@@ -274,7 +277,7 @@ fnamed AS (
     UNION ALL SELECT 'items', name, CAST(base_item_id AS BIGINT) FROM base_item) n)"""
 
 register("search_names", with_binding(SEARCH_REQ, NAMES, body=f"""
-SELECT query_id, kind, rank, name FROM (
+SELECT query_id, kind, CAST(rank AS INTEGER) AS rank, name FROM (
   SELECT q.query_id, n.kind, n.name,
          row_number() OVER (PARTITION BY q.query_id, n.kind
                             ORDER BY CASE WHEN n.fname ILIKE (q.fq || '%') THEN 0 ELSE 1 END,
@@ -639,7 +642,7 @@ new_skus AS (
 _FEED = (SIZES_CTE, FEED_CORE)
 
 register("parse_feed", with_binding(*_FEED, body="""
-SELECT feed_item_id, page, title, vendor, rating_raw, len(images) AS n_images,
+SELECT feed_item_id, page, title, vendor, rating_raw, CAST(len(images) AS INTEGER) AS n_images,
        CAST((SELECT count(*) FROM fi_sizes s WHERE s.k = fi.k) AS INT) AS n_sizes,
        CAST((SELECT count(DISTINCT name) FROM tag_name tn WHERE tn.base_item_id = fi.k) + 1
             + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS INT) AS n_tags
@@ -652,7 +655,7 @@ UNION ALL SELECT 'brand', CAST(brand_id AS INT), name FROM new_brands"""))
 register("feed_item_tags", with_binding(*_FEED, body="SELECT feed_item_id, tag_name FROM fi_tags"))
 
 register("add_base_items", with_binding(*_FEED, body="""
-SELECT feed_item_id, CAST(base_item_id AS BIGINT) AS base_item_id, name, brand_id,
+SELECT feed_item_id, CAST(base_item_id AS BIGINT) AS base_item_id, name, CAST(brand_id AS INTEGER) AS brand_id,
        CAST(thumbnail_image_id AS BIGINT) AS thumbnail_image_id, rating FROM new_items"""))
 
 register("attach_images", with_binding(*_FEED, body="""
@@ -662,7 +665,7 @@ SELECT DISTINCT CAST(n.base_item_id AS BIGINT) AS base_item_id, CAST(im.image_id
   JOIN all_images im ON im.url = u.url"""))
 
 register("attach_tags", with_binding(*_FEED, body="""
-SELECT DISTINCT t.tag_id, CAST(n.base_item_id AS BIGINT) AS base_item_id
+SELECT DISTINCT CAST(t.tag_id AS INTEGER) AS tag_id, CAST(n.base_item_id AS BIGINT) AS base_item_id
   FROM new_items n JOIN fi_tags f USING (feed_item_id)
   JOIN all_tags t ON lower(t.name) = lower(f.tag_name)"""))
 
