@@ -24,27 +24,32 @@ def top_k(df: DataFrame, partition_cols: Sequence[str], order: Sequence[Column],
 
 
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-              bucket: Column | None = None, pos_col: str = "position",
-              bucket_width: int = 8192) -> DataFrame:
+              pos_col: str = "position") -> DataFrame:
     """1-based position of each row in its group, ordered by ``order_cols``.
 
-    A group may hold a third of all rows, so rows are numbered inside buckets
-    ``(group, bucket)`` of bounded size and each bucket's offset is the running
-    total of the earlier buckets' counts -- a small table of one row per bucket.
-    ``bucket`` must be monotone in the order (default: first order column, an
-    integer key, div ``bucket_width``; for strings pass a short prefix).
-    Two shuffles on bounded keys; no window ever spans a whole group's rows.
+    A group may hold a third of all rows, so no window may span a group.
+    Instead: one range-partitioned sort on (group, order) -- Spark samples the
+    keys, so a hot group is split over many tasks -- written once (checkpoint)
+    so every branch sees the same partitions; then per (partition, group) a row
+    count and the first row id (a small table: at most groups + partitions
+    rows), running totals of the counts give each slice's offset, and a row's
+    position is offset + its index inside the slice.
     """
-    if bucket is None:
-        bucket = F.floor(F.col(order_cols[0]) / F.lit(bucket_width))
-    x = df.withColumn("_bucket", bucket)
-    keys = list(group_cols) + ["_bucket"]
-    counts = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = (Window.partitionBy(*group_cols).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
-    local = x.withColumn("_local", F.row_number().over(
-        Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols])))
-    return (local.join(offsets, keys)
-            .withColumn(pos_col, (F.col("_local") + F.col("_off")).cast("long"))
-            .drop("_bucket", "_local", "_off"))
+    from ..plans.materialize import materialize
+
+    keys = [F.col(c).asc_nulls_first() for c in group_cols] + \
+        [F.col(c).asc_nulls_last() for c in order_cols]
+    ordered = materialize(df.orderBy(*keys)
+                          .withColumn("_pos_pid", F.spark_partition_id())
+                          .withColumn("_pos_rid", F.monotonically_increasing_id()))
+    slices = (ordered.groupBy("_pos_pid", *group_cols)
+              .agg(F.count(F.lit(1)).alias("_pos_n"), F.min("_pos_rid").alias("_pos_first")))
+    w = (Window.partitionBy(*group_cols).orderBy("_pos_pid")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.withColumn("_pos_off", F.coalesce(F.sum("_pos_n").over(w), F.lit(0))).drop("_pos_n")
+    keys = ["_pos_pid"] + list(group_cols)
+    slices = slices.select(*[F.col(k).alias(f"_pos_s{i}") for i, k in enumerate(keys)], "_pos_first", "_pos_off")
+    cond = [F.col(k).eqNullSafe(F.col(f"_pos_s{i}")) for i, k in enumerate(keys)]
+    return (ordered.join(slices, cond)
+            .withColumn(pos_col, (F.col("_pos_off") + F.col("_pos_rid") - F.col("_pos_first") + 1).cast("long"))
+            .select(*df.columns, pos_col))

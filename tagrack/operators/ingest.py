@@ -74,7 +74,7 @@ def insert_if_absent(dim: DataFrame, id_col: str, names: DataFrame, order: list[
              .agg(F.min_by("name", F.struct(*order)).alias("name")))
     new = first.join(dim.select("name_key"), "name_key", "left_anti")
     base = _max_id(dim, id_col)
-    numbered = positions(new, [], ["name_key"], bucket=F.substring("name_key", 1, 2), pos_col="_p")
+    numbered = positions(new, [], ["name_key"], pos_col="_p")
     new_rows = materialize(numbered.select((F.lit(base) + F.col("_p")).cast("int").alias(id_col),
                                            "name", "name_key"))
     return dim.unionByName(new_rows.select(*dim.columns)), new_rows
@@ -125,12 +125,12 @@ def add_base_items(catalog: Catalog, items: DataFrame) -> tuple[DataFrame, DataF
             .distinct().join(catalog.image.select("url"), "url", "left_anti"))
     img_base = _max_id(catalog.image, "image_id")
     new_images = materialize(
-        positions(urls, [], ["url"], bucket=F.substring("url", 1, 3), pos_col="_p")
+        positions(urls, [], ["url"], pos_col="_p")
         .select((F.lit(img_base) + F.col("_p")).cast("long").alias("image_id"), "url"))
     all_images = catalog.image.select("image_id", "url").unionByName(new_images)
     brands = catalog.brand.select("brand_id", F.col("name_key").alias("_vk"))
     base = _max_id(catalog.base_item, "base_item_id")
-    numbered = positions(ok, [], ["page", "pos"], bucket=F.col("page"), pos_col="_p")
+    numbered = positions(ok, [], ["page", "pos"], pos_col="_p")
     thumbs = all_images.select(F.col("url").alias("thumbnail_image"),
                                F.col("image_id").alias("thumbnail_image_id"))
     new_items = materialize(numbered.withColumn("_vk", name_key("vendor"))

@@ -84,13 +84,12 @@ def brand_index(brand: DataFrame) -> DataFrame:
     """(initial, rank, name) -- brands grouped by the upper-cased first
     letter of the folded name (digits -> '#'), ordered by folded name.
 
-    Ranks are numbered in buckets of a name prefix, so a crowded initial is
-    never gathered into one task.
+    Ranks come from a range-partitioned sort, so a crowded initial is never
+    gathered into one task.
     """
     b = brand.select("brand_id", "name", fold("name").alias("fname")) \
         .withColumn("initial", _initial(F.col("fname")))
-    ranked = positions(b, ["initial"], ["fname", "name", "brand_id"],
-                       bucket=F.substring("fname", 1, 3), pos_col="rank")
+    ranked = positions(b, ["initial"], ["fname", "name", "brand_id"], pos_col="rank")
     return ranked.select("initial", "rank", "name")
 
 

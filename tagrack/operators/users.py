@@ -222,11 +222,9 @@ def user_closets(users: DataFrame, closets: DataFrame, closet_items: DataFrame,
              .join(catalog.image.select(F.col("image_id").alias("thumbnail_image_id"),
                                         F.col("url").alias("thumbnail_url")),
                    "thumbnail_image_id", "left"))
-    ranked_items = positions(items, ["closet_id"], ["name_key", "name", "base_item_id"],
-                             bucket=F.substring("name_key", 1, 3), pos_col="item_rank")
+    ranked_items = positions(items, ["closet_id"], ["name_key", "name", "base_item_id"], pos_col="item_rank")
     ranked_closets = positions(closets.select("closet_id", "site_user_id", "name"),
-                               ["site_user_id"], ["name", "closet_id"],
-                               bucket=F.substring("name", 1, 3), pos_col="closet_rank")
+                               ["site_user_id"], ["name", "closet_id"], pos_col="closet_rank")
     c = ranked_closets.join(ranked_items.select("closet_id", "item_rank",
                                                 F.col("name").alias("item_name"),
                                                 "brand_name", "thumbnail_url"),

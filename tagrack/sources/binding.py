@@ -87,10 +87,10 @@ class Binding:
 
     @cached_property
     def tag(self) -> DataFrame:
-        # tag_id = rank of the name in code-point order; numbered in buckets by
-        # the first two characters so no window spans the whole vocabulary.
+        # tag_id = rank of the name in code-point order (sort-based numbering,
+        # no single-task window over the vocabulary).
         names = self.tag_name.select("name").distinct()
-        ranked = positions(names, [], ["name"], bucket=F.substring("name", 1, 2), pos_col="tag_id")
+        ranked = positions(names, [], ["name"], pos_col="tag_id")
         # a small dimension read by many branches: written once
         return materialize(ranked.select(F.col("tag_id").cast("int"), "name")
                            .withColumn("name_key", name_key("name")))
