@@ -36,34 +36,65 @@ def searchable_names(catalog: Catalog) -> DataFrame:
             .withColumn("fname", fold("name")))
 
 
-def search_names(queries: DataFrame, catalog: Catalog,
-                 k: int = SEARCH_RESULTS_PER_KIND) -> DataFrame:
+def _grams(text):
+    """The 3-letter grams of a lower-cased string column (empty if shorter)."""
+    n = F.length(text)
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, 3))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def _pattern_grams(pats: DataFrame) -> DataFrame:
+    """(p, gram): grams of the literal runs of each pattern (between % and _)."""
+    runs = pats.select("p", F.explode(F.split(F.lower("p"), "[%_]")).alias("run"))
+    return runs.select("p", F.explode(_grams(F.col("run"))).alias("gram")).distinct()
+
+
+def _trigram_hits(pats: DataFrame, groups: DataFrame, cond) -> DataFrame:
+    """Exact matches without broadcasting either side: every literal run of a
+    pattern occurs in any name it matches, so names holding the pattern's
+    rarest gram are the candidates; candidates are then checked with ILIKE.
+    Both sides shuffle on the gram (AQE splits a hot gram)."""
+    name_grams = (groups.select("kind", "fname", F.explode(_grams(F.lower("fname"))).alias("gram"))
+                  .distinct())
+    freq = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = (_pattern_grams(pats).join(freq, "gram")
+              .groupBy("p").agg(F.min_by("gram", F.struct("_df", "gram")).alias("gram")))
+    cand = rarest.join(name_grams, "gram").select("p", "kind", "fname")
+    return cand.join(groups, ["kind", "fname"]).filter(cond)
+
+
+def search_names(queries: DataFrame, catalog: Catalog, k: int = SEARCH_RESULTS_PER_KIND,
+                 max_broadcast: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
     """U8: up to k names per (query, kind): prefix hits first, then folded name.
 
     Output (query_id, kind, rank, name). Duplicate names are kept; NULL input
     matches nothing, empty input matches everything.
 
     Plan: the theta join runs between *distinct* folded patterns and
-    *distinct* folded names per kind (many rows share them), with the pattern
-    side broadcast when its distinct count is under a checked bound (the name
-    side otherwise); each (pattern, kind) keeps k names (partial
-    WindowGroupLimit), names expand to their first k rows, and queries join
-    back on the pattern.
+    *distinct* folded names per kind (many rows share them). When the distinct
+    patterns fit a checked bound they are broadcast to a nested-loop join over
+    the names. Beyond it, patterns with a 3-letter literal run go through a
+    trigram index (equi-joins), and only the short ones (no such run, a small
+    set by nature, also bound-checked) are broadcast. Each (pattern, kind)
+    keeps k names (partial WindowGroupLimit), names expand to their first k
+    rows, and queries join back on the pattern.
     """
     qs = queries.filter(F.col("q").isNotNull()).select("query_id", fold("q").alias("p"))
     pats = qs.select("p").distinct()
     names = searchable_names(catalog)
     groups = names.groupBy("kind", "fname").agg(F.count(F.lit(1)).alias("_n"))
     cond = F.ilike(F.col("fname"), F.concat(F.lit("%"), F.col("p"), F.lit("%")))
-    small_pats = bounded(pats, MAX_BROADCAST_PATTERNS)
+    small_pats = bounded(pats, max_broadcast)
     if small_pats is not None:
         hits = groups.join(small_pats, cond)
     else:
-        small_groups = bounded(groups, MAX_BROADCAST_PATTERNS)
-        if small_groups is None:
-            raise ValueError("search: neither distinct patterns nor distinct names fit the "
-                             "broadcast bound")
-        hits = pats.join(small_groups, cond)
+        with_gram = _pattern_grams(pats).select("p").distinct()
+        short = pats.join(with_gram, "p", "left_anti")
+        small_short = bounded(short, MAX_BROADCAST_PATTERNS)
+        if small_short is None:
+            raise ValueError("search: too many distinct patterns without a 3-letter literal run")
+        hits = (_trigram_hits(pats.join(with_gram, "p", "left_semi"), groups, cond)
+                .unionByName(groups.join(small_short, cond).select("p", "kind", "fname", "_n")))
     flag = F.when(F.ilike(F.col("fname"), F.concat(F.col("p"), F.lit("%"))), 0).otherwise(1)
     hits = hits.withColumn("_prefix", flag)
     order = [F.col("_prefix").asc(), F.col("fname").asc()]

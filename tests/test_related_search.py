@@ -86,3 +86,17 @@ def test_brand_index(spark, cat):
     letters = rows(search.brand_index_letters(cat.brand), "letter_order", "initial", "n_brands")
     assert len(letters) == 27 and letters[0] == (0, "A", 1) and letters[-1] == (26, "#", 1)
     assert letters[1] == (1, "B", 0)
+
+
+def test_trigram_path_equals_broadcast_path(spark):
+    import __spark_entry__ as E
+    from tagrack.sources import requests as rq
+    from tagrack.sources.binding import Binding
+    b = Binding(spark, "/root/testdata/sf0.001")
+    qs = rq.search_requests(b.t).unionByName(
+        q(spark, (900001, "nosuchthing"), (900002, "bR%nd"), (900003, "a_c")))
+    cat = b.catalog()
+    via_broadcast = rows(search.search_names(qs, cat))
+    via_trigrams = rows(search.search_names(qs, cat, max_broadcast=0))
+    assert via_trigrams == via_broadcast and len(via_broadcast) > 100
+    assert E.queries()  # registry imports cleanly
