@@ -44,22 +44,25 @@ def run_ledger(spark: SparkSession, waves: list[DataFrame], sku: DataFrame,
     return ledger.drop("batch"), (rejects.drop("batch") if rejects is not None else None)
 
 
-def run_debounce(spark: SparkSession, log: DataFrame, gap: str, watermark: str,
+def run_debounce(spark: SparkSession, log: DataFrame | list[DataFrame], gap: str, watermark: str,
                  end_marker_user: int = -1) -> DataFrame:
-    """Land the log (plus one end-of-input marker far in the future, so the
-    watermark passes every burst), run the append-mode stream into a Parquet
-    sink, read the bursts back (marker removed)."""
+    """Land the log (one DataFrame, or waves landed and processed one after
+    another) and finally one end-of-input marker far in the future, so the
+    watermark passes every burst; run the append-mode stream into a Parquet
+    sink after each landing; read the bursts back (marker removed). Rows of a
+    later wave older than the watermark are dropped, as late data is."""
     root = scratch_path(spark, "debounce")
     src, out, ck = (os.path.join(root, d) for d in ("src", "out", "ck"))
     cols = ["user_id", "ts", "query"]
-    log.select(*cols).write.mode("append").parquet(src)
+    waves = [w.select(*cols) for w in (log if isinstance(log, list) else [log])]
     marker = spark.createDataFrame([(end_marker_user, "9999-12-31 00:00:00", "")],
                                    "user_id long, ts string, query string") \
         .select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "query")
-    marker.write.mode("append").parquet(src)
-    stream = spark.readStream.schema(log.select(*cols).schema).parquet(src)
-    _run(deb.debounce(stream, gap, watermark).writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", ck).outputMode("append"))
+    for wave in waves + [marker]:
+        wave.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(waves[0].schema).parquet(src)
+        _run(deb.debounce(stream, gap, watermark).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", ck).outputMode("append"))
     return spark.read.parquet(out).filter(F.col("user_id") != F.lit(end_marker_user))
 
 

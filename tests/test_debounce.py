@@ -23,3 +23,12 @@ def test_stream_equals_batch(spark):
     batch = rows(debounce.debounce(lg, "6 hours"))
     stream = rows(runner.run_debounce(spark, lg, "6 hours", "1 hour"))
     assert stream == batch and len(batch) == 3
+
+
+def test_late_rows_behind_the_watermark_are_dropped(spark):
+    first = log(spark, (1, "2024-01-01 00:00:00", "a"), (2, "2024-01-01 10:00:00", "b"))
+    late = log(spark, (1, "2024-01-01 00:00:30", "late"), (2, "2024-01-01 09:59:00", "ok"))
+    got = rows(runner.run_debounce(spark, [first, late], "1 minute", "30 minutes"),
+               "user_id", "last_query", "n_queries")
+    # watermark after wave 1 = 10:00 - 30 min: user 1's 00:00:30 row is late, user 2's 09:59 is not
+    assert got == [(1, "a", 1), (2, "b", 2)]
