@@ -29,3 +29,15 @@ class Tables:
         if name not in self._cache:
             self._cache[name] = self.spark.read.parquet(self.path(name))
         return self._cache[name]
+
+
+def read_parquet_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """Parquet at ``path`` (any file system Spark can reach), or None if nothing
+    has been written there yet."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise

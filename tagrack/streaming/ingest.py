@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..model import Catalog
 from ..operators import ingest
 from ..sources.feed import FEED_SCHEMA
+from ..sources.tables import read_parquet_if_present
 
 DELTAS = {
     "tag": ["tag_id", "name", "name_key"],
@@ -43,15 +44,15 @@ def read_state(spark: SparkSession, base: Catalog, out: str) -> tuple[Catalog, D
     """(catalogue = base + deltas so far, opening ledger rows, rejects)."""
     changes = {}
     for table, cols in DELTAS.items():
-        p = _delta_path(out, table)
         cur = getattr(base, table)
-        if os.path.exists(p):
-            cur = cur.unionByName(spark.read.parquet(p).select(*cols), allowMissingColumns=True)
+        written = read_parquet_if_present(spark, _delta_path(out, table))
+        if written is not None:
+            cur = cur.unionByName(written.select(*cols), allowMissingColumns=True)
         changes[table] = cur
     extra = {}
     for name in ("ledger", "rejects"):
-        p = _delta_path(out, name)
-        extra[name] = spark.read.parquet(p).drop("batch") if os.path.exists(p) else None
+        written = read_parquet_if_present(spark, _delta_path(out, name))
+        extra[name] = written.drop("batch") if written is not None else None
     return base.with_(**changes), extra["ledger"], extra["rejects"]
 
 

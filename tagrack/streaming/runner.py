@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.tables import read_parquet_if_present
 from . import debounce as deb
 from . import ingest as ing
 from . import ledger as led
@@ -39,8 +40,7 @@ def run_ledger(spark: SparkSession, waves: list[DataFrame], sku: DataFrame,
         _run(led.ledger_stream(stream, sku, order).writeStream
              .foreachBatch(led.write_ledger_batches(out)).option("checkpointLocation", ck))
     ledger = spark.read.parquet(os.path.join(out, "ledger"))
-    rejects_path = os.path.join(out, "rejects")
-    rejects = spark.read.parquet(rejects_path) if os.path.exists(rejects_path) else None
+    rejects = read_parquet_if_present(spark, os.path.join(out, "rejects"))
     return ledger.drop("batch"), (rejects.drop("batch") if rejects is not None else None)
 
 
