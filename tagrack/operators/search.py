@@ -13,6 +13,7 @@ from ..functions.ranking import positions, top_k
 from ..functions.text import fold
 from ..model import INDEX_LETTERS, SEARCH_RESULTS_PER_KIND, Catalog
 from ..plans.broadcast import bounded
+from ..plans.materialize import materialize
 
 # Largest number of distinct patterns (or distinct folded names) broadcast to
 # every task for the substring theta join.
@@ -80,7 +81,7 @@ def search_names(queries: DataFrame, catalog: Catalog, k: int = SEARCH_RESULTS_P
     rows, and queries join back on the pattern.
     """
     qs = queries.filter(F.col("q").isNotNull()).select("query_id", fold("q").alias("p"))
-    pats = qs.select("p").distinct()
+    pats = materialize(qs.select("p").distinct())  # size-checked, then joined: written once
     names = searchable_names(catalog)
     groups = names.groupBy("kind", "fname").agg(F.count(F.lit(1)).alias("_n"))
     cond = F.ilike(F.col("fname"), F.concat(F.lit("%"), F.col("p"), F.lit("%")))

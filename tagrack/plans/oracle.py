@@ -437,7 +437,9 @@ signup_req AS (
 register("register_users", with_binding(SIGNUPS, body=f"""
 SELECT seq, status,
        CASE WHEN status = 'ok' THEN (SELECT max(site_user_id) FROM site_user)
-            + row_number() OVER (PARTITION BY status = 'ok' ORDER BY seq) END AS site_user_id
+            + row_number() OVER (PARTITION BY status = 'ok' ORDER BY seq) END AS site_user_id,
+       CASE WHEN status = 'ok' THEN (SELECT max(closet_id) FROM closet)
+            + row_number() OVER (PARTITION BY status = 'ok' ORDER BY seq) END AS favorites_closet_id
   FROM (SELECT seq,
                CASE WHEN base IS NOT NULL THEN base
                     WHEN row_number() OVER (PARTITION BY base IS NULL, username ORDER BY seq) > 1

@@ -184,9 +184,15 @@ def _as_of():
 
 @query("register_users")
 def _register_users(spark, sf_dir):
+    """Statuses of the sign-ups plus the id of each new user's 'Favorites' closet."""
+    from pyspark.sql import functions as F
     b = Binding(spark, sf_dir)
-    _state, statuses = users.register_users(b.site_user, rq.signups(b.t))
-    return statuses
+    _users, closets, statuses = users.sign_up(b.site_user, b.closet, rq.signups(b.t), _as_of())
+    fav = (closets.filter(F.col("name") == "Favorites")
+           .join(statuses.select("site_user_id").filter(F.col("site_user_id").isNotNull()), "site_user_id")
+           .select("site_user_id", F.col("closet_id").alias("favorites_closet_id")))
+    return statuses.join(fav, "site_user_id", "left").select(
+        "seq", "status", "site_user_id", "favorites_closet_id")
 
 
 @query("open_sessions")
