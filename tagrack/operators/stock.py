@@ -80,7 +80,9 @@ def fold_stock_events(events: DataFrame, order: Sequence[str], bucket: Column,
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         + F.when(F.col("_bseg") == 0, F.col("_open")).otherwise(F.lit(0)))
     summ = summ.withColumn("_enter", F.coalesce(F.lag("_exit").over(w_i), F.col("_open")))
-    y = x.join(summ.select("item_id", "_b", "_enter"), ["item_id", "_b"])
+    enter = summ.select(F.col("item_id").alias("_ei"), F.col("_b").alias("_eb"), "_enter")
+    y = x.join(enter, (F.col("item_id") == F.col("_ei")) & F.col("_b").eqNullSafe(F.col("_eb"))) \
+        .drop("_ei", "_eb")  # a NULL bucket (missing date) is a bucket too
     run = F.col("_lrun") + F.when(F.col("_lseg") == 0, F.col("_enter")).otherwise(F.lit(0))
     y = y.withColumn("stock_after", run.cast("long"))
     prev = F.coalesce(F.lag("stock_after").over(w_b), F.col("_enter"))

@@ -93,3 +93,11 @@ def test_stream_equals_batch_across_waves(spark):
     valid = [e for e in ev if e[1] != "bogus"]
     assert got == replay(valid)[0]
     assert rows(rejects, "l_orderkey", "status") == [(7, "invalid_event")]
+
+
+def test_null_bucket_rows_are_kept(spark):
+    ev = [(1, "ship-in", 2, 1), (1, "audit", 5, 2), (1, "ship-out", 1, 3)]
+    df = spark.createDataFrame(ev, SCHEMA)
+    bucket = F.when(F.col("seq") == 1, F.lit(None)).otherwise(F.col("seq"))
+    got = rows(stock.fold_stock_events(df, ["seq"], bucket), "item_id", "seq", "stock_after", "delta_quantity")
+    assert got == replay(ev)[0]
