@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import EVENT_TYPES
+from ..plans.materialize import materialize
 
 # Event order inside one SKU for the driver-bound ledger (free of ties).
 BOUND_ORDER = ["transaction_date", "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -41,7 +42,7 @@ def signed_quantity() -> Column:
     return F.when(ev.isin("ship-out", "scrap"), -q).otherwise(q)
 
 
-def fold_stock_events(events: DataFrame, order: Sequence[str], bucket: Column,
+def fold_stock_events(events: DataFrame, order: Sequence[str], bucket: Column | None = None,
                       opening: DataFrame | None = None) -> DataFrame:
     """Add ``delta_quantity`` and ``stock_after`` to each valid event.
 
@@ -51,8 +52,17 @@ def fold_stock_events(events: DataFrame, order: Sequence[str], bucket: Column,
     add-value), a running fold over the summaries gives the stock entering
     each bucket, then each bucket replays its rows from there. ``opening``
     (item_id, stock_quantity) is the stock before the first event (else 0).
+
+    Without an explicit ``bucket`` the buckets are the partitions of one
+    range-partitioned sort on (item_id, order), written once: Spark samples
+    the keys, so a SKU with a third of all events spans many partitions and
+    no bucket exceeds a partition, whatever the skew.
     """
     is_audit = (F.col("transaction_event") == "audit").cast("int")
+    if bucket is None:
+        keys = [F.col("item_id").asc()] + [F.col(c).asc() for c in order]
+        events = materialize(events.orderBy(*keys).withColumn("_b", F.spark_partition_id()))
+        bucket = F.col("_b")
     x = events.withColumns({"_b": bucket, "_v": signed_quantity(), "_a": is_audit})
     o = [F.col(c).asc() for c in order]
     w_b = Window.partitionBy("item_id", "_b").orderBy(*o)
@@ -97,7 +107,8 @@ def stock_levels(ledger: DataFrame) -> DataFrame:
 
 
 def apply_stock_events(ledger: DataFrame, events: DataFrame, sku: DataFrame,
-                       order: Sequence[str], bucket: Column) -> tuple[DataFrame, DataFrame]:
+                       order: Sequence[str], bucket: Column | None = None
+                       ) -> tuple[DataFrame, DataFrame]:
     """Validate new events, fold the valid ones on top of the ledger's
     stock, append. Returns (new ledger, rejected events with status)."""
     checked = validate_stock_events(events, sku)

@@ -105,7 +105,7 @@ LEDGER_CUT = "1998-01-01"  # events before it form the existing ledger in apply_
 
 def _bound_fold(b: Binding, events=None, opening=None):
     ev = b.stock_event if events is None else events
-    return stock.fold_stock_events(ev, stock.BOUND_ORDER, stock.bound_bucket(), opening)
+    return stock.fold_stock_events(ev, stock.BOUND_ORDER, opening=opening)
 
 
 @query("fold_stock_events")
@@ -131,7 +131,7 @@ def _apply_stock_events(spark, sf_dir):
     cut = F.col("transaction_date") < F.lit(LEDGER_CUT).cast("timestamp_ntz")
     old = _bound_fold(b, b.stock_event.filter(cut))
     ledger, _rejects = stock.apply_stock_events(old, b.stock_event.filter(~cut), b.sku,
-                                                stock.BOUND_ORDER, stock.bound_bucket())
+                                                stock.BOUND_ORDER)
     return stock.stock_levels(ledger)
 
 

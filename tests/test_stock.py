@@ -101,3 +101,14 @@ def test_null_bucket_rows_are_kept(spark):
     bucket = F.when(F.col("seq") == 1, F.lit(None)).otherwise(F.col("seq"))
     got = rows(stock.fold_stock_events(df, ["seq"], bucket), "item_id", "seq", "stock_after", "delta_quantity")
     assert got == replay(ev)[0]
+
+
+def test_sort_buckets_with_a_hot_sku(spark):
+    import random
+    random.seed(3)
+    evs = [(1 if random.random() < 0.5 else random.randint(2, 6),
+            random.choice(["audit", "ship-in", "ship-out", "scrap"]), random.randint(0, 9), n)
+           for n in range(600)]
+    df = spark.createDataFrame(evs, SCHEMA).repartition(5)
+    got = rows(stock.fold_stock_events(df, ["seq"]), "item_id", "seq", "stock_after", "delta_quantity")
+    assert got == replay(evs)[0]
