@@ -21,6 +21,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # pandas deprecation notices from inside PySpark's Arrow serializer
+    "spark.executorEnv.PYTHONWARNINGS": "ignore::FutureWarning",
 }
 
 
