@@ -54,15 +54,21 @@ def resolve_items(requests: DataFrame, catalog: Catalog) -> DataFrame:
                     status.alias("status"))
 
 
-def item_images(catalog: Catalog) -> DataFrame:
-    """(base_item_id, n_images, image_urls) for every item; URLs in
-    image_id order joined by ',' ('' when none)."""
-    imgs = catalog.base_item_image.join(catalog.image, "image_id")
+def item_images(catalog: Catalog, items: DataFrame | None = None) -> DataFrame:
+    """(base_item_id, n_images, image_urls) for every item (or only those
+    in ``items``); URLs in image_id order joined by ',' ('' when none)."""
+    links = catalog.base_item_image
+    base = catalog.base_item.select("base_item_id")
+    if items is not None:
+        wanted = items.select("base_item_id").distinct()
+        links = links.join(wanted, "base_item_id", "left_semi")
+        base = base.join(wanted, "base_item_id", "left_semi")
+    imgs = links.join(catalog.image, "image_id")
     per_item = imgs.groupBy("base_item_id").agg(
         F.count(F.lit(1)).alias("n_images"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "url"))),
                                  lambda s: s["url"]), ",").alias("image_urls"))
-    return (catalog.base_item.select("base_item_id").join(per_item, "base_item_id", "left")
+    return (base.join(per_item, "base_item_id", "left")
             .select("base_item_id", F.coalesce("n_images", F.lit(0)).cast("long").alias("n_images"),
                     F.coalesce("image_urls", F.lit("")).alias("image_urls")))
 
@@ -91,9 +97,10 @@ def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame) -> Data
     NULL on error rows (missing_name, no_brand, missing)."""
     res = materialize(resolve_items(requests, catalog))
     ok = res.filter(F.col("status").isin("ok", "ambiguous"))
+    wanted = ok.select("base_item_id").distinct()   # only requested items are aggregated
     bi = catalog.base_item.select("base_item_id", "description", "rating")
-    imgs = item_images(catalog).select("base_item_id", "image_urls")
-    avail = size_availability(catalog.sku, stock)
+    imgs = item_images(catalog, wanted).select("base_item_id", "image_urls")
+    avail = size_availability(catalog.sku.join(wanted, "base_item_id", "left_semi"), stock)
     sizes = _listing(avail, "base_item_id", "relative_order",
                      F.concat("basic_size", F.lit(":"), F.col("in_stock").cast("string")))
     sizes = sizes.withColumnRenamed("_l", "sizes")

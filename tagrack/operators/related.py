@@ -106,8 +106,10 @@ def more_from_brand(seeds: DataFrame, catalog: Catalog, kmax: int | None = None)
     seed excludes -- so requests join a candidate list of bounded size.
     """
     kmax = max_k(seeds) if kmax is None else kmax
+    asked = seeds.select(name_key("brand_name").alias("brand_key")).distinct()
     items = catalog.base_item.select("base_item_id", "name", "name_key", "brand_id").join(
-        catalog.brand.select("brand_id", F.col("name_key").alias("brand_key")), "brand_id")
+        catalog.brand.select("brand_id", F.col("name_key").alias("brand_key"))
+        .join(asked, "brand_key", "left_semi"), "brand_id")  # only brands some seed names
     by_name = [F.col("name").asc_nulls_last(), F.col("base_item_id").asc()]
     per_name = top_k(items, ["brand_key", "name_key"], by_name, max(kmax, 1), rank_col="_rn").drop("_rn")
     first_names = top_k(per_name.select("brand_key", "name_key").distinct(), ["brand_key"],
