@@ -106,6 +106,21 @@ def open_sessions(sessions: DataFrame, opens: DataFrame) -> DataFrame:
                          (F.col("s.created_at") + F.expr(SESSION_LIFETIME)).alias("expires_at"))
 
 
+def sign_in(sessions: DataFrame, users: DataFrame, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """U31 from the sign-in side: logins (seq, email, session_token, created_at)
+    find the user by email (case-insensitive); unknown emails are rejected
+    (``unknown_email``; the password check itself is not table work). Known
+    logins open sessions, replacing the user's older one. Returns
+    (sessions, statuses (seq, status, site_user_id))."""
+    by_email = users.select(name_key("email").alias("_ek"), "site_user_id")
+    x = logins.withColumn("_ek", name_key("email")).join(by_email, "_ek", "left").drop("_ek")
+    status = F.when(F.col("site_user_id").isNull(), "unknown_email").otherwise("ok")
+    statuses = x.select("seq", status.alias("status"), "site_user_id")
+    opens = x.filter(F.col("site_user_id").isNotNull()).select(
+        F.col("seq").alias("session_id"), "site_user_id", "session_token", "created_at")
+    return open_sessions(sessions, opens), statuses
+
+
 def active_sessions(sessions: DataFrame, users: DataFrame, as_of) -> DataFrame:
     """U32: sessions with expires_at > as_of whose token occurs exactly once,
     with the user's profile: (session_token, site_user_id, username, email,

@@ -124,3 +124,16 @@ def test_closets(spark, cat):
     assert rows(st3) == [(1, "ok", 10), (2, "unknown_closet", None), (3, "unknown_user", None)]
     assert rows(ci2) == [(11, 2)]
     assert rows(users.closet_item_counts(c2, ci2)) == [(11, 1), (12, 0), (13, 0)]
+
+
+def test_sign_in_by_email(spark):
+    logins = spark.createDataFrame(
+        [(5, "ANN@x.io", "tA", "2024-01-03 00:00:00"), (6, "nobody@x.io", "tZ", "2024-01-03 00:00:00")],
+        "seq long, email string, session_token string, created_at string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    old = spark.createDataFrame([(1, 1, "t-old", "2024-01-01 00:00:00")],
+                                "session_id long, site_user_id long, session_token string, created_at string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    s, st = users.sign_in(old, users_df(spark), logins)
+    assert rows(st) == [(5, "ok", 1), (6, "unknown_email", None)]
+    assert rows(s, "site_user_id", "session_token") == [(1, "tA")]
