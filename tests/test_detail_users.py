@@ -108,12 +108,15 @@ def test_closets(spark, cat):
                         (4, "unknown_user", None), (5, "ok", 13)]
     add_items = spark.createDataFrame(
         [(1, "ann", "Fav", "coat", "ACME"), (2, "ann", "Fav", "hat", "zed"), (3, "ann", "Fav", "hat", "zed"),
-         (4, "ann", "nope", "hat", "zed"), (5, "zoe", "Fav", "hat", "zed"), (6, "bob", "Fav", "cap", "zed")],
+         (4, "ann", "nope", "hat", "zed"), (5, "zoe", "Fav", "hat", "zed"), (6, "bob", "Fav", "cap", "zed"),
+         (7, "ann", "fav", "COAT", "zed"), (8, "ann", "fav", "coat", "Zed")],
         "seq long, username string, closet_name string, base_item_name string, brand_name string")
     ci, st2 = users.add_items_to_closets(cl, items, u, cat, add_items, lit_ts("2024-01-01 00:00:00"))
     assert rows(st2, "seq", "status") == [(1, "already_present"), (2, "already_present"),
                                           (3, "already_present"), (4, "unknown_closet"),
-                                          (5, "unknown_user"), (6, "unknown_item")]
+                                          (5, "unknown_user"), (6, "unknown_item"), (7, "ok"),
+                                          (8, "already_present")]
+    assert rows(ci, "closet_id", "item_id") == [(10, 1), (10, 3), (11, 2), (12, 2)]
     listing = rows(users.user_closets(u, cl, items, cat), "username", "closet_rank", "closet_name",
                    "item_rank", "item_name")
     assert listing == [("ann", 1, "Fav", 1, "Coat"), ("ann", 1, "Fav", 2, "Hat"), ("ann", 2, "fav", None, None),
