@@ -14,6 +14,7 @@ from ..functions.text import name_key
 from ..model import DEFAULT_RELATED_K, Catalog, seed_sizes
 from ..plans.materialize import materialize
 from . import related
+from .stock import fold_stock_events, stock_levels
 
 
 def _keyed_items(catalog: Catalog) -> DataFrame:
@@ -90,17 +91,26 @@ def _listing(rows: DataFrame, key: str, order: str, text) -> DataFrame:
         .alias("_l"))
 
 
-def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame) -> DataFrame:
+def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame | None = None,
+                events: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """U16: one row per request with item_name (as requested), brand_name,
     description, rating, image_urls, sizes ('XS:true|S:false', size order),
     similar and more_from_brand (names by rank, k=4) and a status; fields stay
-    NULL on error rows (missing_name, no_brand, missing)."""
+    NULL on error rows (missing_name, no_brand, missing).
+
+    Stock comes either as levels (``stock``) or as raw ``events`` with their
+    ``order``; then only the requested items' SKUs are folded (a SKU's stock
+    depends on its own events alone)."""
     res = materialize(resolve_items(requests, catalog))
     ok = res.filter(F.col("status").isin("ok", "ambiguous"))
     wanted = ok.select("base_item_id").distinct()   # only requested items are aggregated
     bi = catalog.base_item.select("base_item_id", "description", "rating")
     imgs = item_images(catalog, wanted).select("base_item_id", "image_urls")
-    avail = size_availability(catalog.sku.join(wanted, "base_item_id", "left_semi"), stock)
+    skus = catalog.sku.join(wanted, "base_item_id", "left_semi")
+    if stock is None:
+        mine = events.join(skus.select("item_id"), "item_id", "left_semi")
+        stock = stock_levels(fold_stock_events(mine, order))
+    avail = size_availability(skus, stock)
     sizes = _listing(avail, "base_item_id", "relative_order",
                      F.concat("basic_size", F.lit(":"), F.col("in_stock").cast("string")))
     sizes = sizes.withColumnRenamed("_l", "sizes")

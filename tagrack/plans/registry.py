@@ -163,7 +163,7 @@ def _size_availability(spark, sf_dir):
 def _item_detail(spark, sf_dir):
     b = Binding(spark, sf_dir)
     return detail.item_detail(rq.detail_requests(b.t), b.catalog(),
-                              stock.stock_levels(_bound_fold(b)))
+                              events=b.stock_event, order=stock.BOUND_ORDER)
 
 
 @query("seed_sizes")
