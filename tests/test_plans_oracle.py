@@ -37,7 +37,7 @@ def test_top_k_plans_limit_before_the_shuffle(spark, name):
 
 
 def test_scans_are_pruned(spark):
-    text = plan_text(E.queries()["stock_levels"](spark, SF))
+    text = plan_text(E.queries()["validate_stock_events"](spark, SF))
     scan = [ln for ln in text.splitlines() if ln.strip().startswith("ReadSchema")]
     assert scan and all("l_tax" not in ln and "l_discount" not in ln for ln in scan)
 
