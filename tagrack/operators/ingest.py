@@ -75,8 +75,7 @@ def insert_if_absent(dim: DataFrame, id_col: str, names: DataFrame, order: list[
     new = first.join(dim.select("name_key"), "name_key", "left_anti")
     base = _max_id(dim, id_col)
     numbered = positions(new, [], ["name_key"], pos_col="_p")
-    new_rows = materialize(numbered.select((F.lit(base) + F.col("_p")).cast("int").alias(id_col),
-                                           "name", "name_key"))
+    new_rows = numbered.select((F.lit(base) + F.col("_p")).cast("int").alias(id_col), "name", "name_key")
     return dim.unionByName(new_rows.select(*dim.columns)), new_rows
 
 
@@ -117,16 +116,15 @@ def add_base_items(catalog: Catalog, items: DataFrame) -> tuple[DataFrame, DataF
     rejects = x.filter(F.col("_code").isNotNull()).select(
         F.lit("base_item").alias("stage"), "feed_item_id",
         F.col("rating_raw").cast("string").alias("detail"), F.col("_code").alias("code"))
-    ok = materialize(x.filter(F.col("_code").isNull()).drop("_code"))
+    ok = x.filter(F.col("_code").isNull()).drop("_code")
     # images: thumbnails and image lists of accepted items, inserted if absent
     urls = (ok.select(F.explode(F.array_union(
                 F.when(F.col("thumbnail_image").isNull(), F.array().cast("array<string>"))
                 .otherwise(F.array("thumbnail_image")), F.col("images"))).alias("url"))
             .distinct().join(catalog.image.select("url"), "url", "left_anti"))
     img_base = _max_id(catalog.image, "image_id")
-    new_images = materialize(
-        positions(urls, [], ["url"], pos_col="_p")
-        .select((F.lit(img_base) + F.col("_p")).cast("long").alias("image_id"), "url"))
+    new_images = (positions(urls, [], ["url"], pos_col="_p")
+                  .select((F.lit(img_base) + F.col("_p")).cast("long").alias("image_id"), "url"))
     all_images = catalog.image.select("image_id", "url").unionByName(new_images)
     brands = catalog.brand.select("brand_id", F.col("name_key").alias("_vk"))
     base = _max_id(catalog.base_item, "base_item_id")
@@ -161,9 +159,8 @@ def add_skus(catalog: Catalog, new_items: DataFrame, items: DataFrame) -> tuple[
     ok = x.filter(F.col("_code").isNull())
     base = _max_id(catalog.sku, "item_id")
     numbered = positions(ok, [], ["base_item_id", "relative_order"], pos_col="_p")
-    skus = materialize(numbered.select((F.lit(base) + F.col("_p")).cast("long").alias("item_id"),
-                                       "base_item_id", F.col("size").alias("basic_size"),
-                                       "feed_item_id", "count"))
+    skus = numbered.select((F.lit(base) + F.col("_p")).cast("long").alias("item_id"),
+                           "base_item_id", F.col("size").alias("basic_size"), "feed_item_id", "count")
     return skus, rejects
 
 
@@ -180,8 +177,8 @@ def ingest_feed(catalog: Catalog, docs: DataFrame) -> IngestResult:
     """The whole feed at once: tags and vendors upserted, items added
     with images and tags, SKUs per size, opening audits; all failures in
     ``rejects`` (stage, feed_item_id, detail, code). The parsed documents
-    and each step's new rows are written once (checkpoint) and read by the
-    later steps."""
+    and the numbered new rows are written once (checkpoints inside
+    ``positions``) and read by the later steps."""
     docs = materialize(docs)
     tag_names = feed_tag_names(docs).select(F.col("website_text").alias("name"), "page", "ord")
     tag_dim, _new_tags = insert_if_absent(catalog.tag, "tag_id", tag_names, ["page", "ord"])
