@@ -54,7 +54,7 @@ def register_users(users: DataFrame, signups: DataFrame, max_rounds: int = 50
     accepted_parts = []
     for _ in range(max_rounds):
         pending = pending.checkpoint()
-        if pending.limit(1).count() == 0:
+        if pending.isEmpty():
             break
         first_u = pending.groupBy("username").agg(F.min("seq").alias("seq"))
         first_e = pending.groupBy("email_key").agg(F.min("seq").alias("seq"))
@@ -69,7 +69,8 @@ def register_users(users: DataFrame, signups: DataFrame, max_rounds: int = 50
         pending = rest.join(lose, "seq", "left_anti")
     else:
         raise RuntimeError("register_users: signups not settled within max_rounds")
-    accepted = req.join(_union(accepted_parts, req.select("seq").limit(0)), "seq", "left_semi")
+    accepted = (req.join(_union(accepted_parts), "seq", "left_semi") if accepted_parts
+                else req.filter(F.lit(False)))
     new_users = _next_ids(accepted, "site_user_id", users, "site_user_id").select(
         "site_user_id", "first_name", "last_name", "username", "email",
         F.lit(False).alias("is_staff"), F.lit(False).alias("is_admin"), "seq")
@@ -78,9 +79,9 @@ def register_users(users: DataFrame, signups: DataFrame, max_rounds: int = 50
     return users.unionByName(new_users.drop("seq"), allowMissingColumns=True), statuses
 
 
-def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    out = empty
-    for p in parts:
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
@@ -93,12 +94,15 @@ def default_closets(new_users: DataFrame, closets: DataFrame, as_of) -> DataFram
         F.lit(as_of).alias("created_at"))
 
 
-def open_sessions(sessions: DataFrame, opens: DataFrame) -> DataFrame:
+def open_sessions(sessions: DataFrame | None, opens: DataFrame) -> DataFrame:
     """A user keeps only the newest session (created_at, then session_id);
-    expires_at = created_at + 1 day. A per-user max_by aggregate: combined
-    map-side, so a user with very many logins is never one task's load."""
-    both = (sessions.select("session_id", "site_user_id", "session_token", "created_at")
-            .unionByName(opens.select("session_id", "site_user_id", "session_token", "created_at")))
+    expires_at = created_at + 1 day. ``sessions`` is the current table (None
+    when there is none yet). A per-user max_by aggregate: combined map-side,
+    so a user with very many logins is never one task's load."""
+    cols = ["session_id", "site_user_id", "session_token", "created_at"]
+    both = opens.select(*cols)
+    if sessions is not None:
+        both = sessions.select(*cols).unionByName(both)
     latest = both.groupBy("site_user_id").agg(
         F.max_by(F.struct("session_id", "session_token", "created_at"),
                  F.struct("created_at", "session_id")).alias("s"))

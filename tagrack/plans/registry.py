@@ -198,20 +198,20 @@ def _register_users(spark, sf_dir):
 @query("open_sessions")
 def _open_sessions(spark, sf_dir):
     b = Binding(spark, sf_dir)
-    return users.open_sessions(b.session_open.limit(0), b.session_open)
+    return users.open_sessions(None, b.session_open)
 
 
 @query("active_sessions")
 def _active_sessions(spark, sf_dir):
     b = Binding(spark, sf_dir)
-    s = users.open_sessions(b.session_open.limit(0), b.session_open)
+    s = users.open_sessions(None, b.session_open)
     return users.active_sessions(s, b.site_user, _as_of())
 
 
 @query("close_sessions")
 def _close_sessions(spark, sf_dir):
     b = Binding(spark, sf_dir)
-    s = users.open_sessions(b.session_open.limit(0), b.session_open)
+    s = users.open_sessions(None, b.session_open)
     return users.close_sessions(s, rq.session_closes(b.t))
 
 
