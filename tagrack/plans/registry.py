@@ -29,74 +29,74 @@ def query(name: str):
 # -- browse (U1-U4, D5) -------------------------------------------------------
 @query("resolve_tags")
 def _resolve_tags(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return browse.resolve_tags(rq.browse_requests(b.t), b.tag).select("request_id", "n_in", "n_found")
 
 
 @query("match_all_tags")
 def _match_all_tags(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return browse.match_all_tags(rq.browse_requests(b.t), b.catalog())
 
 
 @query("browse_page")
 def _browse_page(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return browse.browse_page(rq.browse_requests(b.t), b.catalog())
 
 
 @query("browse_totals")
 def _browse_totals(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return browse.browse_totals(rq.browse_requests(b.t), b.catalog())
 
 
 @query("browse_requests")
 def _browse_requests(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return browse.validate_http_browse(rq.http_browse_requests(b.t))
 
 
 # -- related items (U5-U7) -------------------------------------------------------
 @query("similar_items")
 def _similar_items(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return related.similar_items(rq.seed_requests(b.t), b.catalog())
 
 
 @query("more_from_brand")
 def _more_from_brand(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return related.more_from_brand(rq.seed_requests(b.t), b.catalog())
 
 
 @query("more_like")
 def _more_like(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return related.more_like(rq.seed_requests(b.t), b.catalog())
 
 
 # -- search and brand index (U8-U11) ---------------------------------------------
 @query("search_names")
 def _search_names(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return search.search_names(rq.search_requests(b.t), b.catalog())
 
 
 @query("normalize_queries")
 def _normalize_queries(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return search.normalize_queries(rq.search_requests(b.t))
 
 
 @query("brand_index")
 def _brand_index(spark, sf_dir):
-    return search.brand_index(Binding(spark, sf_dir).brand)
+    return search.brand_index(Binding.of(spark, sf_dir).brand)
 
 
 @query("brand_index_letters")
 def _brand_index_letters(spark, sf_dir):
-    return search.brand_index_letters(Binding(spark, sf_dir).brand)
+    return search.brand_index_letters(Binding.of(spark, sf_dir).brand)
 
 
 # -- stock ledger (U17-U20) ------------------------------------------------------
@@ -110,24 +110,24 @@ def _bound_fold(b: Binding, events=None, opening=None):
 
 @query("fold_stock_events")
 def _fold_stock_events(spark, sf_dir):
-    return _bound_fold(Binding(spark, sf_dir))
+    return _bound_fold(Binding.of(spark, sf_dir))
 
 
 @query("stock_levels")
 def _stock_levels(spark, sf_dir):
-    return stock.stock_levels(_bound_fold(Binding(spark, sf_dir)))
+    return stock.stock_levels(_bound_fold(Binding.of(spark, sf_dir)))
 
 
 @query("validate_stock_events")
 def _validate_stock_events(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return stock.validate_stock_events(b.stock_event, b.sku)
 
 
 @query("apply_stock_events")
 def _apply_stock_events(spark, sf_dir):
     from pyspark.sql import functions as F
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     cut = F.col("transaction_date") < F.lit(LEDGER_CUT).cast("timestamp_ntz")
     old = _bound_fold(b, b.stock_event.filter(cut))
     ledger, _rejects = stock.apply_stock_events(old, b.stock_event.filter(~cut), b.sku,
@@ -138,30 +138,30 @@ def _apply_stock_events(spark, sf_dir):
 # -- item detail (U12-U16), size rank (D4 / U40) ---------------------------------
 @query("infer_brand")
 def _infer_brand(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return detail.infer_brand(rq.detail_requests(b.t), b.catalog())
 
 
 @query("resolve_items")
 def _resolve_items(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return detail.resolve_items(rq.detail_requests(b.t), b.catalog())
 
 
 @query("item_images")
 def _item_images(spark, sf_dir):
-    return detail.item_images(Binding(spark, sf_dir).catalog())
+    return detail.item_images(Binding.of(spark, sf_dir).catalog())
 
 
 @query("size_availability")
 def _size_availability(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return detail.size_availability(b.sku, stock.stock_levels(_bound_fold(b)))
 
 
 @query("item_detail")
 def _item_detail(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return detail.item_detail(rq.detail_requests(b.t), b.catalog(),
                               events=b.stock_event, order=stock.BOUND_ORDER)
 
@@ -169,7 +169,7 @@ def _item_detail(spark, sf_dir):
 @query("seed_sizes")
 def _seed_sizes(spark, sf_dir):
     from pyspark.sql import functions as F
-    sku = Binding(spark, sf_dir).sku
+    sku = Binding.of(spark, sf_dir).sku
     return sku.select("item_id", "basic_size", size_rank(F.col("basic_size")).alias("relative_order"))
 
 
@@ -186,7 +186,7 @@ def _as_of():
 def _register_users(spark, sf_dir):
     """Statuses of the sign-ups plus the id of each new user's 'Favorites' closet."""
     from pyspark.sql import functions as F
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     _users, closets, statuses = users.sign_up(b.site_user, b.closet, rq.signups(b.t), _as_of())
     fav = (closets.filter(F.col("name") == "Favorites")
            .join(statuses.select("site_user_id").filter(F.col("site_user_id").isNotNull()), "site_user_id")
@@ -197,34 +197,34 @@ def _register_users(spark, sf_dir):
 
 @query("open_sessions")
 def _open_sessions(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return users.open_sessions(None, b.session_open)
 
 
 @query("active_sessions")
 def _active_sessions(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     s = users.open_sessions(None, b.session_open)
     return users.active_sessions(s, b.site_user, _as_of())
 
 
 @query("close_sessions")
 def _close_sessions(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     s = users.open_sessions(None, b.session_open)
     return users.close_sessions(s, rq.session_closes(b.t))
 
 
 @query("add_closets")
 def _add_closets(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     _state, statuses = users.add_closets(b.closet, b.site_user, rq.closet_adds(b.t), _as_of())
     return statuses
 
 
 @query("remove_closets")
 def _remove_closets(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     _c, _ci, statuses = users.remove_closets(b.closet, b.closet_item, b.site_user,
                                              rq.closet_removes(b.t))
     return statuses
@@ -232,7 +232,7 @@ def _remove_closets(spark, sf_dir):
 
 @query("add_items_to_closets")
 def _add_items_to_closets(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     _state, statuses = users.add_items_to_closets(b.closet, b.closet_item, b.site_user, b.catalog(),
                                                   rq.closet_item_adds(b.t), _as_of())
     return statuses
@@ -240,32 +240,32 @@ def _add_items_to_closets(spark, sf_dir):
 
 @query("user_closets")
 def _user_closets(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return users.user_closets(b.site_user, b.closet, b.closet_item, b.catalog())
 
 
 @query("closet_item_counts")
 def _closet_item_counts(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return users.closet_item_counts(b.closet, b.closet_item)
 
 
 # -- integrity, summaries (U39, D1, D3) ------------------------------------------
 @query("delete_base_items")
 def _delete_base_items(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     _cat, status = integrity.delete_base_items(b.catalog(), b.stock_event, rq.delete_requests(b.t))
     return status
 
 
 @query("rating_buckets")
 def _rating_buckets(spark, sf_dir):
-    return summaries.rating_buckets(Binding(spark, sf_dir).base_item)
+    return summaries.rating_buckets(Binding.of(spark, sf_dir).base_item)
 
 
 @query("users_by_role")
 def _users_by_role(spark, sf_dir):
-    return summaries.users_by_role(Binding(spark, sf_dir).site_user)
+    return summaries.users_by_role(Binding.of(spark, sf_dir).site_user)
 
 
 # -- feed ingest (U21-U29, D2) ----------------------------------------------------
@@ -274,19 +274,19 @@ def _feed_docs(b: Binding):
 
 
 def _ingest(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return b, ingest.ingest_feed(b.catalog(), _feed_docs(b))
 
 
 @query("parse_feed")
 def _parse_feed(spark, sf_dir):
-    return ingest.parse_feed(_feed_docs(Binding(spark, sf_dir)))
+    return ingest.parse_feed(_feed_docs(Binding.of(spark, sf_dir)))
 
 
 @query("insert_if_absent")
 def _insert_if_absent(spark, sf_dir):
     from pyspark.sql import functions as F
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     docs = _feed_docs(b)
     tags = ingest.feed_tag_names(docs).select(F.col("website_text").alias("name"), "page", "ord")
     _t, new_tags = ingest.insert_if_absent(b.tag, "tag_id", tags, ["page", "ord"])
@@ -298,7 +298,7 @@ def _insert_if_absent(spark, sf_dir):
 
 @query("feed_item_tags")
 def _feed_item_tags(spark, sf_dir):
-    return ingest.feed_item_tags(_feed_docs(Binding(spark, sf_dir)))
+    return ingest.feed_item_tags(_feed_docs(Binding.of(spark, sf_dir)))
 
 
 @query("add_base_items")
@@ -335,7 +335,7 @@ def _ingest_feed(spark, sf_dir):
 
 @query("feed_image_urls")
 def _feed_image_urls(spark, sf_dir):
-    return ingest.feed_image_urls(_feed_docs(Binding(spark, sf_dir)))
+    return ingest.feed_image_urls(_feed_docs(Binding.of(spark, sf_dir)))
 
 
 # -- streams (S1-S3): run to completion, read the sink back ------------------------
@@ -347,7 +347,7 @@ DEBOUNCE_WATERMARK = "1 hour"
 def _stream_stock_ledger(spark, sf_dir):
     from pyspark.sql import functions as F
     from ..streaming import runner
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     cut = F.col("transaction_date") < F.lit(LEDGER_CUT).cast("timestamp_ntz")
     waves = [b.stock_event.filter(cut), b.stock_event.filter(~cut)]
     ledger, _rejects = runner.run_ledger(spark, waves, b.sku, stock.BOUND_ORDER)
@@ -357,21 +357,21 @@ def _stream_stock_ledger(spark, sf_dir):
 @query("stream_search_debounce")
 def _stream_search_debounce(spark, sf_dir):
     from ..streaming import runner
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     return runner.run_debounce(spark, b.search_log, DEBOUNCE_GAP, DEBOUNCE_WATERMARK)
 
 
 @query("search_debounce")
 def _search_debounce(spark, sf_dir):
     from ..streaming import debounce
-    return debounce.debounce(Binding(spark, sf_dir).search_log, DEBOUNCE_GAP)
+    return debounce.debounce(Binding.of(spark, sf_dir).search_log, DEBOUNCE_GAP)
 
 
 @query("stream_ingest")
 def _stream_ingest(spark, sf_dir):
     from pyspark.sql import functions as F
     from ..streaming import runner
-    b = Binding(spark, sf_dir)
+    b = Binding.of(spark, sf_dir)
     raw = feed.feed_from_part(b.t, b.tag)
     half = raw.agg(F.percentile_approx("page_id", 0.5)).first()[0]
     waves = [raw.filter(F.col("page_id") <= half), raw.filter(F.col("page_id") > half)]
