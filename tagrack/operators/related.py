@@ -61,15 +61,32 @@ def _display(rows: DataFrame, catalog: Catalog) -> DataFrame:
             .join(im, "thumbnail_image_id", "left"))
 
 
-def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None) -> DataFrame:
+# Tags held by more distinct signatures than this are "hot" (see similar_items).
+HOT_TAG_SIGNATURES = 10_000
+
+
+def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None,
+                  hot_threshold: int = HOT_TAG_SIGNATURES) -> DataFrame:
     """Top-k items sharing the most tags with each seed (seed excluded).
 
     Output (request_id, rank, item_name, brand_name, thumbnail_url, shared_tag_count).
-    Plan: score distinct (seed signature, candidate signature) pairs through
-    the tag bridge; keep the first kmax+1 items of each candidate signature by
-    name (partial WindowGroupLimit); merge them per seed signature; then each
-    seed drops itself and keeps k. Work grows with distinct signatures and k,
-    not with seeds x items.
+
+    Exact, without pairing items: items with equal tag sets form one
+    signature, and each signature offers only its first kmax+1 items by name
+    (equal score inside it). Tags split by how many signatures hold them:
+
+    * cold tags: (seed signature, candidate signature) pairs through the tag
+      bridge; a pair's exact score is the size of the two tag sets' overlap;
+    * hot tags (more than ``hot_threshold`` signatures; few by construction):
+      candidates are grouped by their *hot projection* (the hot tags they
+      hold); a group's first kmax+1 items by name score at least |seed's hot
+      tags & projection|.
+
+    An item's score is the max over both paths: exact, because an item
+    sharing a cold tag has its exact score from the cold path, and an item
+    left out of its projection group has kmax+1 items ahead of it in that
+    group that score at least as much. Per seed signature kmax+1 candidates
+    survive (partial WindowGroupLimit); each seed then drops itself, keeps k.
     """
     kmax = max_k(seeds) if kmax is None else kmax
     keep = kmax + 1
@@ -77,19 +94,42 @@ def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None) -
     sigs = materialize(item_signatures(catalog))
     seed_sig = materialize(resolved.join(sigs.withColumnRenamed("base_item_id", "seed_id"), "seed_id")
                            .withColumnRenamed("sig", "a"))
+    names = catalog.base_item.select("base_item_id", "name", "name_key")
+    by_name = [F.col("name_key").asc_nulls_last(), F.col("name").asc_nulls_last(),
+               F.col("base_item_id").asc()]
+    order = [F.col("shared_tag_count").desc()] + by_name
+
     a_tags = (seed_sig.select("a").distinct()
               .select("a", F.explode(F.split("a", ",")).alias("tag")))
     b_tags = (sigs.select(F.col("sig").alias("b")).distinct()
               .select("b", F.explode(F.split("b", ",")).alias("tag")))
-    scores = (a_tags.join(b_tags, "tag").groupBy("a", "b")
-              .agg(F.count(F.lit(1)).cast("int").alias("shared_tag_count")))
-    names = catalog.base_item.select("base_item_id", "name", "name_key")
-    by_name = [F.col("name_key").asc_nulls_last(), F.col("name").asc_nulls_last(),
-               F.col("base_item_id").asc()]
+    hot = b_tags.groupBy("tag").agg(F.count(F.lit(1)).alias("_df")) \
+        .filter(F.col("_df") > hot_threshold).select("tag")
+
+    # cold path: pairs through cold tags, exact overlap size
+    pairs = (a_tags.join(hot, "tag", "left_anti")
+             .join(b_tags.join(hot, "tag", "left_anti"), "tag")
+             .select("a", "b").distinct()
+             .withColumn("shared_tag_count",
+                         F.size(F.array_intersect(F.split("a", ","), F.split("b", ","))).cast("int")))
     b_top = top_k(sigs.withColumnRenamed("sig", "b").join(names, "base_item_id"),
                   ["b"], by_name, keep, rank_col="_rb").drop("_rb")
-    order = [F.col("shared_tag_count").desc()] + by_name
-    a_top = top_k(scores.join(b_top, "b"), ["a"], order, keep, rank_col="_ra").drop("_ra")
+    cold = pairs.join(b_top, "b").select("a", "base_item_id", "name", "name_key", "shared_tag_count")
+
+    # hot path: candidates grouped by the hot tags they hold
+    proj = (b_tags.join(hot, "tag", "left_semi").groupBy("b")
+            .agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("hp")))
+    p_top = top_k(sigs.withColumnRenamed("sig", "b").join(proj, "b").join(names, "base_item_id"),
+                  ["hp"], by_name, keep, rank_col="_rp").drop("_rp", "b")
+    p_tags = proj.select("hp").distinct().select("hp", F.explode(F.split("hp", ",")).alias("tag"))
+    hot_scores = (a_tags.join(hot, "tag", "left_semi").join(p_tags, "tag")
+                  .groupBy("a", "hp").agg(F.count(F.lit(1)).cast("int").alias("shared_tag_count")))
+    warm = hot_scores.join(p_top, "hp").select("a", "base_item_id", "name", "name_key", "shared_tag_count")
+
+    merged = (cold.unionByName(warm)
+              .groupBy("a", "base_item_id", "name", "name_key")
+              .agg(F.max("shared_tag_count").alias("shared_tag_count")))
+    a_top = top_k(merged, ["a"], order, keep, rank_col="_ra").drop("_ra")
     per_seed = (seed_sig.select("request_id", "k", "seed_id", "a").join(a_top, "a")
                 .filter(F.col("base_item_id") != F.col("seed_id")))
     ranked = top_k(per_seed, ["request_id"], order, F.col("k"))

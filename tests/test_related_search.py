@@ -100,3 +100,18 @@ def test_trigram_path_equals_broadcast_path(spark):
     via_trigrams = rows(search.search_names(qs, cat, max_broadcast=0))
     assert via_trigrams == via_broadcast and len(via_broadcast) > 100
     assert E.queries()  # registry imports cleanly
+
+
+def test_similar_hot_tag_split_is_exact(spark):
+    import __spark_entry__ as E
+    from oracle_harness import compare, duck
+    from tagrack.operators import related as rel
+    from tagrack.sources import requests as rq
+    from tagrack.sources.binding import Binding
+    sf = "/root/testdata/sf0.001"
+    b = Binding(spark, sf)
+    con = duck(sf)
+    for threshold in (0, 3, 15, 10_000):   # all hot, some hot, few hot, none hot
+        df = rel.similar_items(rq.seed_requests(b.t), b.catalog(), hot_threshold=threshold)
+        ok, msg = compare(df, con, E.oracle_sql()["similar_items"])
+        assert ok, (threshold, msg)
