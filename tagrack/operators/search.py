@@ -132,7 +132,8 @@ def brand_index_letters(brand: DataFrame) -> DataFrame:
                                     "letter_order int, initial string")
     counts = (brand.select(_initial(fold("name")).alias("initial"))
               .groupBy("initial").agg(F.count(F.lit(1)).alias("n_brands")))
-    # the letter table is a fixed 27 rows: a bounded broadcast
-    return (counts.join(F.broadcast(letters), "initial", "right")
+    # 27 fixed letters keep their rows; counts has one row per initial that
+    # occurs (bounded by the alphabet), so AQE broadcasts it at runtime
+    return (letters.join(counts, "initial", "left")
             .select("letter_order", "initial",
                     F.coalesce("n_brands", F.lit(0)).cast("long").alias("n_brands")))
