@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 from ..functions.ranking import positions
 from ..functions.text import name_key
 from ..model import DEFAULT_CLOSET, EMAIL_REGEX, SESSION_LIFETIME, Catalog
+from ..plans.materialize import materialize
 
 
 def _next_ids(rows: DataFrame, id_col: str, existing: DataFrame, existing_id: str,
               order: str = "seq") -> DataFrame:
-    """Give new rows ids max(existing)+1.. in ``order``, numbered in buckets
-    (never in one task); the current max is one scalar aggregate."""
+    """Give new rows ids max(existing)+1.. in ``order``, numbered by a
+    range-partitioned sort (never in one task); the current max is one
+    scalar aggregate."""
     top = existing.agg(F.max(existing_id)).first()[0]
     numbered = positions(rows, [], [order], pos_col="_pos")
     return numbered.withColumn(id_col, (F.lit(int(top or 0)) + F.col("_pos")).cast("long")).drop("_pos")
 
 
-def register_users(users: DataFrame, signups: DataFrame, max_rounds: int = 50
+def register_users(users: DataFrame, signups: DataFrame, max_rounds: int = 200
                    ) -> tuple[DataFrame, DataFrame]:
     """Bulk sign-up in ``seq`` order.
 
@@ -53,13 +55,13 @@ def register_users(users: DataFrame, signups: DataFrame, max_rounds: int = 50
     pending = x.filter(F.col("status").isNull()).select("seq", "username", "email_key")
     accepted_parts = []
     for _ in range(max_rounds):
-        pending = pending.checkpoint()
+        pending = materialize(pending)
         if pending.isEmpty():
             break
         first_u = pending.groupBy("username").agg(F.min("seq").alias("seq"))
         first_e = pending.groupBy("email_key").agg(F.min("seq").alias("seq"))
-        win = (pending.join(first_u.select("seq"), "seq", "left_semi")
-               .join(first_e.select("seq"), "seq", "left_semi")).checkpoint()
+        win = materialize(pending.join(first_u.select("seq"), "seq", "left_semi")
+                          .join(first_e.select("seq"), "seq", "left_semi"))
         accepted_parts.append(win.select("seq"))
         rest = pending.join(win.select("seq"), "seq", "left_anti")
         lose = (rest.join(win.select("username"), "username", "left_semi")
