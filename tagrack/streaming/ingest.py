@@ -40,27 +40,34 @@ def _delta_path(out: str, table: str) -> str:
     return os.path.join(out, table)
 
 
-def read_state(spark: SparkSession, base: Catalog, out: str) -> tuple[Catalog, DataFrame | None, DataFrame | None]:
-    """(catalogue = base + deltas so far, opening ledger rows, rejects)."""
+def read_state(spark: SparkSession, base: Catalog, out: str, before_batch: int | None = None
+               ) -> tuple[Catalog, DataFrame | None, DataFrame | None]:
+    """(catalogue = base + deltas so far, opening ledger rows, rejects).
+
+    With ``before_batch`` only deltas of earlier batches count: a batch that
+    is retried after a failure never sees what its own failed attempt wrote.
+    """
+    def delta(name: str) -> DataFrame | None:
+        written = read_parquet_if_present(spark, _delta_path(out, name))
+        if written is not None and before_batch is not None:
+            written = written.filter(F.col("batch") < F.lit(before_batch))
+        return written.drop("batch") if written is not None else None
+
     changes = {}
     for table, cols in DELTAS.items():
         cur = getattr(base, table)
-        written = read_parquet_if_present(spark, _delta_path(out, table))
+        written = delta(table)
         if written is not None:
             cur = cur.unionByName(written.select(*cols), allowMissingColumns=True)
         changes[table] = cur
-    extra = {}
-    for name in ("ledger", "rejects"):
-        written = read_parquet_if_present(spark, _delta_path(out, name))
-        extra[name] = written.drop("batch") if written is not None else None
-    return base.with_(**changes), extra["ledger"], extra["rejects"]
+    return base.with_(**changes), delta("ledger"), delta("rejects")
 
 
 def ingest_batches(base: Catalog, out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         docs = batch.persist()
-        cat, _l, _r = read_state(spark, base, out)
+        cat, _l, _r = read_state(spark, base, out, before_batch=batch_id)
         res = ingest.ingest_feed(cat, docs)
         part = f"batch={batch_id}"
         new = res.catalog

@@ -90,3 +90,17 @@ def test_feed_files_and_urls(spark, docs):
     urls = rows(ingest.feed_image_urls(docs))
     assert urls == [("https://images.example.com/products/a.jpg?profile=a",),
                     ("https://images.example.com/products/b.jpg?profile=a",)]
+
+
+def test_stream_batch_retry_is_idempotent(spark, cat, docs):
+    from tagrack.session import scratch_path
+    from tagrack.streaming import ingest as sing
+    out = scratch_path(spark, "ingest-retry")
+    write = sing.ingest_batches(cat, out)
+    write(docs, 0)
+    first = rows(sing.read_state(spark, cat, out)[0].base_item, "base_item_id", "name")
+    write(docs, 0)        # the same micro-batch again, as after a lost executor
+    again = rows(sing.read_state(spark, cat, out)[0].base_item, "base_item_id", "name")
+    assert again == first and len(first) == 3
+    write(docs, 1)        # the next batch continues the ids
+    assert [r[0] for r in rows(sing.read_state(spark, cat, out)[0].base_item, "base_item_id")] == [1, 2, 3, 4, 5]
