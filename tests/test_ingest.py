@@ -104,3 +104,12 @@ def test_stream_batch_retry_is_idempotent(spark, cat, docs):
     assert again == first and len(first) == 3
     write(docs, 1)        # the next batch continues the ids
     assert [r[0] for r in rows(sing.read_state(spark, cat, out)[0].base_item, "base_item_id")] == [1, 2, 3, 4, 5]
+
+
+def test_feed_text_sink_and_source_roundtrip(spark, docs):
+    from tagrack.session import scratch_path
+    raw = spark.createDataFrame([(json.dumps(d),) for d in DOCS], "raw string")
+    path = scratch_path(spark, "feed-files")
+    feed.write_feed(raw, path)
+    back = feed.parse_documents(feed.read_feed_text(spark, path))
+    assert rows(ingest.parse_feed(back)) == rows(ingest.parse_feed(docs))
