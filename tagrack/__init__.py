@@ -1,0 +1 @@
+"""tagrack: catalogue analytics on Spark (see README.md)."""
