@@ -1,0 +1,10 @@
+from tagrack.plans.broadcast import bounded
+from tagrack.plans.checks import plan_text
+
+
+def test_bounded_broadcasts_only_under_the_bound(spark):
+    small = spark.range(10)
+    assert bounded(small, 10) is not None
+    assert bounded(small, 9) is None
+    joined = spark.range(1000).join(bounded(small, 10), "id")
+    assert "BroadcastHashJoin" in plan_text(joined)
