@@ -47,12 +47,16 @@ def build_session(master: str | None = None, app: str = "tagrack",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Set a private one only when the session has none (local runs, tests).
+    Set a private one only when the session has none and runs in local mode
+    (local runs, tests); a cluster session without it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at storage every "
+                               "executor can reach (a machine-local folder would lose data)")
         path = tempfile.mkdtemp(prefix="tagrack-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
