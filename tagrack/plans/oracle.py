@@ -707,3 +707,18 @@ SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end
  GROUP BY user_id, burst""")
 register("stream_search_debounce", DEBOUNCE_SQL)
 register("search_debounce", DEBOUNCE_SQL)
+
+# ---------------------------------------------------------------------------
+# Browse, normalised (request -> resolved tag set; tag set -> matched items)
+REQUEST_TAGSETS = """
+req_tagsets AS (
+  SELECT c.request_id,
+         CASE WHEN c.n_in = 0 THEN ''
+              ELSE (SELECT array_to_string(list_sort(list(DISTINCT r.tag_id)), ',')
+                      FROM resolved r WHERE r.request_id = c.request_id) END AS tagset_key
+    FROM tag_counts c WHERE c.n_in = 0 OR c.n_in = c.n_found)"""
+
+register("request_tagsets", with_binding(BROWSE_REQ, BROWSE_CORE, REQUEST_TAGSETS,
+                                         body="SELECT request_id, tagset_key FROM req_tagsets"))
+register("match_tagsets", with_binding(BROWSE_REQ, BROWSE_CORE, REQUEST_TAGSETS, body="""
+SELECT DISTINCT t.tagset_key, m.base_item_id FROM req_tagsets t JOIN matched m USING (request_id)"""))

@@ -377,3 +377,16 @@ def _stream_ingest(spark, sf_dir):
     waves = [raw.filter(F.col("page_id") <= half), raw.filter(F.col("page_id") > half)]
     _cat, _ledger, rejects = runner.run_ingest(spark, b.catalog(), waves)
     return rejects
+
+
+# -- browse, normalised: requests -> tag set, tag set -> items (no request x item rows)
+@query("request_tagsets")
+def _request_tagsets(spark, sf_dir):
+    b = Binding.of(spark, sf_dir)
+    return browse.request_tagsets(rq.browse_requests(b.t), b.tag)
+
+
+@query("match_tagsets")
+def _match_tagsets(spark, sf_dir):
+    b = Binding.of(spark, sf_dir)
+    return browse.match_tagsets(browse.request_tagsets(rq.browse_requests(b.t), b.tag), b.catalog())
