@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import top_k
 from ..functions.text import name_key
 from ..model import Catalog
+from ..plans.broadcast import bounded
 from ..plans.materialize import materialize
 
 
@@ -61,6 +62,8 @@ def _display(rows: DataFrame, catalog: Catalog) -> DataFrame:
             .join(im, "thumbnail_image_id", "left"))
 
 
+# Largest brand selection broadcast by more_from_brand.
+MAX_BROADCAST_BRANDS = 1_000_000
 # Tags held by more distinct signatures than this are "hot" (see similar_items).
 HOT_TAG_SIGNATURES = 10_000
 
@@ -147,9 +150,14 @@ def more_from_brand(seeds: DataFrame, catalog: Catalog, kmax: int | None = None)
     """
     kmax = max_k(seeds) if kmax is None else kmax
     asked = seeds.select(name_key("brand_name").alias("brand_key")).distinct()
+    brands = (catalog.brand.select("brand_id", F.col("name_key").alias("brand_key"))
+              .join(asked, "brand_key", "left_semi"))  # only brands some seed names
+    # a size-checked broadcast keeps the items' own partitioning, so the
+    # per-(brand, name) limit below gets its own shuffle with a partial limit
+    # in front of it instead of inheriting a one-task-per-brand layout
+    brands = bounded(brands, MAX_BROADCAST_BRANDS) or brands
     items = catalog.base_item.select("base_item_id", "name", "name_key", "brand_id").join(
-        catalog.brand.select("brand_id", F.col("name_key").alias("brand_key"))
-        .join(asked, "brand_key", "left_semi"), "brand_id")  # only brands some seed names
+        brands, "brand_id")
     by_name = [F.col("name").asc_nulls_last(), F.col("base_item_id").asc()]
     per_name = top_k(items, ["brand_key", "name_key"], by_name, max(kmax, 1), rank_col="_rn").drop("_rn")
     first_names = top_k(per_name.select("brand_key", "name_key").distinct(), ["brand_key"],
