@@ -27,9 +27,10 @@ def _keyed_items(catalog: Catalog) -> DataFrame:
 def infer_brand(requests: DataFrame, catalog: Catalog) -> DataFrame:
     """(request_id, brand_name): the given brand, else the brand of the
     first (smallest id) branded item with that name; NULL if none."""
-    first_brand = (_keyed_items(catalog).groupBy("name_key")
-                   .agg(F.min_by("brand_name", "base_item_id").alias("_inferred")))
     r = requests.withColumn("name_key", name_key("base_item_name"))
+    asked = r.select("name_key").distinct()          # aggregate only requested names
+    first_brand = (_keyed_items(catalog).join(asked, "name_key", "left_semi").groupBy("name_key")
+                   .agg(F.min_by("brand_name", "base_item_id").alias("_inferred")))
     return (r.join(first_brand, "name_key", "left")
             .select("request_id", F.coalesce("brand_name", "_inferred").alias("brand_name")))
 
@@ -38,12 +39,14 @@ def resolve_items(requests: DataFrame, catalog: Catalog) -> DataFrame:
     """(request_id, base_item_id, status) with status ok, ambiguous
     (several items; smallest id), missing, no_brand or missing_name."""
     brands = infer_brand(requests, catalog)
-    per_key = (_keyed_items(catalog).groupBy("name_key", "brand_key")
-               .agg(F.min("base_item_id").alias("base_item_id"), F.count(F.lit(1)).alias("_n")))
     r = (requests.select("request_id", "base_item_name").join(brands, "request_id")
          .select("request_id", "base_item_name", "brand_name",
                  name_key("base_item_name").alias("name_key"),
                  name_key("brand_name").alias("brand_key")))
+    asked = r.select("name_key", "brand_key").distinct()   # aggregate only requested keys
+    per_key = (_keyed_items(catalog).join(asked, ["name_key", "brand_key"], "left_semi")
+               .groupBy("name_key", "brand_key")
+               .agg(F.min("base_item_id").alias("base_item_id"), F.count(F.lit(1)).alias("_n")))
     x = r.join(per_key, ["name_key", "brand_key"], "left")
     status = (F.when(F.col("base_item_name").isNull(), "missing_name")
               .when(F.col("brand_name").isNull(), "no_brand")

@@ -207,12 +207,14 @@ def add_items_to_closets(closets: DataFrame, closet_items: DataFrame, users: Dat
     x = adds.join(_user_ids(users), "username", "left")
     found = closets.select("closet_id", "site_user_id", F.col("name").alias("closet_name"))
     x = x.join(found, ["site_user_id", "closet_name"], "left")
+    x = (x.withColumn("name_key", name_key("base_item_name"))
+         .withColumn("brand_key", name_key("brand_name")))
+    asked = x.select("name_key", "brand_key").distinct()   # aggregate only requested keys
     keyed = (catalog.base_item.select("base_item_id", "name_key", "brand_id")
              .join(catalog.brand.select("brand_id", F.col("name_key").alias("brand_key")), "brand_id")
+             .join(asked, ["name_key", "brand_key"], "left_semi")
              .groupBy("name_key", "brand_key").agg(F.min("base_item_id").alias("item_id")))
-    x = (x.withColumn("name_key", name_key("base_item_name"))
-         .withColumn("brand_key", name_key("brand_name"))
-         .join(keyed, ["name_key", "brand_key"], "left"))
+    x = x.join(keyed, ["name_key", "brand_key"], "left")
     present = closet_items.select("closet_id", "item_id").withColumn("_present", F.lit(True))
     x = x.join(present, ["closet_id", "item_id"], "left")
     first = (x.filter(F.col("closet_id").isNotNull() & F.col("item_id").isNotNull())
