@@ -238,6 +238,8 @@ def user_closets(users: DataFrame, closets: DataFrame, closet_items: DataFrame,
     name and item_rank by name (CI); a closet without items gives one row with
     NULL item; a user without closets one row with NULL closet. Items need a
     brand (inner join), thumbnails are optional."""
+    closets = closets.join(users.select("site_user_id"), "site_user_id", "left_semi")  # asked users only
+    closet_items = closet_items.join(closets.select("closet_id"), "closet_id", "left_semi")
     items = (closet_items.select("closet_id", F.col("item_id").alias("base_item_id"))
              .join(catalog.base_item.select("base_item_id", "name", "name_key", "brand_id",
                                             "thumbnail_image_id"), "base_item_id")
