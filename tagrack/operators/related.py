@@ -155,6 +155,7 @@ def more_from_brand(seeds: DataFrame, catalog: Catalog, kmax: int | None = None)
     # a size-checked broadcast keeps the items' own partitioning, so the
     # per-(brand, name) limit below gets its own shuffle with a partial limit
     # in front of it instead of inheriting a one-task-per-brand layout
+    brands = materialize(brands)  # written once: the size check and the join read it
     brands = bounded(brands, MAX_BROADCAST_BRANDS) or brands
     items = catalog.base_item.select("base_item_id", "name", "name_key", "brand_id").join(
         brands, "brand_id")
