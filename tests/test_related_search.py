@@ -115,3 +115,11 @@ def test_similar_hot_tag_split_is_exact(spark):
         df = rel.similar_items(rq.seed_requests(b.t), b.catalog(), hot_threshold=threshold)
         ok, msg = compare(df, con, E.oracle_sql()["similar_items"])
         assert ok, (threshold, msg)
+
+
+def test_more_from_brand_without_broadcast_equals_with(spark, cat, monkeypatch):
+    from tagrack.operators import related as rel
+    s = seeds(spark, (1, "SEED", "acme", 4), (3, "beta", "ACME", 2), (4, "x", "Ñandú", 3))
+    with_bc = rows(rel.more_from_brand(s, cat))
+    monkeypatch.setattr(rel, "MAX_BROADCAST_BRANDS", 0)
+    assert rows(rel.more_from_brand(s, cat)) == with_bc and len(with_bc) == 7
