@@ -7,7 +7,10 @@ that setting is missing -- local runs and tests -- do we make one ourselves.
 
 from __future__ import annotations
 
+import atexit
+import itertools
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,6 +23,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
     # pandas deprecation notices from inside PySpark's Arrow serializer
     "spark.executorEnv.PYTHONWARNINGS": "ignore::FutureWarning",
@@ -44,36 +48,42 @@ def build_session(master: str | None = None, app: str = "tagrack",
     return spark
 
 
+# Parent folder of everything written for one application, by application id.
+_parents: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and written intermediates.
 
-    Set a private one only when the session has none and runs in local mode
-    (local runs, tests); a cluster session without it is an error.
+    Named by ``spark.checkpoint.dir``; failing that, the folder the launcher
+    gave to ``setCheckpointDir``; failing that, and only on a local master, a
+    private temporary folder. The answer is fixed per application, so the path
+    of later checkpoints never grows, and ``setCheckpointDir`` is called once.
     """
+    sc = spark.sparkContext
+    known = _parents.get(sc.applicationId)
+    if known:
+        return known
     path = spark.conf.get("spark.checkpoint.dir", None)
+    have = sc.getCheckpointDir()
+    if not path and have:
+        path = have.rsplit("/", 1)[0]  # Spark appends its own sub-folder
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: point it at storage every "
                                "executor can reach (a machine-local folder would lose data)")
         path = tempfile.mkdtemp(prefix="tagrack-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    if not have:
+        sc.setCheckpointDir(path)
+    _parents[sc.applicationId] = path
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{os.getpid()}-{next(_counter)}"
 
 
-_counter = _count()
+_counter = itertools.count(1)
