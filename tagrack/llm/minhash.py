@@ -20,7 +20,8 @@ come back unlinked with a null component. An empty table gives no rows. Extra
 columns are ignored by ``near_duplicates``.
 
 A pair at Jaccard 0.85 misses all bands with probability (1-0.85^6)^32 < 3e-7,
-and fails the sketch test with probability below 1e-6.
+and fails a sketch test with probability below 1e-6. The sketches only decide
+what is compared on whole sets.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ SKETCH_WORDS = COORDINATES // 64
 # Differing sketch bits of a pair at Jaccard 0.85: 28.8 on average, 5.2 standard
 # deviations of 5.16 above it is 55.6.
 MOST_DIFFERENT = 56
+# The fine sketch: 307.2 bits differ on average, 5 deviations of 16.9 above is 391.5.
+FINE = 4096
+MOST_DIFFERENT_FINE = 392
 SHARE = 85
 SHINGLE = 5
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -78,14 +82,14 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 def _ranks() -> np.ndarray:
     """The second permutation, continued so that every window of the ring is contiguous."""
     ranks = np.random.default_rng(20240229).permutation(RING).astype(np.int32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[:COORDINATES]]), COORDINATES)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[:FINE]]), FINE)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """All coordinates of a non-empty set; long sets are folded in blocks."""
+def signature(hashes: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """The first coordinates of a non-empty set; long sets are folded in blocks."""
     with np.errstate(over="ignore"):
         places = ((hashes.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
-    ranks, least = _ranks(), None
+    ranks, least = _ranks()[:, :coordinates], None
     for at in range(0, len(places), 256):
         low = ranks[places[at:at + 256]].min(axis=0)
         least = low if least is None else np.minimum(least, low)
@@ -125,6 +129,11 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "hashes": [shingle_hashes(t) for t in pdf["text"]]})
 
 
+def _fine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pd.DataFrame({"id": pdf["id"], "fine": [_sketch(signature(h, FINE)) for h in pdf["hashes"]]})
+
+
 def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, set_id, bands, sketch), one row per row of ``docs``."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -141,6 +150,24 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= SHARE * total).select("a", "b")
 
 
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _similar_size():
+    """Sets whose sizes are further apart cannot reach the share."""
+    return F.least("na", "nb") * 100 >= SHARE * F.greatest("na", "nb")
+
+
+def _open(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (c: component) of the buckets that hold several components, with
+    the component of most members as ``main``."""
+    member = member.join(comp.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    main = (member.groupBy("band", "bucket", "c").count().groupBy("band", "bucket")
+            .agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
+    return written(member.join(main.drop("parts"), ["band", "bucket"]), "open_members")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sigs = written(signatures(docs, text_col, id_col).dropDuplicates(["doc_id", "set_id"]), "signatures")
@@ -150,42 +177,42 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     # Buckets of one representative need nothing further. The centres of the
     # others are their smallest id and the ids least and greatest by a hash.
-    spread = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     by_hash = F.xxhash64("id")
-    centres = spread.groupBy("bucket").agg(
-        F.count("*").alias("members"), F.array_distinct(F.array(
-            F.min("id"), F.min_by("id", by_hash), F.max_by("id", by_hash))).alias("centres")).where("members > 1").drop("members")
-    crowded = written(spread.select("id", "bucket").join(centres, "bucket"), "crowded")
-    size = classes.select("id", "n")
-    near = SHARE / 100 - 1e-9
-    alike = (F.least("na", "nb") >= near * F.greatest("na", "nb"))
-    star = (crowded.select(F.explode("centres").alias("a"), F.col("id").alias("b")).where("a <> b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    star = (star.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(alike).select("a", "b"))
-
+    spread = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    centres = spread.groupBy("band", "bucket").agg(
+        F.count("*").alias("members"), F.array(
+            F.min("id"), F.min_by("id", by_hash), F.max_by("id", by_hash)).alias("centres")).where("members > 1").drop("members")
+    crowded = written(spread.select("id", "band", "bucket").join(centres, ["band", "bucket"]), "crowded")
     ids = written(crowded.select("id").distinct(), "crowded_ids")
     wanted = broadcast_if(ids, ids.count())
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = written(plain.join(wanted, "id", "left_semi").mapInPandas(_sets, "id long, hashes array<long>")
                    .dropDuplicates(["id"]), "sets")
-    links = written(_linked(star, sets), "links")
-    comp = written(components(links), "star_components")
+    size = classes.select("id", "n")
 
-    # Whoever shares a bucket but not its main component meets the whole bucket.
-    member = crowded.select("id", "bucket").join(comp.withColumnRenamed("component_id", "c"), "id", "left")
-    member = member.withColumn("c", F.coalesce("c", "id"))
-    main = (member.groupBy("bucket", "c").count().groupBy("bucket")
-            .agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
-    open_ = (member.join(main.drop("parts"), "bucket")
-             .join(classes.select("id", "n", "sketch"), "id"))
-    open_ = written(open_, "open_buckets")
-    x = open_.where("c <> main").select("bucket", *[F.col(k).alias(f"{k}a") for k in ("id", "c", "n", "sketch")])
-    y = open_.select("bucket", *[F.col(k).alias(f"{k}b") for k in ("id", "c", "n", "sketch")])
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(_similar_size())
+        return written(_linked(sized.select("a", "b"), sets), "links")
+
+    tried = written(_pairs(crowded.select(F.explode("centres").alias("a"), F.col("id").alias("b"))), "tried")
+    links = confirmed(tried)
+
+    # Whoever is outside a bucket's main component meets the whole bucket, each
+    # pair in the first band the two share. The fine sketch, made only for the
+    # members of such buckets, leaves little but pairs near the share.
+    open_ = _open(crowded.select("id", "band", "bucket"), components(links))
+    fine = sets.join(open_.select("id").distinct(), "id", "left_semi").mapInPandas(_fine, "id long, fine array<long>")
+    open_ = written(open_.join(classes.select("id", "n", "sketch", "bands"), "id").join(fine, "id"), "open_buckets")
+    side = ("id", "c", "n", "sketch", "bands", "fine")
+    x = open_.where("c <> main").select("band", "bucket", *[F.col(k).alias(f"{k}a") for k in side])
+    y = open_.select(F.col("band").alias("band_"), F.col("bucket").alias("bucket_"), *[F.col(k).alias(f"{k}b") for k in side])
     differ = sum((F.bit_count(F.col("sketcha")[i].bitwiseXOR(F.col("sketchb")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & alike & (differ <= MOST_DIFFERENT))
-    rest = rest.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    links = links.union(_linked(rest, sets))
+    first = F.expr(f"filter(sequence(0, {BANDS - 1}), i -> bandsa[i] = bandsb[i])[0] = band")
+    finer = F.expr("aggregate(zip_with(finea, fineb, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    both = (F.col("band") == F.col("band_")) & (F.col("bucket") == F.col("bucket_")) & (F.col("ca") != F.col("cb"))
+    rest = x.join(y, both & _similar_size() & (differ <= MOST_DIFFERENT) & first & (finer <= MOST_DIFFERENT_FINE))
+    rest = _pairs(rest.select(F.col("ida").alias("a"), F.col("idb").alias("b"))).join(tried, ["a", "b"], "left_anti")
+    links = links.union(confirmed(rest))
 
     comp = components(links).withColumnRenamed("id", "class_id")
     member_of = sigs.join(classes.select("set_id", F.col("id").alias("class_id")), "set_id", "left")
