@@ -5,14 +5,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagrack.llm import exact_dedup, minhash
+from tagrack.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from tagrack.llm.common import table, written
+from tagrack.llm.queries import TARGETS, bpe_vocabulary, labelled_domains
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated by their rate; scarce languages rise, none is thinned as a whole."""
+    return mixing.resample(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.with_ids(docs, *bpe_vocabulary())
+
 
 STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: exact_dedup.drop_copies(docs)),
-    ("minhash_near_dedup", lambda spark, docs, sf_dir: minhash.keep_one_each(docs)),
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("minhash_near_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("byte_bpe", encode),
 ]
 
+# Classifiers, MinHash and BPE are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

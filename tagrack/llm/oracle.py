@@ -1,6 +1,25 @@
 """DuckDB twins of the operator queries that SQL can express."""
 
 SQL: dict[str, str] = {
+    # Every pair of one label in double precision, then reachability by recursion.
+    "op5_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS e,
+                 label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound
+          FROM embeddings),
+        l AS (
+          SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND a.sound AND b.sound AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        r AS (
+          SELECT vec_id AS v, vec_id AS c FROM v
+          UNION
+          SELECT l.y, r.c FROM r JOIN l ON l.x = r.v WHERE r.c < l.y)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+        FROM v JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = v.vec_id
+        LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) n ON n.x = v.vec_id""",
     # The longest original of equal texts stays, then the smallest id.
     "op10_exact_dedup": r"""
         WITH t AS (
