@@ -149,8 +149,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> tupl
         weight = 1 / (1 + np.maximum(corr, 0).sum(axis=1))
         gold = np.clip((post @ (labels == 1) + (1 - post) @ (labels == 0)) / len(labels), 0.6, 0.99)
         odds = np.log(mass[0] / mass[1]) + np.where(labels == 1, 1, -1) * np.log(gold / (1 - gold))
-        odds = odds + votes @ (weight * np.log(rate[0] / rate[1])) + (1 - votes) @ (
-            weight * np.log((1 - rate[0]) / (1 - rate[1])))
+        odds = odds + votes @ (weight * np.log(rate[0] / rate[1]))  # a voter that does not fire abstains
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post, weight
 
