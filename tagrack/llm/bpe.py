@@ -16,16 +16,21 @@ on its own; an empty table gives no rows; extra columns are carried by
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_KEEP = 200_000  # pre-tokens remembered per task
+ROWS = 128  # texts in one slice
+_KEEP = 300_000  # pre-tokens remembered per task
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2  # fixed values of the model format
 
 
@@ -61,7 +66,6 @@ def _number(field: int, n: int) -> bytes:
 
 
 def _piece(text: str, score: float, kind: int) -> bytes:
-    import struct
     return _message(1, _message(1, text.encode()) + _varint(2 << 3 | 5) + struct.pack("<f", score) + _number(3, kind))
 
 
@@ -85,22 +89,20 @@ class Codec:
         self.split = regex.compile(pattern).findall
         letters = byte_letters()
         self.spell = {b: letters[b] for b in range(256)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str | None) -> list[int]:
         found = self.split(text or "")
         known = self.known
-        new = [p for p in set(found) if p not in known]
+        new = set(found).difference(known)
         if new:
             if len(known) > _KEEP:
                 known.clear()
-                new = list(set(found))
+                new = set(found)
             spelt = [p.encode().decode("latin-1").translate(self.spell) for p in new]
-            known.update(zip(new, self.pieces.encode(spelt, out_type=int, num_threads=1), strict=True))
-        out: list[int] = []
-        for p in found:
-            out += known[p]
-        return out
+            # tuples, which the garbage collector need not walk
+            known.update(zip(new, map(tuple, self.pieces.encode(spelt, out_type=int, num_threads=1)), strict=True))
+        return list(chain.from_iterable(map(known.__getitem__, found)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -119,35 +121,38 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def with_ids(df: DataFrame, data: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns of ``df`` and the ids of its whole text as array<int>."""
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        c = codec(data, pattern)
-        return pd.Series([c.encode(t) for t in texts])
-    return df.withColumn(ids_col, encode(F.col(text_col).cast("string")))
+def _encoded(df: DataFrame, data: bytes, pattern: str, text_col: str, ids_col: str, bytes_col: str | None) -> DataFrame:
+    """All columns of ``df``, the ids of its whole text, and the bytes they decode to."""
+    added = [ids_col, *([bytes_col] if bytes_col else [])]
+    rest = df.select(*[c for c in df.columns if c not in added or c == text_col])
+    fields = [*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    schema = T.StructType(fields + ([T.StructField(bytes_col, T.BinaryType())] if bytes_col else []))
 
-
-def decoded(data: bytes, pattern: str, ids: Column) -> Column:
-    """The bytes of an array of ids; null ids give no bytes."""
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data, pattern)
         for batch in batches:
-            yield pd.Series([c.decode(x.tolist()) if x is not None else b"" for x in batch], dtype=object)
-    return decode(ids)
+            for at in range(0, batch.num_rows, ROWS):  # small slices bound the memory of a task
+                part = batch.slice(at, ROWS)
+                ids = [c.encode(t) for t in part.column(text_col).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                columns = [*part.columns, pa.ListArray.from_arrays(ends, flat)]
+                if bytes_col:
+                    columns.append(pa.array([c.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+    return rest.mapInArrow(run, schema)
+
+
+def with_ids(df: DataFrame, data: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """All columns of ``df`` and the ids of its whole text as array<int>."""
+    return _encoded(df, data, pattern, text_col, ids_col, None)
 
 
 def digests(docs: DataFrame, data: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(data, pattern)
-        for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [c.encode(t) for t in pdf["text"]]})
-
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = plain.mapInPandas(encode, "doc_id long, ids array<int>")
+    ids = _encoded(plain, data, pattern, "text", "ids", "decoded")
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(decoded(data, pattern, F.col("ids")), 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"))

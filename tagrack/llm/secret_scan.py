@@ -33,11 +33,13 @@ KINDS = [("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex",
 # A pattern that a text must hold for a kind to be possible, cheaper than the kind's own.
 POSSIBLE = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}"
+WORD = r"(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z0-9_-]*"
 HAS_TOKEN = r"[0-9][A-Za-z0-9_-]{15}|[A-Za-z0-9_-]{15}[0-9]|[A-Za-z0-9_-]{8}[0-9][A-Za-z0-9_-]{7}|[A-Za-z_-][0-9]"
 # Documented bound: ordinary identifiers come from about this many texts.
 SAMPLE_TEXTS = 2_000
 SMOOTH = 0.5
-LEAST_RATIO = 0.5  # nats per transition
+LEAN = 20
+LEAST_RATIO = 1.0  # nats per transition
 ALPHABET = 128
 
 
@@ -87,11 +89,15 @@ def _pairs(strings: DataFrame) -> DataFrame:
 
 
 def log_probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
-    """Smoothed log P(b | a) of an ASCII matrix, row after row."""
+    """log P(b | a) of an ASCII matrix, row after row; a row leans on the
+    frequencies of single characters as if it had seen ``LEAN`` of them."""
+    chars = range(ALPHABET)
+    single = [sum(counts.get((a, b), 0) for a in chars) + SMOOTH for b in chars]
+    total = sum(single)
     out = []
-    for a in range(ALPHABET):
-        total = sum(counts.get((a, b), 0) for b in range(ALPHABET)) + SMOOTH * ALPHABET
-        out += [log((counts.get((a, b), 0) + SMOOTH) / total) for b in range(ALPHABET)]
+    for a in chars:
+        seen = sum(counts.get((a, b), 0) for b in chars)
+        out += [log((counts.get((a, b), 0) + LEAN * single[b] / total) / (seen + LEAN)) for b in chars]
     return out
 
 
@@ -105,8 +111,12 @@ def train(spans: DataFrame, docs: DataFrame, text_col: str = "text", id_col: str
     n = spans.count()
     some = docs if n <= SAMPLE_TEXTS else docs.where(
         F.pmod(F.xxhash64(F.col(id_col), F.lit(8)), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_TEXTS / n))
-    word = F.explode(F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[A-Za-z][A-Za-z0-9_-]+"), F.lit(0))).alias("s")
-    words = some.select(word).where(~F.col("s").rlike("[0-9a-f]{24}|AKIA"))
+    plain = text_or_empty(text_col)
+    for _, pattern, _, _ in KINDS[:2]:
+        plain = F.regexp_replace(plain, pattern, " ")
+    # whole words; the long mixed ones are what is to be judged
+    words = some.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("s"))
+    words = words.where("length(s) < 16 or not s rlike '[0-9]'")
     ordinary = {(r["a"], r["b"]): r["n"] for r in _pairs(words).collect()}
     return [x - y for x, y in zip(log_probabilities(random), log_probabilities(ordinary), strict=True)]
 

@@ -109,6 +109,8 @@ class Model:
     intercept: float = -np.inf
 
     def scores(self, texts) -> list[float]:
+        if not self.vocabulary:
+            return [0.0] * len(texts)
         known: dict[str, tuple[int, ...]] = {}
         out = []
         for text in texts:
@@ -196,7 +198,6 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     vocabulary = {r["name"]: i for i, r in enumerate(telling)}
     voters = [i for i, r in enumerate(telling) if r["odds"] > 1.0 and r["z"] > 2.5][:MAX_VOTERS]
     matrix = train.mapInPandas(_vectors(vocabulary), "toxic int, ids array<int>").toPandas()
-    matrix = matrix.iloc[np.lexsort((matrix["ids"].map(lambda x: (len(x), hash(tuple(x)))).map(str), matrix["toxic"]))]
     rows = np.repeat(np.arange(len(matrix)), matrix["ids"].map(len))
     cols = np.concatenate([*matrix["ids"], np.zeros(0, int)]).astype(int)
     labels_ = matrix["toxic"].to_numpy()
