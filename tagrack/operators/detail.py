@@ -14,7 +14,7 @@ from ..functions.text import name_key
 from ..model import DEFAULT_RELATED_K, Catalog, seed_sizes
 from ..plans.materialize import materialize
 from . import related
-from .stock import fold_stock_events, stock_levels
+from .stock import closing_levels
 
 
 def _keyed_items(catalog: Catalog) -> DataFrame:
@@ -98,11 +98,11 @@ def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame | None =
                 events: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """U16: one row per request with item_name (as requested), brand_name,
     description, rating, image_urls, sizes ('XS:true|S:false', size order),
-    similar and more_from_brand (names by rank, k=4) and a status; fields stay
+    similar and more_from_brand ('name~brand~thumbnail' by rank, k=4) and a status; fields stay
     NULL on error rows (missing_name, no_brand, missing).
 
     Stock comes either as levels (``stock``) or as raw ``events`` with their
-    ``order``; then only the requested items' SKUs are folded (a SKU's stock
+    ``order``; then only the requested items' SKUs are summed (a SKU's stock
     depends on its own events alone)."""
     res = materialize(resolve_items(requests, catalog))
     ok = res.filter(F.col("status").isin("ok", "ambiguous"))
@@ -112,17 +112,18 @@ def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame | None =
     skus = catalog.sku.join(wanted, "base_item_id", "left_semi")
     if stock is None:
         mine = events.join(skus.select("item_id"), "item_id", "left_semi")
-        stock = stock_levels(fold_stock_events(mine, order))
+        stock = closing_levels(mine, order)
     avail = size_availability(skus, stock)
     sizes = _listing(avail, "base_item_id", "relative_order",
                      F.concat("basic_size", F.lit(":"), F.col("in_stock").cast("string")))
     sizes = sizes.withColumnRenamed("_l", "sizes")
     seeds = ok.select("request_id", "base_item_name", "brand_name",
                       F.lit(DEFAULT_RELATED_K).alias("k"))
+    card = F.concat_ws("~", "item_name", F.coalesce("brand_name", F.lit("")), F.coalesce("thumbnail_url", F.lit("")))
     sim = _listing(related.similar_items(seeds, catalog, DEFAULT_RELATED_K), "request_id",
-                   "rank", F.col("item_name")).withColumnRenamed("_l", "similar")
+                   "rank", card).withColumnRenamed("_l", "similar")
     mfb = _listing(related.more_from_brand(seeds, catalog, DEFAULT_RELATED_K), "request_id",
-                   "rank", F.col("item_name")).withColumnRenamed("_l", "more_from_brand")
+                   "rank", card).withColumnRenamed("_l", "more_from_brand")
     body = (ok.select("request_id", "base_item_id").join(bi, "base_item_id")
             .join(imgs, "base_item_id")
             .join(sizes, "base_item_id", "left")

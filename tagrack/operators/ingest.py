@@ -17,7 +17,6 @@ from ..functions.ranking import positions
 from ..functions.text import name_key
 from ..model import Catalog, size_rank
 from ..plans.materialize import materialize
-from . import stock
 
 IMAGE_URL_FORMAT = "https://images.example.com/products/%s?profile=a"
 
@@ -80,12 +79,13 @@ def insert_if_absent(dim: DataFrame, id_col: str, names: DataFrame, order: list[
 
 
 def feed_item_tags(docs: DataFrame) -> DataFrame:
-    """(feed_item_id, tag_name): item tag ids mapped through the batch's
-    tag lists; ids in no list are dropped; repeats collapse."""
+    """(page, pos, feed_item_id, tag_name): item tag ids mapped through the
+    batch's tag lists; ids in no list are dropped; repeats in one item collapse.
+    Items are told apart by place, since a feed may repeat an id."""
     names = (feed_tag_names(docs).groupBy("feed_tag_id")
              .agg(F.min_by("website_text", F.struct("page", "ord")).alias("tag_name")))
-    it = feed_items(docs).select("feed_item_id", F.explode("tags").alias("feed_tag_id"))
-    return it.join(names, "feed_tag_id").select("feed_item_id", "tag_name").distinct()
+    it = feed_items(docs).select("page", "pos", "feed_item_id", F.explode("tags").alias("feed_tag_id"))
+    return it.join(names, "feed_tag_id").select("page", "pos", "feed_item_id", "tag_name").distinct()
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def add_base_items(catalog: Catalog, items: DataFrame) -> tuple[DataFrame, DataF
                  .select((F.lit(base) + F.col("_p")).cast("long").alias("base_item_id"),
                          F.col("title").alias("name"), name_key("title").alias("name_key"),
                          F.lit("").alias("description"), "brand_id", "thumbnail_image_id",
-                         "rating", "feed_item_id", "images", "sizes", "tags"))
+                         "rating", "feed_item_id", "page", "pos", "images", "sizes", "tags"))
     links = (new_items.select("base_item_id", F.explode("images").alias("url"))
              .join(all_images, "url").select("base_item_id", "image_id").distinct())
     return new_items, new_images, links, rejects
@@ -147,8 +147,8 @@ def add_skus(catalog: Catalog, new_items: DataFrame, items: DataFrame) -> tuple[
     """One SKU per (item, size) with a known size (case-insensitive);
     unknown sizes and sizes of rejected items go to rejects. New item_ids
     continue the SKU table in (base_item_id, size order)."""
-    sizes = items.select("feed_item_id", F.explode("sizes").alias("size", "count"))
-    x = sizes.join(new_items.select("feed_item_id", "base_item_id"), "feed_item_id", "left") \
+    sizes = items.select("page", "pos", "feed_item_id", F.explode("sizes").alias("size", "count"))
+    x = sizes.join(new_items.select("page", "pos", "base_item_id"), ["page", "pos"], "left") \
         .withColumn("relative_order", size_rank(F.col("size")))
     code = (F.when(F.col("base_item_id").isNull(), "no_base_item")
             .when(F.col("relative_order").isNull(), "unknown_size"))
@@ -165,21 +165,24 @@ def add_skus(catalog: Catalog, new_items: DataFrame, items: DataFrame) -> tuple[
 
 
 def opening_stock(skus: DataFrame) -> DataFrame:
-    """An ``audit`` per new SKU with the feed's count, folded into the
-    ledger rows it produces (delta = count, the SKUs are new)."""
-    ev = skus.select("item_id", F.lit("audit").alias("transaction_event"),
-                     F.col("count").alias("quantity"), F.lit(0).alias("seq"))
-    return stock.fold_stock_events(ev, ["seq"], F.lit(0)).select(
-        "item_id", "transaction_event", "quantity", "delta_quantity")
+    """An ``audit`` per new SKU with the feed's count; the SKUs are new, so
+    the delta is the count."""
+    return skus.select("item_id", F.lit("audit").alias("transaction_event"),
+                       F.col("count").alias("quantity"), F.col("count").cast("long").alias("delta_quantity"))
 
 
 def ingest_feed(catalog: Catalog, docs: DataFrame) -> IngestResult:
     """The whole feed at once: tags and vendors upserted, items added
     with images and tags, SKUs per size, opening audits; all failures in
-    ``rejects`` (stage, feed_item_id, detail, code). The parsed documents
+    ``rejects`` (stage, feed_item_id, detail, code), a document that is no JSON or
+    holds no product list among them. The parsed documents
     and the numbered new rows are written once (checkpoints inside
     ``positions``) and read by the later steps."""
     docs = materialize(docs)
+    broken = docs.filter(F.col("doc.product_list").isNull()).select(
+        F.lit("document").alias("stage"), F.lit(None).cast("string").alias("feed_item_id"),
+        (F.col("raw") if "raw" in docs.columns else F.lit(None).cast("string")).alias("detail"),
+        F.lit("bad_json").alias("code"))
     tag_names = feed_tag_names(docs).select(F.col("website_text").alias("name"), "page", "ord")
     tag_dim, _new_tags = insert_if_absent(catalog.tag, "tag_id", tag_names, ["page", "ord"])
     vendors = feed_vendor_names(docs).select("name", "page", "handle")
@@ -187,7 +190,7 @@ def ingest_feed(catalog: Catalog, docs: DataFrame) -> IngestResult:
     cat = catalog.with_(tag=tag_dim, brand=brand_dim)
     items = materialize(feed_items(docs))
     new_items, new_images, links, rej_items = add_base_items(cat, items)
-    item_tags = (feed_item_tags(docs).join(new_items.select("feed_item_id", "base_item_id"), "feed_item_id")
+    item_tags = (feed_item_tags(docs).join(new_items.select("page", "pos", "base_item_id"), ["page", "pos"])
                  .join(tag_dim.select("tag_id", F.col("name_key").alias("_k")),
                        name_key("tag_name") == F.col("_k"))
                  .select("tag_id", "base_item_id").distinct())
@@ -206,7 +209,7 @@ def ingest_feed(catalog: Catalog, docs: DataFrame) -> IngestResult:
         tag_item=cat.tag_item.unionByName(item_tags),
         sku=cat.sku.unionByName(skus.select("item_id", "base_item_id", "basic_size")))
     return IngestResult(new_cat, new_items, new_images, links, item_tags, skus, ledger,
-                        rej_items.unionByName(rej_skus).unionByName(dropped_tags))
+                        rej_items.unionByName(rej_skus).unionByName(dropped_tags).unionByName(broken))
 
 
 def feed_image_urls(docs: DataFrame, fmt: str = IMAGE_URL_FORMAT) -> DataFrame:

@@ -20,8 +20,8 @@ def delete_base_items(catalog: Catalog, ledger: DataFrame, ids: DataFrame
     """
     req = ids.select("base_item_id").distinct()
     exists = req.join(catalog.base_item.select("base_item_id"), "base_item_id", "left_semi")
-    used = (catalog.sku.select("item_id", "base_item_id")
-            .join(ledger.select("item_id").distinct(), "item_id", "left_semi")
+    used = (catalog.sku.select("item_id", "base_item_id").join(exists, "base_item_id", "left_semi")
+            .join(ledger.select("item_id"), "item_id", "left_semi")
             .select("base_item_id").distinct())
     restricted = exists.join(used, "base_item_id", "left_semi")
     gone = exists.join(restricted, "base_item_id", "left_anti")

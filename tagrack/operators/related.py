@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.ranking import top_k
 from ..functions.text import name_key
 from ..model import Catalog
-from ..plans.broadcast import bounded
 from ..plans.materialize import materialize
 
 
@@ -62,14 +61,13 @@ def _display(rows: DataFrame, catalog: Catalog) -> DataFrame:
             .join(im, "thumbnail_image_id", "left"))
 
 
-# Largest brand selection broadcast by more_from_brand.
-MAX_BROADCAST_BRANDS = 1_000_000
-# Tags held by more distinct signatures than this are "hot" (see similar_items).
-HOT_TAG_SIGNATURES = 10_000
+# A tag held by more than this share of the distinct signatures is "hot" (see
+# similar_items); with t tags on an item there are at most t / HOT_SHARE of them.
+HOT_SHARE = 0.02
 
 
 def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None,
-                  hot_threshold: int = HOT_TAG_SIGNATURES) -> DataFrame:
+                  hot_share: float = HOT_SHARE) -> DataFrame:
     """Top-k items sharing the most tags with each seed (seed excluded).
 
     Output (request_id, rank, item_name, brand_name, thumbnail_url, shared_tag_count).
@@ -80,7 +78,7 @@ def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None,
 
     * cold tags: (seed signature, candidate signature) pairs through the tag
       bridge; a pair's exact score is the size of the two tag sets' overlap;
-    * hot tags (more than ``hot_threshold`` signatures; few by construction):
+    * hot tags (over ``hot_share`` of the signatures, so few whatever the data):
       candidates are grouped by their *hot projection* (the hot tags they
       hold); a group's first kmax+1 items by name score at least |seed's hot
       tags & projection|.
@@ -106,8 +104,9 @@ def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None,
               .select("a", F.explode(F.split("a", ",")).alias("tag")))
     b_tags = (sigs.select(F.col("sig").alias("b")).distinct()
               .select("b", F.explode(F.split("b", ",")).alias("tag")))
+    n_sigs = b_tags.select("b").distinct().count()
     hot = b_tags.groupBy("tag").agg(F.count(F.lit(1)).alias("_df")) \
-        .filter(F.col("_df") > hot_threshold).select("tag")
+        .filter(F.col("_df") > hot_share * n_sigs).select("tag")
 
     # cold path: pairs through cold tags, exact overlap size
     pairs = (a_tags.join(hot, "tag", "left_anti")
@@ -152,11 +151,6 @@ def more_from_brand(seeds: DataFrame, catalog: Catalog, kmax: int | None = None)
     asked = seeds.select(name_key("brand_name").alias("brand_key")).distinct()
     brands = (catalog.brand.select("brand_id", F.col("name_key").alias("brand_key"))
               .join(asked, "brand_key", "left_semi"))  # only brands some seed names
-    # a size-checked broadcast keeps the items' own partitioning, so the
-    # per-(brand, name) limit below gets its own shuffle with a partial limit
-    # in front of it instead of inheriting a one-task-per-brand layout
-    brands = materialize(brands)  # written once: the size check and the join read it
-    brands = bounded(brands, MAX_BROADCAST_BRANDS) or brands
     items = catalog.base_item.select("base_item_id", "name", "name_key", "brand_id").join(
         brands, "brand_id")
     by_name = [F.col("name").asc_nulls_last(), F.col("base_item_id").asc()]

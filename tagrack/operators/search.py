@@ -10,16 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import positions, top_k
-from ..functions.text import fold
+from ..functions.text import fold, like_literal
 from ..model import INDEX_LETTERS, SEARCH_RESULTS_PER_KIND, Catalog
-from ..plans.broadcast import bounded
 from ..plans.materialize import materialize
 
-# Largest number of distinct patterns (or distinct folded names) broadcast to
-# every task for the substring theta join.
-MAX_BROADCAST_PATTERNS = 200_000
-
-
 def normalize_queries(queries: DataFrame, min_chars: int = 1) -> DataFrame:
     """Trim surrounding white space; drop inputs shorter than ``min_chars``."""
     q = F.regexp_replace(F.col("q"), r"^\s+|\s+$", "")
@@ -37,69 +31,86 @@ def searchable_names(catalog: Catalog) -> DataFrame:
             .withColumn("fname", fold("name")))
 
 
-def _grams(text):
-    """The 3-letter grams of a lower-cased string column (empty if shorter)."""
-    n = F.length(text)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, 3))) \
+def like_pattern(text):
+    """A user's wildcard text as a LIKE pattern: a backslash keeps its meaning
+    before backslash, %, and _, and is dropped before anything else."""
+    return F.regexp_replace(text, r"(?s)(\\[\\%_])|\\(.)", "$1$2")
+
+
+def _grams(text, n):
+    """The ``n``-letter grams of a string column (empty if shorter)."""
+    size = F.length(text)
+    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(text, i, F.lit(n)))) \
         .otherwise(F.array().cast("array<string>"))
 
 
 def _pattern_grams(pats: DataFrame) -> DataFrame:
-    """(p, gram): grams of the literal runs of each pattern (between % and _)."""
-    runs = pats.select("p", F.explode(F.split(F.lower("p"), "[%_]")).alias("run"))
-    return runs.select("p", F.explode(_grams(F.col("run"))).alias("gram")).distinct()
-
-
-def _trigram_hits(pats: DataFrame, groups: DataFrame, cond) -> DataFrame:
-    """Exact matches without broadcasting either side: every literal run of a
-    pattern occurs in any name it matches, so names holding the pattern's
-    rarest gram are the candidates; candidates are then checked with ILIKE.
-    Both sides shuffle on the gram (AQE splits a hot gram)."""
-    name_grams = (groups.select("kind", "fname", F.explode(_grams(F.lower("fname"))).alias("gram"))
-                  .distinct())
+    """(p, gram): grams of the literal runs of each pattern, three letters long
+    or as long as the run."""
+    runs = pats.select("p", F.explode(F.regexp_extract_all("contains", F.lit(r"((?:\\[\\%_]|[^\\%_])+)"), F.lit(1))).alias("run"))
+    run = F.lower(F.regexp_replace("run", r"(?s)\\(.)", "$1"))
+    runs = runs.select("p", run.alias("run"))
+    sizes = [F.when(F.length("run") == n, _grams(F.col("run"), n)) for n in (1, 2)]
+    return runs.select("p", F.explode(F.coalesce(*sizes, _grams(F.col("run"), 3))).alias("gram")).distinct()
+
+
+def _gram_hits(grams: DataFrame, pats: DataFrame, groups: DataFrame) -> DataFrame:
+    """(p, kind, fname): every literal run of a pattern occurs in any name it
+    matches, so the names that hold the pattern's rarest gram are the
+    candidates, checked with ILIKE. Both sides shuffle on the gram."""
+    low = F.lower("fname")
+    name_grams = groups.select("kind", "fname", F.explode(
+        F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))).alias("gram"))
     freq = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = (_pattern_grams(pats).join(freq, "gram")
-              .groupBy("p").agg(F.min_by("gram", F.struct("_df", "gram")).alias("gram")))
-    cand = rarest.join(name_grams, "gram").select("p", "kind", "fname")
-    return cand.join(groups, ["kind", "fname"]).filter(cond)
+    rarest = (grams.join(freq, "gram").groupBy("p")
+              .agg(F.min_by("gram", F.struct("_df", "gram")).alias("gram")).join(pats, "p"))
+    return (rarest.join(name_grams, "gram").filter(F.ilike("fname", F.col("contains"), F.lit("\\")))
+            .select("p", "kind", "fname"))
+
+
+def _wildcard_hits(pats: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(p, kind, fname) of patterns of wildcards alone. Such a pattern asks for
+    names of at least as many letters as it has underscores, so equal counts
+    share an answer: the first k names among the first k of every length."""
+    wild = pats.withColumn("least", F.length(F.regexp_replace("contains", "[^_]", "")))
+    by_name = [F.col("fname").asc()]
+    firsts = top_k(groups.select("kind", "fname", F.length("fname").alias("size")), ["kind", "size"], by_name, k, rank_col="_f")
+    longest = int(groups.agg(F.max(F.length("fname"))).first()[0] or 0)
+    reach = (wild.select("least").distinct().filter(F.col("least") <= longest)
+             .select("least", F.explode(F.sequence(F.col("least"), F.lit(longest))).alias("size")))
+    answers = top_k(reach.join(firsts.drop("_f"), "size"), ["least", "kind"], by_name, k, rank_col="_f")
+    return wild.join(answers, "least").select("p", "kind", "fname")
 
 
 def search_names(queries: DataFrame, catalog: Catalog, k: int = SEARCH_RESULTS_PER_KIND,
-                 max_broadcast: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
+                 literal: bool = False) -> DataFrame:
     """U8: up to k names per (query, kind): prefix hits first, then folded name.
 
     Output (query_id, kind, rank, name). Duplicate names are kept; NULL input
-    matches nothing, empty input matches everything.
-
-    Plan: the theta join runs between *distinct* folded patterns and
-    *distinct* folded names per kind (many rows share them). When the distinct
-    patterns fit a checked bound they are broadcast to a nested-loop join over
-    the names. Beyond it, patterns with a 3-letter literal run go through a
-    trigram index (equi-joins), and only the short ones (no such run, a small
-    set by nature, also bound-checked) are broadcast. Each (pattern, kind)
+    matches nothing, empty input matches everything. ``%``, ``_`` and the
+    backslash act as in the reference (a last backslash makes the closing
+    wildcard literal); with ``literal`` they stand for themselves.
+
+    Plan: distinct folded patterns meet distinct folded names per kind through
+    the pattern's rarest gram (equi-joins); patterns of wildcards alone
+    collapse to one class per number of underscores. Each (pattern, kind)
     keeps k names (partial WindowGroupLimit), names expand to their first k
     rows, and queries join back on the pattern.
     """
-    qs = queries.filter(F.col("q").isNotNull()).select("query_id", fold("q").alias("p"))
-    pats = materialize(qs.select("p").distinct())  # size-checked, then joined: written once
+    q = fold("q")
+    qs = queries.filter(F.col("q").isNotNull()).select("query_id", (like_literal(q) if literal else q).alias("p"))
+    pats = materialize(qs.select("p").distinct().select(
+        "p", like_pattern(F.concat(F.lit("%"), "p", F.lit("%"))).alias("contains"),
+        like_pattern(F.concat("p", F.lit("%"))).alias("starts")))
     names = searchable_names(catalog)
-    groups = names.groupBy("kind", "fname").agg(F.count(F.lit(1)).alias("_n"))
-    cond = F.ilike(F.col("fname"), F.concat(F.lit("%"), F.col("p"), F.lit("%")))
-    small_pats = bounded(pats, max_broadcast)
-    if small_pats is not None:
-        hits = groups.join(small_pats, cond)
-    else:
-        with_gram = _pattern_grams(pats).select("p").distinct()
-        short = pats.join(with_gram, "p", "left_anti")
-        small_short = bounded(short, MAX_BROADCAST_PATTERNS)
-        if small_short is None:
-            raise ValueError("search: too many distinct patterns without a 3-letter literal run")
-        hits = (_trigram_hits(pats.join(with_gram, "p", "left_semi"), groups, cond)
-                .unionByName(groups.join(small_short, cond).select("p", "kind", "fname", "_n")))
-    flag = F.when(F.ilike(F.col("fname"), F.concat(F.col("p"), F.lit("%"))), 0).otherwise(1)
-    hits = hits.withColumn("_prefix", flag)
+    groups = names.select("kind", "fname").distinct()
+    grams = _pattern_grams(pats)
+    hits = _gram_hits(grams, pats, groups).unionByName(
+        _wildcard_hits(pats.join(grams.select("p").distinct(), "p", "left_anti"), groups, k))
+    flag = F.when(F.ilike("fname", F.col("starts"), F.lit("\\")), 0).otherwise(1)
+    hits = hits.join(pats.select("p", "starts"), "p").withColumn("_prefix", flag).drop("starts")
     order = [F.col("_prefix").asc(), F.col("fname").asc()]
-    top_groups = top_k(hits, ["p", "kind"], order, k, rank_col="_g").drop("_g", "_n")
+    top_groups = top_k(hits, ["p", "kind"], order, k, rank_col="_g").drop("_g")
     by_row = [F.col("name").asc(), F.col("name_id").asc()]
     first_rows = top_k(names, ["kind", "fname"], by_row, k, rank_col="_r").drop("_r")
     expanded = top_groups.join(first_rows, ["kind", "fname"])
@@ -126,14 +137,19 @@ def brand_index(brand: DataFrame) -> DataFrame:
 
 
 def brand_index_letters(brand: DataFrame) -> DataFrame:
-    """The page's 27 letters in order with their brand counts (0 if none)."""
+    """The page's 27 letters in order, each with its brands by rank:
+    (letter_order, initial, n_brands, rank, name); a letter without brands is
+    one row with NULL rank and name."""
     spark = brand.sparkSession
     letters = spark.createDataFrame([(i, s) for i, s in enumerate(INDEX_LETTERS)],
                                     "letter_order int, initial string")
-    counts = (brand.select(_initial(fold("name")).alias("initial"))
-              .groupBy("initial").agg(F.count(F.lit(1)).alias("n_brands")))
-    # 27 fixed letters keep their rows; counts has one row per initial that
-    # occurs (bounded by the alphabet), so AQE broadcasts it at runtime
-    return (letters.join(counts, "initial", "left")
-            .select("letter_order", "initial",
-                    F.coalesce("n_brands", F.lit(0)).cast("long").alias("n_brands")))
+    index = brand_index(brand)
+    # the last rank of an initial is its number of brands
+    counts = index.groupBy("initial").agg(F.max("rank").alias("n_brands"))
+    # 27 fixed letters and at most as many counts: a bounded broadcast
+    counted = letters.join(counts, "initial", "left").select(
+        "letter_order", "initial", F.coalesce("n_brands", F.lit(0)).cast("long").alias("n_brands"))
+    shown = index.join(F.broadcast(counted), "initial").select("letter_order", "initial", "n_brands", "rank", "name")
+    empty = counted.filter(F.col("n_brands") == 0).select(
+        "*", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("string").alias("name"))
+    return shown.unionByName(empty)

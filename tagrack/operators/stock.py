@@ -18,11 +18,6 @@ from ..plans.materialize import materialize
 BOUND_ORDER = ["transaction_date", "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
-def bound_bucket() -> Column:
-    """Order-monotone bucket for the bound ledger: calendar month of the event."""
-    return F.date_trunc("month", F.col("transaction_date"))
-
-
 def validate_stock_events(events: DataFrame, sku: DataFrame) -> DataFrame:
     """``status`` per event: ok, invalid_event, null_quantity,
     negative_audit or unknown_item (first failing check wins)."""
@@ -106,6 +101,19 @@ def stock_levels(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("item_id").agg(F.sum("delta_quantity").cast("long").alias("stock_quantity"))
 
 
+def closing_levels(events: DataFrame, order: Sequence[str]) -> DataFrame:
+    """U17 straight from events: (item_id, stock_quantity) without a sort.
+
+    A SKU's stock is the quantity of its last audit plus the signed quantities
+    after it: one map-side ``max`` per SKU, then one map-side sum.
+    """
+    at = F.struct(*order)
+    last = events.filter(F.col("transaction_event") == "audit").groupBy(F.col("item_id").alias("_li")).agg(F.max(at).alias("_last"))
+    x = events.join(last, F.col("item_id") == F.col("_li"), "left")
+    x = x.filter(F.col("_last").isNull() | (at >= F.col("_last")))
+    return x.groupBy("item_id").agg(F.sum(signed_quantity()).cast("long").alias("stock_quantity"))
+
+
 def apply_stock_events(ledger: DataFrame, events: DataFrame, sku: DataFrame,
                        order: Sequence[str], bucket: Column | None = None
                        ) -> tuple[DataFrame, DataFrame]:

@@ -115,7 +115,7 @@ def _fold_stock_events(spark, sf_dir):
 
 @query("stock_levels")
 def _stock_levels(spark, sf_dir):
-    return stock.stock_levels(_bound_fold(Binding.of(spark, sf_dir)))
+    return stock.closing_levels(Binding.of(spark, sf_dir).stock_event, stock.BOUND_ORDER)
 
 
 @query("validate_stock_events")
@@ -156,7 +156,7 @@ def _item_images(spark, sf_dir):
 @query("size_availability")
 def _size_availability(spark, sf_dir):
     b = Binding.of(spark, sf_dir)
-    return detail.size_availability(b.sku, stock.stock_levels(_bound_fold(b)))
+    return detail.size_availability(b.sku, stock.closing_levels(b.stock_event, stock.BOUND_ORDER))
 
 
 @query("item_detail")
@@ -298,7 +298,7 @@ def _insert_if_absent(spark, sf_dir):
 
 @query("feed_item_tags")
 def _feed_item_tags(spark, sf_dir):
-    return ingest.feed_item_tags(_feed_docs(Binding.of(spark, sf_dir)))
+    return ingest.feed_item_tags(_feed_docs(Binding.of(spark, sf_dir))).select("feed_item_id", "tag_name")
 
 
 @query("add_base_items")

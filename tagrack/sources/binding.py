@@ -26,23 +26,18 @@ def _word(c: str, n: int):
 class Binding:
     """Lazily built catalogue views over one folder of driver tables.
 
-    ``Binding.of`` keeps one instance per (Spark application, folder), so the
-    few views that are written once (the tag dimension) are not rebuilt by
-    every query of a session.
+    One instance serves one query: views that are written once (the tag
+    dimension) are shared inside it and never outlive it, so replaced files
+    are always read anew.
     """
 
-    _instances: dict[tuple[str, str], "Binding"] = {}
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.t = Tables(spark, sf_dir)
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Binding":
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in cls._instances:
-            cls._instances[key] = cls(spark, sf_dir)
-        return cls._instances[key]
+        return cls(spark, sf_dir)
 
     # -- catalogue ---------------------------------------------------------
     @cached_property

@@ -72,8 +72,9 @@ def write_feed(raw: DataFrame, path: str) -> None:
 
 
 def parse_documents(raw: DataFrame) -> DataFrame:
-    """DataFrame(raw string) -> DataFrame(doc struct) via ``from_json``."""
-    return raw.select(F.from_json("raw", FEED_SCHEMA).alias("doc"))
+    """DataFrame(raw string) -> DataFrame(doc struct, raw) via ``from_json``; a
+    broken document has a doc without product list."""
+    return raw.select(F.from_json("raw", FEED_SCHEMA).alias("doc"), "raw")
 
 
 def _by_k(x, y):

@@ -51,10 +51,11 @@ def http_browse_requests(t: Tables) -> DataFrame:
     eid, uid = F.col("event_id"), F.col("user_id")
     return x.select(
         F.col("event_id").alias("request_id"),
-        F.coalesce(_w(1), F.lit("all")).alias("path_tag"),
+        F.when(eid % 10 == 3, F.lit(None).cast("string")).otherwise(F.coalesce(_w(1), F.lit("all"))).alias("path_tag"),
         F.when(uid % 3 == 0, F.array().cast("array<string>"))
          .otherwise(F.array(F.coalesce(F.lower("p_type"), F.lit("x")))).alias("query_tags"),
-        F.when(eid % 6 == 0, F.lit(None)).when(eid % 6 == 1, F.lit("x"))
+        F.when(eid % 6 == 0, F.lit(None)).when(eid % 12 == 1, F.lit("x")).when(eid % 12 == 7, F.lit("2x"))
+         .when(eid % 12 == 2, F.lit("")).when(eid % 12 == 8, F.lit(" 3"))
          .otherwise((eid % 4).cast("string")).alias("page"),
         F.when(eid % 5 == 0, F.lit(None))
          .otherwise((eid % 7 * 20).cast("string")).alias("page_size"))
@@ -83,6 +84,9 @@ def search_requests(t: Tables) -> DataFrame:
          .when(eid % 8 == 4, F.concat(F.substring(_w(1), 1, 1), F.lit("%"), F.substring(_w(2), 1, 1)))
          .when(eid % 8 == 5, F.lit("É"))
          .when(eid % 8 == 6, F.concat(F.lit("_"), F.substring(_w(2), 2, 2)))
+         .when(eid % 32 == 7, F.concat(F.substring(_w(1), 1, 1), F.lit("\\"), F.substring(_w(1), 2, 2)))
+         .when(eid % 32 == 15, F.concat(F.substring(_w(2), 1, 2), F.lit("\\")))
+         .when(eid % 64 == 23, F.lit("a\\%")).when(eid % 64 == 55, F.lit("__"))
          .otherwise(F.concat(F.lit("  "), F.substring("p_brand", 1, 5), F.lit(" "))))
     return x.select(eid.alias("query_id"), q.alias("q"))
 

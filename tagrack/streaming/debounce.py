@@ -17,15 +17,17 @@ DEFAULT_GAP = "150 milliseconds"
 def debounce(log: DataFrame, gap: str = DEFAULT_GAP, watermark: str | None = None) -> DataFrame:
     """(user_id, window_start, window_end, last_query, n_queries) per burst.
 
-    ``log`` has (user_id, ts, query). With ``watermark`` set (streams),
+    ``log`` has (user_id, ts, query) and may have event_id, which settles ties. With ``watermark`` set (streams),
     late rows older than the watermark are dropped and bursts are emitted once
     the watermark passes their end.
     """
     x = log.withColumn("_ts", F.col("ts").cast("timestamp"))
     if watermark:
         x = x.withWatermark("_ts", watermark)
+    # queries of one instant: the later event id, or failing ids the greater text
+    tie = ["event_id"] if "event_id" in log.columns else ["query"]
     agg = x.groupBy("user_id", F.session_window("_ts", gap).alias("w")).agg(
-        F.max_by("query", "_ts").alias("last_query"),
+        F.max_by("query", F.struct("_ts", *tie)).alias("last_query"),
         F.count(F.lit(1)).alias("n_queries"))
     return agg.select("user_id",
                       F.col("w.start").cast("timestamp_ntz").alias("window_start"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..model import Catalog
 from ..operators import ingest
-from ..sources.feed import FEED_SCHEMA
+from ..sources.feed import parse_documents
 from ..sources.tables import read_parquet_if_present
 
 DELTAS = {
@@ -31,9 +31,10 @@ DELTAS = {
 
 
 def feed_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
-    """Streaming DataFrame(doc) over JSON-lines feed files (bounded files per micro-batch)."""
-    return (spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-            .json(path).select(F.struct("*").alias("doc")))
+    """Streaming DataFrame(doc, raw) over JSON-lines feed files (bounded files per
+    micro-batch); lines are read as text, so a broken one becomes a reject."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return parse_documents(lines.withColumnRenamed("value", "raw"))
 
 
 def _delta_path(out: str, table: str) -> str:

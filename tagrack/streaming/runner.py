@@ -53,11 +53,13 @@ def run_debounce(spark: SparkSession, log: DataFrame | list[DataFrame], gap: str
     later wave older than the watermark are dropped, as late data is."""
     root = scratch_path(spark, "debounce")
     src, out, ck = (os.path.join(root, d) for d in ("src", "out", "ck"))
-    cols = ["user_id", "ts", "query"]
-    waves = [w.select(*cols) for w in (log if isinstance(log, list) else [log])]
+    waves = log if isinstance(log, list) else [log]
+    # the event id settles queries of one instant, where the log has one
+    cols = [*(["event_id"] if "event_id" in waves[0].columns else []), "user_id", "ts", "query"]
+    waves = [w.select(*cols) for w in waves]
     marker = spark.createDataFrame([(end_marker_user, "9999-12-31 00:00:00", "")],
                                    "user_id long, ts string, query string") \
-        .select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "query")
+        .withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "event_id": F.lit(-1).cast("long")}).select(*cols)
     for wave in waves + [marker]:
         wave.write.mode("append").parquet(src)
         stream = spark.readStream.schema(waves[0].schema).parquet(src)

@@ -32,3 +32,11 @@ def test_late_rows_behind_the_watermark_are_dropped(spark):
                "user_id", "last_query", "n_queries")
     # watermark after wave 1 = 10:00 - 30 min: user 1's 00:00:30 row is late, user 2's 09:59 is not
     assert got == [(1, "a", 1), (2, "b", 2)]
+
+
+def test_queries_of_one_instant_go_by_event_id(spark):
+    t = "2024-01-01 00:00:00"
+    lg = spark.createDataFrame([(5, 1, t, "late"), (9, 1, t, "a"), (2, 1, t, "z")], "event_id long, user_id long, ts string, query string") \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert rows(debounce.debounce(lg), "last_query", "n_queries") == [("a", 3)]
+    assert rows(runner.run_debounce(spark, lg, "1 minute", "1 hour"), "last_query") == [("a",)]

@@ -38,9 +38,9 @@ def test_images_sizes_and_detail(spark, cat):
                               "request_id long, base_item_name string, brand_name string")
     d = {x["request_id"]: x for x in detail.item_detail(r, cat, stock).collect()}
     assert d[1]["status"] == "ok" and d[1]["sizes"] == "xs:false|L:true|XXL:false"
-    assert d[1]["image_urls"] == "c1.jpg,c2.jpg" and d[1]["similar"] == "coat|Hat"
+    assert d[1]["image_urls"] == "c1.jpg,c2.jpg" and d[1]["similar"] == "coat~Zed~|Hat~Zed~"
     assert d[1]["item_name"] == "coat" and d[1]["brand_name"] == "acme"
-    assert d[2]["status"] == "ambiguous" and d[2]["sizes"] == "" and d[2]["more_from_brand"] == "coat"
+    assert d[2]["status"] == "ambiguous" and d[2]["sizes"] == "" and d[2]["more_from_brand"] == "coat~Zed~"
     assert d[3]["status"] == "missing_name" and d[3]["description"] is None
 
 

@@ -51,7 +51,7 @@ def docs(spark):
 def test_parse_and_tags(spark, docs):
     got = rows(ingest.parse_feed(docs), "feed_item_id", "page", "n_images", "n_sizes", "n_tags")
     assert got == [("1", 1, 3, 2, 3), ("2", 1, 0, 1, 1), ("3", 2, 1, 0, 1)]
-    assert rows(ingest.feed_item_tags(docs)) == [("1", "DRESS"), ("1", "Silk"), ("2", "DRESS"), ("3", "Silk")]
+    assert rows(ingest.feed_item_tags(docs), "feed_item_id", "tag_name") == [("1", "DRESS"), ("1", "Silk"), ("2", "DRESS"), ("3", "Silk")]
 
 
 def test_insert_if_absent_is_case_insensitive(spark, cat, docs):
@@ -113,3 +113,21 @@ def test_feed_text_sink_and_source_roundtrip(spark, docs):
     feed.write_feed(raw, path)
     back = feed.parse_documents(feed.read_feed_text(spark, path))
     assert rows(ingest.parse_feed(back)) == rows(ingest.parse_feed(docs))
+
+
+def test_repeated_feed_ids_are_items_of_their_own(spark, cat):
+    twice = [doc(p, [item(9, f"Tee {p}", "Acme", 1.0, None, [], {"M": n}, [t])],
+                 [{"tag_id": 7, "tag_name": "dress", "website_text": "DRESS"}, {"tag_id": 8, "tag_name": "silk", "website_text": "Silk"}], {})
+             for p, n, t in ((1, 1, 7), (2, 3, 8))]
+    raw = spark.createDataFrame([(json.dumps(d),) for d in twice], "raw string")
+    r = ingest.ingest_feed(cat, feed.parse_documents(raw))
+    assert rows(r.new_skus, "base_item_id", "basic_size", "count") == [(2, "M", 1), (3, "M", 3)]
+    assert rows(r.new_item_tags) == [(1, 2), (2, 3)]
+    assert rows(r.opening_ledger, "item_id", "delta_quantity") == [(101, 1), (102, 3)]
+
+
+def test_broken_documents_are_rejected_with_their_text(spark, cat):
+    raw = spark.createDataFrame([('{"success": tru',), (json.dumps(DOCS[1]),), ("{}",)], "raw string")
+    r = ingest.ingest_feed(cat, feed.parse_documents(raw))
+    assert rows(r.new_base_items, "feed_item_id") == [("3",)]
+    assert rows(r.rejects.filter("stage = 'document'"), "detail", "code") == [('{"success": tru', "bad_json"), ("{}", "bad_json")]

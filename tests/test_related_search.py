@@ -83,23 +83,35 @@ def test_brand_index(spark, cat):
     got = rows(search.brand_index(cat.brand), "initial", "rank", "name")
     assert got == [("#", 1, "9 Lives"), ("&", 1, "&Co"), ("A", 1, "Acme"), ("E", 1, "élan"),
                    ("N", 1, "Ñandú")]
-    letters = rows(search.brand_index_letters(cat.brand), "letter_order", "initial", "n_brands")
-    assert len(letters) == 27 and letters[0] == (0, "A", 1) and letters[-1] == (26, "#", 1)
-    assert letters[1] == (1, "B", 0)
-
-
-def test_trigram_path_equals_broadcast_path(spark):
-    import __spark_entry__ as E
-    from tagrack.sources import requests as rq
-    from tagrack.sources.binding import Binding
-    b = Binding(spark, "/root/testdata/sf0.001")
-    qs = rq.search_requests(b.t).unionByName(
-        q(spark, (900001, "nosuchthing"), (900002, "bR%nd"), (900003, "a_c")))
-    cat = b.catalog()
-    via_broadcast = rows(search.search_names(qs, cat))
-    via_trigrams = rows(search.search_names(qs, cat, max_broadcast=0))
-    assert via_trigrams == via_broadcast and len(via_broadcast) > 100
-    assert E.queries()  # registry imports cleanly
+    letters = rows(search.brand_index_letters(cat.brand), "letter_order", "initial", "n_brands", "rank", "name")
+    assert len(letters) == 27 and letters[0] == (0, "A", 1, 1, "Acme") and letters[-1] == (26, "#", 1, 1, "9 Lives")
+    assert letters[1] == (1, "B", 0, None, None)
+
+
+def test_search_escapes_literals_and_wildcards_against_brute_force(spark):
+    import re
+
+    from fixtures import catalog
+    names = ["acme", "ab%cd", "abc%", "a_c", "axc", "abc", "", "x", "%", "\\", "a\\c", "ABcab"]
+    cat = catalog(spark, brands=list(enumerate(names, 1)), items=[], tags=[], images=[], skus=[])
+    queries = ["a\\c", "ab\\%cd", "abc\\", "\\%", "\\_", "_", "__", "%%", "____________", "", "\\\\", "b", "c%a", "b_%d", "a\\", "zz", "\\"]
+
+    def regex(p):
+        out, i = "", 0
+        while i < len(p):
+            if p[i] == "\\":
+                i += 1
+                out += re.escape(p[i])
+            else:
+                out += {"%": ".*", "_": "."}.get(p[i], re.escape(p[i]))
+            i += 1
+        return re.compile(out, re.S | re.I)
+    for literal in (False, True):
+        got = rows(search.search_names(q(spark, *enumerate(queries)), cat, literal=literal))
+        for i, text in enumerate(queries):
+            p = re.sub(r"([\\%_])", r"\\\1", text) if literal else text
+            hits = [(0 if regex(p + "%").fullmatch(n) else 1, n, k) for k, n in enumerate(names, 1) if regex("%" + p + "%").fullmatch(n)]
+            assert [r[3] for r in got if r[0] == i] == [n for _, n, _ in sorted(hits)][:5], (literal, text)
 
 
 def test_similar_hot_tag_split_is_exact(spark):
@@ -111,15 +123,7 @@ def test_similar_hot_tag_split_is_exact(spark):
     sf = "/root/testdata/sf0.001"
     b = Binding(spark, sf)
     con = duck(sf)
-    for threshold in (0, 3, 15, 10_000):   # all hot, some hot, few hot, none hot
-        df = rel.similar_items(rq.seed_requests(b.t), b.catalog(), hot_threshold=threshold)
+    for share in (0.0, 0.02, 0.1, 1.0):   # all hot, some hot, few hot, none hot
+        df = rel.similar_items(rq.seed_requests(b.t), b.catalog(), hot_share=share)
         ok, msg = compare(df, con, E.oracle_sql()["similar_items"])
-        assert ok, (threshold, msg)
-
-
-def test_more_from_brand_without_broadcast_equals_with(spark, cat, monkeypatch):
-    from tagrack.operators import related as rel
-    s = seeds(spark, (1, "SEED", "acme", 4), (3, "beta", "ACME", 2), (4, "x", "Ñandú", 3))
-    with_bc = rows(rel.more_from_brand(s, cat))
-    monkeypatch.setattr(rel, "MAX_BROADCAST_BRANDS", 0)
-    assert rows(rel.more_from_brand(s, cat)) == with_bc and len(with_bc) == 7
+        assert ok, (share, msg)
