@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 ROWS = 128  # texts in one slice
 _KEEP = 300_000  # pre-tokens remembered per task
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2  # fixed values of the model format
@@ -124,7 +126,7 @@ def vocabulary(path: str) -> bytes:
 def _encoded(df: DataFrame, data: bytes, pattern: str, text_col: str, ids_col: str, bytes_col: str | None) -> DataFrame:
     """All columns of ``df``, the ids of its whole text, and the bytes they decode to."""
     added = [ids_col, *([bytes_col] if bytes_col else [])]
-    rest = df.select(*[c for c in df.columns if c not in added or c == text_col])
+    rest = small_batches(df).select(*[c for c in df.columns if c not in added or c == text_col])
     fields = [*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
     schema = T.StructType(fields + ([T.StructField(bytes_col, T.BinaryType())] if bytes_col else []))
 

@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import written
 
-__all__ = ["written", "table", "text_or_empty", "crc_mod", "broadcast_if", "bounded_share"]
+__all__ = ["written", "small_batches", "table", "text_or_empty", "crc_mod", "broadcast_if", "bounded_share"]
 
 # Most rows a broadcast side of a few numbers may have; about 100 MB in memory.
 BROADCAST_ROWS = 2_000_000
+ARROW_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with at most ``ARROW_ROWS`` rows in one Arrow batch of the session:
+    whole texts are long, and a batch is what a Python task holds at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, written
+from .common import broadcast_if, small_batches, written
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.1
@@ -219,7 +219,7 @@ def _hash_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, templates): hashes of the subtrees that recur on the host's pages.
     At most (subtrees of a page) / LEAST_SHARE of them per host."""
-    rows = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    rows = small_batches(pages).select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     seen = rows.mapInPandas(_hash_pages, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
     often = seen.where(F.col("n") >= LEAST_PAGES).join(sizes, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))

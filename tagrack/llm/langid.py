@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_share, crc_mod, written
+from .common import bounded_share, crc_mod, small_batches, written
 
 # Documented bound: word and n-gram frequencies come from about this many labelled rows.
 MAX_TRAINING_ROWS = 30_000
@@ -122,7 +122,7 @@ class Model:
 
 
 def fit(docs: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Model:
-    train = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
+    train = small_batches(docs).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         "lang is not null and text is not null and doc_id is not null").where(crc_mod("doc_id", FOLDS) != HELD_OUT_FOLD)
     train = bounded_share(train, "doc_id", max_training_rows, 1)
     counts = written(train.select("lang", "text").mapInPandas(_count, "lang string, kind int, item string, n long")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, written
+from .common import broadcast_if, small_batches, written
 from .components import components
 
 RING = 1 << 20
@@ -136,7 +136,7 @@ def _fine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, set_id, bands, sketch), one row per row of ``docs``."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInPandas(_signatures, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
 
 

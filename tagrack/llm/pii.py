@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 ROUNDS = 8
 _FIRST = datetime.date(1900, 1, 1).toordinal()
@@ -254,5 +256,5 @@ def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "n_found": [sum(c.values()) for c in counts],
                                 **{f"n_{k}": [c[k] for c in counts] for k in KINDS}, "spans": where})
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInPandas(run, "doc_id long, text string, n_found long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_share, crc_mod, written
+from .common import bounded_share, crc_mod, small_batches, written
 
 # Documented bound: the classifier is fitted on about this many labelled rows.
 MAX_TRAINING_ROWS = 20_000
@@ -137,14 +137,16 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> tupl
     accuracy. A voter's weight is one over one plus its positive correlations
     with the other voters inside the classes.
     """
-    votes = votes.astype(float)
+    votes = votes.astype(np.float32)
     post = np.where(labels == 1, 0.95, 0.05)
     weight = np.ones(votes.shape[1])
     for _ in range(rounds):
         mass = max(post.sum(), 1e-9), max((1 - post).sum(), 1e-9)
         rate = [(post @ votes + 0.1) / (mass[0] + 1), ((1 - post) @ votes + 0.1) / (mass[1] + 1)]
-        spread = votes - np.outer(post, rate[0]) - np.outer(1 - post, rate[1])
-        cov = spread.T @ spread / len(votes)
+        # votes less what the classes explain, in place: this is the largest array here
+        spread = votes - (rate[1] + post[:, None].astype(np.float32) * (rate[0] - rate[1]).astype(np.float32)).astype(np.float32)
+        cov = (spread.T @ spread).astype(float) / len(votes)
+        del spread
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         corr = cov / np.outer(sd, sd)
         np.fill_diagonal(corr, 0)
@@ -182,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
              .where((crc_mod("doc_id", FOLDS) != HELD_OUT_FOLD) & F.col("doc_id").isNotNull()))
     known = bounded_share(known, "doc_id", max_training_rows, 4).withColumnRenamed("doc_id", "_labelled")
     # at most about max_training_rows pairs of numbers, so the broadcast is bounded
-    train = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    train = written(small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
                     .join(F.broadcast(known), F.col("_id") == F.col("_labelled")).select("text", "toxic"), "toxic_rows")
     size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, toxic = size.get(0, 0), size.get(1, 0)
@@ -201,9 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     rows = np.repeat(np.arange(len(matrix)), matrix["ids"].map(len))
     cols = np.concatenate([*matrix["ids"], np.zeros(0, int)]).astype(int)
     labels_ = matrix["toxic"].to_numpy()
-    votes = np.zeros((len(matrix), len(vocabulary)), bool)
-    votes[rows, cols] = True
-    post, _ = label_model(votes[:, voters], labels_)
+    place = np.full(len(vocabulary), -1)
+    place[voters] = np.arange(len(voters))
+    fired = place[cols] >= 0
+    votes = np.zeros((len(matrix), len(voters)), np.float32)
+    votes[rows[fired], place[cols[fired]]] = 1
+    post, _ = label_model(votes, labels_)
     weights, intercept = logistic(rows, cols, post, len(vocabulary))
     return Model(vocabulary, weights, intercept)
 
