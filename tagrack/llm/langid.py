@@ -70,7 +70,8 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held[lang].update(words_of(text))
         if sum(map(len, held.values())) > _FLUSH:
             yield flush()
-    yield flush()
+    if held:  # an empty frame would have no column types
+        yield flush()
 
 
 class Model:

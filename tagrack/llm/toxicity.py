@@ -91,7 +91,8 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by[toxic].update(_features(text))
             if len(by[0]) + len(by[1]) > _FLUSH:
                 yield flush()
-    yield flush()
+    if by[0] or by[1]:  # an empty frame would have no column types
+        yield flush()
 
 
 def _vectors(vocabulary: dict[str, int]):
