@@ -42,3 +42,16 @@ def delete_base_items(catalog: Catalog, ledger: DataFrame, ids: DataFrame
                         sku=drop(catalog.sku),
                         closet_item=drop(catalog.closet_item, "item_id"))
     return new, status
+
+
+def cascaded_counts(catalog: Catalog, status: DataFrame) -> DataFrame:
+    """(base_item_id, status, n_images, n_tags, n_skus, n_closet_entries): the
+    child rows that go with each deleted item; 0 for ids that stay or are missing."""
+    ok = status.filter(F.col("status") == "ok").select("base_item_id")
+    out = status
+    for name, child, key in (("n_images", catalog.base_item_image, "base_item_id"), ("n_tags", catalog.tag_item, "base_item_id"),
+                             ("n_skus", catalog.sku, "base_item_id"), ("n_closet_entries", catalog.closet_item, "item_id")):
+        n = (child.select(F.col(key).alias("base_item_id")).join(ok, "base_item_id", "left_semi")
+             .groupBy("base_item_id").agg(F.count(F.lit(1)).alias(name)))
+        out = out.join(n, "base_item_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    return out

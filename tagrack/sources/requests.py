@@ -171,6 +171,18 @@ def closet_item_adds(t: Tables) -> DataFrame:
 
 
 def delete_requests(t: Tables) -> DataFrame:
-    """(base_item_id) to delete, from ``view`` events' users."""
+    """(base_item_id) to delete, from ``view`` events' users; some are no items."""
     e = t.events.filter(F.col("event_type") == "view")
-    return e.select(F.col("user_id").alias("base_item_id")).distinct()
+    unknown = F.when(F.col("event_id") % 9 == 0, -F.col("user_id")).otherwise(F.col("user_id"))
+    return e.select(unknown.alias("base_item_id")).distinct()
+
+
+def raw_stock_events(events: DataFrame) -> DataFrame:
+    """Stock events as a client might send them: some with an unknown or missing
+    type, no quantity, a negative count, or an unknown item."""
+    k = F.col("l_orderkey") % 41
+    return events.withColumns({
+        "transaction_event": F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("lost"))
+        .otherwise(F.col("transaction_event")),
+        "quantity": F.when(k == 2, F.lit(None).cast("long")).when(k == 3, -F.col("quantity")).otherwise(F.col("quantity")),
+        "item_id": F.when(k == 4, -F.col("item_id")).otherwise(F.col("item_id"))})
