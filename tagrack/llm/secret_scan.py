@@ -5,7 +5,7 @@ letters and digits is scored by two first-order character models, one of random
 one of ordinary identifiers, and is a span where the log-likelihood ratio per
 transition favours randomness. Both models are trained from labelled samples of the
 corpus: values and keys that the base patterns found are the random strings,
-words of a bounded sample of texts are the ordinary identifiers.
+the words of all texts outside them are the ordinary identifiers.
 
 DataFrame and SQL functions only. Positions are code points: pieces between
 matches (split) and matches (extract all) alternate, so their lengths add up to
@@ -35,8 +35,6 @@ POSSIBLE = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access"
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}"
 WORD = r"(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z0-9_-]*"
 HAS_TOKEN = r"[0-9][A-Za-z0-9_-]{15}|[A-Za-z0-9_-]{15}[0-9]|[A-Za-z0-9_-]{8}[0-9][A-Za-z0-9_-]{7}|[A-Za-z_-][0-9]"
-# Documented bound: ordinary identifiers come from about this many texts.
-SAMPLE_TEXTS = 2_000
 SMOOTH = 0.5
 LEAN = 20
 LEAST_RATIO = 1.0  # nats per transition
@@ -82,10 +80,12 @@ def base_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
-    """Counts of neighbouring ASCII characters of column ``s``: (a, b, n)."""
+    """Counts of neighbouring ASCII characters of column ``s``: (a, b, n). Equal
+    strings are counted before they are taken apart."""
+    two = strings.where("length(s) > 1 and s rlike '^[\\\\x01-\\\\x7f]+$'").groupBy("s").agg(F.count("*").alias("times"))
     pair = F.explode(F.expr("transform(sequence(1, length(s) - 1), i -> substring(s, i, 2))")).alias("p")
-    two = strings.where("length(s) > 1 and s rlike '^[\\\\x01-\\\\x7f]+$'").select(pair)
-    return two.groupBy(F.ascii("p").alias("a"), F.ascii(F.substring("p", 2, 1)).alias("b")).agg(F.count("*").alias("n"))
+    return two.select("times", pair).groupBy(F.ascii("p").alias("a"), F.ascii(F.substring("p", 2, 1)).alias("b")).agg(
+        F.sum("times").alias("n"))
 
 
 def log_probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
@@ -101,21 +101,18 @@ def log_probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
     return out
 
 
-def train(spans: DataFrame, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[float] | None:
+def train(spans: DataFrame, docs: DataFrame, text_col: str = "text") -> list[float] | None:
     """Log-likelihood ratio of every transition, random against ordinary; at most
     128 x 128 numbers. None without a random sample."""
     secrets = spans.select(F.explode(F.concat(*[F.col(k[0]) for k in KINDS])).alias("x")).select(F.col("x.value").alias("s"))
     random = {(r["a"], r["b"]): r["n"] for r in _pairs(secrets).collect()}
     if not random:
         return None
-    n = spans.count()
-    some = docs if n <= SAMPLE_TEXTS else docs.where(
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(8)), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_TEXTS / n))
     plain = text_or_empty(text_col)
-    for _, pattern, _, _ in KINDS[:2]:
-        plain = F.regexp_replace(plain, pattern, " ")
+    for kind, pattern, _, _ in KINDS[:2]:
+        plain = F.when(plain.rlike(POSSIBLE[kind]), F.regexp_replace(plain, pattern, " ")).otherwise(plain)
     # whole words; the long mixed ones are what is to be judged
-    words = some.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("s"))
+    words = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("s"))
     words = words.where("length(s) < 16 or not s rlike '[0-9]'")
     ordinary = {(r["a"], r["b"]): r["n"] for r in _pairs(words).collect()}
     return [x - y for x, y in zip(log_probabilities(random), log_probabilities(ordinary), strict=True)]
@@ -131,7 +128,7 @@ def ratio(token: Column, table: str = "llr") -> Column:
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, base and spans (arrays of kind, start, end, value)."""
     spans = base_spans(docs, text_col, id_col)
-    llr = train(spans, docs, text_col, id_col)
+    llr = train(spans, docs, text_col)
     named = lambda col, i, kind: F.transform(col, lambda s: F.struct(
         s["start"].alias("start"), F.lit(i).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
     base = F.concat(*[named(F.col(k[0]), i, k[0]) for i, k in enumerate(KINDS)])
