@@ -1,10 +1,11 @@
 """Exact duplicates by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one hashes every normalised text to two slots of a bit filter and keeps
-the slots hit at least twice. Pass two tests every row: a row with a slot hit
-once is certainly unique and passes straight through; only rows whose two
-slots were both hit twice are shuffled and compared by SHA-256. A false
-positive costs a shuffled row, never a wrong answer.
+Pass one hashes every normalised text to one 64-bit word of a blocked Bloom
+filter and to two bits of it, and keeps the bits hit at least twice. Pass two
+tests every row in one lookup: a row with a bit hit once is certainly unique
+and passes straight through; only rows whose two bits were both hit twice are
+shuffled and compared by SHA-256. A false positive costs a shuffled row, never
+a wrong answer. A filter beyond the broadcast bound is looked up by a join.
 
 Defined cases. Null text counts as empty, and all empty or all-blank texts
 form one group. Of equal texts the row with most code points of the original
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, text_or_empty, written
 
-# Slots of the filter per row: two slots each, so about 1.5 % of unique rows
-# are shuffled needlessly.
-SLOTS_PER_ROW = 16
+# Bits of the filter per row, at least: two bits each, so at most about 2 % of
+# unique rows are shuffled needlessly.
+BITS_PER_ROW = 16
 DECISION = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
@@ -30,31 +31,36 @@ def normalised(name: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(name), r"[\x20\x09-\x0D]+", "")
 
 
-def _slots(h: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in (1, 2)]
+def _place(h: Column, words: int) -> tuple[Column, Column, Column]:
+    """(word, one bit, another bit) of a hash."""
+    draw = F.xxhash64(h, F.lit(2))
+    one = F.pmod(draw, F.lit(64))
+    other = F.pmod(one + 1 + F.pmod(F.shiftright(draw, 6), F.lit(63)), F.lit(64))
+    return F.pmod(F.xxhash64(h, F.lit(1)), F.lit(words)), one.cast("int"), other.cast("int")
 
 
-def repeated_slots(hashes: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
-    """Pass one over column ``h``: (word, mask) table of the slots that at
-    least two rows hit, its row count, and the number of slots."""
-    bits = max(1 << 10, 1 << (SLOTS_PER_ROW * max(rows, 1) - 1).bit_length())
-    hit = hashes.select(F.explode(F.array(*_slots(F.col("h"), bits))).alias("slot"))
-    # a row whose two slots coincide hits that slot twice: needlessly shuffled at worst
-    twice = hit.groupBy("slot").count().where("count >= 2")
-    words = written(
-        twice.groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")), "bloom")
-    return words, words.count(), bits
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
 
 
-def flag_possible(df: DataFrame, words: DataFrame, n_words: int, bits: int) -> DataFrame:
+def repeated_bits(hashes: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
+    """Pass one over column ``h``: (word, mask) table of the bits that at
+    least two rows hit, its row count, and the number of words of the filter."""
+    words = max(16, 1 << ((BITS_PER_ROW * max(rows, 1) - 1) // 64).bit_length())
+    word, one, other = _place(F.col("h"), words)
+    hit = hashes.select(word.alias("word"), F.explode(F.array(one, other)).alias("bit"))
+    twice = hit.groupBy("word", "bit").count().where("count >= 2")
+    masks = written(twice.groupBy("word").agg(F.bit_or(_bit(F.col("bit"))).alias("mask")), "bloom")
+    return masks, masks.count(), words
+
+
+def flag_possible(df: DataFrame, masks: DataFrame, n_masks: int, words: int) -> DataFrame:
     """Pass two: adds ``possible``, false only for rows that are surely unique."""
-    for i, slot in enumerate(_slots(F.col("h"), bits)):
-        side = broadcast_if(words.select(F.col("word").alias(f"_w{i}"), F.col("mask").alias(f"_m{i}")), n_words)
-        df = (df.withColumn(f"_s{i}", slot)
-              .join(side, F.shiftright(F.col(f"_s{i}"), 6) == F.col(f"_w{i}"), "left"))
-    on = [F.coalesce(F.expr(f"bit_get(_m{i}, cast(_s{i} & 63 as int)) = 1"), F.lit(False)) for i in (0, 1)]
-    return df.withColumn("possible", on[0] & on[1]).drop(*[f"_{c}{i}" for c in "wms" for i in (0, 1)])
+    word, one, other = _place(F.col("h"), words)
+    side = broadcast_if(masks.select(F.col("word").alias("_w"), F.col("mask").alias("_m")), n_masks)
+    both = _bit(one).bitwiseOR(_bit(other))
+    joined = df.withColumn("_at", word).join(side, F.col("_at") == F.col("_w"), "left")
+    return joined.withColumn("possible", F.coalesce(F.col("_m").bitwiseAND(both) == both, F.lit(False))).drop("_at", "_w", "_m")
 
 
 def text_keys(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -69,7 +75,7 @@ def text_keys(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
 def decide(keys: DataFrame) -> tuple[DataFrame, tuple[DataFrame, int, int]]:
     """(keys + possible, keep_id, group_size, kept; the filter). Only possible repeats shuffle."""
     rows = keys.count()
-    bloom = repeated_slots(keys, rows)
+    bloom = repeated_bits(keys, rows)
     flagged = flag_possible(keys, *bloom)
     maybe = flagged.where("possible")
     order = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))

@@ -65,6 +65,13 @@ def test_bloom_passes_sure_uniques_by(spark):
     assert by[3] and by[900] and sum(by.values()) < 60
 
 
+def test_a_filter_beyond_the_broadcast_bound_gives_the_same(spark, monkeypatch):
+    df = docs(spark, [(i, f"text {i % 40}") for i in range(60)] + [(None, "text 3"), (99, None)])
+    want = rows(exact_dedup.exact_dedup(df)), sorted(map(str, exact_dedup.drop_copies(df).collect()))
+    monkeypatch.setattr("tagrack.llm.common.BROADCAST_ROWS", -1)
+    assert (rows(exact_dedup.exact_dedup(df)), sorted(map(str, exact_dedup.drop_copies(df).collect()))) == want
+
+
 def test_clashing_column_names(spark):
     df = docs(spark, [(1, "a"), (2, "a")]).selectExpr("*", "1 as kept", "2 as h", "3 as _row", "4 as possible", "5 as uid", "6 as component_id")
     assert exact_dedup.drop_copies(df).columns == df.columns and exact_dedup.drop_copies(df).count() == 1
