@@ -22,6 +22,7 @@ its residual stays. Repeated rows and null ids get rates like any other.
 from __future__ import annotations
 
 from functools import reduce
+from json import dumps
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, StringIndexer
@@ -75,9 +76,35 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
 
 
+Step = tuple[float, list[float]]  # momentum, push by domain
+
+
+def _moved(rate: Column, prev: Column, beta: Column, pull: Column) -> Column:
+    """One projected step."""
+    return F.greatest(F.lit(0.0), rate + beta * (rate - prev) - pull)
+
+
+def rate_of(posterior: Column, steps: list[Step], start: float = 1.0) -> Column:
+    """The rate to which the steps lead a document of this posterior, so whole
+    rows get their rates where they lie."""
+    if not steps:
+        return F.lit(float(start))
+    taken = F.from_json(F.lit(dumps([{"beta": b, "push": p} for b, p in steps])), "array<struct<beta:double,push:array<double>>>")
+    pull = lambda s: F.aggregate(F.zip_with(posterior, s["push"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    first = F.struct(F.lit(float(start)).alias("rate"), F.lit(float(start)).alias("prev"))
+    return F.aggregate(taken, first, lambda at, s: F.struct(
+        _moved(at["rate"], at["prev"], s["beta"], pull(s)).alias("rate"), at["rate"].alias("prev")))["rate"]
+
+
 def fit_rates(docs: DataFrame, targets: list[float], start: float = 1.0) -> tuple[DataFrame, list[float]]:
     """Adds ``rate`` to rows with ``tokens`` and ``posterior``; also returns the
-    expected domain totals reached. ``targets`` are token totals by domain.
+    expected domain totals reached. ``targets`` are token totals by domain."""
+    fitted, reached, _ = fit_steps(docs, targets, start)
+    return fitted, reached
+
+
+def fit_steps(docs: DataFrame, targets: list[float], start: float = 1.0) -> tuple[DataFrame, list[float], list[Step]]:
+    """``fit_rates`` and the steps taken.
 
     Momentum steps of projected gradient, restarted when the residual grows; the
     step is 1 / trace of A A', computed from the data, so it never overshoots.
@@ -89,7 +116,8 @@ def fit_rates(docs: DataFrame, targets: list[float], start: float = 1.0) -> tupl
     lam = _largest([[float(gram[f"g{i}_{j}"] or 0.0) for j in d] for i in d])
     docs = docs.withColumn("rate", F.lit(float(start))).withColumn("_prev", F.lit(float(start)))
     if lam <= 0:
-        return docs.drop("_prev"), [0.0 for _ in d]
+        return docs.drop("_prev"), [0.0 for _ in d], []
+    steps: list[Step] = []
     now = [float(x or 0.0) for x in docs.agg(*total(F.col("rate"))).first()]
     was, beta, t = now, 0.0, 1.0
     norm = lambda x: sum((a - b) ** 2 for a, b in zip(x, targets, strict=True)) ** 0.5
@@ -99,8 +127,8 @@ def fit_rates(docs: DataFrame, targets: list[float], start: float = 1.0) -> tupl
             break
         ahead = [a + beta * (a - b) for a, b in zip(now, was, strict=True)]  # totals are linear in the rates
         push = [(a - b) / lam for a, b in zip(ahead, targets, strict=True)]
-        moved = F.col("rate") + F.lit(beta) * (F.col("rate") - F.col("_prev"))
-        moved = F.greatest(F.lit(0.0), moved - _sum([p[i] * F.lit(push[i]) for i in d]))
+        steps.append((beta, push))
+        moved = _moved(F.col("rate"), F.col("_prev"), F.lit(beta), _sum([p[i] * F.lit(push[i]) for i in d]))
         docs = docs.withColumns({"rate": moved, "_prev": F.col("rate")})
         if step % STEPS_PER_WRITE == 0:
             docs = written(docs, "rates")  # cuts the chain of steps
@@ -111,7 +139,7 @@ def fit_rates(docs: DataFrame, targets: list[float], start: float = 1.0) -> tupl
             nxt = (1 + (1 + 4 * t * t) ** 0.5) / 2
             t, beta = nxt, (t - 1) / nxt
         was, now = now, after
-    return docs.drop("_prev"), now
+    return docs.drop("_prev"), now, steps
 
 
 def _largest(gram: list[list[float]]) -> float:
@@ -120,14 +148,10 @@ def _largest(gram: list[list[float]]) -> float:
     return max((sum(row) for row in gram), default=0.0)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_col: str = "text",
-        id_col: str = "doc_id", max_training_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """doc_id, tokens, domains, posterior, rate of every document.
-
-    ``labelled`` has (doc_id, domain); ``weights`` the wished share of tokens by
-    domain. The token budget is the smallest at which no domain need shrink as
-    a whole, so mixing raises scarce domains and thins none.
-    """
+def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_col: str = "text", id_col: str = "doc_id",
+        max_training_rows: int = MAX_TRAINING_ROWS) -> tuple[Posteriors, DataFrame, list[Step]]:
+    """The classifier, one row per document (doc_id, tokens, posterior, rate), and
+    the steps that led to the rates."""
     known = bounded_share(labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull())
                           .groupBy("doc_id").agg(F.min("domain").alias("domain")), "doc_id", max_training_rows, 2)
     known = known.withColumnRenamed("doc_id", "_labelled")
@@ -139,15 +163,26 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_co
     rows = written(rows.select("doc_id", "tokens", "posterior"), "posteriors")
     names = model.domains
     if not names:
-        return rows.select("doc_id", F.col("tokens").cast("long").alias("tokens"),
-                           F.array().cast("array<string>").alias("domains"), "posterior", F.lit(1.0).alias("rate"))
+        return model, rows.withColumn("rate", F.lit(1.0)), []
     share = [weights.get(x, 0.0) for x in names]
     share = [x / (sum(share) or 1.0) for x in share]
     have = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(names))]).first()]
     budget = max([h / s for h, s in zip(have, share, strict=True) if s > 0], default=0.0)
-    fitted, _ = fit_rates(rows, [budget * s for s in share])
+    fitted, _, steps = fit_steps(rows, [budget * s for s in share])
+    return model, fitted, steps
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_col: str = "text",
+        id_col: str = "doc_id", max_training_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """doc_id, tokens, domains, posterior, rate of every document.
+
+    ``labelled`` has (doc_id, domain); ``weights`` the wished share of tokens by
+    domain. The token budget is the smallest at which no domain need shrink as
+    a whole, so mixing raises scarce domains and thins none.
+    """
+    model, fitted, _ = fit(docs, labelled, weights, text_col, id_col, max_training_rows)
     return fitted.select("doc_id", F.col("tokens").cast("long").alias("tokens"),
-                         F.array(*[F.lit(x) for x in names]).alias("domains"), "posterior", "rate")
+                         F.array(*[F.lit(x) for x in model.domains]).cast("array<string>").alias("domains"), "posterior", "rate")
 
 
 def copies(rate: Column, id_col: Column) -> Column:
@@ -158,10 +193,10 @@ def copies(rate: Column, id_col: Column) -> Column:
 
 
 def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``docs`` with every row repeated as its rate says, all columns as they came."""
-    rates = mix(docs, labelled, weights)
-    rates = written(rates.groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("rate").alias("_rate")), "mix")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_did"))
-    rows = rows.join(rates, F.col("_did").eqNullSafe(F.col("_mixed")))
+    """``docs`` with every row repeated as its rate says, all columns as they came.
+    No text is shuffled: the rate follows from the row's own posterior."""
+    model, _, steps = fit(docs, labelled, weights)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_did"), F.col("text").cast("string").alias("_text"))
+    rows = model.add(rows, "_text").select("_row", "_did", rate_of(F.col("posterior"), steps).alias("_rate"))
     times = F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("_did")))
     return rows.select("_row", F.explode(times).alias("_again")).select("_row.*")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagrack.llm import bpe, html_text, langid, mixing, pii, secret_scan, toxicity
 from tagrack.llm.queries import bpe_vocabulary
@@ -282,6 +283,16 @@ def test_rates_meet_the_targets(spark):
         assert np.linalg.norm(np.array(reached) - target) <= best + 1e-2 * target.sum()
 
 
+def test_recorded_steps_give_the_fitted_rates(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, float(t), [float(v) for v in rng.dirichlet([0.4, 0.4, 0.4])]) for i, t in enumerate(rng.integers(0, 300, 80))],
+                               "doc_id long, tokens double, posterior array<double>")
+    fitted, _, steps = mixing.fit_steps(df, [9000.0, 2000.0, 4000.0])
+    assert steps
+    both = fitted.select("rate", mixing.rate_of(F.col("posterior"), steps).alias("again")).collect()
+    assert all(abs(r["rate"] - r["again"]) < 1e-9 for r in both)
+
+
 def test_mix_raises_the_scarce_domain(spark):
     texts, langs = corpus(120, 9)
     langs = ["bb" if i % 6 == 0 else "aa" for i in range(120)]
