@@ -8,7 +8,7 @@ to a rejects table and the rest is kept, as the reference logs and goes on.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,80 +88,73 @@ def feed_item_tags(docs: DataFrame) -> DataFrame:
     return it.join(names, "feed_tag_id").select("page", "pos", "feed_item_id", "tag_name").distinct()
 
 
-@dataclass(frozen=True)
-class IngestResult:
-    catalog: Catalog
-    new_base_items: DataFrame   # + feed_item_id
-    new_images: DataFrame
-    new_item_images: DataFrame
-    new_item_tags: DataFrame
-    new_skus: DataFrame         # + feed_item_id, count
-    opening_ledger: DataFrame
-    rejects: DataFrame          # (stage, feed_item_id, detail, code)
-
-
 def _checked_rating(raw):
     r = raw.try_cast("decimal(2,1)")
     return r, (r.isNull() | (r < 0) | (r > 5))
 
 
-def add_base_items(catalog: Catalog, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """U24 (+U25 image upsert): returns (new base items with feed_item_id,
-    new images, new image links, rejects). Brand looked up by name (CI), NULL
-    if unknown; rating cast to NUMERIC(2,1) (half up) and checked 0..5; each
-    item gets a new id (not idempotent, as in the reference)."""
+def check_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted items with ``rating``, rejects): rating cast to NUMERIC(2,1)
+    (half up) and checked 0..5, name required."""
     rating, bad_rating = _checked_rating(F.col("rating_raw"))
     x = items.withColumn("rating", rating).withColumn(
         "_code", F.when(F.col("title").isNull(), "missing_name").when(bad_rating, "bad_rating"))
     rejects = x.filter(F.col("_code").isNotNull()).select(
         F.lit("base_item").alias("stage"), "feed_item_id",
         F.col("rating_raw").cast("string").alias("detail"), F.col("_code").alias("code"))
-    ok = x.filter(F.col("_code").isNull()).drop("_code")
-    # images: thumbnails and image lists of accepted items, inserted if absent
-    urls = (ok.select(F.explode(F.array_union(
+    return x.filter(F.col("_code").isNull()).drop("_code"), rejects
+
+
+def number_items(catalog: Catalog, accepted: DataFrame) -> DataFrame:
+    """(page, pos, base_item_id): each accepted item gets a new id in feed order
+    (not idempotent, as in the reference). Only the places are sorted."""
+    numbered = positions(accepted.select("page", "pos"), [], ["page", "pos"], pos_col="_p")
+    base = _max_id(catalog.base_item, "base_item_id")
+    return numbered.select("page", "pos", (F.lit(base) + F.col("_p")).cast("long").alias("base_item_id"))
+
+
+def add_images(catalog: Catalog, accepted: DataFrame) -> DataFrame:
+    """Thumbnails and image lists of accepted items, inserted if absent."""
+    urls = (accepted.select(F.explode(F.array_union(
                 F.when(F.col("thumbnail_image").isNull(), F.array().cast("array<string>"))
                 .otherwise(F.array("thumbnail_image")), F.col("images"))).alias("url"))
             .distinct().join(catalog.image.select("url"), "url", "left_anti"))
-    img_base = _max_id(catalog.image, "image_id")
-    new_images = (positions(urls, [], ["url"], pos_col="_p")
-                  .select((F.lit(img_base) + F.col("_p")).cast("long").alias("image_id"), "url"))
-    all_images = catalog.image.select("image_id", "url").unionByName(new_images)
-    brands = catalog.brand.select("brand_id", F.col("name_key").alias("_vk"))
-    base = _max_id(catalog.base_item, "base_item_id")
-    numbered = positions(ok, [], ["page", "pos"], pos_col="_p")
-    thumbs = all_images.select(F.col("url").alias("thumbnail_image"),
-                               F.col("image_id").alias("thumbnail_image_id"))
-    new_items = materialize(numbered.withColumn("_vk", name_key("vendor"))
-                 .join(brands, "_vk", "left")
-                 .join(thumbs, "thumbnail_image", "left")
-                 .select((F.lit(base) + F.col("_p")).cast("long").alias("base_item_id"),
-                         F.col("title").alias("name"), name_key("title").alias("name_key"),
-                         F.lit("").alias("description"), "brand_id", "thumbnail_image_id",
-                         "rating", "feed_item_id", "page", "pos", "images", "sizes", "tags"))
-    links = (new_items.select("base_item_id", F.explode("images").alias("url"))
-             .join(all_images, "url").select("base_item_id", "image_id").distinct())
-    return new_items, new_images, links, rejects
-
-
-def add_skus(catalog: Catalog, new_items: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One SKU per (item, size) with a known size (case-insensitive);
-    unknown sizes and sizes of rejected items go to rejects. New item_ids
-    continue the SKU table in (base_item_id, size order)."""
+    base = _max_id(catalog.image, "image_id")
+    return (positions(urls, [], ["url"], pos_col="_p")
+            .select((F.lit(base) + F.col("_p")).cast("long").alias("image_id"), "url"))
+
+
+def add_base_items(accepted: DataFrame, numbered: DataFrame, brand: DataFrame, image: DataFrame) -> DataFrame:
+    """The new base items with feed_item_id. Brand looked up by name (CI),
+    NULL if unknown; ``brand`` and ``image`` hold the feed's own already."""
+    brands = brand.select("brand_id", F.col("name_key").alias("_vk"))
+    thumbs = image.select(F.col("url").alias("thumbnail_image"), F.col("image_id").alias("thumbnail_image_id"))
+    return (accepted.withColumn("_vk", name_key("vendor")).join(numbered, ["page", "pos"])
+            .join(brands, "_vk", "left").join(thumbs, "thumbnail_image", "left")
+            .select("base_item_id", F.col("title").alias("name"), name_key("title").alias("name_key"),
+                    F.lit("").alias("description"), "brand_id", "thumbnail_image_id",
+                    "rating", "feed_item_id", "page", "pos"))
+
+
+def check_skus(numbered: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sizes of new items in size order, rejects): unknown sizes and sizes of
+    rejected items are rejected."""
     sizes = items.select("page", "pos", "feed_item_id", F.explode("sizes").alias("size", "count"))
-    x = sizes.join(new_items.select("page", "pos", "base_item_id"), ["page", "pos"], "left") \
-        .withColumn("relative_order", size_rank(F.col("size")))
-    code = (F.when(F.col("base_item_id").isNull(), "no_base_item")
-            .when(F.col("relative_order").isNull(), "unknown_size"))
-    x = x.withColumn("_code", code)
+    x = sizes.join(numbered, ["page", "pos"], "left").withColumn("relative_order", size_rank(F.col("size")))
+    x = x.withColumn("_code", F.when(F.col("base_item_id").isNull(), "no_base_item")
+                     .when(F.col("relative_order").isNull(), "unknown_size"))
     rejects = x.filter(F.col("_code").isNotNull()).select(
-        F.lit("sku").alias("stage"), "feed_item_id", F.col("size").alias("detail"),
-        F.col("_code").alias("code"))
-    ok = x.filter(F.col("_code").isNull())
+        F.lit("sku").alias("stage"), "feed_item_id", F.col("size").alias("detail"), F.col("_code").alias("code"))
+    return x.filter(F.col("_code").isNull()).drop("_code", "page", "pos"), rejects
+
+
+def add_skus(catalog: Catalog, sized: DataFrame) -> DataFrame:
+    """One SKU per (item, known size, case-insensitive). New item_ids
+    continue the SKU table in (base_item_id, size order)."""
     base = _max_id(catalog.sku, "item_id")
-    numbered = positions(ok, [], ["base_item_id", "relative_order"], pos_col="_p")
-    skus = numbered.select((F.lit(base) + F.col("_p")).cast("long").alias("item_id"),
+    numbered = positions(sized, [], ["base_item_id", "relative_order"], pos_col="_p")
+    return numbered.select((F.lit(base) + F.col("_p")).cast("long").alias("item_id"),
                            "base_item_id", F.col("size").alias("basic_size"), "feed_item_id", "count")
-    return skus, rejects
 
 
 def opening_stock(skus: DataFrame) -> DataFrame:
@@ -171,45 +164,141 @@ def opening_stock(skus: DataFrame) -> DataFrame:
                        F.col("count").alias("quantity"), F.col("count").cast("long").alias("delta_quantity"))
 
 
+class IngestResult:
+    """The whole feed at once. Tags and vendors upserted, items added with
+    images and tags, SKUs per size, opening audits; all failures in ``rejects``
+    (stage, feed_item_id, detail, code), a document that is no JSON or holds no
+    product list among them.
+
+    Every step is built when it is first read and then kept, so who wants the
+    new SKUs does not pay for images. The parsed documents and the numbered
+    places are written once and read by the later steps.
+    """
+
+    def __init__(self, catalog: Catalog, docs: DataFrame):
+        self.before, self._docs = catalog, docs
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return materialize(self._docs)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return feed_items(self.docs)
+
+    @cached_property
+    def _tags(self) -> tuple[DataFrame, DataFrame]:
+        names = feed_tag_names(self.docs).select(F.col("website_text").alias("name"), "page", "ord")
+        return insert_if_absent(self.before.tag, "tag_id", names, ["page", "ord"])
+
+    @cached_property
+    def _brands(self) -> tuple[DataFrame, DataFrame]:
+        vendors = feed_vendor_names(self.docs).select("name", "page", "handle")
+        return insert_if_absent(self.before.brand, "brand_id", vendors, ["page", "handle"])
+
+    @property
+    def new_tags(self) -> DataFrame:
+        return self._tags[1]
+
+    @property
+    def new_brands(self) -> DataFrame:
+        return self._brands[1]
+
+    @cached_property
+    def _checked(self) -> tuple[DataFrame, DataFrame]:
+        return check_items(self.items)
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        return number_items(self.before, self._checked[0])
+
+    @cached_property
+    def new_images(self) -> DataFrame:
+        return add_images(self.before, self._checked[0])
+
+    @property
+    def _images(self) -> DataFrame:
+        return self.before.image.select("image_id", "url").unionByName(self.new_images)
+
+    @cached_property
+    def new_base_items(self) -> DataFrame:
+        return add_base_items(self._checked[0], self.numbered, self._brands[0], self._images)
+
+    @cached_property
+    def new_item_images(self) -> DataFrame:
+        urls = (self._checked[0].select("page", "pos", F.explode("images").alias("url"))
+                .join(self.numbered, ["page", "pos"]))
+        return urls.join(self._images, "url").select("base_item_id", "image_id").distinct()
+
+    @cached_property
+    def new_item_tags(self) -> DataFrame:
+        tags = self._tags[0].select("tag_id", F.col("name_key").alias("_k"))
+        return (feed_item_tags(self.docs).join(self.numbered, ["page", "pos"])
+                .join(tags, name_key("tag_name") == F.col("_k")).select("tag_id", "base_item_id").distinct())
+
+    @cached_property
+    def _sized(self) -> tuple[DataFrame, DataFrame]:
+        return check_skus(self.numbered, self.items)
+
+    @cached_property
+    def new_skus(self) -> DataFrame:
+        return add_skus(self.before, self._sized[0])
+
+    @cached_property
+    def opening_ledger(self) -> DataFrame:
+        return opening_stock(self.new_skus)
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        broken = self.docs.filter(F.col("doc.product_list").isNull()).select(
+            F.lit("document").alias("stage"), F.lit(None).cast("string").alias("feed_item_id"),
+            (F.col("raw") if "raw" in self.docs.columns else F.lit(None).cast("string")).alias("detail"),
+            F.lit("bad_json").alias("code"))
+        dropped_tags = (self.items.select("feed_item_id", F.explode("tags").alias("feed_tag_id"))
+                        .join(feed_tag_names(self.docs).select("feed_tag_id").distinct(), "feed_tag_id", "left_anti")
+                        .select(F.lit("tag").alias("stage"), "feed_item_id",
+                                F.col("feed_tag_id").cast("string").alias("detail"),
+                                F.lit("unknown_tag_id").alias("code")))
+        return self._checked[1].unionByName(self._sized[1]).unionByName(dropped_tags).unionByName(broken)
+
+    @cached_property
+    def catalog(self) -> Catalog:
+        """The catalogue after the ingest."""
+        old = self.before
+        item_cols = ["base_item_id", "name", "name_key", "description", "brand_id", "thumbnail_image_id", "rating"]
+        return old.with_(
+            tag=self._tags[0], brand=self._brands[0],
+            base_item=old.base_item.unionByName(self.new_base_items.select(*item_cols), allowMissingColumns=True),
+            image=old.image.unionByName(self.new_images, allowMissingColumns=True),
+            base_item_image=old.base_item_image.unionByName(self.new_item_images),
+            tag_item=old.tag_item.unionByName(self.new_item_tags),
+            sku=old.sku.unionByName(self.new_skus.select("item_id", "base_item_id", "basic_size")))
+
+
 def ingest_feed(catalog: Catalog, docs: DataFrame) -> IngestResult:
-    """The whole feed at once: tags and vendors upserted, items added
-    with images and tags, SKUs per size, opening audits; all failures in
-    ``rejects`` (stage, feed_item_id, detail, code), a document that is no JSON or
-    holds no product list among them. The parsed documents
-    and the numbered new rows are written once (checkpoints inside
-    ``positions``) and read by the later steps."""
-    docs = materialize(docs)
-    broken = docs.filter(F.col("doc.product_list").isNull()).select(
-        F.lit("document").alias("stage"), F.lit(None).cast("string").alias("feed_item_id"),
-        (F.col("raw") if "raw" in docs.columns else F.lit(None).cast("string")).alias("detail"),
-        F.lit("bad_json").alias("code"))
-    tag_names = feed_tag_names(docs).select(F.col("website_text").alias("name"), "page", "ord")
-    tag_dim, _new_tags = insert_if_absent(catalog.tag, "tag_id", tag_names, ["page", "ord"])
-    vendors = feed_vendor_names(docs).select("name", "page", "handle")
-    brand_dim, _new_brands = insert_if_absent(catalog.brand, "brand_id", vendors, ["page", "handle"])
-    cat = catalog.with_(tag=tag_dim, brand=brand_dim)
-    items = materialize(feed_items(docs))
-    new_items, new_images, links, rej_items = add_base_items(cat, items)
-    item_tags = (feed_item_tags(docs).join(new_items.select("page", "pos", "base_item_id"), ["page", "pos"])
-                 .join(tag_dim.select("tag_id", F.col("name_key").alias("_k")),
-                       name_key("tag_name") == F.col("_k"))
-                 .select("tag_id", "base_item_id").distinct())
-    skus, rej_skus = add_skus(cat, new_items, items)
-    ledger = opening_stock(skus)
-    dropped_tags = (items.select("feed_item_id", F.explode("tags").alias("feed_tag_id"))
-                    .join(feed_tag_names(docs).select("feed_tag_id").distinct(), "feed_tag_id", "left_anti")
-                    .select(F.lit("tag").alias("stage"), "feed_item_id",
-                            F.col("feed_tag_id").cast("string").alias("detail"),
-                            F.lit("unknown_tag_id").alias("code")))
-    bi_cols = ["base_item_id", "name", "name_key", "description", "brand_id", "thumbnail_image_id", "rating"]
-    new_cat = cat.with_(
-        base_item=cat.base_item.unionByName(new_items.select(*bi_cols), allowMissingColumns=True),
-        image=cat.image.unionByName(new_images, allowMissingColumns=True),
-        base_item_image=cat.base_item_image.unionByName(links),
-        tag_item=cat.tag_item.unionByName(item_tags),
-        sku=cat.sku.unionByName(skus.select("item_id", "base_item_id", "basic_size")))
-    return IngestResult(new_cat, new_items, new_images, links, item_tags, skus, ledger,
-                        rej_items.unionByName(rej_skus).unionByName(dropped_tags).unionByName(broken))
+    return IngestResult(catalog, docs)
+
+
+def added_items(before: Catalog, after: Catalog, ledger: DataFrame) -> DataFrame:
+    """One row (stage, feed_item_id, detail, code), shaped like the rejects, per
+    item that an ingest added: name, brand, rating, thumbnail, and numbers of
+    images, SKUs, opening stock and tags, joined by bars."""
+    known = _max_id(before.base_item, "base_item_id")
+    new = after.base_item.filter(F.col("base_item_id") > known).select("base_item_id", "name", "brand_id", "thumbnail_image_id", "rating")
+
+    def count(rows: DataFrame, n, name: str) -> DataFrame:
+        return rows.filter(F.col("base_item_id") > known).groupBy("base_item_id").agg(n.alias(name))
+
+    stocked = after.sku.filter(F.col("base_item_id") > known).join(ledger.select("item_id", "quantity"), "item_id")
+    x = (new.join(after.brand.select("brand_id", F.col("name").alias("brand")), "brand_id", "left")
+         .join(after.image.select(F.col("image_id").alias("thumbnail_image_id"), "url"), "thumbnail_image_id", "left")
+         .join(count(after.base_item_image, F.count("*"), "images"), "base_item_id", "left")
+         .join(stocked.groupBy("base_item_id").agg(F.count("*").alias("skus"), F.sum("quantity").alias("stock")), "base_item_id", "left")
+         .join(count(after.tag_item, F.count("*"), "tags"), "base_item_id", "left"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+             ("name", "brand", "rating", "url", "images", "skus", "stock", "tags")]
+    return x.select(F.lit("item").alias("stage"), F.lit(None).cast("string").alias("feed_item_id"),
+                    F.concat_ws("|", *parts).alias("detail"), F.lit("added").alias("code"))
 
 
 def feed_image_urls(docs: DataFrame, fmt: str = IMAGE_URL_FORMAT) -> DataFrame:

@@ -693,13 +693,14 @@ register("opening_stock", with_binding(*_FEED, body="""
 SELECT CAST(item_id AS BIGINT) AS item_id, 'audit' AS transaction_event, count AS quantity,
        count AS delta_quantity FROM new_skus"""))
 
-register("ingest_feed", with_binding(*_FEED, body="""
+_REJECTS = """
 SELECT 'base_item' AS stage, feed_item_id, CAST(rating_raw AS VARCHAR) AS detail, 'bad_rating' AS code
   FROM fi WHERE NOT (TRY_CAST(rating_raw AS DECIMAL(2,1)) BETWEEN 0 AND 5)
 UNION ALL
 SELECT 'sku', feed_item_id, size, code FROM sku_rows WHERE code IS NOT NULL
 UNION ALL
-SELECT 'tag', feed_item_id, '9999', 'unknown_tag_id' FROM fi WHERE k % 13 = 0"""))
+SELECT 'tag', feed_item_id, '9999', 'unknown_tag_id' FROM fi WHERE k % 13 = 0"""
+register("ingest_feed", with_binding(*_FEED, body=_REJECTS))
 
 register("feed_image_urls", with_binding(*_FEED, body="""
 SELECT DISTINCT format('https://images.example.com/products/{}?profile=a', unnest(images)) AS url FROM fi"""))
@@ -707,7 +708,15 @@ SELECT DISTINCT format('https://images.example.com/products/{}?profile=a', unnes
 # ---------------------------------------------------------------------------
 # Streams (S1-S3) equal their batch twins.
 SQL["stream_stock_ledger"] = SQL["fold_stock_events"]
-SQL["stream_ingest"] = SQL["ingest_feed"]
+register("stream_ingest", with_binding(*_FEED, body=_REJECTS + """
+UNION ALL
+SELECT 'item', NULL, concat_ws('|', n.name, coalesce(b.name, ''), CAST(n.rating AS VARCHAR), im.url,
+         (SELECT count(DISTINCT u.url) FROM (SELECT feed_item_id, unnest(images) AS url FROM accepted) u
+           WHERE u.feed_item_id = n.feed_item_id),
+         coalesce(CAST(sk.skus AS VARCHAR), ''), coalesce(CAST(sk.stock AS VARCHAR), ''),
+         (SELECT count(DISTINCT lower(f.tag_name)) FROM fi_tags f WHERE f.feed_item_id = n.feed_item_id)), 'added'
+  FROM new_items n LEFT JOIN all_brands b USING (brand_id) LEFT JOIN all_images im ON im.image_id = n.thumbnail_image_id
+  LEFT JOIN (SELECT base_item_id, count(*) AS skus, sum(count) AS stock FROM new_skus GROUP BY base_item_id) sk USING (base_item_id)"""))
 
 DEBOUNCE_SQL = with_binding(body="""
 SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end,

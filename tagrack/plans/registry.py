@@ -382,8 +382,9 @@ def _stream_ingest(spark, sf_dir):
     raw = feed.feed_from_part(b.t, b.tag)
     half = raw.agg(F.percentile_approx("page_id", 0.5)).first()[0]
     waves = [raw.filter(F.col("page_id") <= half), raw.filter(F.col("page_id") > half)]
-    _cat, _ledger, rejects = runner.run_ingest(spark, b.catalog(), waves)
-    return rejects
+    base = b.catalog()
+    cat, ledger, rejects = runner.run_ingest(spark, base, waves)
+    return ingest.added_items(base, cat, ledger).unionByName(rejects)
 
 
 # -- browse, normalised: requests -> tag set, tag set -> items (no request x item rows)

@@ -3,7 +3,8 @@
 Each micro-batch of documents is ingested against the catalogue as the
 earlier batches left it: the base tables plus every delta written so far.
 Deltas land under ``out/<table>/batch=<id>`` (overwrite), so a retried batch
-rewrites its own folder and never duplicates rows.
+rewrites its own folder and never duplicates rows. A mark under ``out/done``
+follows the last table of a batch; readers see marked batches only.
 """
 
 from __future__ import annotations
@@ -47,10 +48,14 @@ def read_state(spark: SparkSession, base: Catalog, out: str, before_batch: int |
 
     With ``before_batch`` only deltas of earlier batches count: a batch that
     is retried after a failure never sees what its own failed attempt wrote.
+    Without it, those of batches written to the end.
     """
+    if before_batch is None:
+        done = read_parquet_if_present(spark, _delta_path(out, "done"))
+        before_batch = 0 if done is None else done.agg(F.max("batch")).first()[0] + 1
     def delta(name: str) -> DataFrame | None:
         written = read_parquet_if_present(spark, _delta_path(out, name))
-        if written is not None and before_batch is not None:
+        if written is not None:
             written = written.filter(F.col("batch") < F.lit(before_batch))
         return written.drop("batch") if written is not None else None
 
@@ -67,14 +72,12 @@ def read_state(spark: SparkSession, base: Catalog, out: str, before_batch: int |
 def ingest_batches(base: Catalog, out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        docs = batch.persist()
         cat, _l, _r = read_state(spark, base, out, before_batch=batch_id)
-        res = ingest.ingest_feed(cat, docs)
+        res = ingest.ingest_feed(cat, batch)
         part = f"batch={batch_id}"
-        new = res.catalog
         frames = {
-            "tag": new.tag.join(cat.tag.select("tag_id"), "tag_id", "left_anti"),
-            "brand": new.brand.join(cat.brand.select("brand_id"), "brand_id", "left_anti"),
+            "tag": res.new_tags,
+            "brand": res.new_brands,
             "base_item": res.new_base_items,
             "image": res.new_images,
             "base_item_image": res.new_item_images,
@@ -82,9 +85,9 @@ def ingest_batches(base: Catalog, out: str):
             "sku": res.new_skus,
             "ledger": res.opening_ledger,
             "rejects": res.rejects,
+            "done": spark.range(1),  # last: the batch is whole
         }
         for table, df in frames.items():
             cols = DELTAS.get(table, df.columns)
             df.select(*cols).write.mode("overwrite").parquet(os.path.join(_delta_path(out, table), part))
-        docs.unpersist()
     return write

@@ -106,6 +106,22 @@ def test_stream_batch_retry_is_idempotent(spark, cat, docs):
     assert [r[0] for r in rows(sing.read_state(spark, cat, out)[0].base_item, "base_item_id")] == [1, 2, 3, 4, 5]
 
 
+def test_readers_see_whole_batches_only(spark, cat, docs):
+    from tagrack.session import scratch_path
+    from tagrack.streaming import ingest as sing
+    out = scratch_path(spark, "ingest-half")
+    sing.ingest_batches(cat, out)(docs, 0)
+    whole = rows(sing.read_state(spark, cat, out)[0].base_item, "base_item_id")
+    spark.createDataFrame([(99, "x")], "base_item_id long, name string").write.parquet(f"{out}/base_item/batch=1")
+    assert rows(sing.read_state(spark, cat, out)[0].base_item, "base_item_id") == whole
+
+
+def test_steps_are_built_only_when_read(spark, cat, docs):
+    r = ingest.ingest_feed(cat, docs)
+    assert r.new_skus.count() == 1
+    assert not {"new_images", "new_base_items", "_tags", "_brands"} & set(vars(r))
+
+
 def test_feed_text_sink_and_source_roundtrip(spark, docs):
     from tagrack.session import scratch_path
     raw = spark.createDataFrame([(json.dumps(d),) for d in DOCS], "raw string")
