@@ -90,10 +90,11 @@ def rate_of(posterior: Column, steps: list[Step], start: float = 1.0) -> Column:
     if not steps:
         return F.lit(float(start))
     taken = F.from_json(F.lit(dumps([{"beta": b, "push": p} for b, p in steps])), "array<struct<beta:double,push:array<double>>>")
-    pull = lambda s: F.aggregate(F.zip_with(posterior, s["push"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    first = F.struct(F.lit(float(start)).alias("rate"), F.lit(float(start)).alias("prev"))
+    pull = lambda at, s: F.aggregate(F.zip_with(at["of"], s["push"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    # the posterior travels in the state: inside the lambda it would be computed at every step
+    first = F.struct(F.lit(float(start)).alias("rate"), F.lit(float(start)).alias("prev"), posterior.alias("of"))
     return F.aggregate(taken, first, lambda at, s: F.struct(
-        _moved(at["rate"], at["prev"], s["beta"], pull(s)).alias("rate"), at["rate"].alias("prev")))["rate"]
+        _moved(at["rate"], at["prev"], s["beta"], pull(at, s)).alias("rate"), at["rate"].alias("prev"), at["of"].alias("of")))["rate"]
 
 
 def fit_rates(docs: DataFrame, targets: list[float], start: float = 1.0) -> tuple[DataFrame, list[float]]:
