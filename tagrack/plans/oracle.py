@@ -12,17 +12,17 @@ from ..functions.text import fold_sql
 # Catalogue binding (FIXTURES.md §3), as CTEs.
 BINDING = """
 brand AS (
-  SELECT CAST(substr(p_brand, 7) AS INT) AS brand_id, p_brand AS name
+  SELECT CAST(substr(p_brand, 7) AS BIGINT) AS brand_id, p_brand AS name
     FROM (SELECT DISTINCT p_brand FROM part) b
   UNION ALL
-  SELECT CAST(100000 + min(doc_id) AS INT) AS brand_id, min_by(tok, doc_id) AS name
+  SELECT CAST(100000 + min(doc_id) AS BIGINT) AS brand_id, min_by(tok, doc_id) AS name
     FROM (SELECT doc_id, split_part(replace(text, chr(10), ' '), ' ', 1) AS tok FROM documents) d
    WHERE tok <> '' GROUP BY lower(tok)),
 base_item AS (
   SELECT p_partkey AS base_item_id,
          CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name,
          concat(p_type, ' size ', CAST(p_size AS VARCHAR(10))) AS description,
-         CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE CAST(substr(p_brand, 7) AS INT) END AS brand_id,
+         CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE CAST(substr(p_brand, 7) AS BIGINT) END AS brand_id,
          CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey END AS thumbnail_image_id,
          CASE WHEN p_partkey % 53 = 0 THEN NULL
               ELSE CAST(CAST(p_partkey % 51 AS DECIMAL(4,1)) / 10 AS DECIMAL(2,1)) END AS rating
@@ -80,9 +80,9 @@ search_log AS (
 FOLD = fold_sql
 
 
-def with_binding(*ctes: str, body: str) -> str:
+def with_binding(*ctes: str, body: str, recursive: bool = False) -> str:
     parts = [BINDING.strip()] + [c.strip() for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body.strip()
 
 
 SQL: dict[str, str] = {}
@@ -438,29 +438,42 @@ signup_req AS (
               ELSE concat('new-', CAST(e.event_id AS VARCHAR)) END AS username,
          CASE WHEN e.event_id % 5 = 0 THEN upper(concat(replace(c.c_name, '#', '.'), '@example.com'))
               WHEN e.event_id % 5 = 1 THEN 'not an email' WHEN e.event_id % 5 = 2 THEN NULL
-              ELSE concat('u', CAST(e.event_id AS VARCHAR), '@example.org') END AS email
+              WHEN e.event_id % 5 = 3 THEN concat('u', CAST(e.event_id AS VARCHAR), '@example.org')
+              ELSE concat('U', CAST(e.event_id // 40 AS VARCHAR), '@example.org') END AS email
     FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'signup')"""
 
-register("register_users", with_binding(SIGNUPS, body=f"""
+# Sign-ups one by one in order of seq: a row clashes only with rows accepted
+# before it, so the walk carries the accepted usernames and emails (as ranks).
+SIGNUP_WALK = f"""
+checked AS (
+  SELECT s.*, CASE WHEN s.first_name IS NULL OR s.last_name IS NULL OR s.username IS NULL
+                        OR s.email IS NULL THEN 'missing_field'
+                   WHEN NOT regexp_matches(s.email, '{_EMAIL_SQL}') THEN 'bad_email'
+                   WHEN EXISTS (SELECT 1 FROM site_user u WHERE u.username = s.username) THEN 'username_taken'
+                   WHEN EXISTS (SELECT 1 FROM site_user u WHERE lower(u.email) = lower(s.email))
+                     THEN 'email_taken' END AS refused
+    FROM signup_req s),
+queue AS (
+  SELECT seq, row_number() OVER (ORDER BY seq) AS n, dense_rank() OVER (ORDER BY username) AS u,
+         dense_rank() OVER (ORDER BY lower(email)) AS e
+    FROM checked WHERE refused IS NULL),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, false AS ok,
+         CAST([] AS BIGINT[]) AS us, CAST([] AS BIGINT[]) AS es
+  UNION ALL
+  SELECT n, seq, ok, CASE WHEN ok THEN list_append(us, u) ELSE us END, CASE WHEN ok THEN list_append(es, e) ELSE es END
+    FROM (SELECT q.n, q.seq, q.u, q.e, w.us, w.es,
+                 NOT list_contains(w.us, q.u) AND NOT list_contains(w.es, q.e) AS ok
+            FROM walk w JOIN queue q ON q.n = w.n + 1) x)"""
+
+register("register_users", with_binding(SIGNUPS, SIGNUP_WALK, recursive=True, body="""
 SELECT seq, status,
        CASE WHEN status = 'ok' THEN (SELECT max(site_user_id) FROM site_user)
             + row_number() OVER (PARTITION BY status = 'ok' ORDER BY seq) END AS site_user_id,
        CASE WHEN status = 'ok' THEN (SELECT max(closet_id) FROM closet)
             + row_number() OVER (PARTITION BY status = 'ok' ORDER BY seq) END AS favorites_closet_id
-  FROM (SELECT seq,
-               CASE WHEN base IS NOT NULL THEN base
-                    WHEN row_number() OVER (PARTITION BY base IS NULL, username ORDER BY seq) > 1
-                      OR row_number() OVER (PARTITION BY base IS NULL, lower(email) ORDER BY seq) > 1
-                    THEN 'duplicate_in_batch' ELSE 'ok' END AS status
-          FROM (SELECT s.*,
-                       CASE WHEN s.first_name IS NULL OR s.last_name IS NULL OR s.username IS NULL
-                                 OR s.email IS NULL THEN 'missing_field'
-                            WHEN NOT regexp_matches(s.email, '{_EMAIL_SQL}') THEN 'bad_email'
-                            WHEN EXISTS (SELECT 1 FROM site_user u WHERE u.username = s.username)
-                              THEN 'username_taken'
-                            WHEN EXISTS (SELECT 1 FROM site_user u WHERE lower(u.email) = lower(s.email))
-                              THEN 'email_taken' END AS base
-                  FROM signup_req s) a) b"""))
+  FROM (SELECT c.seq, coalesce(c.refused, CASE WHEN w.ok THEN 'ok' ELSE 'duplicate_in_batch' END) AS status
+          FROM checked c LEFT JOIN walk w ON w.seq = c.seq) b"""))
 
 SESSIONS = """
 sessions AS (
@@ -666,12 +679,12 @@ SELECT feed_item_id, page, title, vendor, rating_raw, CAST(len(images) AS INTEGE
 
 register("insert_if_absent", with_binding(*_FEED, body="""
 SELECT 'tag' AS dim, CAST(tag_id AS INT) AS id, name FROM new_tags
-UNION ALL SELECT 'brand', CAST(brand_id AS INT), name FROM new_brands"""))
+UNION ALL SELECT 'brand', CAST(brand_id AS BIGINT), name FROM new_brands"""))
 
 register("feed_item_tags", with_binding(*_FEED, body="SELECT feed_item_id, tag_name FROM fi_tags"))
 
 register("add_base_items", with_binding(*_FEED, body="""
-SELECT feed_item_id, CAST(base_item_id AS BIGINT) AS base_item_id, name, CAST(brand_id AS INTEGER) AS brand_id,
+SELECT feed_item_id, CAST(base_item_id AS BIGINT) AS base_item_id, name, CAST(brand_id AS BIGINT) AS brand_id,
        CAST(thumbnail_image_id AS BIGINT) AS thumbnail_image_id, rating FROM new_items"""))
 
 register("attach_images", with_binding(*_FEED, body="""

@@ -44,7 +44,7 @@ class Binding:
     def brand(self) -> DataFrame:
         part = self.t.part
         from_part = (part.select("p_brand").distinct()
-                     .select(F.substring("p_brand", 7, 1 << 20).cast("int").alias("brand_id"),
+                     .select(F.substring("p_brand", 7, 1 << 20).cast("long").alias("brand_id"),
                              F.col("p_brand").alias("name")))
         docs = self.t.documents.select(
             "doc_id",
@@ -53,7 +53,7 @@ class Binding:
         from_docs = (docs.filter(F.col("tok") != "")
                      .groupBy(F.lower("tok").alias("_k"))
                      .agg(F.min("doc_id").alias("_d"), F.min_by("tok", "doc_id").alias("name"))
-                     .select((F.lit(100000) + F.col("_d")).cast("int").alias("brand_id"), "name"))
+                     .select((F.lit(100000) + F.col("_d")).cast("long").alias("brand_id"), "name"))
         return (from_part.unionByName(from_docs)
                 .withColumn("name_key", name_key("name")))
 
@@ -65,7 +65,7 @@ class Binding:
             F.when(k % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"),
             F.concat(F.col("p_type"), F.lit(" size "), F.col("p_size").cast("string")).alias("description"),
             F.when(k % 97 == 0, F.lit(None)).otherwise(
-                F.substring("p_brand", 7, 1 << 20).cast("int")).alias("brand_id"),
+                F.substring("p_brand", 7, 1 << 20).cast("long")).alias("brand_id"),
             F.when(k % 10 == 0, F.lit(None)).otherwise(k).alias("thumbnail_image_id"),
             F.when(k % 53 == 0, F.lit(None)).otherwise(
                 ((k % 51).cast("decimal(4,1)") / 10).cast("decimal(2,1)")).alias("rating"),

@@ -54,7 +54,9 @@ FEED_SCHEMA = T.StructType([
 ])
 
 ITEMS_PER_PAGE = 48  # feed page size of the reference's crawler
-UNKNOWN_TAG_ID = 9999
+# Tag ids of built documents: five size tags, an unknown one, and the catalogue's
+# tags above both, so that no number of tags makes them meet.
+SIZE_TAGS_FROM, UNKNOWN_TAG_ID, CATALOGUE_TAGS_FROM = 2_000, 9_999, 10_000
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -96,11 +98,11 @@ def feed_from_part(t: Tables, tag: DataFrame) -> DataFrame:
     w1 = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
     w2 = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
     names = tag.select("tag_id", "name")
-    # the item's catalogue tags, as feed tag ids (catalogue id + 1000)
+    # the item's catalogue tags, as feed tag ids
     item_tags = (p.select("p_partkey", F.explode(F.array(w1, w2, F.lower("p_type"))).alias("name"))
                  .join(names, "name")
-                 .groupBy("p_partkey").agg(F.array_sort(F.collect_set(F.col("tag_id") + 1000)).alias("_t")))
-    size_tag = (F.col("p_size") % 5 + 2000).cast("int")
+                 .groupBy("p_partkey").agg(F.array_sort(F.collect_set(F.col("tag_id") + CATALOGUE_TAGS_FROM)).alias("_t")))
+    size_tag = (F.col("p_size") % 5 + SIZE_TAGS_FROM).cast("int")
     label = F.concat(F.lit("Label "), (k % 7).cast("string"))
     vendor = (F.when(k % 97 == 0, F.lit("Unknown Vendor")).when(k % 89 == 0, label)
               .when(k % 5 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")))
@@ -146,15 +148,15 @@ def feed_from_part(t: Tables, tag: DataFrame) -> DataFrame:
     rows = (p.join(item_tags, "p_partkey", "left")
             .select(F.floor(k / ITEMS_PER_PAGE).alias("page_id"), k.alias("_k"), item.alias("item"),
                     tag_entries.alias("_te"), vend.alias("_v")))
-    tag_text = names.select((F.col("tag_id") + 1000).alias("tag_id"), F.col("name").alias("tag_name"))
+    tag_text = names.select((F.col("tag_id") + CATALOGUE_TAGS_FROM).alias("tag_id"), F.col("name").alias("tag_name"))
     page_tags = (rows.select("page_id", F.explode("_te.tag_id").alias("tag_id")).distinct()
                  .join(tag_text, "tag_id", "left")
                  .select("page_id", F.struct(
                      F.col("tag_id").cast("int").alias("tag_id"),
-                     F.coalesce("tag_name", F.concat(F.lit("size-"), (F.col("tag_id") - 2000).cast("string")))
+                     F.coalesce("tag_name", F.concat(F.lit("size-"), (F.col("tag_id") - SIZE_TAGS_FROM).cast("string")))
                       .alias("tag_name"),
                      F.initcap(F.coalesce("tag_name", F.concat(F.lit("size-"),
-                                                               (F.col("tag_id") - 2000).cast("string"))))
+                                                               (F.col("tag_id") - SIZE_TAGS_FROM).cast("string"))))
                       .alias("website_text")).alias("t"))
                  .groupBy("page_id").agg(F.array_sort(F.collect_list("t")).alias("tag_list")))
     vendors = (rows.select("page_id", F.explode("_v").alias("v")).distinct()

@@ -122,7 +122,8 @@ def signups(t: Tables) -> DataFrame:
                                                     F.lit("@example.com"))))
              .when(eid % 5 == 1, F.lit("not an email"))
              .when(eid % 5 == 2, F.lit(None).cast("string"))
-             .otherwise(F.concat(F.lit("u"), eid.cast("string"), F.lit("@example.org"))))
+             .when(eid % 5 == 3, F.concat(F.lit("u"), eid.cast("string"), F.lit("@example.org")))
+             .otherwise(F.concat(F.lit("U"), F.floor(eid / 40).cast("string"), F.lit("@example.org"))))
     return x.select(eid.alias("seq"), F.lit("New").alias("first_name"),
                     F.concat(F.lit("User"), uid.cast("string")).alias("last_name"),
                     username.alias("username"), email.alias("email"))
