@@ -21,6 +21,10 @@ from ..plans.materialize import materialize
 IMAGE_URL_FORMAT = "https://images.example.com/products/%s?profile=a"
 
 
+# The tables whose rows an ingest numbers, with their id.
+ID_COLUMNS = {"tag": "tag_id", "brand": "brand_id", "base_item": "base_item_id", "image": "image_id", "sku": "item_id"}
+
+
 def _max_id(df: DataFrame, col: str) -> int:
     return int(df.agg(F.max(col)).first()[0] or 0)
 
@@ -63,18 +67,19 @@ def feed_vendor_names(docs: DataFrame) -> DataFrame:
     return x
 
 
-def insert_if_absent(dim: DataFrame, id_col: str, names: DataFrame, order: list[str]
-                     ) -> tuple[DataFrame, DataFrame]:
+def insert_if_absent(dim: DataFrame, id_col: str, names: DataFrame, order: list[str],
+                     top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Add names not yet present (case-insensitive); the first spelling
     in ``order`` wins; conflicts keep the existing row. New ids continue the
-    table in name_key order. Returns (dimension with new rows, new rows)."""
+    table in name_key order, from ``top`` (read from the table unless given).
+    Returns (dimension with new rows, new rows)."""
     n = names.filter(F.col("name").isNotNull()).withColumn("name_key", name_key("name"))
     first = (n.groupBy("name_key")
              .agg(F.min_by("name", F.struct(*order)).alias("name")))
     new = first.join(dim.select("name_key"), "name_key", "left_anti")
-    base = _max_id(dim, id_col)
+    base = _max_id(dim, id_col) if top is None else top
     numbered = positions(new, [], ["name_key"], pos_col="_p")
-    new_rows = numbered.select((F.lit(base) + F.col("_p")).cast("int").alias(id_col), "name", "name_key")
+    new_rows = numbered.select((F.lit(base) + F.col("_p")).cast(dim.schema[id_col].dataType).alias(id_col), "name", "name_key")
     return dim.unionByName(new_rows.select(*dim.columns)), new_rows
 
 
@@ -105,23 +110,21 @@ def check_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x.filter(F.col("_code").isNull()).drop("_code"), rejects
 
 
-def number_items(catalog: Catalog, accepted: DataFrame) -> DataFrame:
-    """(page, pos, base_item_id): each accepted item gets a new id in feed order
-    (not idempotent, as in the reference). Only the places are sorted."""
+def number_items(accepted: DataFrame, top: int) -> DataFrame:
+    """(page, pos, base_item_id): each accepted item gets a new id after ``top``
+    in feed order (not idempotent, as in the reference). Only the places are sorted."""
     numbered = positions(accepted.select("page", "pos"), [], ["page", "pos"], pos_col="_p")
-    base = _max_id(catalog.base_item, "base_item_id")
-    return numbered.select("page", "pos", (F.lit(base) + F.col("_p")).cast("long").alias("base_item_id"))
+    return numbered.select("page", "pos", (F.lit(top) + F.col("_p")).cast("long").alias("base_item_id"))
 
 
-def add_images(catalog: Catalog, accepted: DataFrame) -> DataFrame:
+def add_images(catalog: Catalog, accepted: DataFrame, top: int) -> DataFrame:
     """Thumbnails and image lists of accepted items, inserted if absent."""
     urls = (accepted.select(F.explode(F.array_union(
                 F.when(F.col("thumbnail_image").isNull(), F.array().cast("array<string>"))
                 .otherwise(F.array("thumbnail_image")), F.col("images"))).alias("url"))
             .distinct().join(catalog.image.select("url"), "url", "left_anti"))
-    base = _max_id(catalog.image, "image_id")
     return (positions(urls, [], ["url"], pos_col="_p")
-            .select((F.lit(base) + F.col("_p")).cast("long").alias("image_id"), "url"))
+            .select((F.lit(top) + F.col("_p")).cast("long").alias("image_id"), "url"))
 
 
 def add_base_items(accepted: DataFrame, numbered: DataFrame, brand: DataFrame, image: DataFrame) -> DataFrame:
@@ -148,12 +151,11 @@ def check_skus(numbered: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFr
     return x.filter(F.col("_code").isNull()).drop("_code", "page", "pos"), rejects
 
 
-def add_skus(catalog: Catalog, sized: DataFrame) -> DataFrame:
+def add_skus(sized: DataFrame, top: int) -> DataFrame:
     """One SKU per (item, known size, case-insensitive). New item_ids
-    continue the SKU table in (base_item_id, size order)."""
-    base = _max_id(catalog.sku, "item_id")
+    continue after ``top`` in (base_item_id, size order)."""
     numbered = positions(sized, [], ["base_item_id", "relative_order"], pos_col="_p")
-    return numbered.select((F.lit(base) + F.col("_p")).cast("long").alias("item_id"),
+    return numbered.select((F.lit(top) + F.col("_p")).cast("long").alias("item_id"),
                            "base_item_id", F.col("size").alias("basic_size"), "feed_item_id", "count")
 
 
@@ -172,11 +174,18 @@ class IngestResult:
 
     Every step is built when it is first read and then kept, so who wants the
     new SKUs does not pay for images. The parsed documents and the numbered
-    places are written once and read by the later steps.
+    places are written once and read by the later steps. ``tops`` are the
+    largest ids by table, where known; the others are read from the catalogue.
     """
 
-    def __init__(self, catalog: Catalog, docs: DataFrame):
-        self.before, self._docs = catalog, docs
+    def __init__(self, catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None):
+        self.before, self._docs, self._tops = catalog, docs, dict(tops or {})
+
+    def top(self, table: str) -> int:
+        """The largest id of a table before the ingest."""
+        if table not in self._tops:
+            self._tops[table] = _max_id(getattr(self.before, table), ID_COLUMNS[table])
+        return self._tops[table]
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -189,12 +198,12 @@ class IngestResult:
     @cached_property
     def _tags(self) -> tuple[DataFrame, DataFrame]:
         names = feed_tag_names(self.docs).select(F.col("website_text").alias("name"), "page", "ord")
-        return insert_if_absent(self.before.tag, "tag_id", names, ["page", "ord"])
+        return insert_if_absent(self.before.tag, "tag_id", names, ["page", "ord"], self.top("tag"))
 
     @cached_property
     def _brands(self) -> tuple[DataFrame, DataFrame]:
         vendors = feed_vendor_names(self.docs).select("name", "page", "handle")
-        return insert_if_absent(self.before.brand, "brand_id", vendors, ["page", "handle"])
+        return insert_if_absent(self.before.brand, "brand_id", vendors, ["page", "handle"], self.top("brand"))
 
     @property
     def new_tags(self) -> DataFrame:
@@ -210,11 +219,11 @@ class IngestResult:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return number_items(self.before, self._checked[0])
+        return number_items(self._checked[0], self.top("base_item"))
 
     @cached_property
     def new_images(self) -> DataFrame:
-        return add_images(self.before, self._checked[0])
+        return add_images(self.before, self._checked[0], self.top("image"))
 
     @property
     def _images(self) -> DataFrame:
@@ -242,7 +251,7 @@ class IngestResult:
 
     @cached_property
     def new_skus(self) -> DataFrame:
-        return add_skus(self.before, self._sized[0])
+        return add_skus(self._sized[0], self.top("sku"))
 
     @cached_property
     def opening_ledger(self) -> DataFrame:
@@ -275,8 +284,8 @@ class IngestResult:
             sku=old.sku.unionByName(self.new_skus.select("item_id", "base_item_id", "basic_size")))
 
 
-def ingest_feed(catalog: Catalog, docs: DataFrame) -> IngestResult:
-    return IngestResult(catalog, docs)
+def ingest_feed(catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None) -> IngestResult:
+    return IngestResult(catalog, docs, tops)
 
 
 def added_items(before: Catalog, after: Catalog, ledger: DataFrame) -> DataFrame:

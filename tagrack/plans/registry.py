@@ -15,6 +15,7 @@ from ..operators import browse, detail, ingest, integrity, related, search, stoc
 from ..sources import feed
 from ..sources import requests as rq
 from ..sources.binding import Binding
+from .materialize import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -379,7 +380,7 @@ def _stream_ingest(spark, sf_dir):
     from pyspark.sql import functions as F
     from ..streaming import runner
     b = Binding.of(spark, sf_dir)
-    raw = feed.feed_from_part(b.t, b.tag)
+    raw = written(feed.feed_from_part(b.t, b.tag), "feed")  # read by the cut and both waves
     half = raw.agg(F.percentile_approx("page_id", 0.5)).first()[0]
     waves = [raw.filter(F.col("page_id") <= half), raw.filter(F.col("page_id") > half)]
     base = b.catalog()

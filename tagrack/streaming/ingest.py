@@ -4,7 +4,10 @@ Each micro-batch of documents is ingested against the catalogue as the
 earlier batches left it: the base tables plus every delta written so far.
 Deltas land under ``out/<table>/batch=<id>`` (overwrite), so a retried batch
 rewrites its own folder and never duplicates rows. A mark under ``out/done``
-follows the last table of a batch; readers see marked batches only.
+follows the last table of a batch; readers see marked batches only. The mark
+holds the largest id of every numbered table, so later batches number on from
+it instead of reading whole tables; the base must not gain rows of its own
+while a stream adds to it.
 """
 
 from __future__ import annotations
@@ -69,11 +72,22 @@ def read_state(spark: SparkSession, base: Catalog, out: str, before_batch: int |
     return base.with_(**changes), delta("ledger"), delta("rejects")
 
 
+def read_tops(spark: SparkSession, out: str, before_batch: int) -> dict[str, int]:
+    """Largest ids by table after the last whole batch before ``before_batch``;
+    empty before the first."""
+    done = read_parquet_if_present(spark, _delta_path(out, "done"))
+    if done is None:
+        return {}
+    last = done.filter(F.col("batch") < before_batch).agg(
+        F.max_by(F.struct(*ingest.ID_COLUMNS), "batch").alias("tops")).first()["tops"]
+    return last.asDict() if last else {}
+
+
 def ingest_batches(base: Catalog, out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cat, _l, _r = read_state(spark, base, out, before_batch=batch_id)
-        res = ingest.ingest_feed(cat, batch)
+        res = ingest.ingest_feed(cat, batch, read_tops(spark, out, batch_id))
         part = f"batch={batch_id}"
         frames = {
             "tag": res.new_tags,
@@ -85,9 +99,16 @@ def ingest_batches(base: Catalog, out: str):
             "sku": res.new_skus,
             "ledger": res.opening_ledger,
             "rejects": res.rejects,
-            "done": spark.range(1),  # last: the batch is whole
         }
+        tops = {}
         for table, df in frames.items():
-            cols = DELTAS.get(table, df.columns)
-            df.select(*cols).write.mode("overwrite").parquet(os.path.join(_delta_path(out, table), part))
+            path = os.path.join(_delta_path(out, table), part)
+            rows = df.select(*DELTAS.get(table, df.columns))
+            rows.write.mode("overwrite").parquet(path)
+            if table in ingest.ID_COLUMNS:
+                added = spark.read.schema(rows.schema).parquet(path).agg(F.max(ingest.ID_COLUMNS[table])).first()[0]
+                tops[table] = res.top(table) if added is None else added
+        # last: the batch is whole
+        mark = spark.range(1).select(*[F.lit(n).cast("long").alias(t) for t, n in tops.items()])
+        mark.write.mode("overwrite").parquet(os.path.join(_delta_path(out, "done"), part))
     return write

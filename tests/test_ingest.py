@@ -106,6 +106,23 @@ def test_stream_batch_retry_is_idempotent(spark, cat, docs):
     assert [r[0] for r in rows(sing.read_state(spark, cat, out)[0].base_item, "base_item_id")] == [1, 2, 3, 4, 5]
 
 
+def test_marks_carry_the_largest_ids(spark, cat, docs):
+    from tagrack.session import scratch_path
+    from tagrack.streaming import ingest as sing
+    out = scratch_path(spark, "ingest-tops")
+    write = sing.ingest_batches(cat, out)
+    assert sing.read_tops(spark, out, 0) == {}
+    write(docs, 0)
+    state = sing.read_state(spark, cat, out)[0]
+    want = {t: state_max for t, c in ingest.ID_COLUMNS.items()
+            if (state_max := getattr(state, t).agg({c: "max"}).first()[0]) is not None}
+    tops = sing.read_tops(spark, out, 1)
+    assert {t: tops[t] for t in want} == want
+    assert sing.read_tops(spark, out, 0) == {}      # a retried batch sees earlier marks only
+    write(docs.limit(0), 1)                         # a batch that adds nothing keeps them
+    assert sing.read_tops(spark, out, 2) == tops
+
+
 def test_readers_see_whole_batches_only(spark, cat, docs):
     from tagrack.session import scratch_path
     from tagrack.streaming import ingest as sing
