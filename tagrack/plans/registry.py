@@ -252,17 +252,12 @@ def _closet_item_counts(spark, sf_dir):
 
 
 # -- integrity, summaries (U39, D1, D3) ------------------------------------------
-FIRST_LEDGER_END = "1992-07-01"
-
-
 @query("delete_base_items")
 def _delete_base_items(spark, sf_dir):
-    """Status per requested id and how many rows of each kind its deletion takes
-    along; the ledger is that of the first half year, so some items are free."""
-    from pyspark.sql import functions as F
+    """Status per requested id, against the whole ledger, and how many rows of
+    each kind its deletion takes along."""
     b = Binding.of(spark, sf_dir)
-    ledger = b.stock_event.filter(F.col("transaction_date") < F.lit(FIRST_LEDGER_END).cast("timestamp_ntz"))
-    _cat, status = integrity.delete_base_items(b.catalog(), ledger, rq.delete_requests(b.t))
+    _cat, status = integrity.delete_base_items(b.catalog(), b.stock_event, rq.delete_requests(b.t))
     return integrity.cascaded_counts(b.catalog(), status)
 
 

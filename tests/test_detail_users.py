@@ -53,6 +53,22 @@ def test_delete_cascade_and_restrict(spark, cat):
     assert rows(new.tag_item) == [(1, 1)] and rows(new.sku, "item_id") == [(10,), (11,), (12,), (13,)]
 
 
+def test_registered_deletion_sees_the_whole_ledger(spark, sf_dir, tmp_path):
+    from pathlib import Path
+
+    from tagrack.plans.registry import QUERIES
+    for t in Path(sf_dir).iterdir():
+        if t.name != "lineitem.parquet":
+            (tmp_path / t.name).symlink_to(t)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.where("l_partkey % 3 <> 0").write.parquet(f"{tmp_path}/lineitem.parquet")  # every third item is free
+    got = {r["base_item_id"]: r["status"] for r in QUERIES["delete_base_items"](spark, str(tmp_path)).collect()}
+    parts = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
+    used = {r[0] for r in lines.select("l_partkey").distinct().collect() if r[0] % 3}
+    assert got == {i: "missing" if i not in parts else "restricted" if i in used else "ok" for i in got}
+    assert set(got.values()) == {"missing", "restricted", "ok"}
+
+
 def test_rating_buckets_bounds(spark):
     from decimal import Decimal
     df = spark.createDataFrame([(1, Decimal(x)) if x is not None else (1, None)
