@@ -3,11 +3,15 @@
 A classifier fitted on a labelled table gives every document a posterior over
 domains. Rates r >= 0, one per document, are then fitted so that the expected
 tokens of each domain, sum of rate * tokens * posterior, meet the targets:
-projected gradient for the least squares ||A r - T||^2 over all documents,
+projected gradient for the least squares of A r - T over all documents,
 starting at rate 1. Each step needs the domain totals of all documents, one
 distributed sum of a handful of numbers, and moves every rate where it lies.
 With the rates weighed by tokens the step of a document depends on its
-posterior only, and documents of equal posterior get equal rates.
+posterior only, and documents of equal posterior get equal rates. The residual is
+measured in the inverse of the domains' small Gram matrix, so a scarce domain
+moves as fast as a dominant one. Steps go on until every domain is within
+``TOLERANCE`` of its target, or, where no rates meet the targets, until the
+residual stands still; it is logged.
 
 DataFrame and pyspark.ml functions only; no Python runs on the executors.
 
@@ -21,9 +25,11 @@ its residual stays. Repeated rows and null ids get rates like any other.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 from json import dumps
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -35,9 +41,11 @@ from .common import bounded_share, text_or_empty, written
 # Documented bound: the classifier is fitted on about this many labelled rows.
 MAX_TRAINING_ROWS = 10_000
 FEATURES = 1 << 12
-STEPS = 60
 STEPS_PER_WRITE = 15
 TOLERANCE = 1e-4
+# Where a block of steps lowers the residual by less than this share, it stands still.
+LEAST_GAIN = 1e-2
+_LOG = logging.getLogger(__name__)
 
 
 def words(text_col: str = "text") -> Column:
@@ -107,31 +115,28 @@ def fit_rates(docs: DataFrame, targets: list[float], start: float = 1.0) -> tupl
 def fit_steps(docs: DataFrame, targets: list[float], start: float = 1.0) -> tuple[DataFrame, list[float], list[Step]]:
     """``fit_rates`` and the steps taken.
 
-    Momentum steps of projected gradient, restarted when the residual grows; the
-    step is 1 / trace of A A', computed from the data, so it never overshoots.
+    Momentum steps of projected gradient, restarted when the residual grows; in
+    the metric of the inverse Gram matrix a step of length 1 never overshoots.
     """
     d = range(len(targets))
     p = [F.col("posterior")[i] for i in d]
     total = lambda rate: [F.sum(F.col("tokens") * rate * p[i]) for i in d]
-    gram = docs.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in d for j in d]).first()
-    lam = _largest([[float(gram[f"g{i}_{j}"] or 0.0) for j in d] for i in d])
+    inverse = _inverse(_gram(docs, len(targets)))
     docs = docs.withColumn("rate", F.lit(float(start))).withColumn("_prev", F.lit(float(start)))
-    if lam <= 0:
+    if not inverse.any():
         return docs.drop("_prev"), [0.0 for _ in d], []
     steps: list[Step] = []
     now = [float(x or 0.0) for x in docs.agg(*total(F.col("rate"))).first()]
     was, beta, t = now, 0.0, 1.0
-    norm = lambda x: sum((a - b) ** 2 for a, b in zip(x, targets, strict=True)) ** 0.5
-    scale = max(sum(targets), 1.0)
-    for step in range(1, STEPS + 1):
-        if norm(now) <= TOLERANCE * scale:
-            break
+    norm = lambda x: float((np.subtract(x, targets) @ inverse @ np.subtract(x, targets)).clip(0) ** 0.5)
+    block = norm(now)
+    while missed(now, targets) > TOLERANCE:
         ahead = [a + beta * (a - b) for a, b in zip(now, was, strict=True)]  # totals are linear in the rates
-        push = [(a - b) / lam for a, b in zip(ahead, targets, strict=True)]
+        push = [float(x) for x in inverse @ np.subtract(ahead, targets)]
         steps.append((beta, push))
         moved = _moved(F.col("rate"), F.col("_prev"), F.lit(beta), _sum([p[i] * F.lit(push[i]) for i in d]))
         docs = docs.withColumns({"rate": moved, "_prev": F.col("rate")})
-        if step % STEPS_PER_WRITE == 0:
+        if len(steps) % STEPS_PER_WRITE == 0:
             docs = written(docs, "rates")  # cuts the chain of steps
         after = [float(x or 0.0) for x in docs.agg(*total(F.col("rate"))).first()]
         if norm(after) > norm(now):
@@ -140,13 +145,32 @@ def fit_steps(docs: DataFrame, targets: list[float], start: float = 1.0) -> tupl
             nxt = (1 + (1 + 4 * t * t) ** 0.5) / 2
             t, beta = nxt, (t - 1) / nxt
         was, now = now, after
+        if len(steps) % STEPS_PER_WRITE == 0:
+            if norm(now) > (1 - LEAST_GAIN) * block:
+                break
+            block = norm(now)
     return docs.drop("_prev"), now, steps
 
 
-def _largest(gram: list[list[float]]) -> float:
-    """Largest eigenvalue of a small non-negative symmetric matrix, from above
-    by its row sums, which suffices as a step length."""
-    return max((sum(row) for row in gram), default=0.0)
+def missed(reached: list[float], targets: list[float]) -> float:
+    """Largest residual of a domain as a share of its target; of a target of 0,
+    as a share of all."""
+    return max((abs(a - b) / (b if b > 0 else max(sum(targets), 1.0)) for a, b in zip(reached, targets, strict=True)), default=0.0)
+
+
+def _gram(docs: DataFrame, n: int) -> np.ndarray:
+    """Token-weighed products of the domains' posteriors."""
+    p = [F.col("posterior")[i] for i in range(n)]
+    got = docs.agg(*[F.sum(F.col("tokens") * p[i] * p[j]) for i in range(n) for j in range(n)]).first()
+    return np.array([float(x or 0.0) for x in got]).reshape(n, n)
+
+
+def _inverse(gram: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse, with the domains scaled to equal size first; a domain
+    without tokens gets zeros."""
+    size = np.sqrt(np.diag(gram))
+    scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+    return np.linalg.pinv(gram * np.outer(scale, scale), rcond=1e-9, hermitian=True) * np.outer(scale, scale)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_col: str = "text", id_col: str = "doc_id",
@@ -169,7 +193,10 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_co
     share = [x / (sum(share) or 1.0) for x in share]
     have = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(names))]).first()]
     budget = max([h / s for h, s in zip(have, share, strict=True) if s > 0], default=0.0)
-    fitted, _, steps = fit_steps(rows, [budget * s for s in share])
+    targets = [budget * s for s in share]
+    fitted, reached, steps = fit_steps(rows, targets)
+    _LOG.log(logging.INFO if missed(reached, targets) <= TOLERANCE else logging.WARNING,
+             "mixing: domains %s reached %s of targets %s in %d steps", names, reached, targets, len(steps))
     return model, fitted, steps
 
 

@@ -283,6 +283,21 @@ def test_rates_meet_the_targets(spark):
         assert np.linalg.norm(np.array(reached) - target) <= best + 1e-2 * target.sum()
 
 
+def test_scarce_domains_meet_their_targets(spark):
+    rng = np.random.default_rng(6)
+    share, wish = np.array([0.98, 0.018, 0.001, 0.001]), np.array([0.5, 0.18, 0.18, 0.14])
+    at = np.repeat(np.arange(4), (share * 4000).astype(int))
+    p = np.full((len(at), 4), 0.0005)
+    p[np.arange(len(at)), at] = 0.9985
+    tokens = rng.integers(50, 400, len(at)).astype(float)
+    df = spark.createDataFrame([(i, float(t), [float(v) for v in x]) for i, (t, x) in enumerate(zip(tokens, p, strict=True))],
+                               "doc_id long, tokens double, posterior array<double>")
+    target = [float(x) for x in 2 * tokens.sum() * wish]
+    fitted, reached = mixing.fit_rates(df, target)
+    r = np.array([x["rate"] for x in sorted(fitted.collect(), key=lambda x: x["doc_id"])])
+    assert np.allclose((p * tokens[:, None]).T @ r, reached) and np.allclose(reached, target, rtol=1e-3)
+
+
 def test_recorded_steps_give_the_fitted_rates(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, float(t), [float(v) for v in rng.dirichlet([0.4, 0.4, 0.4])]) for i, t in enumerate(rng.integers(0, 300, 80))],
