@@ -15,7 +15,11 @@ residual stands still; it is logged.
 
 DataFrame and pyspark.ml functions only; no Python runs on the executors.
 
-Defined cases. Null and empty texts have no tokens and keep the rate their
+Mixing only ever repeats: rates there are at least 1 and every row keeps a copy.
+Domains without a wish keep their share of the tokens, and the token budget is
+raised until rates of at least 1 meet the targets.
+
+Defined cases. Null and empty texts have no tokens and get the rate their
 posterior gives them. Rows without a usable label are not learnt from. Without two
 labelled domains the posterior is 1 for the only one; without any, and for an
 empty table, every rate is 1. Targets of domains the classifier does not know
@@ -45,6 +49,8 @@ STEPS_PER_WRITE = 15
 TOLERANCE = 1e-4
 # Where a block of steps lowers the residual by less than this share, it stands still.
 LEAST_GAIN = 1e-2
+# First raise of the token budget over the least one; later raises double it.
+RAISE = 0.25
 _LOG = logging.getLogger(__name__)
 
 
@@ -87,12 +93,12 @@ def _sum(columns: list[Column]) -> Column:
 Step = tuple[float, list[float]]  # momentum, push by domain
 
 
-def _moved(rate: Column, prev: Column, beta: Column, pull: Column) -> Column:
+def _moved(rate: Column, prev: Column, beta: Column, pull: Column, least: float) -> Column:
     """One projected step."""
-    return F.greatest(F.lit(0.0), rate + beta * (rate - prev) - pull)
+    return F.greatest(F.lit(float(least)), rate + beta * (rate - prev) - pull)
 
 
-def rate_of(posterior: Column, steps: list[Step], start: float = 1.0) -> Column:
+def rate_of(posterior: Column, steps: list[Step], start: float = 1.0, least: float = 0.0) -> Column:
     """The rate to which the steps lead a document of this posterior, so whole
     rows get their rates where they lie."""
     if not steps:
@@ -102,7 +108,7 @@ def rate_of(posterior: Column, steps: list[Step], start: float = 1.0) -> Column:
     # the posterior travels in the state: inside the lambda it would be computed at every step
     first = F.struct(F.lit(float(start)).alias("rate"), F.lit(float(start)).alias("prev"), posterior.alias("of"))
     return F.aggregate(taken, first, lambda at, s: F.struct(
-        _moved(at["rate"], at["prev"], s["beta"], pull(at, s)).alias("rate"), at["rate"].alias("prev"), at["of"].alias("of")))["rate"]
+        _moved(at["rate"], at["prev"], s["beta"], pull(at, s), least).alias("rate"), at["rate"].alias("prev"), at["of"].alias("of")))["rate"]
 
 
 def fit_rates(docs: DataFrame, targets: list[float], start: float = 1.0) -> tuple[DataFrame, list[float]]:
@@ -112,8 +118,8 @@ def fit_rates(docs: DataFrame, targets: list[float], start: float = 1.0) -> tupl
     return fitted, reached
 
 
-def fit_steps(docs: DataFrame, targets: list[float], start: float = 1.0) -> tuple[DataFrame, list[float], list[Step]]:
-    """``fit_rates`` and the steps taken.
+def fit_steps(docs: DataFrame, targets: list[float], start: float = 1.0, least: float = 0.0) -> tuple[DataFrame, list[float], list[Step]]:
+    """``fit_rates`` with no rate under ``least``, and the steps taken.
 
     Momentum steps of projected gradient, restarted when the residual grows; in
     the metric of the inverse Gram matrix a step of length 1 never overshoots.
@@ -134,7 +140,7 @@ def fit_steps(docs: DataFrame, targets: list[float], start: float = 1.0) -> tupl
         ahead = [a + beta * (a - b) for a, b in zip(now, was, strict=True)]  # totals are linear in the rates
         push = [float(x) for x in inverse @ np.subtract(ahead, targets)]
         steps.append((beta, push))
-        moved = _moved(F.col("rate"), F.col("_prev"), F.lit(beta), _sum([p[i] * F.lit(push[i]) for i in d]))
+        moved = _moved(F.col("rate"), F.col("_prev"), F.lit(beta), _sum([p[i] * F.lit(push[i]) for i in d]), least)
         docs = docs.withColumns({"rate": moved, "_prev": F.col("rate")})
         if len(steps) % STEPS_PER_WRITE == 0:
             docs = written(docs, "rates")  # cuts the chain of steps
@@ -189,15 +195,35 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_co
     names = model.domains
     if not names:
         return model, rows.withColumn("rate", F.lit(1.0)), []
-    share = [weights.get(x, 0.0) for x in names]
-    share = [x / (sum(share) or 1.0) for x in share]
     have = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(names))]).first()]
-    budget = max([h / s for h, s in zip(have, share, strict=True) if s > 0], default=0.0)
-    targets = [budget * s for s in share]
-    fitted, reached, steps = fit_steps(rows, targets)
-    _LOG.log(logging.INFO if missed(reached, targets) <= TOLERANCE else logging.WARNING,
-             "mixing: domains %s reached %s of targets %s in %d steps", names, reached, targets, len(steps))
-    return model, fitted, steps
+    share = shares(names, have, weights)
+    fewest = max([h / s for h, s in zip(have, share, strict=True) if s > 0], default=0.0)
+    # without bounds the rate is budget * (posterior . slope), so its least value says how far to raise the budget
+    slope = [float(x) for x in _inverse(_gram(rows, len(names))) @ share]
+    low = rows.where("tokens > 0").agg(F.min(_sum([F.col("posterior")[i] * F.lit(x) for i, x in enumerate(slope)]))).first()[0]
+    extra = RAISE if not low or low <= 0 else min(RAISE, max(0.0, 1 / (low * fewest) - 1))
+    first = was = None
+    while True:
+        targets = [fewest * (1 + extra) * s for s in share]
+        fitted, reached, steps = fit_steps(rows, targets, least=1.0)
+        off = missed(reached, targets)
+        _LOG.log(logging.INFO if off <= TOLERANCE else logging.WARNING, "mixing: domains %s reached %s of targets %s in %d steps",
+                 names, reached, targets, len(steps))
+        first = first or (fitted, steps)
+        if off <= TOLERANCE or not steps:
+            return model, fitted, steps
+        if was is not None and off > 0.98 * was:
+            # no budget meets the targets: the residual stays
+            return model, *first
+        was, extra = off, 2 * max(extra, RAISE / 2)
+
+
+def shares(names: list[str], have: list[float], weights: dict[str, float]) -> list[float]:
+    """Target share by domain: the present one without a wish, the rest as wished."""
+    total, wished = sum(have) or 1.0, sum(weights.get(x, 0.0) for x in names) or 1.0
+    free = sum(h for x, h in zip(names, have, strict=True) if x in weights) / total
+    out = [free * weights[x] / wished if x in weights else h / total for x, h in zip(names, have, strict=True)]
+    return [x / (sum(out) or 1.0) for x in out]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_col: str = "text",
@@ -205,8 +231,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_co
     """doc_id, tokens, domains, posterior, rate of every document.
 
     ``labelled`` has (doc_id, domain); ``weights`` the wished share of tokens by
-    domain. The token budget is the smallest at which no domain need shrink as
-    a whole, so mixing raises scarce domains and thins none.
+    domain, to which the domains without a wish add their present share. No rate
+    is under 1, so mixing raises scarce domains and drops no row.
     """
     model, fitted, _ = fit(docs, labelled, weights, text_col, id_col, max_training_rows)
     return fitted.select("doc_id", F.col("tokens").cast("long").alias("tokens"),
@@ -225,6 +251,6 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) ->
     No text is shuffled: the rate follows from the row's own posterior."""
     model, _, steps = fit(docs, labelled, weights)
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_did"), F.col("text").cast("string").alias("_text"))
-    rows = model.add(rows, "_text").select("_row", "_did", rate_of(F.col("posterior"), steps).alias("_rate"))
+    rows = model.add(rows, "_text").select("_row", "_did", rate_of(F.col("posterior"), steps, least=1.0).alias("_rate"))
     times = F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("_did")))
     return rows.select("_row", F.explode(times).alias("_again")).select("_row.*")

@@ -325,6 +325,30 @@ def test_mix_raises_the_scarce_domain(spark):
     assert all(n.get(i, 0) in (int(out[i]["rate"] + 1e-6), int(out[i]["rate"] + 1e-6) + 1) for i in out)
 
 
+def test_mixing_drops_no_row_and_keeps_a_domain_without_a_wish(spark):
+    stems = {"aa": "ka lo mi", "bb": "schen kt ung", "cc": "qui xo zul"}
+    rng = random.Random(8)
+    langs = [rng.choices(list(stems), [8, 1, 1])[0] for _ in range(200)]
+    texts = [" ".join(rng.choices(stems[x].split() + ["the"], k=rng.randint(5, 40))) for x in langs]
+    df = docs(spark, texts + [None, "", "the"], langs + [None] * 3)
+    labelled = df.selectExpr("doc_id", "lang as domain")
+    out = rows(mixing.mix(df, labelled, {"aa": 0.5, "bb": 0.5}))
+    assert all(r["rate"] >= 1 for r in out.values())
+    tokens = {i: np.array(r["posterior"]) * r["tokens"] for i, r in out.items()}
+    now, then = sum(tokens.values()), sum(tokens[i] * r["rate"] for i, r in out.items())
+    assert abs(then[2] / then.sum() - now[2] / now.sum()) < 1e-3 and abs(then[0] / then[1] - 1) < 1e-2
+    again = mixing.resample(df, labelled, {"aa": 0.5, "bb": 0.5})
+    assert {r["doc_id"] for r in again.select("doc_id").collect()} == set(out)
+
+
+def test_mixing_stage_keeps_every_document(spark, sf_dir):
+    import corpus_pipeline
+    from tagrack.llm.common import table
+    df = table(spark, sf_dir, "documents")
+    kept = {r["doc_id"] for r in corpus_pipeline.mix_sources(spark, df, sf_dir).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in df.select("doc_id").collect()}
+
+
 def test_mix_degenerate_tables(spark):
     df = docs(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, domain string")
