@@ -197,6 +197,20 @@ def test_pseudonyms_keep_format_and_invert(value):
     assert pii.pseudonymise(text, b"other")[0] != pii.pseudonymise(text, KEY)[0]
 
 
+BEHIND = [("4111 1111 1111 1111", " 12/27"), ("4111 1111 1111 1111", " 123"), ("4111111111111111", " 12 items"), ("4111 1111 1111 1111", " 2027 99"),
+          ("4111-1111-1111-1111", "-123"), ("ES91 2100 0418 4502 0005 1332", " EUR"), ("ES9121000418450200051332", " EUR 20"),
+          ("BE68 5390 0754 7034", " BANK OF")]
+
+
+@pytest.mark.parametrize("value,tail", BEHIND)
+def test_values_are_found_before_more_digits_or_capitals(value, tail):
+    for key in (bytes([i]) for i in range(1, 41)):  # some images are valid at greater length too
+        text = f"see {value}{tail}"
+        new, found = pii.pseudonymise(text, key)
+        assert [(s, e) for _, s, e, _ in found] == [(4, 4 + len(value))] and value not in new and new.endswith(tail)
+        assert pii.pseudonymise(new, key, back=True)[0] == text
+
+
 def test_what_fails_validation_stays():
     for text in ["4111111111111112", "999.1.1.1", "2023-02-30", "000-12-3456", "Version 2.0.", "1.2.3.4.5", "12345", "DE00 3704 0044 0532 0130 00"]:
         assert pii.pseudonymise(text, KEY) == (text, [])
