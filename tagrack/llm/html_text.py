@@ -13,7 +13,8 @@ share bounds the templates of a host whatever its size.
 
 Defined cases. A null or empty page, and one of markup only, has an empty text.
 A null or odd url is a host of its own name (empty); repeated rows are pages of
-their own. Unclosed and stray tags are read as browsers do, in the main. An
+their own. Unclosed and stray tags are read as browsers do, in the main, nested to
+any depth. An
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -84,7 +86,10 @@ def parse(page: str | None) -> Node:
     root = Node("#root")
     stack, at, end = [root], 0, len(page)
 
+    open_tags: Counter = Counter()  # a tag that is not open is not searched for in a deep stack
+
     def close_to(i: int) -> None:
+        open_tags.subtract(x.tag for x in stack[i:])
         del stack[i:]
 
     while at < end:
@@ -99,14 +104,14 @@ def parse(page: str | None) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[i].tag == tag:
                     close_to(i)
                     break
                 if stack[i].tag in ("article", "main", "table", "body") and tag not in ("body", "html"):
                     break  # a stray end tag does not close what holds the content
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     close_to(i)
@@ -115,7 +120,7 @@ def parse(page: str | None) -> Node:
                     break
         if tag in SELF_CLOSING:
             closed, within = SELF_CLOSING[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_tags[x] for x in closed) else ():
                 if stack[i].tag in within:
                     break
                 if stack[i].tag in closed:
@@ -135,39 +140,55 @@ def parse(page: str | None) -> Node:
             at = close.end() if close else end
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
+            open_tags[tag] += 1
     return root
 
 
 def subtree_hashes(root: Node) -> dict[int, int]:
     """64-bit hash by id() of every subtree that could be a site's template."""
     out: dict[int, int] = {}
-
-    def visit(node: Node) -> int:
+    whole: dict[int, int] = {}
+    for node in reversed(_nodes(root)):  # children before their parents
         parts = [node.tag, node.marks]
         for child in node.children:
-            parts.append(f"<{visit(child)}>" if isinstance(child, Node) else " ".join(child.split()))
-        h = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+            parts.append(f"<{whole[id(child)]}>" if isinstance(child, Node) else " ".join(child.split()))
+        h = whole[id(node)] = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
         content = node.tag in ("#root", "html", "head", "body", "article", "main") or (node.in_article and node.tag in TEXT_ELEMENTS)
         if not content and node.tag not in VOID:
             out[id(node)] = h
-        return h
+    return out
 
-    for child in root.children:
-        if isinstance(child, Node):
-            visit(child)
+
+def _nodes(root: Node) -> list[Node]:
+    """Every element under ``root``, each after the one that holds it."""
+    out, todo = [], [root]
+    while todo:
+        inner = [c for c in todo.pop().children if isinstance(c, Node)]
+        out += inner
+        todo += inner
     return out
 
 
 def _length(node: Node) -> int:
-    return sum(len(c) if isinstance(c, str) else 0 if c.drop else _length(c) for c in node.children)
+    n, todo = 0, [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                n += len(c)
+            elif not c.drop:
+                todo.append(c)
+    return n
 
 
 def _find(node: Node, tag: str) -> list[Node]:
-    """Outermost elements of a tag that are not deleted."""
-    out = []
-    for c in node.children:
-        if isinstance(c, Node) and not c.drop:
-            out += [c] if c.tag == tag else _find(c, tag)
+    """Outermost elements of a tag that are not deleted, in their order."""
+    out, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        if at is not node and at.tag == tag:
+            out.append(at)
+        else:
+            todo += [c for c in reversed(at.children) if isinstance(c, Node) and not c.drop]
     return out
 
 
@@ -176,32 +197,28 @@ def main_text(page: str | None, templates=()) -> str:
     root = parse(page)
     if len(templates):
         hashes, known = subtree_hashes(root), set(templates)
-
-        def mark(node: Node) -> None:
+        for node in _nodes(root):
             node.drop = node.drop or hashes.get(id(node)) in known
-            for c in node.children:
-                if isinstance(c, Node) and not c.drop:
-                    mark(c)
-        mark(root)
     found = next((x for x in (_find(root, "article"), _find(root, "main"), [root]) if x))
     top = max(found, key=_length)
     blocks: list[list[str]] = [[]]
 
-    def collect(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                blocks[-1].append(html.unescape(c))
-            elif c.drop:
-                blocks[-1].append(" ") if c.tag not in BLOCK else blocks.append([])
-            elif c.tag == "br":
-                blocks[-1].append(" ")
-            elif c.tag in BLOCK:
-                blocks.append([])
-                collect(c)
-                blocks.append([])
-            else:
-                collect(c)
-    collect(top)
+    todo: list = [*reversed(top.children)]  # text, elements, and None where a block begins or ends
+    while todo:
+        c = todo.pop()
+        if c is None:
+            blocks.append([])
+        elif isinstance(c, str):
+            blocks[-1].append(html.unescape(c))
+        elif c.drop:
+            blocks[-1].append(" ") if c.tag not in BLOCK else blocks.append([])
+        elif c.tag == "br":
+            blocks[-1].append(" ")
+        elif c.tag in BLOCK:
+            blocks.append([])
+            todo += [None, *reversed(c.children)]
+        else:
+            todo += reversed(c.children)
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 

@@ -162,6 +162,16 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("tag", ["b", "font", "div"])
+def test_pages_nested_deep(tag):
+    n = 100_000
+    page = f"<article><p>a{f'<{tag}>' * n}b{f'</{tag}>' * n}c</article>"
+    assert html_text.main_text(page, [1]) == ("a\nb\nc" if tag == "div" else "abc")
+    assert len(html_text.subtree_hashes(html_text.parse(f"{f'<{tag}>' * n}b"))) == n
+    assert html_text.main_text(f"{f'<{tag}>' * n}<article>x</article>") == "x"
+    assert html_text.main_text("<p>y</p></i>" + f"<{tag}><p>x</p></i>" * 50_000).count("x") == 50_000
+
+
 def test_site_templates_go_and_content_stays(spark):
     box = "<div class='x1'><span>Follow us</span> everywhere</div>"
     same = "<p>A passage that all articles share.</p>"
