@@ -2,14 +2,13 @@
 
 Every page is read into a light element tree. The subtrees that could belong to
 a site's frame are hashed, and Spark counts each hash once per page and host.
-A subtree met on many pages of its host (at least ``LEAST_PAGES`` and
-``LEAST_SHARE`` of them) is template and is deleted, beside elements that say
-themselves that they are navigation, adverts, forms and the like. What remains
-of the article is the text.
+A subtree met on ``LEAST_PAGES`` different pages of its host, however many pages
+the host has, is template and is deleted, beside elements that say themselves
+that they are navigation, adverts, forms and the like. What remains of the
+article is the text. Pages of the same markup count once.
 
 Headings and paragraphs inside an article are never deleted for recurring:
-copies of an article, and passages that many articles share, are content. The
-share bounds the templates of a host whatever its size.
+copies of an article, and passages that many articles share, are content.
 
 Defined cases. A null or empty page, and one of markup only, has an empty text.
 A null or odd url is a host of its own name (empty); repeated rows are pages of
@@ -34,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import broadcast_if, small_batches, written
 
 LEAST_PAGES = 5
-LEAST_SHARE = 0.1
+# Longest list of a host's templates that is handed to each of its pages whole;
+# of longer ones every page gets those it has itself.
+MOST_LISTED = 10_000
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -230,17 +231,23 @@ def host(url: Column) -> Column:
 def _hash_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         hashes = [sorted(set(subtree_hashes(parse(p)).values())) for p in pdf["html"]]
-        yield pd.DataFrame({"host": pdf["host"], "hash": hashes}).explode("hash").dropna()
+        yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "hash": hashes}).explode("hash").dropna()
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur on the host's pages.
-    At most (subtrees of a page) / LEAST_SHARE of them per host."""
-    rows = small_batches(pages).select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    seen = rows.mapInPandas(_hash_pages, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    often = seen.where(F.col("n") >= LEAST_PAGES).join(sizes, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+def page_key() -> Column:
+    """64-bit hash of a page's markup: pages of equal markup are one page."""
+    return F.xxhash64(F.coalesce(F.col("html").cast("string"), F.lit("")))
+
+
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, hash) of the subtrees of every page that could be templates."""
+    rows = small_batches(pages).select(host(F.col("url")).alias("host"), page_key().alias("page"), F.col("html").cast("string").alias("html"))
+    return rows.mapInPandas(_hash_pages, "host string, page long, hash long").distinct()
+
+
+def templates(subtrees: DataFrame) -> DataFrame:
+    """(host, hash) of the subtrees that recur on the host's pages."""
+    return subtrees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "hash")
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,9 +258,17 @@ def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    known = written(templates(pages), "templates")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(broadcast_if(known, known.count()), "host", "left")
+                        F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"), page_key().alias("page"))
+    subtrees = written(page_subtrees(pages), "subtrees")
+    known = written(templates(subtrees), "templates")
+    longest = known.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    if longest <= MOST_LISTED:
+        by, found = ["host"], known
+    else:
+        by, found = ["host", "page"], subtrees.join(broadcast_if(known, known.count()), ["host", "hash"])
+    lists = written(found.groupBy(*by).agg(F.sort_array(F.collect_list("hash")).alias("templates")), "template_lists")
+    # a list counts as the numbers it holds
+    joined = rows.join(broadcast_if(lists, lists.agg(F.sum(F.size("templates"))).first()[0] or 0), by, "left")
     return joined.select("page_id", "url", "html", "templates").mapInPandas(
         _extract, "page_id long, url string, text string, n_chars long")

@@ -187,6 +187,18 @@ def test_site_templates_go_and_content_stays(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [html_text.MOST_LISTED, 0])
+def test_templates_do_not_depend_on_the_size_of_the_host(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "MOST_LISTED", most)
+    box = "<div class='x1'>Section menu</div>"
+    pages = [(i, "http://a.example.com/%d" % i, f"<body>{box if i < 6 else ''}<div><p>own {i}</p></div></body>") for i in range(200)]
+    pages += [(300, "http://b.example.com/", pages[0][2])] + [(400 + i, "http://c.example.com/", "<body><div>copy</div></body>") for i in range(7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert all(got[i] == f"own {i}" for i in range(200))
+    assert got[300] == "Section menu\nown 0" and {got[400 + i] for i in range(7)} == {"copy"} and len(got) == len(pages)
+
+
 # -- PII -----------------------------------------------------------------------------
 KEY = b"test"
 VALUES = ["4111111111111111", "4111 1111 1111 1111", "123-45-6789", "+1 (636) 555-9414", "+49 30 123456", "555-234-9999", "10.20.30.40",
