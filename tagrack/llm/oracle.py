@@ -53,4 +53,35 @@ SQL: dict[str, str] = {
           SELECT l.y, r.c FROM r JOIN l ON l.x = r.v WHERE r.c < l.y)
         SELECT n.doc_id, n.n_shingles, m.c AS component_id, n.doc_id = m.c AS kept
         FROM n JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = n.doc_id""",
+    # Every score of every document that holds a term of the item.
+    "op11_ranked_search": r"""
+        WITH t AS (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents WHERE doc_id IS NOT NULL),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+        c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+        f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, docs),
+        q AS (
+          SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM benchmark WHERE item_id IS NOT NULL),
+        u AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+        s AS (
+          SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+          FROM u JOIN f USING (term) JOIN p USING (term) JOIN d USING (doc_id), c GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+    # Every pair of a query row and another row, whole numbers throughout.
+    "op12_mtree_top_k": r"""
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, v.vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
