@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +67,6 @@ def index_letters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "letter_order int, initial string")
 
 
-@dataclass(frozen=True)
 class Catalog:
     """All tables of the shop as DataFrames (one logical database state).
 
@@ -85,27 +84,37 @@ class Catalog:
       session(session_id, site_user_id, session_token, created_at, expires_at)
       closet(closet_id, site_user_id, name, created_at)
       closet_item(closet_id, item_id, added_at)
+
+    A table may be given as a function without arguments: it is called when the
+    table is first read, so an operator pays only for the tables it uses.
     """
 
-    brand: DataFrame
-    tag: DataFrame
-    image: DataFrame
-    base_item: DataFrame
-    base_item_image: DataFrame
-    tag_item: DataFrame
-    sku: DataFrame
-    site_user: DataFrame | None = None
-    session: DataFrame | None = None
-    closet: DataFrame | None = None
-    closet_item: DataFrame | None = None
-    ledger: DataFrame | None = None
+    TABLES = ("brand", "tag", "image", "base_item", "base_item_image", "tag_item", "sku", "site_user", "session",
+              "closet", "closet_item", "ledger")
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame] | None):
+        unknown = set(tables) - set(self.TABLES)
+        if unknown:
+            raise TypeError(f"no such tables: {sorted(unknown)}")
+        self._given = {name: t for name, t in tables.items() if t is not None}
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in Catalog.TABLES:
+            raise AttributeError(name)
+        table = self._given.get(name)
+        if callable(table):
+            table = self._given[name] = table()
+        return table
 
     def with_(self, **changes) -> "Catalog":
-        return replace(self, **changes)
+        return Catalog(**{**self._given, **changes})
+
+    def names(self) -> list[str]:
+        """The tables that this catalogue has, in a fixed order."""
+        return [name for name in self.TABLES if name in self._given]
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)
-                if getattr(self, f.name) is not None}
+        return {name: getattr(self, name) for name in self.names()}
 
 
 BROWSE_REQUEST_SCHEMA = T.StructType([

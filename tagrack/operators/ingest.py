@@ -25,7 +25,7 @@ IMAGE_URL_FORMAT = "https://images.example.com/products/%s?profile=a"
 ID_COLUMNS = {"tag": "tag_id", "brand": "brand_id", "base_item": "base_item_id", "image": "image_id", "sku": "item_id"}
 
 
-def _max_id(df: DataFrame, col: str) -> int:
+def max_id(df: DataFrame, col: str) -> int:
     return int(df.agg(F.max(col)).first()[0] or 0)
 
 
@@ -77,7 +77,7 @@ def insert_if_absent(dim: DataFrame, id_col: str, names: DataFrame, order: list[
     first = (n.groupBy("name_key")
              .agg(F.min_by("name", F.struct(*order)).alias("name")))
     new = first.join(dim.select("name_key"), "name_key", "left_anti")
-    base = _max_id(dim, id_col) if top is None else top
+    base = max_id(dim, id_col) if top is None else top
     numbered = positions(new, [], ["name_key"], pos_col="_p")
     new_rows = numbered.select((F.lit(base) + F.col("_p")).cast(dim.schema[id_col].dataType).alias(id_col), "name", "name_key")
     return dim.unionByName(new_rows.select(*dim.columns)), new_rows
@@ -178,18 +178,18 @@ class IngestResult:
     largest ids by table, where known; the others are read from the catalogue.
     """
 
-    def __init__(self, catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None):
-        self.before, self._docs, self._tops = catalog, docs, dict(tops or {})
+    def __init__(self, catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None, materialized: bool = False):
+        self.before, self._docs, self._tops, self._materialized = catalog, docs, dict(tops or {}), materialized
 
     def top(self, table: str) -> int:
         """The largest id of a table before the ingest."""
         if table not in self._tops:
-            self._tops[table] = _max_id(getattr(self.before, table), ID_COLUMNS[table])
+            self._tops[table] = max_id(getattr(self.before, table), ID_COLUMNS[table])
         return self._tops[table]
 
     @cached_property
     def docs(self) -> DataFrame:
-        return materialize(self._docs)
+        return self._docs if self._materialized else materialize(self._docs)
 
     @cached_property
     def items(self) -> DataFrame:
@@ -284,15 +284,16 @@ class IngestResult:
             sku=old.sku.unionByName(self.new_skus.select("item_id", "base_item_id", "basic_size")))
 
 
-def ingest_feed(catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None) -> IngestResult:
-    return IngestResult(catalog, docs, tops)
+def ingest_feed(catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None, materialized: bool = False) -> IngestResult:
+    """``materialized``: the documents are written already and need not be once more."""
+    return IngestResult(catalog, docs, tops, materialized)
 
 
 def added_items(before: Catalog, after: Catalog, ledger: DataFrame) -> DataFrame:
     """One row (stage, feed_item_id, detail, code), shaped like the rejects, per
     item that an ingest added: name, brand, rating, thumbnail, and numbers of
     images, SKUs, opening stock and tags, joined by bars."""
-    known = _max_id(before.base_item, "base_item_id")
+    known = max_id(before.base_item, "base_item_id")
     new = after.base_item.filter(F.col("base_item_id") > known).select("base_item_id", "name", "brand_id", "thumbnail_image_id", "rating")
 
     def count(rows: DataFrame, n, name: str) -> DataFrame:

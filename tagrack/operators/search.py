@@ -6,13 +6,14 @@ Matching is accent- and case-insensitive substring search with the user's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import positions, top_k
 from ..functions.text import fold, like_literal
 from ..model import INDEX_LETTERS, SEARCH_RESULTS_PER_KIND, Catalog
 from ..plans.materialize import materialize
+from ..sources.tables import read_parquet_if_present
 
 def normalize_queries(queries: DataFrame, min_chars: int = 1) -> DataFrame:
     """Trim surrounding white space; drop inputs shorter than ``min_chars``."""
@@ -54,36 +55,140 @@ def _pattern_grams(pats: DataFrame) -> DataFrame:
     return runs.select("p", F.explode(F.coalesce(*sizes, _grams(F.col("run"), 3))).alias("gram")).distinct()
 
 
-def _gram_hits(grams: DataFrame, pats: DataFrame, groups: DataFrame) -> DataFrame:
+def _letters(fname):
+    """All one- to three-letter grams of a folded name, each once."""
+    return F.array_distinct(F.concat(*[_grams(F.lower(fname), n) for n in (1, 2, 3)]))
+
+
+class Names:
+    """Where the search finds names: here straight from the rows
+    (kind, name, name_id, fname); only grams that are asked for leave the explode."""
+
+    def __init__(self, names: DataFrame):
+        self._names = names
+        self._groups = names.select("kind", "fname").distinct()
+
+    def postings(self, grams: DataFrame) -> DataFrame:
+        """(gram, kind, fname) of the distinct names that hold each gram of ``grams``."""
+        every = self._groups.select("kind", "fname", F.explode(_letters("fname")).alias("gram"))
+        return materialize(every.join(grams.select("gram").distinct(), "gram", "left_semi"))
+
+    def frequencies(self, grams: DataFrame, postings: DataFrame) -> DataFrame:
+        """(gram, _df) of those grams."""
+        return postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+
+    def firsts(self, k: int) -> DataFrame:
+        """(kind, size, fname): the first ``k`` distinct names of every length."""
+        sized = self._groups.select("kind", "fname", F.length("fname").alias("size"))
+        return top_k(sized, ["kind", "size"], [F.col("fname").asc()], k, rank_col="_f").drop("_f")
+
+    def rows(self, groups: DataFrame) -> DataFrame:
+        """(kind, name, name_id, fname) of the asked (kind, fname)."""
+        return self._names.join(groups.select("kind", "fname").distinct(), ["kind", "fname"], "left_semi")
+
+
+class NameIndex(Names):
+    """The same from postings that are kept: written once, extended by new names.
+
+    Every build or extension is a part of its own: distinct names with their
+    grams, divided by a hash of the gram, and name rows, divided by a hash of the
+    folded name. A search reads the divisions of the grams and names it asks
+    for, so its reading follows the patterns, not the catalogue. A name that an
+    earlier part holds already is not posted again.
+    """
+
+    DIVISIONS = 64
+    FIRSTS = 32  # names kept per kind and length for patterns of wildcards alone
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, path.rstrip("/")
+
+    def _division(self, col: str):
+        return F.pmod(F.xxhash64(col), F.lit(self.DIVISIONS)).cast("int")
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        found = read_parquet_if_present(self._spark, f"{self._path}/{table}")
+        return self._spark.createDataFrame([], schema) if found is None else found
+
+    def _asked(self, table: str, schema: str, col: str, wanted: DataFrame) -> DataFrame:
+        """Rows of the wanted values, from their divisions only."""
+        divisions = [r[0] for r in wanted.select(self._division(col).alias("d")).distinct().collect()]  # at most DIVISIONS numbers
+        return self._read(table, schema).filter(F.col("division").isin(divisions)).drop("part", "division")
+
+    def extend(self, names: DataFrame) -> int:
+        """Add name rows (kind, name, name_id, fname); returns the number of the new part."""
+        marks = self._read("done", "part int")
+        part = (marks.agg(F.max("part")).first()[0] or 0) + 1
+        folder = lambda table: f"{self._path}/{table}/part={part}"
+        by = lambda df, col, table: df.withColumn("division", self._division(col)).write.mode("overwrite").partitionBy(
+            "division").parquet(folder(table))
+        names = materialize(names.select("kind", "name", "name_id", "fname"))
+        groups = names.select("kind", "fname").distinct()
+        held = self._asked("names", NAME_ROWS, "fname", groups).select("kind", "fname").distinct()
+        fresh = materialize(groups.join(held, ["kind", "fname"], "left_anti"))
+        by(names, "fname", "names")
+        posted = fresh.select(F.explode(_letters("fname")).alias("gram"), "kind", "fname")
+        by(posted, "gram", "postings")
+        by(posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "frequencies")
+        Names.firsts(_Groups(fresh), self.FIRSTS).write.mode("overwrite").parquet(folder("firsts"))
+        self._spark.range(1).write.mode("overwrite").parquet(folder("done"))  # last: the part is whole
+        return part
+
+    def postings(self, grams: DataFrame) -> DataFrame:
+        return self._asked("postings", "gram string, kind string, fname string, division int", "gram", grams).join(
+            grams.select("gram").distinct(), "gram", "left_semi")
+
+    def frequencies(self, grams: DataFrame, postings: DataFrame) -> DataFrame:
+        kept = self._asked("frequencies", "gram string, n long, division int", "gram", grams)
+        return kept.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("_df"))
+
+    def firsts(self, k: int) -> DataFrame:
+        if k > self.FIRSTS:
+            return Names.firsts(_Groups(self._read("names", NAME_ROWS).select("kind", "fname").distinct()), k)
+        kept = self._read("firsts", "kind string, size int, fname string").select("kind", "size", "fname")
+        return top_k(kept, ["kind", "size"], [F.col("fname").asc()], k, rank_col="_f").drop("_f")
+
+    def rows(self, groups: DataFrame) -> DataFrame:
+        return self._asked("names", NAME_ROWS, "fname", groups).join(groups.select("kind", "fname").distinct(), ["kind", "fname"], "left_semi")
+
+
+NAME_ROWS = "kind string, name string, name_id long, fname string, division int"
+
+
+class _Groups(Names):
+    """Distinct names only."""
+
+    def __init__(self, groups: DataFrame):
+        self._groups = groups
+
+
+def _gram_hits(grams: DataFrame, pats: DataFrame, names: Names) -> DataFrame:
     """(p, kind, fname): every literal run of a pattern occurs in any name it
     matches, so the names that hold the pattern's rarest gram are the
-    candidates, checked with ILIKE. Both sides shuffle on the gram."""
-    low = F.lower("fname")
-    name_grams = groups.select("kind", "fname", F.explode(
-        F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))).alias("gram"))
-    freq = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = (grams.join(freq, "gram").groupBy("p")
-              .agg(F.min_by("gram", F.struct("_df", "gram")).alias("gram")).join(pats, "p"))
-    return (rarest.join(name_grams, "gram").filter(F.ilike("fname", F.col("contains"), F.lit("\\")))
+    candidates, checked with ILIKE. A pattern with a gram that no name holds has none."""
+    postings = names.postings(grams)
+    freq = names.frequencies(grams, postings)
+    rarest = (grams.join(freq, "gram", "left").groupBy("p")
+              .agg(F.min_by("gram", F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), F.col("gram"))).alias("gram")).join(pats, "p"))
+    return (rarest.join(postings, "gram").filter(F.ilike("fname", F.col("contains"), F.lit("\\")))
             .select("p", "kind", "fname"))
 
 
-def _wildcard_hits(pats: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+def _wildcard_hits(pats: DataFrame, names: Names, k: int) -> DataFrame:
     """(p, kind, fname) of patterns of wildcards alone. Such a pattern asks for
     names of at least as many letters as it has underscores, so equal counts
     share an answer: the first k names among the first k of every length."""
     wild = pats.withColumn("least", F.length(F.regexp_replace("contains", "[^_]", "")))
-    by_name = [F.col("fname").asc()]
-    firsts = top_k(groups.select("kind", "fname", F.length("fname").alias("size")), ["kind", "size"], by_name, k, rank_col="_f")
-    longest = int(groups.agg(F.max(F.length("fname"))).first()[0] or 0)
+    firsts = materialize(names.firsts(k))
+    longest = int(firsts.agg(F.max("size")).first()[0] or 0)
     reach = (wild.select("least").distinct().filter(F.col("least") <= longest)
              .select("least", F.explode(F.sequence(F.col("least"), F.lit(longest))).alias("size")))
-    answers = top_k(reach.join(firsts.drop("_f"), "size"), ["least", "kind"], by_name, k, rank_col="_f")
+    answers = top_k(reach.join(firsts, "size"), ["least", "kind"], [F.col("fname").asc()], k, rank_col="_f")
     return wild.join(answers, "least").select("p", "kind", "fname")
 
 
-def search_names(queries: DataFrame, catalog: Catalog, k: int = SEARCH_RESULTS_PER_KIND,
-                 literal: bool = False) -> DataFrame:
+def search_names(queries: DataFrame, catalog: Catalog | None, k: int = SEARCH_RESULTS_PER_KIND,
+                 literal: bool = False, index: NameIndex | None = None) -> DataFrame:
     """U8: up to k names per (query, kind): prefix hits first, then folded name.
 
     Output (query_id, kind, rank, name). Duplicate names are kept; NULL input
@@ -95,24 +200,24 @@ def search_names(queries: DataFrame, catalog: Catalog, k: int = SEARCH_RESULTS_P
     the pattern's rarest gram (equi-joins); patterns of wildcards alone
     collapse to one class per number of underscores. Each (pattern, kind)
     keeps k names (partial WindowGroupLimit), names expand to their first k
-    rows, and queries join back on the pattern.
+    rows, and queries join back on the pattern. With ``index`` the names and
+    grams come from its kept postings instead of the catalogue.
     """
     q = fold("q")
     qs = queries.filter(F.col("q").isNotNull()).select("query_id", (like_literal(q) if literal else q).alias("p"))
     pats = materialize(qs.select("p").distinct().select(
         "p", like_pattern(F.concat(F.lit("%"), "p", F.lit("%"))).alias("contains"),
         like_pattern(F.concat("p", F.lit("%"))).alias("starts")))
-    names = searchable_names(catalog)
-    groups = names.select("kind", "fname").distinct()
-    grams = _pattern_grams(pats)
-    hits = _gram_hits(grams, pats, groups).unionByName(
-        _wildcard_hits(pats.join(grams.select("p").distinct(), "p", "left_anti"), groups, k))
+    names = Names(searchable_names(catalog)) if index is None else index
+    grams = materialize(_pattern_grams(pats))
+    hits = _gram_hits(grams, pats, names).unionByName(
+        _wildcard_hits(pats.join(grams.select("p").distinct(), "p", "left_anti"), names, k))
     flag = F.when(F.ilike("fname", F.col("starts"), F.lit("\\")), 0).otherwise(1)
     hits = hits.join(pats.select("p", "starts"), "p").withColumn("_prefix", flag).drop("starts")
     order = [F.col("_prefix").asc(), F.col("fname").asc()]
-    top_groups = top_k(hits, ["p", "kind"], order, k, rank_col="_g").drop("_g")
+    top_groups = materialize(top_k(hits, ["p", "kind"], order, k, rank_col="_g").drop("_g"))
     by_row = [F.col("name").asc(), F.col("name_id").asc()]
-    first_rows = top_k(names, ["kind", "fname"], by_row, k, rank_col="_r").drop("_r")
+    first_rows = top_k(names.rows(top_groups), ["kind", "fname"], by_row, k, rank_col="_r").drop("_r")
     expanded = top_groups.join(first_rows, ["kind", "fname"])
     per_pattern = top_k(expanded, ["p", "kind"], order + by_row, k)
     return qs.join(per_pattern, "p").select("query_id", "kind", "rank", "name")

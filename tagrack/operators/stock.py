@@ -101,27 +101,58 @@ def stock_levels(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("item_id").agg(F.sum("delta_quantity").cast("long").alias("stock_quantity"))
 
 
-def closing_levels(events: DataFrame, order: Sequence[str]) -> DataFrame:
+def closing_levels(events: DataFrame, order: Sequence[str], opening: DataFrame | None = None) -> DataFrame:
     """U17 straight from events: (item_id, stock_quantity) without a sort.
 
     A SKU's stock is the quantity of its last audit plus the signed quantities
-    after it: one map-side ``max`` per SKU, then one map-side sum.
+    after it: one map-side ``max`` per SKU, then one map-side sum. With
+    ``opening`` (item_id, stock_quantity), the stock before these events, a SKU
+    without an audit goes on from there and SKUs without events keep theirs.
     """
     at = F.struct(*order)
     last = events.filter(F.col("transaction_event") == "audit").groupBy(F.col("item_id").alias("_li")).agg(F.max(at).alias("_last"))
     x = events.join(last, F.col("item_id") == F.col("_li"), "left")
     x = x.filter(F.col("_last").isNull() | (at >= F.col("_last")))
-    return x.groupBy("item_id").agg(F.sum(signed_quantity()).cast("long").alias("stock_quantity"))
+    if opening is None:
+        return x.groupBy("item_id").agg(F.sum(signed_quantity()).cast("long").alias("stock_quantity"))
+    change = x.groupBy("item_id").agg(F.sum(signed_quantity()).alias("_change"), F.max(F.col("_li").isNotNull()).alias("_reset"))
+    before = F.when(F.col("_reset"), F.lit(0)).otherwise(F.coalesce("stock_quantity", F.lit(0)))
+    return opening.select("item_id", "stock_quantity").join(change, "item_id", "full").select(
+        "item_id", (before + F.coalesce("_change", F.lit(0))).cast("long").alias("stock_quantity"))
+
+
+def levels_at(snapshots: DataFrame, events: DataFrame, order: Sequence[str], at: Column) -> DataFrame:
+    """Stock levels right before time ``at`` (a literal): those of the nearest
+    snapshot at or before it, carried on by the events in between.
+
+    ``snapshots`` (mark, item_id, stock_quantity) holds levels right before each
+    mark, as ``closing_levels`` gives them; written by mark, only the nearest
+    one is read, and of the events only those from its mark on. Without such a
+    snapshot the whole history is folded. Events without a time never count.
+    """
+    mark = snapshots.filter(F.col("mark") <= at).agg(F.max("mark")).first()[0]
+    tail = events.filter(F.col("transaction_date") < at)
+    if mark is None:
+        return closing_levels(tail, order)
+    since = F.lit(mark).cast(snapshots.schema["mark"].dataType)
+    return closing_levels(tail.filter(F.col("transaction_date") >= since), order,
+                          snapshots.filter(F.col("mark") == since).select("item_id", "stock_quantity"))
 
 
 def apply_stock_events(ledger: DataFrame, events: DataFrame, sku: DataFrame,
-                       order: Sequence[str], bucket: Column | None = None
-                       ) -> tuple[DataFrame, DataFrame]:
+                       order: Sequence[str], bucket: Column | None = None,
+                       opening: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate new events, fold the valid ones on top of the ledger's
-    stock, append. Returns (new ledger, rejected events with status)."""
+    stock, append. Returns (new ledger, rejected events with status).
+    ``opening`` (item_id, stock_quantity) is the ledger's stock where a snapshot
+    holds it; otherwise it is summed from the whole ledger."""
+    new, rejects = fold_new_events(events, sku, order, stock_levels(ledger) if opening is None else opening, bucket)
+    return ledger.unionByName(new.select(*ledger.columns)), rejects
+
+
+def fold_new_events(events: DataFrame, sku: DataFrame, order: Sequence[str], opening: DataFrame,
+                    bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """U20 without the old ledger: (rows to append, rejected events with status)."""
     checked = validate_stock_events(events, sku)
     valid = checked.filter(F.col("status") == "ok").drop("status")
-    rejects = checked.filter(F.col("status") != "ok")
-    deltas = fold_stock_events(valid, order, bucket, opening=stock_levels(ledger))
-    cols = ledger.columns
-    return ledger.unionByName(deltas.select(*cols)), rejects
+    return fold_stock_events(valid, order, bucket, opening=opening), checked.filter(F.col("status") != "ok")

@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.components import components
 from ..functions.ranking import positions
 from ..functions.text import name_key
 from ..model import DEFAULT_CLOSET, EMAIL_REGEX, SESSION_LIFETIME, Catalog
 from ..plans.materialize import materialize
 
 
-ROUNDS_PER_WRITE = 16
+# Signups that one fold goes through in order.
+REPLAY_ROWS = 2_000
 
 
 def _next_ids(rows: DataFrame, id_col: str, existing: DataFrame, existing_id: str,
@@ -35,13 +37,14 @@ def register_users(users: DataFrame, signups: DataFrame) -> tuple[DataFrame, Dat
 
     Checks: required fields, email pattern, username unique (case-sensitive),
     email unique (case-insensitive) against existing users and against the
-    signups accepted before it. Acceptance is settled in rounds: a pending
-    signup that is first (by seq) for both its username and its email is
-    accepted; pending rows that clash with an accepted one are rejected; repeat.
-    Each round settles at least the earliest pending row, so it ends; rounds are
-    few in practice and each is a pair of grouped aggregates, checkpointed.
-    Returns (new users, statuses (seq, status, site_user_id)).
+    signups accepted before it. Returns (new users, statuses (seq, status, site_user_id)).
     """
+    new, statuses = accepted_signups(users, signups)
+    return users.unionByName(new, allowMissingColumns=True), statuses
+
+
+def accepted_signups(users: DataFrame, signups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the new users, statuses) of U30."""
     req = signups.withColumn("email_key", name_key("email"))
     missing = (F.col("first_name").isNull() | F.col("last_name").isNull()
                | F.col("username").isNull() | F.col("email").isNull())
@@ -55,29 +58,61 @@ def register_users(users: DataFrame, signups: DataFrame) -> tuple[DataFrame, Dat
     x = x.withColumn("status", status).drop("_tu", "_te")
     settled = x.filter(F.col("status").isNotNull()).select("seq", "status")
     pending = x.filter(F.col("status").isNull()).select("seq", "username", "email_key")
-    accepted_parts = []
-    while not (pending := materialize(pending)).isEmpty():
-        first_u = pending.groupBy("username").agg(F.min("seq").alias("seq"))
-        first_e = pending.groupBy("email_key").agg(F.min("seq").alias("seq"))
-        win = materialize(pending.join(first_u.select("seq"), "seq", "left_semi")
-                          .join(first_e.select("seq"), "seq", "left_semi"))
-        accepted_parts.append(win.select("seq"))
-        rest = pending.join(win.select("seq"), "seq", "left_anti")
-        lose = (rest.join(win.select("username"), "username", "left_semi")
-                .unionByName(rest.join(win.select("email_key"), "email_key", "left_semi"))
-                .select("seq").distinct())
-        settled = settled.unionByName(lose.withColumn("status", F.lit("duplicate_in_batch")))
-        pending = rest.join(lose, "seq", "left_anti")
-        if len(accepted_parts) == ROUNDS_PER_WRITE:  # long chains of clashes: keep the plan short
-            accepted_parts, settled = [materialize(_union(accepted_parts))], materialize(settled)
-    accepted = (req.join(_union(accepted_parts), "seq", "left_semi") if accepted_parts
-                else req.filter(F.lit(False)))
+    first = _first_come(pending)
+    settled = settled.unionByName(pending.join(first, "seq", "left_anti").select("seq", F.lit("duplicate_in_batch").alias("status")))
+    accepted = req.join(first, "seq", "left_semi")
     new_users = _next_ids(accepted, "site_user_id", users, "site_user_id").select(
         "site_user_id", "first_name", "last_name", "username", "email",
         F.lit(False).alias("is_staff"), F.lit(False).alias("is_admin"), "seq")
     statuses = (settled.withColumn("site_user_id", F.lit(None).cast("long"))
                 .unionByName(new_users.select("seq", F.lit("ok").alias("status"), "site_user_id")))
-    return users.unionByName(new_users.drop("seq"), allowMissingColumns=True), statuses
+    return new_users.drop("seq"), statuses
+
+
+def _first_come(pending: DataFrame) -> DataFrame:
+    """(seq) of the signups (seq, username, email_key) that are accepted one after
+    another, each if neither its username nor its email is taken by then.
+
+    Of one (username, email) pair only the first can be. A signup that shares
+    neither with others is; the rest fall into groups that share, found as
+    connected components, and each group of up to ``REPLAY_ROWS`` rows is
+    gone through in order by one fold, so a chain of clashes costs no rounds.
+    In a larger group those that come first for both their names are accepted,
+    those that clash with them go, and what is left is grouped anew.
+    """
+    pairs = materialize(pending.groupBy("username", "email_key").agg(F.min("seq").alias("seq")))
+    shared = [pairs.groupBy(c).agg(F.count("*").alias(n)) for c, n in (("username", "_u"), ("email_key", "_e"))]
+    marked = materialize(pairs.join(shared[0], "username").join(shared[1], "email_key"))
+    accepted = [marked.where("_u = 1 and _e = 1").select("seq")]
+    left = marked.where("_u > 1 or _e > 1").select("seq", "username", "email_key")
+    n = left.count()
+    while n > REPLAY_ROWS:
+        # a collision of hashes only joins two groups
+        keyed = left.select("*", F.xxhash64(F.lit("u"), "username").alias("a"), F.xxhash64(F.lit("e"), "email_key").alias("b"))
+        keyed = materialize(keyed.join(components(keyed.select("a", "b")).withColumnRenamed("id", "a"), "a"))
+        sizes = keyed.groupBy("component").agg(F.count("*").alias("n"))
+        small = sizes.where(F.col("n") <= REPLAY_ROWS).select("component")
+        accepted.append(_replayed(keyed.join(small, "component", "left_semi")))
+        large = materialize(keyed.join(small, "component", "left_anti").select("seq", "username", "email_key"))
+        firsts = [large.groupBy(c).agg(F.min("seq").alias("seq")).select("seq") for c in ("username", "email_key")]
+        win = materialize(large.join(firsts[0], "seq", "left_semi").join(firsts[1], "seq", "left_semi"))
+        accepted.append(win.select("seq"))
+        left = materialize(large.join(win.select("username"), "username", "left_anti").join(win.select("email_key"), "email_key", "left_anti"))
+        n = left.count()
+    if n:
+        accepted.append(_replayed(left.withColumn("component", F.lit(0))))
+    return materialize(_union(accepted))
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    """(seq) accepted in each ``component``, gone through in order of seq."""
+    queue = rows.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("seq", "username", "email_key"))).alias("q"))
+    none = F.struct(F.array().cast("array<string>").alias("u"), F.array().cast("array<string>").alias("e"), F.array().cast("array<bigint>").alias("ok"))
+    add = lambda acc, x: F.struct(F.array_append(acc["u"], x["username"]).alias("u"), F.array_append(acc["e"], x["email_key"]).alias("e"),
+                                  F.array_append(acc["ok"], x["seq"].cast("bigint")).alias("ok"))
+    taken = lambda acc, x: F.array_contains(acc["u"], x["username"]) | F.array_contains(acc["e"], x["email_key"])
+    gone = F.aggregate("q", none, lambda acc, x: F.when(taken(acc, x), acc).otherwise(add(acc, x)))
+    return queue.select(F.explode(gone["ok"]).alias("seq")).select(F.col("seq").cast(rows.schema["seq"].dataType).alias("seq"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -152,6 +187,12 @@ def add_closets(closets: DataFrame, users: DataFrame, adds: DataFrame, as_of
                 ) -> tuple[DataFrame, DataFrame]:
     """(seq, username, closet_name) -> unknown_user, duplicate (already
     there or an earlier add in the batch) or ok with a new closet_id."""
+    new, statuses = new_closets(closets, users, adds, as_of)
+    return closets.unionByName(new, allowMissingColumns=True), statuses
+
+
+def new_closets(closets: DataFrame, users: DataFrame, adds: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(rows of the new closets, statuses) of U34."""
     x = adds.join(_user_ids(users), "username", "left")
     existing = closets.select("site_user_id", F.col("name").alias("closet_name"),
                               F.lit(True).alias("_exists"))
@@ -164,12 +205,11 @@ def add_closets(closets: DataFrame, users: DataFrame, adds: DataFrame, as_of
               .otherwise("ok"))
     x = x.withColumn("status", status)
     new = _next_ids(x.filter(F.col("status") == "ok"), "closet_id", closets, "closet_id")
-    new_closets = new.select("closet_id", "site_user_id", F.col("closet_name").alias("name"),
-                             F.lit(as_of).alias("created_at"))
+    rows = new.select("closet_id", "site_user_id", F.col("closet_name").alias("name"), F.lit(as_of).alias("created_at"))
     statuses = (x.filter(F.col("status") != "ok")
                 .select("seq", "status", F.lit(None).cast("long").alias("closet_id"))
                 .unionByName(new.select("seq", "status", "closet_id")))
-    return closets.unionByName(new_closets, allowMissingColumns=True), statuses
+    return rows, statuses
 
 
 def remove_closets(closets: DataFrame, closet_items: DataFrame, users: DataFrame,
@@ -177,6 +217,14 @@ def remove_closets(closets: DataFrame, closet_items: DataFrame, users: DataFrame
     """Delete closets by (username, closet_name), cascading to their items.
     Statuses: unknown_user, unknown_closet (incl. removed earlier in the batch), ok.
     Returns (closets, closet_items, statuses (seq, status, closet_id))."""
+    statuses = closet_removals(closets, users, removes)
+    gone = statuses.filter(F.col("status") == "ok").select("closet_id")
+    return (closets.join(gone, "closet_id", "left_anti"),
+            closet_items.join(gone, "closet_id", "left_anti"), statuses)
+
+
+def closet_removals(closets: DataFrame, users: DataFrame, removes: DataFrame) -> DataFrame:
+    """The statuses of U35, with the id of each closet that goes."""
     x = removes.join(_user_ids(users), "username", "left")
     found = closets.select("closet_id", "site_user_id", F.col("name").alias("closet_name"))
     x = x.join(found, ["site_user_id", "closet_name"], "left")
@@ -186,12 +234,8 @@ def remove_closets(closets: DataFrame, closet_items: DataFrame, users: DataFrame
     status = (F.when(F.col("site_user_id").isNull(), "unknown_user")
               .when(F.col("closet_id").isNull() | (F.col("seq") != F.col("_first")), "unknown_closet")
               .otherwise("ok"))
-    x = x.withColumn("status", status)
-    gone = x.filter(F.col("status") == "ok").select("closet_id")
-    statuses = x.select("seq", "status",
-                        F.when(F.col("status") == "ok", F.col("closet_id")).cast("long").alias("closet_id"))
-    return (closets.join(gone, "closet_id", "left_anti"),
-            closet_items.join(gone, "closet_id", "left_anti"), statuses)
+    return x.select("seq", status.alias("status"),
+                    F.when(status == "ok", F.col("closet_id")).cast("long").alias("closet_id"))
 
 
 def add_items_to_closets(closets: DataFrame, closet_items: DataFrame, users: DataFrame,
@@ -203,6 +247,13 @@ def add_items_to_closets(closets: DataFrame, closet_items: DataFrame, users: Dat
     (smallest id if several). Statuses: unknown_user, unknown_closet,
     unknown_item, already_present (kept as is), ok (row added).
     """
+    new, statuses = new_closet_items(closets, closet_items, users, catalog, adds, as_of)
+    return closet_items.unionByName(new, allowMissingColumns=True), statuses
+
+
+def new_closet_items(closets: DataFrame, closet_items: DataFrame, users: DataFrame,
+                     catalog: Catalog, adds: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(rows of the new entries, statuses) of U36."""
     x = adds.join(_user_ids(users), "username", "left")
     found = closets.select("closet_id", "site_user_id", F.col("name").alias("closet_name"))
     x = x.join(found, ["site_user_id", "closet_name"], "left")
@@ -228,7 +279,7 @@ def add_items_to_closets(closets: DataFrame, closet_items: DataFrame, users: Dat
     new_rows = x.filter(F.col("status") == "ok").select(
         "closet_id", "item_id", F.lit(as_of).alias("added_at"))
     statuses = x.select("seq", "status", "closet_id", "item_id")
-    return closet_items.unionByName(new_rows, allowMissingColumns=True), statuses
+    return new_rows, statuses
 
 
 def user_closets(users: DataFrame, closets: DataFrame, closet_items: DataFrame,

@@ -288,6 +288,8 @@ SELECT query_id, kind, CAST(rank AS INTEGER) AS rank, name FROM (
     JOIN fnamed n ON ilike_escape(n.fname, q.contains, '\\')) x
  WHERE rank <= 5"""))
 
+SQL["search_names_indexed"] = SQL["search_names"]
+
 register("normalize_queries", with_binding(SEARCH_REQ, body=r"""
 SELECT query_id, q FROM (
   SELECT query_id, regexp_replace(q, '^\s+|\s+$', '', 'g') AS q FROM search_req) x
@@ -354,6 +356,57 @@ SELECT e.*, CASE WHEN e.transaction_event IS NULL
                  CASE l_orderkey % 41 WHEN 4 THEN -item_id ELSE item_id END AS item_id)
           FROM stock_event) e"""))
 
+# Raw events, told apart by the same checks; the valid ones folded as above.
+RAW_EVENTS = """
+raw_ev AS (
+  SELECT e.*, CASE WHEN e.transaction_event IS NULL
+                     OR e.transaction_event NOT IN ('audit', 'ship-in', 'ship-out', 'scrap') THEN 'invalid_event'
+                   WHEN e.quantity IS NULL THEN 'null_quantity'
+                   WHEN e.transaction_event = 'audit' AND e.quantity < 0 THEN 'negative_audit'
+                   WHEN s.item_id IS NULL THEN 'unknown_item' ELSE 'ok' END AS status
+    FROM (SELECT * REPLACE (
+                   CASE l_orderkey % 41 WHEN 0 THEN NULL WHEN 1 THEN 'lost' ELSE transaction_event END AS transaction_event,
+                   CASE l_orderkey % 41 WHEN 2 THEN NULL WHEN 3 THEN -quantity ELSE quantity END AS quantity,
+                   CASE l_orderkey % 41 WHEN 4 THEN -item_id ELSE item_id END AS item_id)
+            FROM stock_event) e LEFT JOIN sku s ON s.item_id = e.item_id)"""
+
+
+def _folded(rows: str, opening: str) -> str:
+    """Deltas of the valid events of ``rows`` after the stocks of ``opening``."""
+    return f"""
+folded AS (
+  SELECT * EXCLUDE (v, a, seg, r, opened), CAST(r AS BIGINT) AS stock_after,
+         CAST(r - coalesce(lag(r) OVER (PARTITION BY item_id ORDER BY {EV_ORDER}), opened) AS BIGINT) AS delta_quantity
+    FROM (SELECT *, sum(v) OVER (PARTITION BY item_id, seg ORDER BY {EV_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                    + CASE WHEN seg = 0 THEN opened ELSE 0 END AS r
+            FROM (SELECT x.*, coalesce(o.stock_quantity, 0) AS opened,
+                         CASE WHEN transaction_event IN ('ship-out', 'scrap') THEN -quantity ELSE quantity END AS v,
+                         CASE WHEN transaction_event = 'audit' THEN 1 ELSE 0 END AS a,
+                         sum(CASE WHEN transaction_event = 'audit' THEN 1 ELSE 0 END) OVER (
+                           PARTITION BY x.item_id ORDER BY {EV_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg
+                    FROM {rows} x LEFT JOIN {opening} o ON o.item_id = x.item_id WHERE x.status = 'ok') y) z)"""
+
+
+_RAW_RESULT = """
+SELECT * FROM folded
+UNION ALL BY NAME SELECT *, CAST(NULL AS BIGINT) AS stock_after, CAST(NULL AS BIGINT) AS delta_quantity FROM {} WHERE status <> 'ok'"""
+
+_BEFORE = """
+{0} AS (
+  SELECT item_id, CAST(sum(v) FILTER (WHERE last_a IS NULL OR rn >= last_a) AS BIGINT) AS stock_quantity
+    FROM (SELECT *, max(rn) FILTER (WHERE a = 1) OVER (PARTITION BY item_id) AS last_a
+            FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY """ + EV_ORDER + """) AS rn
+                    FROM ev WHERE transaction_date < TIMESTAMP '{1}') x) y GROUP BY item_id)"""
+
+register("apply_raw_stock_events", with_binding(
+    STOCK_CORE, RAW_EVENTS, _BEFORE.format("before_cut", "1998-01-01"),
+    "tail AS (SELECT * FROM raw_ev WHERE transaction_date >= TIMESTAMP '1998-01-01')",
+    _folded("tail", "before_cut"), body=_RAW_RESULT.format("tail")))
+register("stream_raw_stock_ledger", with_binding(
+    RAW_EVENTS, "none AS (SELECT CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS stock_quantity)",
+    _folded("raw_ev", "none"), body=_RAW_RESULT.format("raw_ev")))
+register("stock_levels_at", with_binding(STOCK_CORE, _BEFORE.format("then_levels", "1996-09-01"), body="SELECT * FROM then_levels"))
+
 # ---------------------------------------------------------------------------
 # Detail (U12-U16) and size rank
 from ..model import SIZES  # noqa: E402
@@ -582,11 +635,72 @@ SELECT x.base_item_id, x.status,
     SELECT d.base_item_id,
            CASE WHEN NOT EXISTS (SELECT 1 FROM base_item bi WHERE bi.base_item_id = d.base_item_id) THEN 'missing'
                 WHEN EXISTS (SELECT 1 FROM sku s JOIN stock_event l ON l.item_id = s.item_id
-                              WHERE s.base_item_id = d.base_item_id AND l.transaction_date < TIMESTAMP '1992-07-01') THEN 'restricted'
+                              WHERE s.base_item_id = d.base_item_id) THEN 'restricted'
                 ELSE 'ok' END AS status
       FROM (SELECT DISTINCT CASE WHEN event_id % 9 = 0 THEN -user_id ELSE user_id END AS base_item_id
               FROM events WHERE event_type = 'view') d) x"""))
 
+DRAFTS = """
+drafts AS (
+  SELECT 1000000000000 + CAST(s_suppkey AS BIGINT) AS base_item_id, CAST(s_suppkey AS BIGINT) AS n FROM supplier),
+draft_ids AS (
+  SELECT DISTINCT unnest([base_item_id, 1000000000000 + abs(base_item_id)]) AS base_item_id
+    FROM (SELECT CASE WHEN event_id % 9 = 0 THEN -user_id ELSE user_id END AS base_item_id FROM events WHERE event_type = 'view') d)"""
+
+register("delete_draft_items", with_binding(DRAFTS, body="""
+SELECT d.base_item_id,
+       CASE WHEN f.n IS NOT NULL THEN 'ok' WHEN b.base_item_id IS NULL THEN 'missing'
+            WHEN l.base_item_id IS NOT NULL THEN 'restricted' ELSE 'ok' END AS status,
+       CASE WHEN f.n IS NULL AND b.base_item_id IS NOT NULL AND l.base_item_id IS NOT NULL THEN 'ledger.item_id' END AS refused_by,
+       CASE WHEN f.n IS NOT NULL THEN (SELECT count(*) FROM image c WHERE c.image_id = f.n)
+            WHEN b.base_item_id IS NOT NULL AND l.base_item_id IS NULL
+            THEN (SELECT count(*) FROM base_item_image c WHERE c.base_item_id = d.base_item_id) ELSE 0 END AS n_images,
+       CASE WHEN f.n IS NOT NULL THEN (SELECT count(*) FROM tag_item c WHERE c.base_item_id = f.n)
+            WHEN b.base_item_id IS NOT NULL AND l.base_item_id IS NULL
+            THEN (SELECT count(*) FROM tag_item c WHERE c.base_item_id = d.base_item_id) ELSE 0 END AS n_tags,
+       CASE WHEN f.n % 2 = 0 THEN 1 ELSE 0 END AS n_skus,
+       CASE WHEN f.n IS NOT NULL THEN (SELECT count(*) FROM closet c WHERE c.site_user_id = f.n)
+            WHEN b.base_item_id IS NOT NULL AND l.base_item_id IS NULL
+            THEN (SELECT count(*) FROM closet_item c WHERE c.item_id = d.base_item_id) ELSE 0 END AS n_closet_entries
+  FROM draft_ids d LEFT JOIN drafts f USING (base_item_id) LEFT JOIN base_item b USING (base_item_id)
+  LEFT JOIN (SELECT DISTINCT s.base_item_id FROM sku s JOIN stock_event e USING (item_id)) l USING (base_item_id)"""))
+
+register("delete_images", with_binding(body="""
+SELECT d.image_id,
+       CASE WHEN i.image_id IS NULL THEN 'missing' WHEN t.id IS NOT NULL THEN 'restricted' ELSE 'ok' END AS status,
+       CASE WHEN i.image_id IS NOT NULL AND t.id IS NOT NULL THEN 'base_item.thumbnail_image_id' END AS refused_by,
+       CASE WHEN i.image_id IS NULL OR t.id IS NOT NULL THEN 0
+            ELSE (SELECT count(*) FROM base_item_image c WHERE c.image_id = d.image_id) END AS n_item_images
+  FROM (SELECT DISTINCT CASE WHEN event_id % 9 = 0 THEN -user_id ELSE user_id END AS image_id
+          FROM events WHERE event_type = 'view') d
+  LEFT JOIN image i USING (image_id)
+  LEFT JOIN (SELECT DISTINCT thumbnail_image_id AS id FROM base_item) t ON t.id = d.image_id"""))
+
+register("delete_tags", with_binding(body="""
+SELECT d.tag_id, CASE WHEN t.tag_id IS NULL THEN 'missing' ELSE 'ok' END AS status, CAST(NULL AS VARCHAR) AS refused_by,
+       (SELECT count(*) FROM tag_item c WHERE c.tag_id = d.tag_id) AS n_items
+  FROM (SELECT DISTINCT CAST(user_id % 400 AS INT) AS tag_id FROM events WHERE event_type = 'click') d LEFT JOIN tag t USING (tag_id)"""))
+
+register("delete_brands", with_binding(body="""
+SELECT d.brand_id,
+       CASE WHEN b.brand_id IS NULL THEN 'missing' WHEN i.brand_id IS NOT NULL THEN 'restricted' ELSE 'ok' END AS status,
+       CASE WHEN b.brand_id IS NOT NULL AND i.brand_id IS NOT NULL THEN 'base_item.brand_id' END AS refused_by
+  FROM (SELECT DISTINCT CAST(CASE WHEN event_id % 2 = 0 THEN user_id % 60 ELSE 100000 + user_id END AS BIGINT) AS brand_id
+          FROM events WHERE event_type = 'error') d
+  LEFT JOIN brand b USING (brand_id) LEFT JOIN (SELECT DISTINCT brand_id FROM base_item) i USING (brand_id)"""))
+
+register("delete_users", with_binding(SESSIONS, body="""
+SELECT d.site_user_id, CASE WHEN u.site_user_id IS NULL THEN 'missing' ELSE 'ok' END AS status, CAST(NULL AS VARCHAR) AS refused_by,
+       CASE WHEN u.site_user_id IS NULL THEN 0
+            ELSE (SELECT count(*) FROM sessions s WHERE s.site_user_id = d.site_user_id) END AS n_sessions,
+       CASE WHEN u.site_user_id IS NULL THEN 0
+            ELSE (SELECT count(*) FROM closet c WHERE c.site_user_id = d.site_user_id) END AS n_closets,
+       CASE WHEN u.site_user_id IS NULL THEN 0
+            ELSE (SELECT count(*) FROM closet c JOIN closet_item i USING (closet_id)
+                   WHERE c.site_user_id = d.site_user_id) END AS n_closet_entries
+  FROM (SELECT DISTINCT CASE WHEN event_id % 8 = 0 THEN -user_id ELSE user_id END AS site_user_id
+          FROM events WHERE event_type = 'signup') d LEFT JOIN site_user u USING (site_user_id)"""))
+
 register("rating_buckets", with_binding(body="""
 SELECT brand_id, full_stars, half_star, 5 - full_stars - half_star AS empty_stars, count(*) AS n_items
   FROM (SELECT brand_id, CAST(floor(rating) AS INT) AS full_stars,

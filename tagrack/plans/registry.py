@@ -14,6 +14,7 @@ from ..model import size_rank
 from ..operators import browse, detail, ingest, integrity, related, search, stock, summaries, users
 from ..sources import feed
 from ..sources import requests as rq
+from ..session import scratch_path
 from ..sources.binding import Binding
 from .materialize import written
 
@@ -84,6 +85,18 @@ def _search_names(spark, sf_dir):
     return search.search_names(rq.search_requests(b.t), b.catalog())
 
 
+@query("search_names_indexed")
+def _search_names_indexed(spark, sf_dir):
+    """The same through kept postings: an index of tags and brands, extended by
+    the item names that come later."""
+    b = Binding.of(spark, sf_dir)
+    names = search.searchable_names(b.catalog())
+    index = search.NameIndex(spark, scratch_path(spark, "name-index"))
+    index.extend(names.filter("kind <> 'items'"))
+    index.extend(names.filter("kind = 'items'"))
+    return search.search_names(rq.search_requests(b.t), None, index=index)
+
+
 @query("normalize_queries")
 def _normalize_queries(spark, sf_dir):
     b = Binding.of(spark, sf_dir)
@@ -125,15 +138,45 @@ def _validate_stock_events(spark, sf_dir):
     return stock.validate_stock_events(rq.raw_stock_events(b.stock_event), b.sku)
 
 
+def _cut(at: str = LEDGER_CUT):
+    from pyspark.sql import functions as F
+    return F.lit(at).cast("timestamp_ntz")
+
+
+def _snapshot(b: Binding, at: str):
+    """The stock of every SKU right before a mark, written."""
+    from pyspark.sql import functions as F
+    return written(stock.closing_levels(b.stock_event.filter(F.col("transaction_date") < _cut(at)), stock.BOUND_ORDER)
+                   .select(_cut(at).alias("mark"), "item_id", "stock_quantity"), "snapshot")
+
+
 @query("apply_stock_events")
 def _apply_stock_events(spark, sf_dir):
+    """New events on top of the snapshot at the mark; the older ones are not folded again."""
     from pyspark.sql import functions as F
     b = Binding.of(spark, sf_dir)
-    cut = F.col("transaction_date") < F.lit(LEDGER_CUT).cast("timestamp_ntz")
-    old = _bound_fold(b, b.stock_event.filter(cut))
-    ledger, _rejects = stock.apply_stock_events(old, b.stock_event.filter(~cut), b.sku,
-                                                stock.BOUND_ORDER)
-    return stock.stock_levels(ledger)
+    opening = _snapshot(b, LEDGER_CUT).drop("mark")
+    new, _rejects = stock.fold_new_events(b.stock_event.filter(F.col("transaction_date") >= _cut()), b.sku, stock.BOUND_ORDER, opening)
+    return stock.stock_levels(opening.withColumnRenamed("stock_quantity", "delta_quantity").unionByName(new.select("item_id", "delta_quantity")))
+
+
+@query("apply_raw_stock_events")
+def _apply_raw_stock_events(spark, sf_dir):
+    """The same with events as clients send them: each with its delta and the
+    stock after it, or with the reason of its refusal."""
+    from pyspark.sql import functions as F
+    b = Binding.of(spark, sf_dir)
+    raw = rq.raw_stock_events(b.stock_event).filter(F.col("transaction_date") >= _cut())
+    new, rejects = stock.fold_new_events(raw, b.sku, stock.BOUND_ORDER, _snapshot(b, LEDGER_CUT).drop("mark"))
+    return new.withColumn("status", F.lit("ok")).unionByName(rejects, allowMissingColumns=True)
+
+
+@query("stock_levels_at")
+def _stock_levels_at(spark, sf_dir):
+    """Levels at a time between two snapshots: the nearest one and the tail since."""
+    b = Binding.of(spark, sf_dir)
+    snapshots = _snapshot(b, "1996-01-01").unionByName(_snapshot(b, LEDGER_CUT))
+    return stock.levels_at(snapshots, b.stock_event, stock.BOUND_ORDER, _cut("1996-09-01"))
 
 
 # -- item detail (U12-U16), size rank (D4 / U40) ---------------------------------
@@ -257,8 +300,49 @@ def _delete_base_items(spark, sf_dir):
     """Status per requested id, against the whole ledger, and how many rows of
     each kind its deletion takes along."""
     b = Binding.of(spark, sf_dir)
-    _cat, status = integrity.delete_base_items(b.catalog(), b.stock_event, rq.delete_requests(b.t))
-    return integrity.cascaded_counts(b.catalog(), status)
+    d = integrity.delete_rows(b.catalog().with_(ledger=b.stock_event), "base_item", rq.delete_requests(b.t))
+    return d.counts(n_images="base_item_image", n_tags="tag_item", n_skus="sku", n_closet_entries="closet_item").drop("refused_by")
+
+
+@query("delete_draft_items")
+def _delete_draft_items(spark, sf_dir):
+    """The same beside items that suppliers have announced: those have no stock
+    events yet, so they go with all their rows."""
+    b = Binding.of(spark, sf_dir)
+    d = integrity.delete_rows(b.with_drafts().with_(ledger=b.stock_event), "base_item", rq.delete_requests_with_drafts(b.t))
+    return d.counts(n_images="base_item_image", n_tags="tag_item", n_skus="sku", n_closet_entries="closet_item")
+
+
+@query("delete_images")
+def _delete_images(spark, sf_dir):
+    """Images go with their links; an item's thumbnail is refused."""
+    b = Binding.of(spark, sf_dir)
+    d = integrity.delete_rows(b.catalog(), "image", rq.delete_requests(b.t).withColumnRenamed("base_item_id", "image_id"))
+    return d.counts(n_item_images="base_item_image")
+
+
+@query("delete_tags")
+def _delete_tags(spark, sf_dir):
+    """Tags go with their links to items."""
+    b = Binding.of(spark, sf_dir)
+    d = integrity.delete_rows(b.catalog(), "tag", rq.tag_deletes(b.t))
+    return d.counts(n_items="tag_item")
+
+
+@query("delete_brands")
+def _delete_brands(spark, sf_dir):
+    """A brand that has items is refused."""
+    b = Binding.of(spark, sf_dir)
+    return integrity.delete_rows(b.catalog(), "brand", rq.brand_deletes(b.t)).status
+
+
+@query("delete_users")
+def _delete_users(spark, sf_dir):
+    """Users go with their session, their closets and what is in those."""
+    b = Binding.of(spark, sf_dir)
+    state = b.catalog().with_(session=users.open_sessions(None, b.session_open))
+    d = integrity.delete_rows(state, "site_user", rq.user_deletes(b.t))
+    return d.counts(n_sessions="session", n_closets="closet", n_closet_entries="closet_item")
 
 
 @query("rating_buckets")
@@ -357,6 +441,18 @@ def _stream_stock_ledger(spark, sf_dir):
     return ledger
 
 
+@query("stream_raw_stock_ledger")
+def _stream_raw_stock_ledger(spark, sf_dir):
+    """The stream over events as clients send them: ledger rows, and rejects with their status."""
+    from pyspark.sql import functions as F
+    from ..streaming import runner
+    b = Binding.of(spark, sf_dir)
+    raw = rq.raw_stock_events(b.stock_event)
+    old = F.col("transaction_date") < _cut()
+    ledger, rejects = runner.run_ledger(spark, [raw.filter(old), raw.filter(~old)], b.sku, stock.BOUND_ORDER)
+    return ledger.withColumn("status", F.lit("ok")).unionByName(rejects, allowMissingColumns=True)
+
+
 @query("stream_search_debounce")
 def _stream_search_debounce(spark, sf_dir):
     from ..streaming import runner

@@ -16,6 +16,7 @@ from ..functions.ranking import positions
 from ..functions.text import name_key
 from ..model import Catalog
 from ..plans.materialize import materialize
+from .requests import DRAFTS_FROM
 from .tables import Tables
 
 
@@ -181,8 +182,29 @@ class Binding:
                         F.concat(F.col("event_type"), F.lit("-"),
                                  F.col("event_id").cast("string")).alias("query"))
 
+    # -- announced items ---------------------------------------------------
+    def with_drafts(self) -> Catalog:
+        """The catalogue and one announced item per supplier: with the image, tags
+        and closets of its number, every second one with an (empty) SKU."""
+        s = self.t.supplier.select(F.col("s_suppkey").cast("long").alias("n"), "s_name")
+        draft = (F.lit(DRAFTS_FROM) + F.col("n"))
+        items = s.select(draft.alias("base_item_id"), F.concat(F.lit("Announced by "), F.col("s_name")).alias("name"),
+                         F.lit("").alias("description"), F.lit(None).cast("long").alias("brand_id"),
+                         F.lit(None).cast("long").alias("thumbnail_image_id"), F.lit(None).cast("decimal(2,1)").alias("rating"))
+        of = lambda rows, col: rows.join(s.select("n"), F.col(col) == F.col("n"))
+        return Catalog(
+            brand=self.brand, image=self.image,
+            base_item=lambda: self.base_item.unionByName(items.withColumn("name_key", name_key("name"))),
+            base_item_image=lambda: self.base_item_image.unionByName(of(self.image, "image_id").select(draft.alias("base_item_id"), "image_id")),
+            tag=lambda: self.tag,
+            tag_item=lambda: self.tag_item.unionByName(of(self.tag_item, "base_item_id").select("tag_id", draft.alias("base_item_id"))),
+            sku=lambda: self.sku.unionByName(s.where("n % 2 = 0").select(
+                (draft * 10).alias("item_id"), draft.alias("base_item_id"), F.lit("M").alias("basic_size"))),
+            site_user=self.site_user, closet=lambda: self.closet,
+            closet_item=lambda: self.closet_item.unionByName(of(self.closet, "site_user_id").select(
+                "closet_id", draft.alias("item_id"), F.col("created_at").alias("added_at"))))
+
     def catalog(self) -> Catalog:
-        return Catalog(brand=self.brand, tag=self.tag, image=self.image,
-                       base_item=self.base_item, base_item_image=self.base_item_image,
-                       tag_item=self.tag_item, sku=self.sku, site_user=self.site_user,
-                       closet=self.closet, closet_item=self.closet_item)
+        """Every view as a table that is built when it is first read."""
+        views = ("brand", "tag", "image", "base_item", "base_item_image", "tag_item", "sku", "site_user", "closet", "closet_item")
+        return Catalog(**{name: (lambda name=name: getattr(self, name)) for name in views})

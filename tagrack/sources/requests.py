@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .tables import Tables
 
+# Ids of announced items: beyond every part key.
+DRAFTS_FROM = 1_000_000_000_000
+
 
 def _events_with_part(t: Tables, event_type: str) -> DataFrame:
     e = t.events.filter(F.col("event_type") == event_type).select("event_id", "user_id")
@@ -178,6 +181,32 @@ def delete_requests(t: Tables) -> DataFrame:
     return e.select(unknown.alias("base_item_id")).distinct()
 
 
+def delete_requests_with_drafts(t: Tables) -> DataFrame:
+    """(base_item_id): the same and, for each of those users, the announced item of
+    the supplier with that number (many do not exist)."""
+    ids = delete_requests(t)
+    return ids.unionByName(ids.select((F.lit(DRAFTS_FROM) + F.abs("base_item_id")).alias("base_item_id")))
+
+
+def tag_deletes(t: Tables) -> DataFrame:
+    """(tag_id) from ``click`` events' users, folded to a few hundred ids."""
+    e = t.events.filter(F.col("event_type") == "click")
+    return e.select((F.col("user_id") % 400).cast("int").alias("tag_id"))
+
+
+def brand_deletes(t: Tables) -> DataFrame:
+    """(brand_id) from ``error`` events: item brands, and brands known from texts only."""
+    e = t.events.filter(F.col("event_type") == "error")
+    return e.select(F.when(F.col("event_id") % 2 == 0, F.col("user_id") % 60)
+                    .otherwise(F.lit(100000) + F.col("user_id")).cast("long").alias("brand_id"))
+
+
+def user_deletes(t: Tables) -> DataFrame:
+    """(site_user_id) from ``signup`` events; some are no users."""
+    e = t.events.filter(F.col("event_type") == "signup")
+    return e.select(F.when(F.col("event_id") % 8 == 0, -F.col("user_id")).otherwise(F.col("user_id")).alias("site_user_id"))
+
+
 def raw_stock_events(events: DataFrame) -> DataFrame:
     """Stock events as a client might send them: some with an unknown or missing
     type, no quantity, a negative count, or an unknown item."""

@@ -1,24 +1,30 @@
 """S3: streaming feed ingest -- new feed files run the whole-table ingest.
 
 Each micro-batch of documents is ingested against the catalogue as the
-earlier batches left it: the base tables plus every delta written so far.
-Deltas land under ``out/<table>/batch=<id>`` (overwrite), so a retried batch
-rewrites its own folder and never duplicates rows. A mark under ``out/done``
-follows the last table of a batch; readers see marked batches only. The mark
-holds the largest id of every numbered table, so later batches number on from
-it instead of reading whole tables; the base must not gain rows of its own
-while a stream adds to it.
+earlier batches left it. Deltas land under ``out/<table>/batch=<id>``
+(overwrite), so a retried batch rewrites its own folder and never duplicates
+rows. A mark under ``out/done`` follows the last table of a batch; readers see
+marked batches only.
+
+A batch reads no whole table. The mark holds the largest id of every numbered
+table, so later batches number on from it; the base must not gain rows of its
+own while a stream adds to it. Names and image URLs are looked up in
+``out/lookup/<table>``, divided by a hash of the name or URL into ``DIVISIONS``
+folders: written from the base by the first batch, added to by every batch,
+and read in the divisions of a batch's own names only.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import name_key
 from ..model import Catalog
 from ..operators import ingest
+from ..plans.materialize import materialize
 from ..sources.feed import parse_documents
 from ..sources.tables import read_parquet_if_present
 
@@ -72,6 +78,40 @@ def read_state(spark: SparkSession, base: Catalog, out: str, before_batch: int |
     return base.with_(**changes), delta("ledger"), delta("rejects")
 
 
+# What a batch looks up, and by which column.
+LOOKUPS = {"tag": "name_key", "brand": "name_key", "image": "url"}
+DIVISIONS = 64
+BASE = -1  # the batch number of what the base brings
+
+
+def _division(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(DIVISIONS)).cast("int")
+
+
+def _add_to_lookup(rows: DataFrame, out: str, table: str, batch_id: int) -> None:
+    path = os.path.join(out, "lookup", table, f"batch={batch_id}")
+    rows.select(*DELTAS[table]).withColumn("division", _division(LOOKUPS[table])).write.mode("overwrite").partitionBy("division").parquet(path)
+
+
+def lookup(spark: SparkSession, out: str, table: str, keys: DataFrame, before_batch: int) -> DataFrame:
+    """The rows of ``table`` that earlier batches and the base hold in the
+    divisions of ``keys`` (one column)."""
+    col = keys.columns[0]
+    keys = keys.where(F.col(col).isNotNull())
+    divisions = [r[0] for r in keys.select(_division(col).alias("d")).distinct().collect()]  # at most DIVISIONS numbers
+    rows = spark.read.parquet(os.path.join(out, "lookup", table))
+    return rows.filter((F.col("batch") < before_batch) & F.col("division").isin(divisions)).select(*DELTAS[table])
+
+
+def batch_keys(docs: DataFrame) -> dict[str, DataFrame]:
+    """The names and URLs that the documents of a batch mention, by lookup table."""
+    items = ingest.feed_items(docs)
+    names = ingest.feed_vendor_names(docs).select("name").unionByName(items.select(F.col("vendor").alias("name")))
+    urls = items.select(F.explode(F.array_append("images", F.col("thumbnail_image"))).alias("url"))
+    return {"tag": ingest.feed_tag_names(docs).select(name_key("website_text").alias("name_key")),
+            "brand": names.select(name_key("name").alias("name_key")), "image": urls}
+
+
 def read_tops(spark: SparkSession, out: str, before_batch: int) -> dict[str, int]:
     """Largest ids by table after the last whole batch before ``before_batch``;
     empty before the first."""
@@ -86,8 +126,14 @@ def read_tops(spark: SparkSession, out: str, before_batch: int) -> dict[str, int
 def ingest_batches(base: Catalog, out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cat, _l, _r = read_state(spark, base, out, before_batch=batch_id)
-        res = ingest.ingest_feed(cat, batch, read_tops(spark, out, batch_id))
+        tops = read_tops(spark, out, batch_id)
+        if not tops:  # the first batch: what the base holds
+            tops = {t: ingest.max_id(getattr(base, t), col) for t, col in ingest.ID_COLUMNS.items()}
+            for table in LOOKUPS:
+                _add_to_lookup(getattr(base, table), out, table, BASE)
+        docs = materialize(batch)
+        known = {t: lookup(spark, out, t, keys, batch_id) for t, keys in batch_keys(docs).items()}
+        res = ingest.ingest_feed(base.with_(**known), docs, tops, materialized=True)
         part = f"batch={batch_id}"
         frames = {
             "tag": res.new_tags,
@@ -100,14 +146,16 @@ def ingest_batches(base: Catalog, out: str):
             "ledger": res.opening_ledger,
             "rejects": res.rejects,
         }
-        tops = {}
         for table, df in frames.items():
             path = os.path.join(_delta_path(out, table), part)
             rows = df.select(*DELTAS.get(table, df.columns))
             rows.write.mode("overwrite").parquet(path)
             if table in ingest.ID_COLUMNS:
-                added = spark.read.schema(rows.schema).parquet(path).agg(F.max(ingest.ID_COLUMNS[table])).first()[0]
-                tops[table] = res.top(table) if added is None else added
+                added = spark.read.schema(rows.schema).parquet(path)
+                if table in LOOKUPS:
+                    _add_to_lookup(added, out, table, batch_id)
+                top = added.agg(F.max(ingest.ID_COLUMNS[table])).first()[0]
+                tops[table] = tops[table] if top is None else top
         # last: the batch is whole
         mark = spark.range(1).select(*[F.lit(n).cast("long").alias(t) for t, n in tops.items()])
         mark.write.mode("overwrite").parquet(os.path.join(_delta_path(out, "done"), part))

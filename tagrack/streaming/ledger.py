@@ -1,134 +1,112 @@
 """Streaming stock ledger -- the event fold over an unbounded stream.
 
-State per SKU is its current stock. Each micro-batch hands a SKU's new events
-to ``applyInPandasWithState``; they are sorted by the event order, validated
-rows update the stock, and every event leaves with its status and delta. A
-``foreachBatch`` sink writes valid rows to the ledger and the rest to a
-rejects folder, each batch into its own ``batch_id`` folder (overwrite), so
-a retried batch after a lost executor rewrites the same files.
+Each micro-batch is folded by the batch operators: events are validated, the
+valid ones folded by ``fold_stock_events`` on top of the stock that the SKUs
+had before the batch. That fold cuts events into order-monotone buckets, so a
+SKU with a third of the events is spread over tasks as in a batch, and all
+of it stays in the JVM.
+
+The stock per SKU is the state, kept beside the ledger as Parquet under the
+output folder: every batch writes the closing stock of the SKUs it touched,
+every ``SNAPSHOT_EVERY``-th batch the stock of all SKUs so far. Both are
+divided by a hash of the SKU, and a batch reads only the divisions it
+touches, of the last snapshot and the few batches since. Each output lies in
+its own ``batch=<id>`` folder (overwrite); a mark under ``done`` follows when
+all of them are written, and names the snapshot that later batches start from.
+A batch that is retried after a failure reads marks of earlier batches only
+and rewrites its own folders, so nothing is lost or counted twice. Any columns
+of the events pass through.
+
+Arrival order counts between micro-batches, ``order`` inside one. Null SKUs
+are unknown SKUs.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..model import EVENT_TYPES
-
-OUT_SCHEMA = ("item_id long, transaction_event string, quantity long, transaction_date timestamp_ntz, "
-              "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
-              "stock_after long, delta_quantity long, status string")
-OUT_COLUMNS = [f.split()[0] for f in OUT_SCHEMA.split(", ")]
-
-
-_OUT_OF_STOCK = ("ship-out", "scrap")
-# SKUs per state key: the stateful operator is keyed by ``item_id div STATE_RANGE``
-# and keeps that range's stocks as two arrays, so one Python call folds a whole
-# range (vectorised) instead of paying the per-key overhead once per SKU.
-STATE_RANGE = 4096
-STATE_SCHEMA = "items array<bigint>, stocks array<bigint>"
-
-
-def _fold_range(order: Sequence[str]):
-    """Per SKU range: replay the batch's events on top of the stored stocks with
-    numpy. Rows are sorted by (item_id, order); a running sum restarts at each
-    SKU's first row and at each audit; a SKU's first segment starts from its
-    stored stock (0 if new)."""
-    order = list(order)
-    valid = np.array(EVENT_TYPES, dtype=object)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = list(pdfs)
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        n = len(pdf)
-        idx = np.lexsort([pdf[c].to_numpy() for c in reversed(["item_id"] + order)])
-        pdf = pdf.iloc[idx]
-        if state.exists:
-            st_items = np.asarray(state.get[0], dtype=np.int64)
-            st_stocks = np.asarray(state.get[1], dtype=np.int64)
-        else:
-            st_items = np.empty(0, dtype=np.int64)
-            st_stocks = np.empty(0, dtype=np.int64)
-        item = pdf["item_id"].to_numpy(dtype=np.int64)
-        ev = pdf["transaction_event"].to_numpy(dtype=object)
-        q = pdf["quantity"].to_numpy(dtype="float64")
-        known = pdf["_known"].to_numpy(dtype=bool)
-        is_audit = ev == "audit"
-        status = np.full(n, "ok", dtype=object)
-        status[~known] = "unknown_item"
-        status[is_audit & (q < 0)] = "negative_audit"
-        status[np.isnan(q)] = "null_quantity"
-        status[~np.isin(ev, valid)] = "invalid_event"
-        ok = status == "ok"
-        after = np.full(n, np.nan)
-        delta = np.full(n, np.nan)
-        if ok.any():
-            it, a = item[ok], is_audit[ok]
-            qv = q[ok].astype(np.int64)
-            v = np.where(np.isin(ev[ok], _OUT_OF_STOCK), -qv, qv)
-            m = len(v)
-            first = np.r_[True, it[1:] != it[:-1]]
-            opening = np.zeros(m, dtype=np.int64)
-            if len(st_items):
-                pos = np.clip(np.searchsorted(st_items, it), 0, len(st_items) - 1)
-                opening = np.where(st_items[pos] == it, st_stocks[pos], 0)
-            seg_start = first | a
-            starts = np.flatnonzero(seg_start)
-            csum = np.cumsum(v)
-            base = np.repeat(csum[starts] - v[starts], np.diff(np.r_[starts, m]))
-            # segments that open a SKU without an audit continue from its stored stock
-            carry = np.repeat(np.where(first[starts] & ~a[starts], opening[starts], 0),
-                              np.diff(np.r_[starts, m]))
-            run = csum - base + carry
-            prev = np.where(first, opening, np.r_[0, run[:-1]])
-            after[ok] = run
-            delta[ok] = run - prev
-            last = np.r_[it[1:] != it[:-1], True]
-            new_items, new_stocks = it[last], run[last]
-            keep = ~np.isin(st_items, new_items)
-            st_items = np.r_[st_items[keep], new_items]
-            st_stocks = np.r_[st_stocks[keep], new_stocks]
-            o = np.argsort(st_items, kind="stable")
-            st_items, st_stocks = st_items[o], st_stocks[o]
-        state.update((st_items.tolist(), st_stocks.tolist()))
-        out = pdf.drop(columns=["_known", "_range"])
-        out = out.assign(stock_after=pd.array(after, dtype="Float64").astype("Int64"),
-                         delta_quantity=pd.array(delta, dtype="Float64").astype("Int64"),
-                         status=status)
-        yield out[OUT_COLUMNS]
-
-    return fn
-
-
-def ledger_stream(events: DataFrame, sku: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Streaming DataFrame of events with (stock_after, delta_quantity, status).
-
-    ``events`` is a streaming DataFrame of stock events; ``sku`` a static one.
-    The SKU check is a stream-static left join; state is one pair of arrays
-    per SKU range (bounded by STATE_RANGE entries).
-    """
-    known = sku.select("item_id").distinct().withColumn("_known", F.lit(True))
-    x = (events.join(known, "item_id", "left")
-         .withColumn("_known", F.coalesce("_known", F.lit(False)))
-         .withColumn("_range", F.floor(F.col("item_id") / STATE_RANGE)))
-    return x.groupBy("_range").applyInPandasWithState(
-        _fold_range(order), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def write_ledger_batches(out_dir: str):
-    """foreachBatch writer: valid rows -> ledger/, the rest -> rejects/."""
+
+from ..operators.stock import fold_stock_events, validate_stock_events
+from ..sources.tables import read_parquet_if_present
+
+DIVISIONS = 64
+SNAPSHOT_EVERY = 16
+NO_BATCH = -1
+
+
+def _division() -> Column:
+    return F.pmod(F.xxhash64("item_id"), F.lit(DIVISIONS)).cast("int")
+
+
+def _done(spark: SparkSession, out: str, before: int) -> tuple[int, int]:
+    """(last whole batch, its snapshot) before batch ``before``."""
+    marks = read_parquet_if_present(spark, os.path.join(out, "done"))
+    if marks is None:
+        return NO_BATCH, NO_BATCH
+    last = marks.filter(F.col("batch") < before).agg(F.max(F.struct("batch", "snapshot")).alias("m")).first()["m"]
+    return (last["batch"], last["snapshot"]) if last else (NO_BATCH, NO_BATCH)
+
+
+def read_levels(spark: SparkSession, out: str, before: int, divisions: list[int] | None = None) -> DataFrame | None:
+    """(item_id, stock_quantity) of all SKUs seen in whole batches before batch
+    ``before``; of the given divisions only, where named. None if nothing is there."""
+    last, snapshot = _done(spark, out, before)
+    if last == NO_BATCH:
+        return None
+    closing = spark.read.parquet(os.path.join(out, "closing")).filter((F.col("batch") > snapshot) & (F.col("batch") <= last))
+    if snapshot != NO_BATCH:
+        closing = closing.unionByName(spark.read.parquet(os.path.join(out, "snapshot")).filter(F.col("batch") == snapshot))
+    if divisions is not None:
+        closing = closing.filter(F.col("division").isin(divisions))  # folders of others are not listed into the scan
+    return closing.groupBy("item_id").agg(F.max_by("stock_quantity", "batch").alias("stock_quantity"))
+
+
+def fold_batches(sku: DataFrame, order: Sequence[str], out: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: valid events with their deltas -> ledger/, the rest
+    with their status -> rejects/, closing stocks -> closing/ and snapshot/."""
+    def folder(name: str, batch_id: int) -> str:
+        return os.path.join(out, name, f"batch={batch_id}")
+
+    def by_division(levels: DataFrame, path: str) -> None:
+        levels.withColumn("division", _division()).write.mode("overwrite").partitionBy("division").parquet(path)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        part = f"batch={batch_id}"
-        (batch.filter(F.col("status") == "ok").drop("status")
-         .write.mode("overwrite").parquet(os.path.join(out_dir, "ledger", part)))
-        (batch.filter(F.col("status") != "ok")
-         .write.mode("overwrite").parquet(os.path.join(out_dir, "rejects", part)))
-        batch.unpersist()
+        spark = batch.sparkSession
+        checked = validate_stock_events(batch, sku).persist()
+        valid = checked.filter(F.col("status") == "ok").drop("status")
+        touched = sorted(r[0] for r in valid.select(_division().alias("d")).distinct().collect())  # at most DIVISIONS numbers
+        opening = read_levels(spark, out, batch_id, touched)
+        fold_stock_events(valid, order, opening=opening).write.mode("overwrite").parquet(folder("ledger", batch_id))
+        checked.filter(F.col("status") != "ok").write.mode("overwrite").parquet(folder("rejects", batch_id))
+        checked.unpersist()
+
+        deltas = spark.read.parquet(folder("ledger", batch_id)).groupBy("item_id").agg(F.sum("delta_quantity").alias("change"))
+        if opening is not None:
+            deltas = deltas.join(opening, "item_id", "left")
+        else:
+            deltas = deltas.withColumn("stock_quantity", F.lit(0).cast("long"))
+        by_division(deltas.select("item_id", (F.coalesce("stock_quantity", F.lit(0)) + F.col("change")).cast("long").alias("stock_quantity")),
+                    folder("closing", batch_id))
+        last, snapshot = _done(spark, out, batch_id)
+        mark = spark.range(1).select(F.lit(snapshot).cast("long").alias("snapshot"))
+        if batch_id - max(snapshot, 0) >= SNAPSHOT_EVERY:
+            now = spark.read.parquet(folder("closing", batch_id)).withColumn("batch", F.lit(batch_id).cast("long"))
+            before = read_levels(spark, out, batch_id)
+            both = now.select("item_id", "stock_quantity", "batch")
+            if before is not None:
+                both = both.unionByName(before.withColumn("batch", F.lit(NO_BATCH).cast("long")))
+            by_division(both.groupBy("item_id").agg(F.max_by("stock_quantity", "batch").alias("stock_quantity")), folder("snapshot", batch_id))
+            mark = spark.range(1).select(F.lit(batch_id).cast("long").alias("snapshot"))
+        mark.write.mode("overwrite").parquet(folder("done", batch_id))  # last: the batch is whole
     return write
+
+
+def read_ledger(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(ledger, rejects) of all whole batches."""
+    last, _snapshot = _done(spark, out, 1 << 62)
+    ledger, rejects = (spark.read.parquet(os.path.join(out, name)).filter(F.col("batch") <= last).drop("batch")
+                       for name in ("ledger", "rejects"))
+    return ledger, rejects

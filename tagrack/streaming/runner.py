@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.tables import read_parquet_if_present
 from . import debounce as deb
 from . import ingest as ing
 from . import ledger as led
@@ -37,11 +36,8 @@ def run_ledger(spark: SparkSession, waves: list[DataFrame], sku: DataFrame,
     for wave in waves:
         wave.write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        _run(led.ledger_stream(stream, sku, order).writeStream
-             .foreachBatch(led.write_ledger_batches(out)).option("checkpointLocation", ck))
-    ledger = spark.read.parquet(os.path.join(out, "ledger"))
-    rejects = read_parquet_if_present(spark, os.path.join(out, "rejects"))
-    return ledger.drop("batch"), (rejects.drop("batch") if rejects is not None else None)
+        _run(stream.writeStream.foreachBatch(led.fold_batches(sku, order, out)).option("checkpointLocation", ck))
+    return led.read_ledger(spark, out)
 
 
 def run_debounce(spark: SparkSession, log: DataFrame | list[DataFrame], gap: str, watermark: str,

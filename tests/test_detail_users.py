@@ -44,6 +44,29 @@ def test_images_sizes_and_detail(spark, cat):
     assert d[3]["status"] == "missing_name" and d[3]["description"] is None
 
 
+@pytest.mark.parametrize("most", [2_000, 5])
+def test_sign_ups_equal_a_walk_in_order(spark, monkeypatch, most):
+    """Chains of clashes, one giant group, repeated pairs; folded whole and in small groups."""
+    import random
+    monkeypatch.setattr(users, "REPLAY_ROWS", most)
+    rng = random.Random(most)
+    asked = [(f"u{rng.randint(1, 12)}", f"M{rng.randint(1, 12)}@x.io") for _ in range(40)]
+    asked += [(f"c{i // 2}", f"d{(i + 1) // 2}@x.io") for i in range(12)]  # each clashes with the one before
+    asked += [("alone", "alone@x.io")]
+    rng.shuffle(asked)
+    names, mails, want = set(), set(), {}
+    for n, (u, m) in enumerate(asked):
+        ok = u not in names and m.lower() not in mails
+        want[n] = "ok" if ok else "duplicate_in_batch"
+        if ok:
+            names.add(u)
+            mails.add(m.lower())
+    s = spark.createDataFrame([(n, "a", "b", u, m) for n, (u, m) in enumerate(asked)],
+                              "seq long, first_name string, last_name string, username string, email string")
+    _new, statuses = users.accepted_signups(users_df(spark), s)
+    assert {r["seq"]: r["status"] for r in statuses.collect()} == want
+
+
 def test_delete_cascade_and_restrict(spark, cat):
     ledger = spark.createDataFrame([(10, 5)], "item_id long, delta_quantity long")
     ids = spark.createDataFrame([(1,), (2,), (3,), (99,)], "base_item_id long")

@@ -112,3 +112,75 @@ def test_sort_buckets_with_a_hot_sku(spark):
     df = spark.createDataFrame(evs, SCHEMA).repartition(5)
     got = rows(stock.fold_stock_events(df, ["seq"]), "item_id", "seq", "stock_after", "delta_quantity")
     assert got == replay(evs)[0]
+
+
+def test_closing_levels_carry_an_opening_on(spark):
+    ev = [(1, "ship-out", 2, 1), (2, "audit", 4, 1), (2, "ship-in", 1, 2), (3, "ship-in", 5, 1)]
+    opening = {1: 10, 2: 7, 9: 3}
+    op = spark.createDataFrame(list(opening.items()), "item_id long, stock_quantity long")
+    got = rows(stock.closing_levels(spark.createDataFrame(ev, SCHEMA), ["seq"], op))
+    assert got == sorted(replay(ev, opening)[1].items())
+
+
+def test_levels_at_a_time_come_from_the_nearest_snapshot(spark):
+    ev = [(i % 3, ["ship-in", "audit", "scrap"][i % 7 % 3], i % 5, i) for i in range(60)]
+    at = lambda n: F.lit(n)
+    events = spark.createDataFrame(ev, SCHEMA).withColumn("transaction_date", F.col("seq"))
+    marks = [(m, i, q) for m in (20, 40) for i, q in replay([e for e in ev if e[3] < m])[1].items()]
+    snapshots = spark.createDataFrame(marks, "mark long, item_id long, stock_quantity long")
+    for t in (5, 20, 33, 40, 55):
+        want = sorted(replay([e for e in ev if e[3] < t])[1].items())
+        assert rows(stock.levels_at(snapshots, events, ["seq"], at(t))) == want
+    # what lies before the nearest mark is not read: without it the answer is the same
+    late = events.filter("seq >= 40")
+    assert rows(stock.levels_at(snapshots, late, ["seq"], at(55))) == sorted(replay([e for e in ev if e[3] < 55])[1].items())
+
+
+SKUS = "item_id long, base_item_id long, basic_size string"
+
+
+def test_stream_with_every_status_a_hot_sku_and_extra_columns(spark):
+    import random
+    rng = random.Random(8)
+    kinds = ["audit", "ship-in", "ship-out", "scrap", "lost", None]
+    ev = [(rng.choice([1, 1, 1, 2, 3, 99, None]), rng.choice(kinds), rng.choice([None, -2, 0, 3, 7]), n) for n in range(300)]
+    df = spark.createDataFrame([(*e, f"note {e[3]}") for e in ev], SCHEMA + ", note string")
+    sku = spark.createDataFrame([(i, 1, "S") for i in (1, 2, 3)], SKUS)
+    status = {r["seq"]: r["status"] for r in stock.validate_stock_events(df, sku).collect()}
+    assert set(status.values()) == {"ok", "invalid_event", "null_quantity", "negative_audit", "unknown_item"}
+    waves = [df.filter((F.col("seq") >= lo) & (F.col("seq") < lo + 75)) for lo in range(0, 300, 75)]
+    ledger, rejects = runner.run_ledger(spark, waves, sku, ["seq"])
+    valid = [e for e in ev if status[e[3]] == "ok"]
+    assert rows(ledger, "item_id", "seq", "stock_after", "delta_quantity") == replay(valid)[0]
+    assert {r["note"] for r in ledger.collect()} == {f"note {e[3]}" for e in valid}
+    assert {r["seq"]: r["status"] for r in rejects.collect()} == {k: v for k, v in status.items() if v != "ok"}
+
+
+def test_stream_batches_retried_and_started_from_snapshots(spark, tmp_path, monkeypatch):
+    from tagrack.streaming import ledger as led
+    monkeypatch.setattr(led, "SNAPSHOT_EVERY", 2)
+    out = str(tmp_path / "out")
+    ev = [(1 + n % 4, ["ship-in", "ship-out", "audit"][n % 5 % 3], n % 6, n) for n in range(80)]
+    sku = spark.createDataFrame([(i, 1, "S") for i in range(1, 5)], SKUS)
+    write = led.fold_batches(sku, ["seq"], out)
+    for batch, lo in enumerate(range(0, 80, 10)):
+        wave = spark.createDataFrame(ev[lo:lo + 10], SCHEMA)
+        write(wave, batch)
+        if batch in (3, 4):
+            write(wave, batch)  # the mark was lost, the batch comes again
+    got = rows(led.read_ledger(spark, out)[0], "item_id", "seq", "stock_after", "delta_quantity")
+    assert got == replay(ev)[0]
+    assert rows(led.read_levels(spark, out, 100)) == sorted(replay(ev)[1].items())
+    last, snapshot = led._done(spark, out, 100)
+    assert last == 7 and snapshot >= 5
+    # a batch asks for its own divisions only
+    one = spark.createDataFrame([(1,)], "item_id long").select(led._division().alias("d")).first()["d"]
+    assert 1 in {r[0] for r in rows(led.read_levels(spark, out, 100, [one]))}
+
+
+def test_stream_stays_in_the_jvm(spark, tmp_path):
+    from tagrack.plans.checks import PYTHON_NODES, plan_text
+    ev = spark.createDataFrame([(1, "audit", 5, 1)], SCHEMA)
+    sku = spark.createDataFrame([(1, 1, "S")], SKUS)
+    text = plan_text(stock.fold_stock_events(stock.validate_stock_events(ev, sku), ["seq"]))
+    assert not any(n in text for n in PYTHON_NODES)
