@@ -5,10 +5,13 @@ a site's frame are hashed, and Spark counts each hash once per page and host.
 A subtree met on ``LEAST_PAGES`` different pages of its host, however many pages
 the host has, is template and is deleted, beside elements that say themselves
 that they are navigation, adverts, forms and the like. What remains of the
-article is the text. Pages of the same markup count once.
+article is the text.
 
-Headings and paragraphs inside an article are never deleted for recurring:
-copies of an article, and passages that many articles share, are content.
+Only containers can be templates: no inline element, heading or paragraph,
+no list, table or figure of running text (lists of links can), no passage of
+``PASSAGE_WORDS`` words without links, nothing that holds an article or most of the
+page's text (but a bare ``div`` of under ``SENTENCE_WORDS`` words). Pages are told apart by their three longest blocks of text, so copies of
+one article, which share them, count as one page however they are framed.
 
 Defined cases. A null or empty page, and one of markup only, has an empty text.
 A null or odd url is a host of its own name (empty); repeated rows are pages of
@@ -56,9 +59,22 @@ MARKED = re.compile(r"""(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adslot|sponsor\w*|pr
     comments?|commentlist|disqus|replies|social|share|sharing|related|recommended|popup|modal|overlay|toolbar|widget|
     login|signup|skip)(?:$|[\s_-])""", re.I | re.X)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+# Of these a class inside an article may speak of its matter (side by side, related
+# work): there the element goes only if it is mostly links.
+OPEN_MARKS = re.compile(r"""(?:^|[\s_-])(?:adv|notices?|alert|side|menu|social|share|sharing|related|recommended|overlay|widget|
+    replies|skip|banner|promo|subscription)(?:$|[\s_-])""", re.I | re.X)
 TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr tbody b i em strong a span code br u s".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# What can be a site's template, and of those what can be so only if it is mostly links.
+CONTAINERS = frozenset("div section header footer nav aside form center fieldset menu ul ol dl table figure".split())
+OF_LINKS = frozenset("ul ol dl table figure menu".split())
+PASSAGE_WORDS = 50
+SENTENCE_WORDS = 10
+LONGEST_BLOCKS = 3
+
+# As in browsers a quote counts after = only, and an open tag, quote or comment ends
+# with the page. No part takes a step back, so a page is read once.
+_TOKEN = re.compile(r"""<!--(?:[^-]++|-(?!->))*+(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)
+    |<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)""", re.X)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
@@ -68,17 +84,22 @@ class Node:
     marks: str = ""
     drop: bool = False
     in_article: bool = False
+    doubt: bool = False  # to be dropped if it is mostly links
     children: list = field(default_factory=list)  # Node or text
 
 
-def _attributes(tag: str, source: str) -> tuple[str, bool]:
-    """(class and id, whether the attributes say boilerplate)."""
+def _attributes(tag: str, source: str) -> tuple[str, bool, bool]:
+    """(class and id, whether the attributes say boilerplate, whether only by a
+    word that may also speak of the matter)."""
     if not source.strip():
-        return "", False
+        return "", False, False
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(source)}
     marks = f"{found.get('class', '')} {found.get('id', '')}".strip()
-    said = bool(marks and MARKED.search(marks)) or found.get("role", "").lower() in ROLES
-    return marks, said or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    said = bool(marks and MARKED.search(marks))
+    sure = found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    # words of the open kind out, is there still one that says it?
+    doubt = said and not sure and not MARKED.search(" ".join(OPEN_MARKS.sub("  ", f" {marks} ".replace(" ", "  ")).split()))
+    return marks, said or sure, doubt
 
 
 def parse(page: str | None) -> Node:
@@ -87,6 +108,7 @@ def parse(page: str | None) -> Node:
     root = Node("#root")
     stack, at, end = [root], 0, len(page)
 
+    doubtful: list[Node] = []
     open_tags: Counter = Counter()  # a tag that is not open is not searched for in a deep stack
 
     def close_to(i: int) -> None:
@@ -128,12 +150,15 @@ def parse(page: str | None) -> Node:
                     close_to(i)
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
-        marks, said = _attributes(tag, m[3])
+        marks, said, doubt = _attributes(tag, m[3])
         main = tag in ("article", "main", "body", "html")
         inside = stack[-1].in_article or stack[-1].tag in ("article", "main")
         # a header outside the article is the site's, inside it holds the title
         drop = not (main and not (tag == "article" and said)) and (tag in NEVER or said or tag == "header" and not inside)
-        node = Node(tag, marks, drop, inside)
+        doubt = doubt and inside and drop and tag not in NEVER
+        node = Node(tag, marks, drop and not doubt, inside, doubt)
+        if doubt:
+            doubtful.append(node)
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -142,9 +167,50 @@ def parse(page: str | None) -> Node:
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
             open_tags[tag] += 1
+    if doubtful:
+        sizes = measures(root)
+        for node in doubtful:
+            all_, linked, *_ = sizes[id(node)]
+            node.drop = 2 * linked >= all_
     return root
 
 
+def measures(root: Node) -> dict[int, tuple[int, int, int, bool, bool]]:
+    """By id() of every element: letters of its text, of them in links, its words,
+    whether it holds other blocks, and whether it holds an article. Dropped elements count for nothing."""
+    out: dict[int, tuple[int, int, int, bool, bool]] = {}
+    for node in [*reversed(_nodes(root)), root]:  # children before their parents
+        size = linked = words = 0
+        blocks = article = False
+        for c in node.children:
+            if isinstance(c, str):
+                split = c.split()
+                words += len(split)
+                size += sum(map(len, split))
+            elif not c.drop:
+                s, l, w, b, a = out[id(c)]
+                size, linked, words = size + s, linked + l, words + w
+                blocks, article = blocks or b or c.tag in BLOCK, article or a
+        out[id(node)] = (size, size if node.tag == "a" else linked, words, blocks, article or node.tag in ("article", "main", "body"))
+    return out
+
+
+def candidates(root: Node) -> dict[int, int]:
+    """Those of ``subtree_hashes`` that may be a site's template, by id()."""
+    hashes, sizes, out = subtree_hashes(root), measures(root), {}
+    whole = sizes[id(root)][0]
+    for node in _nodes(root):
+        if node.tag not in CONTAINERS or node.drop or id(node) not in hashes:
+            continue
+        size, linked, words, blocks, article = sizes[id(node)]
+        links = 2 * linked >= size
+        passage = node.tag in OF_LINKS or (words >= PASSAGE_WORDS and not blocks)
+        most = 2 * size > whole and (words >= SENTENCE_WORDS or node.tag != "div" or blocks)
+        if not article and not most and (links or not passage):
+            out[id(node)] = hashes[id(node)]
+    return out
+
+
 def subtree_hashes(root: Node) -> dict[int, int]:
     """64-bit hash by id() of every subtree that could be a site's template."""
     out: dict[int, int] = {}
@@ -197,11 +263,26 @@ def main_text(page: str | None, templates=()) -> str:
     """Text of the article after deleting the subtrees whose hash is in ``templates``."""
     root = parse(page)
     if len(templates):
-        hashes, known = subtree_hashes(root), set(templates)
+        found, known = candidates(root), set(templates)
         for node in _nodes(root):
-            node.drop = node.drop or hashes.get(id(node)) in known
-    found = next((x for x in (_find(root, "article"), _find(root, "main"), [root]) if x))
-    top = max(found, key=_length)
+            node.drop = node.drop or found.get(id(node)) in known
+    return "\n".join(lines(root))
+
+
+def _main(root: Node) -> Node:
+    """The longest article; or the main element that holds it, if that holds more
+    than the article besides; without either, the page."""
+    articles, mains = _find(root, "article"), _find(root, "main")
+    if not articles:
+        return max(mains, key=_length) if mains else root
+    best = max(articles, key=_length)
+    around = [m for m in mains if any(x is best for x in _find(m, "article"))]
+    return next((m for m in around if _length(m) > 2 * _length(best)), best)
+
+
+def lines(root: Node) -> list[str]:
+    """The blocks of the main text, in page order."""
+    top = _main(root)
     blocks: list[list[str]] = [[]]
 
     todo: list = [*reversed(top.children)]  # text, elements, and None where a block begins or ends
@@ -220,8 +301,14 @@ def main_text(page: str | None, templates=()) -> str:
             todo += [None, *reversed(c.children)]
         else:
             todo += reversed(c.children)
-    lines = (" ".join("".join(b).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    found = (" ".join("".join(b).split()) for b in blocks)
+    return [x for x in found if x]
+
+
+def page_core(root: Node) -> int:
+    """64-bit hash of the longest blocks of a page's text: what its pages are told apart by."""
+    longest = sorted(set(lines(root)), key=lambda x: (-len(x), x))[:LONGEST_BLOCKS]
+    return xxhash.xxh3_64_intdigest("\x1f".join(longest).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def host(url: Column) -> Column:
@@ -230,24 +317,29 @@ def host(url: Column) -> Column:
 
 def _hash_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        hashes = [sorted(set(subtree_hashes(parse(p)).values())) for p in pdf["html"]]
-        yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "hash": hashes}).explode("hash").dropna()
+        cores, hashes = [], []
+        for p in pdf["html"]:
+            root = parse(p)
+            hashes.append(sorted(set(candidates(root).values())))
+            cores.append(page_core(root) if hashes[-1] else 0)
+        yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "core": cores, "hash": hashes}).explode("hash").dropna()
 
 
 def page_key() -> Column:
-    """64-bit hash of a page's markup: pages of equal markup are one page."""
+    """64-bit hash of a page's markup."""
     return F.xxhash64(F.coalesce(F.col("html").cast("string"), F.lit("")))
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page, hash) of the subtrees of every page that could be templates."""
+    """(host, page, core, hash) of the subtrees of every page that could be templates."""
     rows = small_batches(pages).select(host(F.col("url")).alias("host"), page_key().alias("page"), F.col("html").cast("string").alias("html"))
-    return rows.mapInPandas(_hash_pages, "host string, page long, hash long").distinct()
+    return rows.mapInPandas(_hash_pages, "host string, page long, core long, hash long").distinct()
 
 
 def templates(subtrees: DataFrame) -> DataFrame:
-    """(host, hash) of the subtrees that recur on the host's pages."""
-    return subtrees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "hash")
+    """(host, hash) of the subtrees that recur on pages of the host with different text."""
+    each = subtrees.select("host", "hash", "core").distinct()
+    return each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "hash")
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

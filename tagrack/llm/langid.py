@@ -28,19 +28,27 @@ from pyspark.sql import functions as F
 
 from .common import bounded_share, crc_mod, small_batches, written
 
-# Documented bound: word and n-gram frequencies come from about this many labelled rows.
+# Documented bounds: word and n-gram frequencies come from about this many labelled
+# rows, and a word or n-gram below this share of every language's is left out of the model.
 MAX_TRAINING_ROWS = 30_000
 LEAST_SHARE = 1 / 1_000_000
 ORDERS = (5, 4, 3, 2, 1)
 HELD_OUT_FOLD, FOLDS = 2, 4
 SMOOTH = 0.2
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 500_000
 _CACHE = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Runs of letters, of Unicode's letter categories only, lower-cased."""
+    out = []
+    for w in _WORD.findall((text or "").lower()):
+        if w.isalpha():
+            out.append(w)
+        else:  # fractions, powers and numbers in circles stand among what \w takes
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -130,21 +138,20 @@ def fit(docs: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Model:
                      .groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "lang_counts")
     totals = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in totals})
-    per_kind: Counter = Counter()
-    for (kind, _), n in totals.items():
-        per_kind[kind] += n
     if not langs:
         return Model([], [], np.zeros((0, 0)))
-    # one item's share is at least LEAST_SHARE, so a kind has at most 1 / LEAST_SHARE items
-    least = F.element_at(F.create_map(*[x for k, n in sorted(per_kind.items())
-                                        for x in (F.lit(k), F.lit(n * LEAST_SHARE))]), F.col("kind"))
-    by = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = by.where((F.col("n") >= least) & (F.col("n") >= 2)).select(
+    # an item stays if it reaches LEAST_SHARE within one of its languages, so a
+    # kind has at most languages / LEAST_SHARE items and a rare language keeps its words
+    least = F.element_at(F.create_map(*[x for (k, lang), n in sorted(totals.items())
+                                        for x in (F.lit(f"{k} {lang}"), F.lit(n * LEAST_SHARE))]), F.concat_ws(" ", "kind", "lang"))
+    by = counts.withColumn("often", F.col("n") >= least).groupBy("kind", "item").agg(
+        F.sum("n").alias("n"), F.max("often").alias("often"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    rows = by.where(F.col("often") & (F.col("n") >= 2)).select(
         "kind", "item", *[F.coalesce(F.col("by")[x], F.lit(0)).cast("double").alias(f"n{i}") for i, x in enumerate(langs)]).toPandas()
     rows = rows.sort_values(["kind", "item"], ignore_index=True)
     table = rows[[f"n{i}" for i in range(len(langs))]].to_numpy(float)
     kinds = rows["kind"].to_numpy()
-    for kind in per_kind:
+    for kind in sorted(set(kinds.tolist())):
         here = kinds == kind
         total = np.array([totals.get((kind, x), 0) for x in langs], float)
         table[here] = np.log((table[here] + SMOOTH) / (total + SMOOTH * max(here.sum(), 1)))

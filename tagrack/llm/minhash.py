@@ -15,8 +15,9 @@ bucket's main component meet the rest of the bucket.
 
 Defined cases. Null, empty and blank texts have the empty set and link with
 nothing; with fewer than five words the whole sequence is the one shingle;
-repeated rows of one id count as one document; rows with a null id
-come back unlinked with a null component. An empty table gives no rows. Extra
+rows of one id are one document, and where their texts differ its set is the one
+of the least set id (a hash of the set; the empty set only if all are empty); rows
+with a null id come back unlinked with a null component, one for each set. An empty table gives no rows. Extra
 columns are ignored by ``near_duplicates``.
 
 A pair at Jaccard 0.85 misses all bands with probability (1-0.85^6)^32 < 3e-7,
@@ -117,16 +118,22 @@ def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in pdf["text"]:
             h = shingle_hashes(text)
             n.append(len(h))
-            digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+            digest.append(_set_id(h))
             sig = signature(h) if len(h) else None
             bands.append(_bands(sig) if len(h) else None)
             sketch.append(_sketch(sig) if len(h) else None)
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "set_id": digest, "bands": bands, "sketch": sketch})
 
 
+def _set_id(h: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+
+
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        yield pd.DataFrame({"id": pdf["id"], "hashes": [shingle_hashes(t) for t in pdf["text"]]})
+        out = pd.DataFrame({"id": pdf["id"], "hashes": [shingle_hashes(t) for t in pdf["text"]]})
+        # an id may stand on several texts; its set is the one that was chosen for it
+        yield out[[_set_id(h) == s for h, s in zip(out["hashes"], pdf["set_id"], strict=True)]]
 
 
 def _fine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,9 +177,12 @@ def _open(member: DataFrame, comp: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    sigs = written(signatures(docs, text_col, id_col).dropDuplicates(["doc_id", "set_id"]), "signatures")
+    every = signatures(docs, text_col, id_col)
+    sigs = written(every.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("set_id")).alias("_")).agg(
+        F.min_by(F.struct("n_shingles", "set_id", "bands", "sketch"), "set_id").alias("s")).select(
+        "doc_id", F.coalesce("s.n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "s.set_id", "s.bands", "s.sketch"), "signatures")
     classes = written(sigs.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"),
+        F.min("doc_id").alias("id"), F.count("*").alias("m"), F.first("n_shingles").alias("n"),
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
     # Buckets of one representative need nothing further. The centres of the
@@ -183,10 +193,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         F.count("*").alias("members"), F.array(
             F.min("id"), F.min_by("id", by_hash), F.max_by("id", by_hash)).alias("centres")).where("members > 1").drop("members")
     crowded = written(spread.select("id", "band", "bucket").join(centres, ["band", "bucket"]), "crowded")
-    ids = written(crowded.select("id").distinct(), "crowded_ids")
+    ids = written(classes.select("id", "set_id").join(crowded.select("id").distinct(), "id", "left_semi"), "crowded_ids")
     wanted = broadcast_if(ids, ids.count())
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(plain.join(wanted, "id", "left_semi").mapInPandas(_sets, "id long, hashes array<long>")
+    sets = written(plain.join(wanted, "id").mapInPandas(_sets, "id long, hashes array<long>")
                    .dropDuplicates(["id"]), "sets")
     size = classes.select("id", "n")
 
@@ -215,10 +225,19 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     links = links.union(confirmed(rest))
 
     comp = components(links).withColumnRenamed("id", "class_id")
-    member_of = sigs.join(classes.select("set_id", F.col("id").alias("class_id")), "set_id", "left")
-    label = member_of.join(comp, "class_id", "left").select(
-        "doc_id", "n_shingles", 
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "class_id", "doc_id")).alias("component_id"))
+    named = written(classes.select(F.col("set_id").alias("k"), F.col("id").alias("class_id"), "m").join(comp, "class_id", "left").select(
+        "k", "m", F.coalesce("component_id", "class_id").alias("c")), "named")
+    # A set held by over 0.1 % of the documents is one of at most 1,000: those
+    # join by broadcast, so no key of the shuffled join is hot.
+    rows = sigs.select("doc_id", "n_shingles", "set_id")
+    hot = F.col("m") * 1000 > sigs.count()
+    tried = rows.join(F.broadcast(named.where(hot)), F.col("set_id") == F.col("k"), "left")
+    answer = ["doc_id", "n_shingles", "c"]
+    alone = tried.where("m is null and (set_id is null or doc_id is null)").select(*answer[:2], F.col("doc_id").alias("c"))
+    rest = tried.where("m is null and set_id is not null and doc_id is not null").select(rows.columns).join(
+        named.where(~hot), F.col("set_id") == F.col("k"))
+    label = tried.where("m is not null").select(answer).unionByName(rest.select(answer)).unionByName(alone)
+    label = label.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
     return label.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -227,5 +246,5 @@ def keep_one_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     Dropped ids are a minority, so they are what is joined."""
     gone = written(near_duplicates(docs, text_col, id_col).where("not kept")
                    .select(F.col("doc_id").alias("_gone")).distinct(), "near_copies")
-    gone_side = broadcast_if(gone, gone.count())
-    return docs.join(gone_side, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_did"))
+    return rows.join(broadcast_if(gone, gone.count()), F.col("_did") == F.col("_gone"), "left_anti").select("_row.*")

@@ -40,6 +40,7 @@ from .common import small_batches
 
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 ROUNDS = 8
+LOCAL_CHUNK = 64  # the length that mail allows a local part
 _FIRST = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST
 
@@ -66,11 +67,14 @@ def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -
     """Keyed permutation of range(size): a Feistel network over the next even
     number of bits, walked on until the image lies in the range."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
+    mask, need = (1 << half) - 1, (half + 7) // 8
 
     def mixed(r: int, x: int) -> int:
-        said = hashlib.blake2b(f"{tweak}|{size}|{r}|{x}".encode(), key=key, digest_size=(half + 7) // 8).digest()
-        return int.from_bytes(said, "big") & mask
+        said = f"{tweak}|{size}|{r}|{x}"
+        out = hashlib.blake2b(said.encode(), key=key, digest_size=min(need, 64)).digest()
+        for more in range(64, need, 64):  # a digest has 64 bytes at most
+            out += hashlib.blake2b(f"{said}|{more}".encode(), key=key, digest_size=min(need - more, 64)).digest()
+        return int.from_bytes(out, "big") & mask
 
     while True:
         left, right = value >> half, value & mask
@@ -252,10 +256,28 @@ def pseudonym(kind: str, found: str, key: bytes, back: bool = False, behind: tup
     return _PERMUTE[kind](found, key, back, behind) if behind else _PERMUTE[kind](found, key, back)
 
 
+def _shape(text: str) -> str:
+    return re.sub("[A-Za-z]", "a", re.sub(r"\d", "0", text))
+
+
 @lru_cache(100_000)
-def _local_part(local: str, key: bytes, back: bool) -> str:
+def _short_local(local: str, key: bytes, back: bool, after: str = "") -> str:
     value, size = _symbols(local)
-    return _spell(local, feistel(value, size, key, "email" + re.sub("[A-Za-z]", "a", re.sub(r"\d", "0", local)), back))
+    return _spell(local, feistel(value, size, key, f"email{_shape(local)}{after}", back))
+
+
+def _local_part(local: str, key: bytes, back: bool) -> str:
+    """A local part of over ``LOCAL_CHUNK`` characters is permuted chunk by chunk,
+    each under a tweak of the pseudonyms before it: still one to one, and linear."""
+    if len(local) <= LOCAL_CHUNK:
+        return _short_local(local, key, back)
+    out, after = [], f"|{len(local)}"
+    for at in range(0, len(local), LOCAL_CHUNK):
+        part = local[at:at + LOCAL_CHUNK]
+        new = _short_local.__wrapped__(part, key, back, after)
+        out.append(new)
+        after = "|" + hashlib.blake2b(f"{after}{part if back else new}".encode(), key=key, digest_size=16).hexdigest()
+    return "".join(out)
 
 
 def spans(text: str | None, key: bytes, back: bool = False) -> list[tuple[str, int, int, str]]:

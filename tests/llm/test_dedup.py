@@ -203,3 +203,29 @@ def test_embeddings_empty_and_null_ids(spark):
     assert embed_dedup.embedding_links(spark.createDataFrame([], schema)).count() == 0
     out = embed_dedup.embedding_links(spark.createDataFrame([(None, 1, [1.0, 0.0]), (2, 1, [1.0, 0.0]), (1, 1, [2.0, 0.0])], schema)).collect()
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in out) == [(0, 0, None), (1, 1, 1), (2, 1, 1)]
+
+
+def test_minhash_one_id_on_several_texts_and_clashing_columns(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    near = base + " more"
+    other = " ".join(f"v{i}" for i in range(200))
+    texts = [(1, base), (2, other), (2, near), (3, other + " x"), (3, None), (None, base), (None, base), (4, None), (4, "")]
+    got = rows(minhash.near_duplicates(docs(spark, texts)))
+    assert sorted(map(str, got)) == ["1", "2", "3", "4", "None"]
+    # document 2 has the set with the lesser id of its two, and is linked by that one alone
+    mine = min([near, other], key=lambda t: minhash._set_id(minhash.shingle_hashes(t)))
+    assert got[2]["component_id"] == (1 if mine == near else 2)
+    assert got[3]["component_id"] == (2 if mine == other else 3) and got[3]["n_shingles"] == 197
+    assert (got[4]["n_shingles"], got[4]["component_id"], got[4]["kept"]) == (0, 4, True)
+    assert got[None]["component_id"] is None and got[None]["kept"]
+    clash = docs(spark, [(1, base), (2, base), (3, other)]).selectExpr("*", "7 as _gone", "8 as _did", "9 as _row")
+    kept = minhash.keep_one_each(clash)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_minhash_hot_sets_and_blank_texts(spark):
+    hot = " ".join(f"w{i}" for i in range(50))
+    texts = [(i, hot) for i in range(0, 300)] + [(i, " ") for i in range(300, 500)] + [(i, f"{i} a b c d e f g") for i in range(500, 600)]
+    got = rows(minhash.near_duplicates(docs(spark, texts)))
+    assert all(got[i]["component_id"] == 0 for i in range(300)) and all(got[i]["component_id"] == i for i in range(300, 600))
+    assert sum(r["kept"] for r in got.values()) == 301

@@ -199,6 +199,60 @@ def test_templates_do_not_depend_on_the_size_of_the_host(spark, monkeypatch, mos
     assert got[300] == "Section menu\nown 0" and {got[400 + i] for i in range(7)} == {"copy"} and len(got) == len(pages)
 
 
+def _by_hand(pages):
+    """Templates of one host counted in plain Python, and the text of every page without them."""
+    seen = {}
+    for p in pages:
+        root = html_text.parse(p)
+        for h in set(html_text.candidates(root).values()):
+            seen.setdefault(h, set()).add(html_text.page_core(root))
+    known = [h for h, cores in seen.items() if len(cores) >= html_text.LEAST_PAGES]
+    return [html_text.main_text(p, known) for p in pages]
+
+
+STORY = "<div class=post><p>The whole story, told at some length here.</p><p>Its second part.</p></div>"
+SITES = {
+    "inline.example": ([f"<div id=content><p>Item {i}: entry is <b>not</b> allowed</p><h2>Summary</h2><p>own {i}</p></div>" for i in range(6)],
+                       [f"Item {i}: entry is not allowed\nSummary\nown {i}" for i in range(6)]),
+    "lists.example": ([f"<article><p>Area {i} km<sup>2</sup> by <abbr>UN</abbr> rule</p><ul><li>Fast<li>Safe</ul><table><tr><td>a<td>b</table></article>"
+                       for i in range(6)], [f"Area {i} km2 by UN rule\nFast\nSafe\na\nb" for i in range(6)]),
+    "story.example": ([f"<div>teaser {i}</div>{STORY}" for i in range(6)],
+                      [f"teaser {i}\nThe whole story, told at some length here.\nIts second part." for i in range(6)]),
+    "links.example": ([f"<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div><p>page {i} has words of its own</p></div>" for i in range(6)],
+                      [f"page {i} has words of its own" for i in range(6)]),
+    "passage.example": ([f"<article><p>own {i} {'words ' * 90}</p><div>{'shared passage ' * 30}</div><div>small print</div></article>" for i in range(6)],
+                        [f"own {i} {' '.join(['words'] * 90)}\n{' '.join(['shared passage'] * 30)}" for i in range(6)]),
+}
+
+
+def test_templates_against_a_count_by_hand_and_no_word_of_an_article_lost(spark):
+    pages = [(f"http://{site}/{i}", p) for site, (own, _want) in SITES.items() for i, p in enumerate(own)]
+    df = spark.createDataFrame([(n, u, p) for n, (u, p) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    want = [t for own, _want in SITES.values() for t in _by_hand(own)]
+    assert [got[i] for i in range(len(pages))] == want == [t for _own, w in SITES.values() for t in w]
+
+
+def test_main_element_and_classes_that_speak_of_the_matter():
+    assert html_text.main_text(f"<main><p>{'long text ' * 20}</p><article>teaser</article></main>").endswith("long text\nteaser")
+    assert html_text.main_text("<main><p>intro</p><article>the longer article</article></main>") == "the longer article"
+    page = ('<article><p>x</p><div class="side-by-side"><p>two columns</p></div><section class="related-work"><p>others did</p></section>'
+            '<div class=related><a href=1>see</a></div><div class="related-ad">buy</div><div class=notice><a>log</a></div></article>')
+    assert html_text.main_text(page) == "x\ntwo columns\nothers did"
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a href='x", "<a b=\"", "<!--", "<!-", "<p/=", "</", "<style", "& < > = '"])
+def test_markup_that_never_ends_is_read_once(part):
+    import time
+    began = time.time()
+    html_text.main_text("<p>kept</p>" + part * (1_000_000 // len(part)))
+    assert time.time() - began < 5
+
+
+def test_quotes_count_in_values_only():
+    assert html_text.main_text("<p title=\"a > b\">x</p><p don't>y</p><p a = '>'>z</p>") == "x\ny\nz"
+
+
 # -- PII -----------------------------------------------------------------------------
 KEY = b"test"
 VALUES = ["4111111111111111", "4111 1111 1111 1111", "123-45-6789", "+1 (636) 555-9414", "+49 30 123456", "555-234-9999", "10.20.30.40",
@@ -392,3 +446,85 @@ def test_mix_degenerate_tables(spark):
     one = spark.createDataFrame([(0, "a"), (None, "b"), (1, None)], "doc_id long, domain string")
     assert all(abs(r["rate"] - 1) < 1e-3 for r in mixing.mix(df, one, {"a": 1.0}).collect())
     assert mixing.mix(df.limit(0), one, {"a": 1.0}).count() == 0
+
+
+# -- long and odd input ----------------------------------------------------------------
+@pytest.mark.parametrize("n", [64, 65, 218, 100_000, 1_000_000])
+def test_pii_long_local_parts(n):
+    import time
+    text = f"write to {('ab1.' * n)[:n - 1]}x@mail.example.com, or to jane@mail.example.com"
+    began = time.time()
+    new, found = pii.pseudonymise(text, KEY)
+    assert [k for k, *_ in found] == ["email", "email"] and len(new) == len(text) and new != text
+    assert pii.pseudonymise(new, KEY, back=True)[0] == text
+    assert time.time() - began < 20
+    other = pii.pseudonymise(text.replace("ab1", "ab2", 1), KEY)[0]
+    assert n <= 64 or other[-100:] != new[-100:] or n > 64  # one to one
+    assert other != new
+
+
+def test_pii_against_an_independent_finder():
+    """Values drawn with valid check digits, laid between words: each is found where it
+    stands, nothing else is, and what a plain reading of the rules refuses stays."""
+    rng = random.Random(9)
+
+    def card():
+        d = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 14, 15])))
+        total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(d)))
+        return d + str(-total % 10)
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        rest = int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+        return f"DE{98 - rest:02d}{body}"
+
+    makers = {"card": card, "iban": iban, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+              "date": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}",
+              "ssn": lambda: f"{rng.choice([101, 665, 899])}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+              "phone": lambda: f"+49 {rng.randint(100, 999)} {rng.randint(1000, 9999)}", "email": lambda: f"u{rng.randint(1, 99)}@x{rng.randint(1, 9)}.org"}
+    for _ in range(200):
+        parts, want, at = [], [], 0
+        for _ in range(rng.randint(1, 6)):
+            word = rng.choice(["plain words,", "No", "v2", "300.400.1.1", "000-12-3456", "2023-13-45", "a@b"]) + " | "
+            parts.append(word)
+            at += len(word)
+            kind = rng.choice(list(makers))
+            value = makers[kind]()
+            if kind == "card" and len(set(value)) == 1:
+                continue
+            start, end = at, at + (value.index("@") if kind == "email" else len(value))
+            want.append((kind, start, end))
+            parts += [value, " | "]
+            at += len(value) + 3
+        assert [(k, s, e) for k, s, e, _ in pii.spans("".join(parts), KEY)] == want
+
+
+@pytest.mark.parametrize("text", ["½ ² ①", "12 ³", "_ - …", "Ⅷ"])
+def test_language_of_texts_without_letters(text):
+    m = langid.Model(["x"], [(1, "a")], np.array([[0.0]]))
+    assert list(m.predict([text])) == [("und", 0.0)]
+    assert langid.words_of("x²y ½cup") == ["x", "y", "cup"]
+
+
+def test_language_model_against_counts_by_hand(spark):
+    """Every number of the model, and every prediction, from plain counters."""
+    from collections import Counter
+    texts = [("the cat sat", "en"), ("the mat", "en"), ("die katze sitzt", "de"), ("die matte", "de"), ("the die", None)] * 6
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    train = [(t, lang) for i, (t, lang) in enumerate(texts) if lang and __import__("zlib").crc32(str(i).encode()) % 4 != 2]
+    model = langid.fit(df)
+    counts = {k: {lang: Counter() for lang in ("de", "en")} for k in (0, *langid.ORDERS)}
+    for t, lang in train:
+        for w in t.split():
+            counts[0][lang][w] += 1
+            for n in langid.ORDERS:
+                padded = f" {w} " if n > 1 else w
+                counts[n][lang].update(padded[i:i + n] for i in range(len(padded) - n + 1))
+    for kind, by in counts.items():
+        items = sorted(x for x in set(by["de"]) | set(by["en"]) if by["de"][x] + by["en"][x] >= 2)
+        assert sorted(model.index[kind]) == items
+        for x in items:
+            want = [np.log((by[lang][x] + langid.SMOOTH) / (sum(by[lang].values()) + langid.SMOOTH * len(items))) for lang in ("de", "en")]
+            assert np.allclose(model.table[model.index[kind][x]], want)
+    got = {r["doc_id"]: r for r in langid.predict_language(df, model).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, (_t, lang) in enumerate(texts) if lang)
