@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Catalog
-from . import browse, detail, related, search
+from . import browse, detail, related, search, users
 
 
 def _ordered(col_order: str, *fields: str):
@@ -48,6 +48,39 @@ def search_documents(queries: DataFrame, catalog: Catalog) -> DataFrame:
             .select("query_id", F.to_json(doc).alias("doc")))
 
 
+def index_documents(brand: DataFrame, block: int = 1_000) -> DataFrame:
+    """(initial, block, doc): the A-Z index as {"<initial>": [names]}, cut into
+    documents of at most ``block`` names by their rank in the letter, so a
+    crowded letter is many rows and no list grows with it."""
+    ranked = search.brand_index(brand).withColumn("block", F.floor((F.col("rank") - 1) / block).cast("long"))
+    names = ranked.groupBy("initial", "block").agg(_ordered("rank", "name").alias("n"))
+    entry = F.map_from_entries(F.array(F.struct("initial", F.transform("n", lambda x: x["name"]))))
+    return names.select("initial", "block", F.to_json(entry).alias("doc"))
+
+
+def closet_documents(requests: DataFrame, catalog: Catalog, block: int = 1_000) -> DataFrame:
+    """(request_id, closet_rank, block, doc) of the asked users' closets:
+    {"closet_id", "name", "created_at", "items": [{base_item_name, brand_name,
+    thumbnail_url, added_at}, ...]} with at most ``block`` items in a document;
+    closets in order of their names. A user without closets has one
+    row with [], an unknown one {"error": "unknown_user"}; both without a rank."""
+    rows = users.closets_by_name(requests, catalog.site_user, catalog.closet, catalog.closet_item, catalog)
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    rows = rows.withColumns({"block": F.coalesce(F.floor((F.col("item_rank") - 1) / block), F.lit(0)).cast("long"),
+                             "base_item_name": F.col("item_name"), "added": at("added_at"), "created": at("created_at")})
+    found = rows.filter(F.col("closet_id").isNotNull())
+    item = F.when(F.col("item_rank").isNotNull(), F.struct(
+        F.col("item_rank").alias("_o"), "base_item_name", "brand_name", "thumbnail_url", F.col("added").alias("added_at")))
+    lists = found.groupBy("request_id", "closet_rank", "closet_id", "closet_name", "created", "block").agg(
+        F.array_sort(F.collect_list(item)).alias("l"))  # at most ``block`` items
+    doc = F.struct("closet_id", F.col("closet_name").alias("name"), F.col("created").alias("created_at"), F.transform("l", lambda x: F.struct(
+        x["base_item_name"].alias("base_item_name"), x["brand_name"].alias("brand_name"), x["thumbnail_url"].alias("thumbnail_url"),
+        x["added_at"].alias("added_at"))).alias("items"))
+    none = F.when(F.col("status") == "no_closets", F.lit("[]")).otherwise(F.to_json(F.struct(F.col("status").alias("error"))))
+    return lists.select("request_id", "closet_rank", "block", F.to_json(doc).alias("doc")).unionByName(
+        rows.filter(F.col("closet_id").isNull()).select("request_id", "closet_rank", "block", none.alias("doc")))
+
+
 def detail_documents(requests: DataFrame, catalog: Catalog, stock: DataFrame) -> DataFrame:
     """(request_id, doc) like the reference's detail result: item_name,
     brand_name, description, image_urls, rating, item_specific_details

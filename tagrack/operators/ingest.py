@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import positions
@@ -110,6 +110,33 @@ def check_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x.filter(F.col("_code").isNull()).drop("_code"), rejects
 
 
+def fingerprint() -> Column:
+    """SHA-256 of what a feed says of an item, whatever page it stands on."""
+    return F.sha2(F.to_json(F.struct("title", "vendor", "rating_raw", "thumbnail_image", "images",
+                                     F.array_sort(F.map_entries("sizes")).alias("sizes"), F.array_sort("tags").alias("tags"))), 256)
+
+
+def decide_items(accepted: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(accepted items with fingerprint, decision and known_id; rejects): of items
+    that share a feed id the first in feed order counts, the others are rejected as
+    ``repeated_id``. Against ``known`` (feed_item_id, base_item_id, fingerprint) an item
+    is ``new``, the ``same`` as before, or ``changed``. Items without a feed id are new."""
+    x = accepted.withColumn("fingerprint", fingerprint())
+    first = x.groupBy("feed_item_id").agg(F.min(F.struct("page", "pos")).alias("_first")).filter(F.col("feed_item_id").isNotNull())
+    x = x.join(first, "feed_item_id", "left")
+    again = F.coalesce(F.struct("page", "pos") != F.col("_first"), F.lit(False))
+    rejects = x.filter(again).select(F.lit("base_item").alias("stage"), "feed_item_id",
+                                     F.concat_ws(":", F.col("page").cast("string"), F.col("pos").cast("string")).alias("detail"),
+                                     F.lit("repeated_id").alias("code"))
+    x = x.filter(~again).drop("_first")
+    if known is None:
+        return x.withColumns({"known_id": F.lit(None).cast("long"), "decision": F.lit("new")}), rejects
+    had = known.select("feed_item_id", F.col("base_item_id").alias("known_id"), F.col("fingerprint").alias("_had"))
+    x = x.join(had, "feed_item_id", "left")
+    decision = (F.when(F.col("known_id").isNull(), "new").when(F.col("fingerprint") == F.col("_had"), "same").otherwise("changed"))
+    return x.withColumn("decision", decision).drop("_had"), rejects
+
+
 def number_items(accepted: DataFrame, top: int) -> DataFrame:
     """(page, pos, base_item_id): each accepted item gets a new id after ``top``
     in feed order (not idempotent, as in the reference). Only the places are sorted."""
@@ -176,10 +203,19 @@ class IngestResult:
     new SKUs does not pay for images. The parsed documents and the numbered
     places are written once and read by the later steps. ``tops`` are the
     largest ids by table, where known; the others are read from the catalogue.
+
+    With ``dedupe`` a feed id is ingested once: items are told apart by
+    ``decide_items``, against ``known`` from earlier feeds. New items are added as
+    without it; of a changed one the base item's fields are replaced and images and
+    tags it did not have are attached (its SKUs and stock are the ledger's); the same
+    item does nothing. ``decisions`` tells which was which and ``feed_refs`` is what
+    the next feed has to know.
     """
 
-    def __init__(self, catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None, materialized: bool = False):
+    def __init__(self, catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None, materialized: bool = False,
+                 dedupe: bool = False, known: DataFrame | None = None):
         self.before, self._docs, self._tops, self._materialized = catalog, docs, dict(tops or {}), materialized
+        self._dedupe, self._known = dedupe or known is not None, known
 
     def top(self, table: str) -> int:
         """The largest id of a table before the ingest."""
@@ -215,15 +251,70 @@ class IngestResult:
 
     @cached_property
     def _checked(self) -> tuple[DataFrame, DataFrame]:
-        return check_items(self.items)
+        accepted, rejects = check_items(self.items)
+        if not self._dedupe:
+            return accepted, rejects
+        return self._decided.filter(F.col("decision") == "new").select(*accepted.columns), rejects.unionByName(self._repeated)
+
+    @cached_property
+    def _decisions(self) -> tuple[DataFrame, DataFrame]:
+        decided, repeated = decide_items(check_items(self.items)[0], self._known)
+        return materialize(decided), repeated
+
+    @property
+    def _decided(self) -> DataFrame:
+        return self._decisions[0]
+
+    @property
+    def _repeated(self) -> DataFrame:
+        return self._decisions[1]
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        """(page, pos, feed_item_id, fingerprint, decision, base_item_id)."""
+        new = self.numbered.withColumnRenamed("base_item_id", "_new")
+        return self._decided.join(new, ["page", "pos"], "left").select(
+            "page", "pos", "feed_item_id", "fingerprint", "decision", F.coalesce("_new", "known_id").alias("base_item_id"))
+
+    @property
+    def decisions(self) -> DataFrame:
+        """(feed_item_id, decision, base_item_id) of every item that is not rejected."""
+        return self._placed.select("feed_item_id", "decision", "base_item_id")
+
+    @property
+    def feed_refs(self) -> DataFrame:
+        """(feed_item_id, base_item_id, fingerprint) after this feed."""
+        now = self._placed.filter(F.col("feed_item_id").isNotNull()).select("feed_item_id", "base_item_id", "fingerprint")
+        if self._known is None:
+            return now
+        return now.unionByName(self._known.select(*now.columns).join(now.select("feed_item_id"), "feed_item_id", "left_anti"))
+
+    @cached_property
+    def changed_base_items(self) -> DataFrame:
+        """The base items that a changed feed item replaces, as they are now."""
+        of = self._decided.filter(F.col("decision") == "changed")
+        return add_base_items(of.drop("known_id", "decision", "fingerprint"), of.select("page", "pos", F.col("known_id").alias("base_item_id")),
+                              self._brands[0], self._images)
 
     @cached_property
     def numbered(self) -> DataFrame:
         return number_items(self._checked[0], self.top("base_item"))
 
+    @property
+    def _linked(self) -> DataFrame:
+        """(page, pos, base_item_id) of the items whose images and tags count."""
+        if not self._dedupe:
+            return self.numbered
+        return self._placed.filter(F.col("decision") != "same").select("page", "pos", "base_item_id")
+
+    def _missing(self, links: DataFrame, table: str) -> DataFrame:
+        """``links`` that the table does not hold; only changed items can have some."""
+        return links.join(getattr(self.before, table), links.columns, "left_anti") if self._known is not None else links
+
     @cached_property
     def new_images(self) -> DataFrame:
-        return add_images(self.before, self._checked[0], self.top("image"))
+        named = self._decided.filter(F.col("decision") != "same") if self._dedupe else self._checked[0]
+        return add_images(self.before, named, self.top("image"))
 
     @property
     def _images(self) -> DataFrame:
@@ -235,19 +326,22 @@ class IngestResult:
 
     @cached_property
     def new_item_images(self) -> DataFrame:
-        urls = (self._checked[0].select("page", "pos", F.explode("images").alias("url"))
-                .join(self.numbered, ["page", "pos"]))
-        return urls.join(self._images, "url").select("base_item_id", "image_id").distinct()
+        urls = self.items.select("page", "pos", F.explode("images").alias("url")).join(self._linked, ["page", "pos"])
+        return self._missing(urls.join(self._images, "url").select("base_item_id", "image_id").distinct(), "base_item_image")
 
     @cached_property
     def new_item_tags(self) -> DataFrame:
         tags = self._tags[0].select("tag_id", F.col("name_key").alias("_k"))
-        return (feed_item_tags(self.docs).join(self.numbered, ["page", "pos"])
-                .join(tags, name_key("tag_name") == F.col("_k")).select("tag_id", "base_item_id").distinct())
+        links = (feed_item_tags(self.docs).join(self._linked, ["page", "pos"])
+                 .join(tags, name_key("tag_name") == F.col("_k")).select("tag_id", "base_item_id").distinct())
+        return self._missing(links, "tag_item")
 
     @cached_property
     def _sized(self) -> tuple[DataFrame, DataFrame]:
-        return check_skus(self.numbered, self.items)
+        items = self.items
+        if self._dedupe:  # sizes of items that are no news are neither added nor rejected
+            items = items.join(self._decided.filter(F.col("decision") != "new").select("page", "pos"), ["page", "pos"], "left_anti")
+        return check_skus(self.numbered, items)
 
     @cached_property
     def new_skus(self) -> DataFrame:
@@ -275,18 +369,24 @@ class IngestResult:
         """The catalogue after the ingest."""
         old = self.before
         item_cols = ["base_item_id", "name", "name_key", "description", "brand_id", "thumbnail_image_id", "rating"]
+        items = old.base_item
+        if self._known is not None:
+            now = materialize(self.changed_base_items.select(*item_cols))
+            kept = items.select("base_item_id", "description").join(now.drop("description"), "base_item_id")  # a feed has no description
+            items = items.join(now.select("base_item_id"), "base_item_id", "left_anti").unionByName(kept.select(*item_cols), allowMissingColumns=True)
         return old.with_(
             tag=self._tags[0], brand=self._brands[0],
-            base_item=old.base_item.unionByName(self.new_base_items.select(*item_cols), allowMissingColumns=True),
+            base_item=items.unionByName(self.new_base_items.select(*item_cols), allowMissingColumns=True),
             image=old.image.unionByName(self.new_images, allowMissingColumns=True),
             base_item_image=old.base_item_image.unionByName(self.new_item_images),
             tag_item=old.tag_item.unionByName(self.new_item_tags),
             sku=old.sku.unionByName(self.new_skus.select("item_id", "base_item_id", "basic_size")))
 
 
-def ingest_feed(catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None, materialized: bool = False) -> IngestResult:
+def ingest_feed(catalog: Catalog, docs: DataFrame, tops: dict[str, int] | None = None, materialized: bool = False,
+                dedupe: bool = False, known: DataFrame | None = None) -> IngestResult:
     """``materialized``: the documents are written already and need not be once more."""
-    return IngestResult(catalog, docs, tops, materialized)
+    return IngestResult(catalog, docs, tops, materialized, dedupe, known)
 
 
 def added_items(before: Catalog, after: Catalog, ledger: DataFrame) -> DataFrame:

@@ -309,6 +309,42 @@ def user_closets(users: DataFrame, closets: DataFrame, closet_items: DataFrame,
                     "item_name", "brand_name", "thumbnail_url"))
 
 
+def closets_by_name(requests: DataFrame, users: DataFrame, closets: DataFrame, closet_items: DataFrame,
+                    catalog: Catalog) -> DataFrame:
+    """U37 as it is called: (request_id, username) -> the user's closets with ids and
+    dates, and what is in them.
+
+    ``status`` is ``unknown_user`` (one row, nothing else), ``no_closets``, ``empty``
+    (a closet without items) or ``item``. Closets and items are ranked once per asked
+    user, whoever asks for them how often; usernames match exactly.
+    """
+    asked = (requests.select("username").distinct().join(users.select("username", "site_user_id"), "username"))
+    closets = closets.join(asked.select("site_user_id"), "site_user_id", "left_semi")
+    entries = closet_items.join(closets.select("closet_id"), "closet_id", "left_semi")
+    items = (entries.select("closet_id", F.col("item_id").alias("base_item_id"), "added_at")
+             .join(catalog.base_item.select("base_item_id", "name", "name_key", "brand_id", "thumbnail_image_id"), "base_item_id")
+             .join(catalog.brand.select("brand_id", F.col("name").alias("brand_name")), "brand_id")
+             .join(catalog.image.select(F.col("image_id").alias("thumbnail_image_id"), F.col("url").alias("thumbnail_url")),
+                   "thumbnail_image_id", "left"))
+    items = positions(items, ["closet_id"], ["name_key", "name", "base_item_id"], pos_col="item_rank").select(
+        "closet_id", "item_rank", F.col("name").alias("item_name"), "brand_name", "thumbnail_url", "added_at")
+    ranked = positions(closets.select("closet_id", "site_user_id", "name", "created_at"), ["site_user_id"], ["name", "closet_id"],
+                       pos_col="closet_rank").withColumnRenamed("name", "closet_name")
+    found = asked.join(ranked, "site_user_id", "left").join(items, "closet_id", "left")
+    status = (F.when(F.col("site_user_id").isNull(), "unknown_user").when(F.col("closet_id").isNull(), "no_closets")
+              .when(F.col("item_rank").isNull(), "empty").otherwise("item"))
+    return requests.select("request_id", "username").join(found, "username", "left").select(
+        "request_id", "username", status.alias("status"), "closet_id", "closet_rank", "closet_name", "created_at",
+        "item_rank", "item_name", "brand_name", "thumbnail_url", "added_at")
+
+
+def removed_entries(statuses: DataFrame, closet_items: DataFrame) -> DataFrame:
+    """The statuses of U35 with the number of closet entries that go along."""
+    gone = statuses.filter(F.col("status") == "ok").select("closet_id")
+    n = closet_items.join(gone, "closet_id", "left_semi").groupBy("closet_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    return statuses.join(n, "closet_id", "left").select("seq", "status", "closet_id", F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"))
+
+
 def closet_item_counts(closets: DataFrame, closet_items: DataFrame) -> DataFrame:
     """(closet_id, n_items), 0 for empty closets."""
     n = closet_items.groupBy("closet_id").agg(F.count(F.lit(1)).alias("n_items"))

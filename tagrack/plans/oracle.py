@@ -872,3 +872,154 @@ register("request_tagsets", with_binding(BROWSE_REQ, BROWSE_CORE, REQUEST_TAGSET
                                          body="SELECT request_id, tagset_key FROM req_tagsets"))
 register("match_tagsets", with_binding(BROWSE_REQ, BROWSE_CORE, REQUEST_TAGSETS, body="""
 SELECT DISTINCT t.tagset_key, m.base_item_id FROM req_tagsets t JOIN matched m USING (request_id)"""))
+
+
+# ---------------------------------------------------------------------------
+# Closets as they are asked for, sign-ins, committed commands
+CLOSET_REQ = """
+closet_req AS (
+  SELECT e.event_id AS request_id,
+         CASE WHEN e.event_id % 7 = 0 THEN lower(c.c_name) WHEN e.event_id % 11 = 0 THEN 'nobody' ELSE c.c_name END AS username
+    FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'signup'),
+asked_closets AS (
+  SELECT r.request_id, r.username, u.site_user_id, c.closet_id, c.closet_rank, c.name AS closet_name, c.created_at,
+         i.item_rank, i.item_name, i.brand_name, i.thumbnail_url, i.added_at
+    FROM closet_req r LEFT JOIN site_user u ON u.username = r.username
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY site_user_id ORDER BY name, closet_id) AS closet_rank FROM closet) c
+      ON c.site_user_id = u.site_user_id
+    LEFT JOIN (SELECT ci.closet_id, ci.added_at, bi.name AS item_name, b.name AS brand_name, img.url AS thumbnail_url,
+                      row_number() OVER (PARTITION BY ci.closet_id ORDER BY lower(bi.name), bi.name, bi.base_item_id) AS item_rank
+                 FROM closet_item ci JOIN base_item bi ON bi.base_item_id = ci.item_id JOIN brand b ON b.brand_id = bi.brand_id
+                 LEFT JOIN image img ON img.image_id = bi.thumbnail_image_id) i ON i.closet_id = c.closet_id)"""
+
+register("closets_of_users", with_binding(CLOSET_REQ, body="""
+SELECT request_id, username,
+       CASE WHEN site_user_id IS NULL THEN 'unknown_user' WHEN closet_id IS NULL THEN 'no_closets'
+            WHEN item_rank IS NULL THEN 'empty' ELSE 'item' END AS status,
+       closet_id, closet_rank, closet_name, created_at, item_rank, item_name, brand_name, thumbnail_url, added_at
+  FROM asked_closets"""))
+
+_REMOVES = """
+SELECT e.event_id AS seq, cu.c_name AS username,
+       CASE WHEN e.event_id % 3 = 0 THEN '5-LOW' WHEN e.event_id % 3 = 1 THEN '2-HIGH' ELSE 'Nope' END AS closet_name
+  FROM events e LEFT JOIN customer cu ON cu.c_custkey = e.user_id WHERE e.event_type = 'error'"""
+
+register("remove_closets_entries", with_binding(body=f"""
+SELECT seq, status, CASE WHEN status = 'ok' THEN closet_id END AS closet_id,
+       CASE WHEN status = 'ok' THEN (SELECT count(*) FROM closet_item i WHERE i.closet_id = x.closet_id) ELSE 0 END AS n_entries
+  FROM (SELECT r.seq, c.closet_id,
+               CASE WHEN u.site_user_id IS NULL THEN 'unknown_user' WHEN c.closet_id IS NULL THEN 'unknown_closet'
+                    WHEN row_number() OVER (PARTITION BY c.closet_id ORDER BY r.seq) > 1 THEN 'unknown_closet' ELSE 'ok' END AS status
+          FROM ({_REMOVES}) r LEFT JOIN site_user u ON u.username = r.username
+          LEFT JOIN closet c ON c.site_user_id = u.site_user_id AND c.name = r.closet_name) x"""))
+
+register("sign_in", with_binding("""
+login AS (
+  SELECT l.seq, l.session_token, l.created_at, u.site_user_id
+    FROM (SELECT e.event_id AS seq, concat('in-', CAST(e.event_id AS VARCHAR)) AS session_token, e.ts + INTERVAL 1 HOUR AS created_at,
+                 CASE WHEN e.event_id % 6 = 1 THEN 'no@example.com' WHEN c.c_name IS NOT NULL THEN concat(replace(c.c_name, '#', '.'), '@example.com') END AS email
+            FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'signup') l
+    LEFT JOIN site_user u ON lower(u.email) = lower(l.email))""", body="""
+SELECT session_id, site_user_id, session_token, created_at, created_at + INTERVAL 1 DAY AS expires_at, 'ok' AS status
+  FROM (SELECT *, row_number() OVER (PARTITION BY site_user_id ORDER BY created_at DESC, session_id DESC) AS rn
+          FROM (SELECT session_id, site_user_id, session_token, created_at FROM session_open
+                UNION ALL SELECT seq, site_user_id, session_token, created_at FROM login WHERE site_user_id IS NOT NULL) b) s
+ WHERE rn = 1
+UNION ALL SELECT seq, NULL, NULL, NULL, NULL, 'unknown_email' FROM login WHERE site_user_id IS NULL"""))
+
+register("committed_closets", with_binding("""
+closet_add AS (
+  SELECT a.seq, u.site_user_id, a.closet_name
+    FROM (SELECT e.event_id AS seq, CASE WHEN e.event_id % 9 = 0 THEN 'nobody' ELSE c.c_name END AS username,
+                 CASE WHEN e.event_id % 3 = 0 THEN '1-URGENT' WHEN e.event_id % 3 = 1 THEN 'Favorites'
+                      ELSE concat('Wishlist ', CAST(e.event_id % 4 AS VARCHAR)) END AS closet_name
+            FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'purchase') a
+    JOIN site_user u ON u.username = a.username),
+closets_1 AS (
+  SELECT closet_id, site_user_id, name FROM closet
+  UNION ALL
+  SELECT (SELECT max(closet_id) FROM closet) + row_number() OVER (ORDER BY seq), site_user_id, closet_name
+    FROM (SELECT site_user_id, closet_name, min(seq) AS seq FROM closet_add GROUP BY ALL) f
+   WHERE NOT EXISTS (SELECT 1 FROM closet c WHERE c.site_user_id = f.site_user_id AND c.name = f.closet_name)),
+entries_1 AS (
+  SELECT closet_id, item_id FROM closet_item
+  UNION
+  SELECT c.closet_id, k.item_id
+    FROM (SELECT cu.c_name AS username, CASE e.event_id % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM'
+                   WHEN 3 THEN '4-NOT SPECIFIED' WHEN 4 THEN '5-LOW' ELSE 'Nope' END AS closet_name,
+                 lower(p.p_name) AS nk, lower(CASE WHEN e.event_id % 10 = 0 THEN 'Brand#999' ELSE p.p_brand END) AS bk
+            FROM events e LEFT JOIN customer cu ON cu.c_custkey = e.user_id LEFT JOIN part p ON p.p_partkey = e.user_id
+           WHERE e.event_type = 'click') a
+    JOIN site_user u ON u.username = a.username
+    JOIN closets_1 c ON c.site_user_id = u.site_user_id AND c.name = a.closet_name
+    JOIN (SELECT lower(bi.name) AS nk, lower(b.name) AS bk, min(bi.base_item_id) AS item_id
+            FROM base_item bi JOIN brand b ON b.brand_id = bi.brand_id GROUP BY 1, 2) k USING (nk, bk))""", body=f"""
+SELECT c.closet_id, c.site_user_id, c.name, CAST(count(e.item_id) AS BIGINT) AS n_items
+  FROM closets_1 c LEFT JOIN entries_1 e USING (closet_id)
+ WHERE NOT EXISTS (SELECT 1 FROM ({_REMOVES}) r JOIN site_user u ON u.username = r.username
+                    WHERE u.site_user_id = c.site_user_id AND r.closet_name = c.name)
+   AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'signup' AND d.event_id % 8 <> 0 AND d.user_id = c.site_user_id)
+ GROUP BY c.closet_id, c.site_user_id, c.name"""))
+
+# ---------------------------------------------------------------------------
+# The log in two waves: late rows apart, bursts over the rest
+register("stream_search_debounce_late", with_binding("""
+told AS (
+  SELECT *, event_id % 20 = 3 AND ts < TIMESTAMP '2024-01-20' AND ts < (
+           SELECT max(ts) - INTERVAL 2 DAY FROM search_log WHERE ts < TIMESTAMP '2024-01-20' AND event_id % 20 <> 3) AS late
+    FROM search_log)""", body="""
+SELECT 'burst' AS kind, user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end,
+       arg_max(query, (ts, event_id)) AS last_query, count(*) AS n_queries
+  FROM (SELECT *, sum(new_burst) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst
+          FROM (SELECT user_id, ts, event_id, query,
+                       CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new_burst
+                  FROM told WHERE late IS NOT TRUE) s) b
+ GROUP BY user_id, burst
+UNION ALL SELECT 'late', user_id, ts, NULL, query, 1 FROM told WHERE late"""))
+
+# ---------------------------------------------------------------------------
+# A feed that comes again
+register("ingest_feed_again", with_binding(*_FEED, body="""
+SELECT feed_item_id, CASE WHEN (page - 1) % 3 = 0 THEN 'new' WHEN k % 10 = 0 THEN 'changed' ELSE 'same' END AS decision FROM accepted
+UNION ALL
+SELECT feed_item_id, 'bad_rating' FROM fi WHERE NOT (TRY_CAST(rating_raw AS DECIMAL(2,1)) BETWEEN 0 AND 5)
+UNION ALL
+SELECT feed_item_id, CASE WHEN TRY_CAST(rating_raw AS DECIMAL(2,1)) BETWEEN 0 AND 5 THEN 'repeated_id' ELSE 'bad_rating' END
+  FROM fi WHERE k = (SELECT min(k) FROM fi f WHERE f.page = fi.page)
+UNION ALL
+SELECT NULL, 'bad_json' FROM (SELECT DISTINCT page FROM fi) p WHERE (page - 1) % 5 = 0"""))
+
+# ---------------------------------------------------------------------------
+# JSON documents, spelled out; a field without a value is left out.
+register("search_documents", with_binding(SEARCH_REQ, body="""
+SELECT q.query_id, concat('{"tags":', CAST(to_json(coalesce(list(h.name ORDER BY h.rank) FILTER (h.kind = 'tags'), [])) AS VARCHAR),
+         ',"brands":', CAST(to_json(coalesce(list(h.name ORDER BY h.rank) FILTER (h.kind = 'brands'), [])) AS VARCHAR),
+         ',"items":', CAST(to_json(coalesce(list(h.name ORDER BY h.rank) FILTER (h.kind = 'items'), [])) AS VARCHAR), '}') AS doc
+  FROM search_req q LEFT JOIN (""" + SQL["search_names"] + """) h ON h.query_id = q.query_id GROUP BY q.query_id"""))
+
+register("browse_documents", with_binding(BROWSE_REQ, body="""
+SELECT t.request_id, concat('{"total_pages":', CAST(t.total_pages AS VARCHAR), ',"items":[', coalesce(string_agg(concat(
+         '{"brand_name":', CAST(to_json(p.brand_name) AS VARCHAR), ',"item_name":', CAST(to_json(p.item_name) AS VARCHAR),
+         ',"description":', CAST(to_json(p.description) AS VARCHAR),
+         CASE WHEN p.thumbnail_url IS NOT NULL THEN concat(',"thumbnail_url":', CAST(to_json(p.thumbnail_url) AS VARCHAR)) ELSE '' END, '}'),
+         ',' ORDER BY p.position) FILTER (p.position IS NOT NULL), ''), ']}') AS doc
+  FROM (""" + SQL["browse_totals"] + """) t LEFT JOIN (""" + SQL["browse_page"] + """) p ON p.request_id = t.request_id
+ GROUP BY t.request_id, t.total_pages"""))
+
+register("index_documents", with_binding(BRAND_INDEX, body="""
+SELECT initial, (rank - 1) // 100 AS block,
+       concat('{', CAST(to_json(initial) AS VARCHAR), ':', CAST(to_json(list(name ORDER BY rank)) AS VARCHAR), '}') AS doc
+  FROM (SELECT initial, name, row_number() OVER (PARTITION BY initial ORDER BY fname, name, brand_id) AS rank FROM brand_initials) r
+ GROUP BY 1, 2"""))
+
+register("closet_documents", with_binding(CLOSET_REQ, body="""
+SELECT request_id, closet_rank, block, concat('{"closet_id":', CAST(closet_id AS VARCHAR), ',"name":', CAST(to_json(closet_name) AS VARCHAR),
+         strftime(created_at, ',"created_at":"%Y-%m-%dT%H:%M:%S"'), ',"items":[', coalesce(string_agg(concat(
+         '{"base_item_name":', CAST(to_json(item_name) AS VARCHAR), ',"brand_name":', CAST(to_json(brand_name) AS VARCHAR),
+         CASE WHEN thumbnail_url IS NOT NULL THEN concat(',"thumbnail_url":', CAST(to_json(thumbnail_url) AS VARCHAR)) ELSE '' END,
+         strftime(added_at, ',"added_at":"%Y-%m-%dT%H:%M:%S"'), '}'), ',' ORDER BY item_rank) FILTER (item_rank IS NOT NULL), ''), ']}') AS doc
+  FROM (SELECT *, coalesce((item_rank - 1) // 20, 0) AS block FROM asked_closets WHERE closet_id IS NOT NULL) a
+ GROUP BY request_id, closet_rank, block, closet_id, closet_name, created_at
+UNION ALL
+SELECT request_id, NULL, 0, CASE WHEN site_user_id IS NULL THEN '{"error":"unknown_user"}' ELSE '[]' END
+  FROM asked_closets WHERE closet_id IS NULL"""))

@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..model import size_rank
-from ..operators import browse, detail, ingest, integrity, related, search, stock, summaries, users
+from ..model import Catalog, size_rank
+from ..operators import browse, detail, documents, ingest, integrity, related, search, stock, summaries, users
 from ..sources import feed
 from ..sources import requests as rq
 from ..session import scratch_path
@@ -114,6 +114,8 @@ def _brand_index_letters(spark, sf_dir):
 
 
 # -- stock ledger (U17-U20) ------------------------------------------------------
+# Names of a letter, and entries of a closet, in one document.
+INDEX_BLOCK, CLOSET_BLOCK = 100, 20
 LEDGER_CUT = "1998-01-01"  # events before it form the existing ledger in apply_stock_events
 
 
@@ -217,6 +219,30 @@ def _seed_sizes(spark, sf_dir):
     return sku.select("item_id", "basic_size", size_rank(F.col("basic_size")).alias("relative_order"))
 
 
+# -- JSON documents at the edge ----------------------------------------------------
+@query("search_documents")
+def _search_documents(spark, sf_dir):
+    b = Binding.of(spark, sf_dir)
+    return documents.search_documents(rq.search_requests(b.t), b.catalog())
+
+
+@query("browse_documents")
+def _browse_documents(spark, sf_dir):
+    b = Binding.of(spark, sf_dir)
+    return documents.browse_documents(rq.browse_requests(b.t), b.catalog())
+
+
+@query("index_documents")
+def _index_documents(spark, sf_dir):
+    return documents.index_documents(Binding.of(spark, sf_dir).brand, block=INDEX_BLOCK)
+
+
+@query("closet_documents")
+def _closet_documents(spark, sf_dir):
+    b = Binding.of(spark, sf_dir)
+    return documents.closet_documents(rq.closet_requests(b.t), b.catalog(), block=CLOSET_BLOCK)
+
+
 # -- users, sessions, closets (U30-U38) ------------------------------------------
 AS_OF = "2024-01-29 12:00:00"  # late in the log, so some sessions have expired
 
@@ -288,6 +314,48 @@ def _user_closets(spark, sf_dir):
     return users.user_closets(b.site_user, b.closet, b.closet_item, b.catalog())
 
 
+@query("closets_of_users")
+def _closets_of_users(spark, sf_dir):
+    """Closets by username, as the call asks for them: ids, dates, unknown users."""
+    b = Binding.of(spark, sf_dir)
+    return users.closets_by_name(rq.closet_requests(b.t), b.site_user, b.closet, b.closet_item, b.catalog())
+
+
+@query("remove_closets_entries")
+def _remove_closets_entries(spark, sf_dir):
+    """Removals with the number of entries that go along."""
+    b = Binding.of(spark, sf_dir)
+    return users.removed_entries(users.closet_removals(b.closet, b.site_user, rq.closet_removes(b.t)), b.closet_item)
+
+
+@query("sign_in")
+def _sign_in(spark, sf_dir):
+    """Sign-ins by e-mail on top of the open sessions: the sessions afterwards, and the refused."""
+    from pyspark.sql import functions as F
+    b = Binding.of(spark, sf_dir)
+    sessions, statuses = users.sign_in(users.open_sessions(None, b.session_open), b.site_user, rq.logins(b.t))
+    refused = statuses.filter(F.col("status") != "ok").select("status", F.col("seq").alias("session_id"))
+    return sessions.withColumn("status", F.lit("ok")).unionByName(refused, allowMissingColumns=True)
+
+
+@query("committed_closets")
+def _committed_closets(spark, sf_dir):
+    """Closets added, filled and removed and users deleted, each command committed
+    before the next reads; the state that was committed last."""
+    from ..sinks import commands
+    from ..sinks.store import CatalogStore
+    b = Binding.of(spark, sf_dir)
+    store = CatalogStore(spark, scratch_path(spark, "store"))
+    full = b.catalog()
+    store.create(Catalog(**{t: getattr(full, t) for t in ("brand", "base_item", "site_user", "closet", "closet_item")}))
+    commands.add_closets(store, rq.closet_adds(b.t), _as_of())
+    commands.add_items_to_closets(store, rq.closet_item_adds(b.t), _as_of())
+    commands.remove_closets(store, rq.closet_removes(b.t))
+    commands.delete_rows(store, "site_user", rq.user_deletes(b.t))
+    now = store.load()
+    return now.closet.select("closet_id", "site_user_id", "name").join(users.closet_item_counts(now.closet, now.closet_item), "closet_id")
+
+
 @query("closet_item_counts")
 def _closet_item_counts(spark, sf_dir):
     b = Binding.of(spark, sf_dir)
@@ -420,6 +488,20 @@ def _ingest_feed(spark, sf_dir):
     return _ingest(spark, sf_dir)[1].rejects
 
 
+@query("ingest_feed_again")
+def _ingest_feed_again(spark, sf_dir):
+    """A feed that comes again after two thirds of it were ingested: what is new,
+    the same or changed, what repeats an id, and what cannot be read."""
+    from pyspark.sql import functions as F
+    b = Binding.of(spark, sf_dir)
+    raw = written(feed.feed_from_part(b.t, b.tag), "feed")
+    first = ingest.ingest_feed(b.catalog(), feed.parse_documents(raw.filter(F.col("page_id") % 3 != 0)), dedupe=True)
+    again = ingest.ingest_feed(first.catalog, feed.parse_documents(feed.feed_again(raw)), dedupe=True, known=written(first.feed_refs, "refs"))
+    decided = again.decisions.select("feed_item_id", "decision")
+    return decided.unionByName(again.rejects.filter(F.col("stage").isin("base_item", "document")).select(
+        "feed_item_id", F.col("code").alias("decision")))
+
+
 @query("feed_image_urls")
 def _feed_image_urls(spark, sf_dir):
     return ingest.feed_image_urls(_feed_docs(Binding.of(spark, sf_dir)))
@@ -428,6 +510,7 @@ def _feed_image_urls(spark, sf_dir):
 # -- streams (S1-S3): run to completion, read the sink back ------------------------
 DEBOUNCE_GAP = "6 hours"      # events of one user lie hours apart in the log
 DEBOUNCE_WATERMARK = "1 hour"
+LOG_CUT, LATE_DELAY = "2024-01-20", "2 days"
 
 
 @query("stream_stock_ledger")
@@ -460,6 +543,22 @@ def _stream_search_debounce(spark, sf_dir):
     return runner.run_debounce(spark, b.search_log, DEBOUNCE_GAP, DEBOUNCE_WATERMARK)
 
 
+@query("stream_search_debounce_late")
+def _stream_search_debounce_late(spark, sf_dir):
+    """The log in two waves, some rows of the first one coming with the second:
+    bursts, and the rows that came too late for theirs."""
+    from pyspark.sql import functions as F
+    from ..streaming import runner
+    b = Binding.of(spark, sf_dir)
+    early = F.col("ts") < _cut(LOG_CUT)
+    held = F.col("event_id") % 20 == 3
+    waves = [b.search_log.filter(early & ~held), b.search_log.filter(~early | held)]
+    bursts, late = runner.run_debounce_late(spark, waves, DEBOUNCE_GAP, LATE_DELAY)
+    late = late.select(F.lit("late").alias("kind"), "user_id", F.col("ts").alias("window_start"), F.lit(None).cast("timestamp_ntz").alias("window_end"),
+                       F.col("query").alias("last_query"), F.lit(1).cast("long").alias("n_queries"))
+    return bursts.select(F.lit("burst").alias("kind"), "*").unionByName(late)
+
+
 @query("search_debounce")
 def _search_debounce(spark, sf_dir):
     from ..streaming import debounce

@@ -174,3 +174,16 @@ def feed_from_part(t: Tables, tag: DataFrame) -> DataFrame:
                  "vendor_list", "tag_list", "result_items").alias("product_list"))
     return (pages.join(vendors, "page_id").join(page_tags, "page_id")
             .select("page_id", F.to_json(doc).alias("raw")))
+
+
+def feed_again(raw: DataFrame) -> DataFrame:
+    """DataFrame(page_id, raw): the feed as it comes a second time. Every tenth item
+    has a new title, every page repeats its first item at the end, and every fifth
+    document comes once more, cut off in the middle."""
+    docs = raw.select("page_id", F.from_json("raw", FEED_SCHEMA).alias("d"))
+    items = F.col("d.product_list.result_items")
+    renamed = F.transform(items, lambda i: i.withField(
+        "title", F.when(i["id"].cast("long") % 10 == 0, F.concat(i["title"], F.lit(" II"))).otherwise(i["title"])))
+    doc = F.col("d").withField("product_list.result_items", F.concat(renamed, F.slice(renamed, 1, 1)))
+    broken = raw.filter(F.col("page_id") % 5 == 0).select("page_id", F.expr("substring(raw, 1, length(raw) div 2)").alias("raw"))
+    return docs.select("page_id", F.to_json(doc).alias("raw")).unionByName(broken)

@@ -157,6 +157,26 @@ def closet_removes(t: Tables) -> DataFrame:
     return x.select(eid.alias("seq"), F.col("c_name").alias("username"), name.alias("closet_name"))
 
 
+def closet_requests(t: Tables) -> DataFrame:
+    """(request_id, username) from ``signup`` events; some are unknown or spelled in another case."""
+    x = _events_with_customer(t, "signup")
+    eid = F.col("event_id")
+    name = (F.when(eid % 7 == 0, F.lower("c_name")).when(eid % 11 == 0, F.lit("nobody")).otherwise(F.col("c_name")))
+    return x.select(eid.alias("request_id"), name.alias("username"))
+
+
+def logins(t: Tables) -> DataFrame:
+    """(seq, email, session_token, created_at) from ``signup`` events: sign-ins by
+    e-mail in either case, some unknown."""
+    e = t.events.filter(F.col("event_type") == "signup").select("event_id", "user_id", "ts")
+    x = e.join(t.customer.select("c_custkey", "c_name"), e.user_id == F.col("c_custkey"), "left")
+    mail = F.concat(F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@example.com"))
+    eid = F.col("event_id")
+    return x.select(eid.alias("seq"), F.when(eid % 6 == 0, F.upper(mail)).when(eid % 6 == 1, F.lit("no@example.com")).otherwise(mail).alias("email"),
+                    F.concat(F.lit("in-"), eid.cast("string")).alias("session_token"),
+                    (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("created_at"))
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 

@@ -64,6 +64,18 @@ def run_debounce(spark: SparkSession, log: DataFrame | list[DataFrame], gap: str
     return spark.read.parquet(out).filter(F.col("user_id") != F.lit(end_marker_user))
 
 
+def run_debounce_late(spark: SparkSession, waves: list[DataFrame], gap: str, delay: str) -> tuple[DataFrame, DataFrame]:
+    """Land the log wave by wave and run the stream that keeps late rows after
+    each; return (bursts, late rows)."""
+    root = scratch_path(spark, "debounce-late")
+    src, out, ck = (os.path.join(root, d) for d in ("src", "out", "ck"))
+    for wave in waves:
+        wave.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(waves[0].schema).parquet(src)
+        _run(stream.writeStream.foreachBatch(deb.debounce_batches(out, gap, delay)).option("checkpointLocation", ck))
+    return deb.read_bursts(spark, out, gap)
+
+
 def run_ingest(spark: SparkSession, catalog, waves: list[DataFrame]):
     """Land feed documents (raw JSON text) wave by wave; each micro-batch runs
     the whole-table ingest against the catalogue as left by earlier batches."""

@@ -40,3 +40,43 @@ def test_queries_of_one_instant_go_by_event_id(spark):
         .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert rows(debounce.debounce(lg), "last_query", "n_queries") == [("a", 3)]
     assert rows(runner.run_debounce(spark, lg, "1 minute", "1 hour"), "last_query") == [("a",)]
+
+
+def late_log(spark, rs):
+    return spark.createDataFrame([(i, u, f"2024-01-01 {t}", f"q{i}") for i, u, t in rs], "event_id long, user_id long, ts string, query string") \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def test_bursts_and_late_rows_are_all_rows(spark):
+    import datetime as dt
+    import random
+    rng = random.Random(4)
+    clock = lambda m: f"{m // 60:02d}:{m % 60:02d}:00"
+    # three waves moving on in time, each with some rows from long before
+    waves = [[(100 * w + n, rng.randint(1, 3), clock(max(0, 300 * w + rng.randint(-250 if n % 4 == 0 else 0, 299)))) for n in range(40)]
+             for w in range(3)]
+    bursts, late = runner.run_debounce_late(spark, [late_log(spark, w) for w in waves], "10 minutes", "30 minutes")
+    at = lambda t: dt.datetime.fromisoformat(f"2024-01-01 {t}")
+    latest, kept, dropped = None, [], []
+    for w in waves:
+        for i, u, t in w:
+            behind = latest is not None and at(t) < latest - dt.timedelta(minutes=30)
+            (dropped if behind else kept).append((i, u, t))
+        latest = max([at(t) for _, _, t in w] + ([latest] if latest else []))
+    assert dropped and sorted(r["event_id"] for r in late.collect()) == sorted(i for i, _, _ in dropped)
+    assert rows(bursts) == rows(debounce.debounce(late_log(spark, kept), "10 minutes"))
+    assert sum(r["n_queries"] for r in bursts.collect()) + len(dropped) == 120
+
+
+def test_a_debounce_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write = debounce.debounce_batches(out, "10 minutes", "30 minutes")
+    first = late_log(spark, [(1, 1, "00:00:00"), (2, 1, "00:05:00"), (3, 2, "02:00:00")])
+    second = late_log(spark, [(4, 2, "02:05:00"), (5, 1, "00:06:00")])
+    for batch, n in ((first, 0), (first, 0), (second, 1), (second, 1)):
+        write(batch, n)
+    bursts, late = debounce.read_bursts(spark, out, "10 minutes")
+    assert rows(bursts, "user_id", "last_query", "n_queries") == [(1, "q2", 2), (2, "q4", 2)]
+    assert rows(late, "event_id") == [(5,)]
+    write(late_log(spark, []), 2)  # an empty batch
+    assert debounce.read_bursts(spark, out, "10 minutes")[0].count() == 2

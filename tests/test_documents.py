@@ -48,3 +48,33 @@ def test_detail_documents(spark, cat):
     assert [x["item_name"] for x in d[1]["more_like"]["similar_items"]] == ["coat", "Hat"]
     assert d[1]["more_like"]["more_from_brand"] == []
     assert d[2] == {"error": "missing_name"}
+
+
+def test_index_documents_are_cut_into_blocks(spark):
+    from tagrack.functions.text import name_key
+    names = [f"Name {i:03d}" for i in range(25)] + ["9 Lives", "Élan"]
+    brand = spark.createDataFrame(list(enumerate(names)), "brand_id int, name string").withColumn("name_key", name_key("name"))
+    got = {(r["initial"], r["block"]): json.loads(r["doc"]) for r in documents.index_documents(brand, block=10).collect()}
+    assert got == {("N", 0): {"N": names[:10]}, ("N", 1): {"N": names[10:20]}, ("N", 2): {"N": names[20:25]},
+                   ("#", 0): {"#": ["9 Lives"]}, ("E", 0): {"E": ["Élan"]}}
+
+
+def test_closet_documents_and_closets_by_name(spark, cat):
+    from tagrack.operators import users
+    from fixtures import lit_ts, rows
+    people = spark.createDataFrame([(1, "ann"), (2, "bob")], "site_user_id long, username string")
+    closets = spark.createDataFrame([(7, 1, "Work"), (8, 1, "Empty")], "closet_id long, site_user_id long, name string").withColumn(
+        "created_at", lit_ts("2024-01-02 03:04:05"))
+    entries = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "closet_id long, item_id long").withColumn("added_at", lit_ts("2024-02-03 00:00:00"))
+    full = cat.with_(site_user=people, closet=closets, closet_item=entries)
+    asked = spark.createDataFrame([(1, "ann"), (2, "bob"), (3, "Ann"), (4, "ann"), (5, None)], "request_id long, username string")
+    flat = users.closets_by_name(asked, people, closets, entries, full)
+    assert [r[:2] for r in rows(flat, "request_id", "status")] == [
+        (1, "empty"), (1, "item"), (1, "item"), (1, "item"), (2, "no_closets"), (3, "unknown_user"),
+        (4, "empty"), (4, "item"), (4, "item"), (4, "item"), (5, "unknown_user")]
+    got = {(r["request_id"], r["closet_rank"], r["block"]): json.loads(r["doc"]) for r in documents.closet_documents(asked, full, block=2).collect()}
+    assert got[(2, None, 0)] == [] and got[(3, None, 0)] == {"error": "unknown_user"}
+    assert got[(1, 1, 0)] == {"closet_id": 8, "name": "Empty", "created_at": "2024-01-02T03:04:05", "items": []}
+    items = got[(1, 2, 0)]["items"] + got[(1, 2, 1)]["items"]
+    assert [(i["base_item_name"], i["brand_name"]) for i in items] == [("Coat", "Acme"), ("coat", "Zed"), ("Hat", "Zed")]
+    assert items[0]["thumbnail_url"] == "c1.jpg" and items[0]["added_at"] == "2024-02-03T00:00:00" and len(got) == 9

@@ -164,3 +164,68 @@ def test_broken_documents_are_rejected_with_their_text(spark, cat):
     r = ingest.ingest_feed(cat, feed.parse_documents(raw))
     assert rows(r.new_base_items, "feed_item_id") == [("3",)]
     assert rows(r.rejects.filter("stage = 'document'"), "detail", "code") == [('{"success": tru', "bad_json"), ("{}", "bad_json")]
+
+
+def _again(docs_of):
+    """The feed as it comes a second time: one item changed, one new, one repeated, one document broken."""
+    import copy
+    second = copy.deepcopy(docs_of)
+    second[0]["product_list"]["result_items"][0].update(title="Silk Gown", vendor="Newco", images=["a.jpg", "z.jpg"], tags=[7])
+    second[1]["product_list"]["result_items"] += [item(9, "Cap", "Acme", 2.0, None, [], {"M": 4}, [8]),
+                                                  item(3, "Tee two", "Acme", 1.0, None, [], {}, [])]
+    return second
+
+
+def test_a_feed_that_comes_again_adds_nothing_twice(spark, cat):
+    parse = lambda ds, *more: feed.parse_documents(spark.createDataFrame([(json.dumps(d),) for d in ds] + [(m,) for m in more], "raw string"))
+    first = ingest.ingest_feed(cat, parse(DOCS), dedupe=True)
+    refs = first.feed_refs
+    assert rows(first.decisions, "feed_item_id", "decision", "base_item_id") == [("1", "new", 2), ("3", "new", 3)]
+    plain = ingest.ingest_feed(cat, parse(DOCS))
+    for table in ("base_item", "base_item_image", "tag_item", "sku", "image", "tag", "brand"):
+        assert rows(getattr(first.catalog, table)) == rows(getattr(plain.catalog, table))
+
+    same = ingest.ingest_feed(first.catalog, parse(DOCS), known=refs)
+    assert rows(same.decisions, "feed_item_id", "decision", "base_item_id") == [("1", "same", 2), ("3", "same", 3)]
+    for table in ("base_item", "base_item_image", "tag_item", "sku", "image", "tag", "brand"):
+        assert rows(getattr(same.catalog, table)) == rows(getattr(first.catalog, table)), table
+    assert same.opening_ledger.count() == 0 and rows(same.feed_refs) == rows(refs)
+
+    again = ingest.ingest_feed(first.catalog, parse(_again(DOCS), json.dumps(DOCS[0])[:200]), known=refs)
+    assert rows(again.decisions, "feed_item_id", "decision", "base_item_id") == [("1", "changed", 2), ("3", "same", 3), ("9", "new", 4)]
+    assert {("3", "repeated_id"), (None, "bad_json"), ("2", "bad_rating")} <= set(rows(again.rejects, "feed_item_id", "code"))
+    items = {r["base_item_id"]: r for r in again.catalog.base_item.collect()}
+    assert len(items) == 4 and items[2]["name"] == "Silk Gown" and items[1]["name"] == "Old" and items[4]["name"] == "Cap"
+    brands = {r["brand_id"]: r["name"] for r in again.catalog.brand.collect()}
+    assert brands[items[2]["brand_id"]] == "Newco"
+    urls = {r["image_id"]: r["url"] for r in again.catalog.image.collect()}
+    assert {urls[r["image_id"]] for r in again.catalog.base_item_image.collect() if r["base_item_id"] == 2} == {"a.jpg", "b.jpg", "z.jpg"}
+    links = rows(again.catalog.tag_item, "base_item_id", "tag_id")
+    assert len(links) == len(set(links))
+    assert rows(again.opening_ledger, "quantity") == [(4,)]
+
+
+def test_stream_lookups_read_the_names_of_a_batch_only(spark, tmp_path):
+    from tagrack.streaming import ingest as ing
+    from pyspark.sql import functions as F
+
+    from tagrack.plans.checks import plan_text
+    reads = {}
+    for size in (50, 5_000):
+        out = str(tmp_path / f"out{size}")
+        big = catalog(spark, brands=[(i, f"Brand {i}") for i in range(1, size)], items=[(1, "Old", 1, None, 1.0)],
+                      tags=[(i, f"tag {i}") for i in range(1, size)], images=[(i, f"{i}.jpg") for i in range(1, size)], skus=[(100, 1, "M")])
+        write = ing.ingest_batches(big, out)
+        for n, d in enumerate(DOCS):
+            write(feed.parse_documents(spark.createDataFrame([(json.dumps(d),)], "raw string")), n)
+        keys = ing.batch_keys(feed.parse_documents(spark.createDataFrame([(json.dumps(DOCS[1]),)], "raw string")))
+        found = {t: ing.lookup(spark, out, t, k, 1) for t, k in keys.items()}
+        reads[size] = {t: len({r[0].split("division=")[1].split("/")[0] for r in f.select(F.input_file_name()).distinct().collect()})
+                       for t, f in found.items()}
+        assert all("PartitionFilters: [isnotnull(batch" in plan_text(f) or "division" in plan_text(f).split("PartitionFilters:")[1].split("\n")[0]
+                   for f in found.values())
+        assert rows(found["brand"].filter("name_key = 'newco'"), "name") == [("Newco",)]
+        after, _ledger, _rejects = ing.read_state(spark, big, out)
+        assert after.brand.filter("name = 'Newco'").count() == 1 and after.base_item.count() == 3
+    # as many divisions as the batch has names, however many the catalogue holds
+    assert all(reads[5_000][t] <= keys[t].distinct().count() for t in keys), reads

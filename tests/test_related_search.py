@@ -127,3 +127,35 @@ def test_similar_hot_tag_split_is_exact(spark):
         df = rel.similar_items(rq.seed_requests(b.t), b.catalog(), hot_share=share)
         ok, msg = compare(df, con, E.oracle_sql()["similar_items"])
         assert ok, (share, msg)
+
+
+def test_kept_name_index_answers_like_the_catalogue_and_reads_what_is_asked(spark, tmp_path):
+    import random
+
+    from fixtures import catalog
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 6)))
+    items = [(i, f"{word()} {word()}", 1, None, None) for i in range(1, 150)]
+    cat = catalog(spark, brands=[(i, word()) for i in range(1, 40)], items=items, tags=[(i, word()) for i in range(1, 30)], images=[], skus=[])
+    names = search.searchable_names(cat)
+    index = search.NameIndex(spark, str(tmp_path / "index"))
+    assert index.extend(names.filter("kind <> 'items'")) == 1
+    assert index.extend(names.filter("kind = 'items' AND name_id < 80")) == 2
+    assert index.extend(names.filter("kind = 'items' AND name_id >= 80")) == 3
+    queries = q(spark, *enumerate([word()[:rng.randint(1, 4)] for _ in range(40)] + ["", "%", "_", "a%b", "_____________", "zz", None, "é"]))
+    for k in (5, 40):  # 40 is beyond the kept firsts
+        assert rows(search.search_names(queries, None, k, index=index)) == rows(search.search_names(queries, cat, k))
+    # a name that comes again is not posted again
+    before = index._read("postings", "gram string").count()
+    index.extend(spark.createDataFrame([("items", items[0][1], 999)], "kind string, name string, name_id long").withColumn(
+        "fname", search.fold("name")))
+    assert index._read("postings", "gram string").count() == before
+    # one gram reads one division of each part
+    one = index.postings(spark.createDataFrame([("abc",)], "gram string"))
+    from pyspark.sql import functions as F
+
+    from tagrack.plans.checks import plan_text
+    assert "division" in plan_text(one).split("PartitionFilters:")[1].split("\n")[0]
+    asked = index._asked("postings", "gram string", "gram", spark.createDataFrame([("a",)], "gram string"))
+    files = {r[0] for r in asked.select(F.input_file_name()).collect()}
+    assert len({f.split("division=")[1].split("/")[0] for f in files}) == 1
