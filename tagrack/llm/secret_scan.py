@@ -39,22 +39,48 @@ SMOOTH = 0.5
 LEAN = 20
 LEAST_RATIO = 1.0  # nats per transition
 ALPHABET = 128
+MATCHES = 128  # in one block
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _characters(ascii_text: Column) -> Column:
+    """Its characters as an array: an index finds the n-th at once, a substring counts to it."""
+    return F.split(ascii_text, "")
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost matches, in code points."""
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
+    """array<struct<start, end, value>> of the leftmost matches, in code points.
+
+    Starts are running sums of lengths, taken block by block, so that no array
+    is copied once per match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern)
-    zipped = F.arrays_zip(found.alias("v"), F.slice(between, F.lit(1), F.size(found)).alias("g"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["v"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"),
-                                              (acc["at"] + F.length(x["g"]) + F.length(x["v"])).alias("end"),
-                                              x["v"].alias("value")))).alias("out"))
+    size = lambda x: F.length(x["g"]) + F.length(x["v"])
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.aggregate(zipped, start, step)["out"]
+
+    def spans(block: Column, begin: Column) -> Column:
+        step = lambda acc, x: F.struct(
+            (acc["at"] + size(x)).alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), (acc["at"] + size(x)).alias("end"),
+                                                  x["v"].alias("value")))).alias("out"))
+        return F.aggregate(block, F.struct(begin.alias("at"), none.alias("out")), step)["out"]
+
+    def begins(blocks: Column) -> Column:
+        step = lambda acc, block: F.struct(
+            (acc["at"] + F.aggregate(block, F.lit(0), lambda n, x: n + size(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    def long(zipped: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / MATCHES).cast("int")),
+                             lambda b: F.slice(zipped, b * MATCHES + 1, F.lit(MATCHES)))
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, begins(bs), spans)))
+
+    zipped = _let(found, lambda f: F.arrays_zip(f.alias("v"), F.slice(between, F.lit(1), F.size(f)).alias("g")))
+    return _let(zipped, lambda z: F.when(F.size(z) <= MATCHES, spans(z, F.lit(0))).otherwise(long(z)))
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -83,8 +109,9 @@ def _pairs(strings: DataFrame) -> DataFrame:
     """Counts of neighbouring ASCII characters of column ``s``: (a, b, n). Equal
     strings are counted before they are taken apart."""
     two = strings.where("length(s) > 1 and s rlike '^[\\\\x01-\\\\x7f]+$'").groupBy("s").agg(F.count("*").alias("times"))
-    pair = F.explode(F.expr("transform(sequence(1, length(s) - 1), i -> substring(s, i, 2))")).alias("p")
-    return two.select("times", pair).groupBy(F.ascii("p").alias("a"), F.ascii(F.substring("p", 2, 1)).alias("b")).agg(
+    pairs = _let(_characters(F.col("s")), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.struct(
+        F.ascii(c[i]).alias("a"), F.ascii(c[i + 1]).alias("b"))))
+    return two.select("times", F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
         F.sum("times").alias("n"))
 
 
@@ -120,9 +147,11 @@ def train(spans: DataFrame, docs: DataFrame, text_col: str = "text") -> list[flo
 
 def ratio(token: Column, table: str = "llr") -> Column:
     """Mean log-likelihood ratio per transition of an ASCII token."""
-    steps = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.element_at(
-        F.col(table), F.ascii(F.substr(token, i, F.lit(1))) * ALPHABET + F.ascii(F.substr(token, i + 1, F.lit(1))) + 1))
-    return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.size(steps)
+    def mean(c: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.element_at(
+            F.col(table), F.ascii(c[i]) * ALPHABET + F.ascii(c[i + 1]) + 1))
+        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (F.size(c) - 1)
+    return _let(_characters(token), mean)
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

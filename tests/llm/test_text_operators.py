@@ -528,3 +528,54 @@ def test_language_model_against_counts_by_hand(spark):
             assert np.allclose(model.table[model.index[kind][x]], want)
     got = {r["doc_id"]: r for r in langid.predict_language(df, model).collect()}
     assert all(got[i]["lang_pred"] == lang for i, (_t, lang) in enumerate(texts) if lang)
+
+
+@pytest.mark.parametrize("text", ["0123456789abcdef" * 20_000, "aB3" * 100_000, "k1y_" * 80_000, "key9value8name77 " * 20_000])
+def test_secret_scan_of_long_runs(spark, text):
+    import time
+    df = docs(spark, [text, "password=abcdef12 and token: zz99xx88yy"])
+    began = time.time()
+    got = rows(secret_scan.digests(df))
+    assert time.time() - began < 60
+    want = [f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    assert got[0]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and got[0]["n_hex"] == len(want)
+
+
+def test_secret_spans_of_the_models_against_plain_python(spark):
+    from collections import Counter
+    from math import log
+    rng = random.Random(12)
+    plain = ["river", "stone", "get_value", "user_name2", "lamp", "paper_size_a4", "note", "configuration_v2_name"]
+    def odd():
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randint(16, 40)))
+    texts = [" ".join(rng.choices([*plain, "x"], k=30)) + f" password={odd()} " + rng.choice([odd(), "some_long_identifier_7", ""]) for _ in range(60)]
+    kinds = [("assign", re.compile(secret_scan.ASSIGN), 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
+    base = [[(k, m.start(), m.end(), m[g]) for k, p, g, least in kinds for m in p.finditer(t) if len(m[g]) >= least] for t in texts]
+
+    def table(strings):
+        n = Counter()
+        for s, times in Counter(strings).items():
+            if len(s) > 1 and s.isascii():
+                for a, b in zip(s, s[1:]):
+                    n[ord(a), ord(b)] += times
+        single = [sum(n[a, b] for a in range(128)) + secret_scan.SMOOTH for b in range(128)]
+        seen = [sum(n[a, b] for b in range(128)) for a in range(128)]
+        return lambda a, b: log((n[a, b] + secret_scan.LEAN * single[b] / sum(single)) / (seen[a] + secret_scan.LEAN))
+
+    random_ = table([v for spans in base for *_, v in spans])
+    words = [w for t in texts for w in re.findall(secret_scan.WORD, re.sub(r"AKIA[A-Z0-9]+", " ", re.sub(secret_scan.ASSIGN, " ", t)))]
+    ordinary = table([w for w in words if len(w) < 16 or not re.search("[0-9]", w)])
+    found = 0
+    got = rows(secret_scan.digests(docs(spark, texts)))
+    for i, t in enumerate(texts):
+        spans = [(s, k, e) for k, s, e, _ in base[i]]
+        for m in re.finditer(secret_scan.TOKEN, t):
+            if any(s < m.end() and m.start() < e for s, _k, e in spans if _k != "markov"):
+                continue
+            pairs = [(ord(a), ord(b)) for a, b in zip(m[0], m[0][1:])]
+            if sum(random_(*p) - ordinary(*p) for p in pairs) / len(pairs) > secret_scan.LEAST_RATIO:
+                spans.append((m.start(), "markov", m.end()))
+                found += 1
+        order = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
+        assert got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], order[x[1]])))
+    assert found
