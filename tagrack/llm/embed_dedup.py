@@ -59,7 +59,8 @@ def _unit(vectors) -> np.ndarray:
 
 def _cells(centres: dict[int, np.ndarray], reach: float):
     """(cell, home) rows of every class: its own cell, and lower cells within reach."""
-    gaps = {d: np.linalg.norm(c[:, None] - c[None], axis=2) if len(c) <= 512 else None for d, c in centres.items()}
+    # unit rows (a zero row only where no sample had the length): |a - b| from their products
+    square = {d: (c * c).sum(axis=1) for d, c in centres.items()}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -67,7 +68,8 @@ def _cells(centres: dict[int, np.ndarray], reach: float):
                 c = centres[dim]
                 near = _unit(part["vector"]) @ c.T
                 own = near.argmax(axis=1)
-                gap = gaps[dim][own] if gaps[dim] is not None else np.stack([np.linalg.norm(c - c[a], axis=1) for a in own])
+                between = square[dim][own][:, None] + square[dim][None] - 2 * c[own] @ c.T
+                gap = np.sqrt(np.maximum(between, 0) + 1e-12)  # no less than the distance, rounding included
                 within = near[np.arange(len(own)), own][:, None] - near <= reach * gap + 1e-9
                 within &= np.arange(len(c))[None] <= own[:, None]
                 row, cell = np.nonzero(within)
