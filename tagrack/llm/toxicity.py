@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_share, crc_mod, small_batches, written
 
-# Documented bound: the classifier is fitted on about this many labelled rows.
+# Documented bounds of fitting: about this many labelled rows, of which the most telling
+# words and beginnings vote, and the most telling features are the classifier's.
 MAX_TRAINING_ROWS = 20_000
 MAX_VOTERS = 300
 MAX_FEATURES = 3_000
