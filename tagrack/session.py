@@ -13,6 +13,8 @@ import os
 import shutil
 import tempfile
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every job relies on; a cluster launcher may override sizes.
@@ -80,10 +82,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{os.getpid()}-{next(_counter)}"
+    """A fresh sub-folder of the shared checkpoint folder for written tables.
+
+    They lie under the application's own folder, which goes when Python ends
+    (``drop_scratch`` removes it earlier).
+    """
+    root = _scratch_root(spark)
+    if root not in _scratch_roots:
+        _scratch_roots.add(root)
+        atexit.register(_remove, root)
+    return f"{root}/{name}-{os.getpid()}-{next(_counter)}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application's queries have written between their steps.
+    Only when none of their results is still to be read."""
+    _remove(_scratch_root(spark))
+
+
+def _remove(path: str) -> None:
+    """Delete a folder on whatever file system it lies; a JVM that has gone is left alone."""
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    try:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+    except (Py4JError, OSError):  # the application is ending; the cluster's own cleaning takes the rest
+        pass
 
 
 _counter = itertools.count(1)
+_scratch_roots: set[str] = set()

@@ -27,17 +27,15 @@ def test_every_query_has_an_oracle():
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_query_matches_oracle(spark, con, name):
-    ok, msg = compare(E.queries()[name](spark, SF), con, E.oracle_sql()[name])
+def test_query_matches_oracle_and_stays_in_the_jvm(spark, con, name):
+    df = E.queries()[name](spark, SF)
+    if name in BATCH:
+        text = plan_text(df)
+        assert not [n for n in PYTHON_NODES if n in text]
+    ok, msg = compare(df, con, E.oracle_sql()[name])
     assert ok, msg
 
 
-@pytest.mark.parametrize("name", BATCH)
-def test_batch_plans_stay_in_the_jvm(spark, name):
-    text = plan_text(E.queries()[name](spark, SF))
-    assert not [n for n in PYTHON_NODES if n in text]
-
-
 @pytest.mark.parametrize("name", ["similar_items", "more_from_brand", "search_names"])
 def test_top_k_plans_limit_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan_text(E.queries()[name](spark, SF))

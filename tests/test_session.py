@@ -37,3 +37,17 @@ def test_folder_of_the_launcher_is_kept(tmp_path):
                  f"s = b.config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()\n"):
         a, b = start(code + "print(ensure_checkpoint_dir(s))\nprint(scratch_path(s, 'x'))")
         assert a.removeprefix("file:") == str(tmp_path) and b.startswith(a)
+
+
+def test_scratch_of_finished_queries_goes(spark):
+    from pathlib import Path
+
+    from tagrack.plans.materialize import written
+    from tagrack.session import drop_scratch, scratch_path
+    df = written(spark.range(3), "some")
+    assert df.count() == 3
+    folder = Path(scratch_path(spark, "x").replace("file://", "")).parent
+    assert any(folder.iterdir())
+    drop_scratch(spark)
+    assert not folder.exists()
+    assert written(spark.range(2), "next").count() == 2  # goes on as before
