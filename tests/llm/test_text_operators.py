@@ -337,6 +337,24 @@ def test_markov_finds_random_tokens_and_leaves_identifiers(spark):
     assert re.fullmatch(r"markov:4:36", got[60]["spans"]) and got[61]["spans"] == ""
 
 
+def test_markov_finds_keys_of_the_whole_alphabet_short_ones_and_parts_of_runs(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n, more="": "".join(rng.choices(letters + more, k=n))
+    words = ("the river flows through green valleys and configuration_manager handles every request.Then "
+             "https://example.com/some/path.html and/or 2024-01-02 10.20.30.40 x=y a+b ---").split()
+    texts = [" ".join(rng.choices(words, k=60)) + f" token={key(40, '+/')}" for _ in range(120)]
+    letter_key, short, padded, path_key = "".join(rng.choices(letters[:52], k=20)), key(12), key(42, "+/") + "==", key(30)
+    at = len(texts)
+    texts += [f"the {letter_key} of", f"the {short} of", f"the {padded} of", f"see https://example.com/some/path/{path_key}.html and",
+              "the configuration_manager of https://example.com/some/path.html and the-green-valleys-through-the-river"]
+    got = rows(secret_scan.digests(docs(spark, texts)))
+    cut = [[texts[i][int(a):int(b)] for _k, a, b in (x.split(":") for x in got[i]["spans"].split(",") if x)] for i in range(at, at + 5)]
+    assert [len(x) for x in cut] == [1, 1, 1, 1, 0]
+    assert [cut[0], cut[1]] == [[letter_key], [short]] and cut[2][0].rstrip("=") == padded.rstrip("=")
+    assert cut[3] == [path_key]
+
+
 def test_secret_scan_without_base_spans_and_empty(spark):
     got = rows(secret_scan.digests(docs(spark, ["a1b2c3d4e5f6g7h8i9j0", None])))
     assert [got[i]["spans"] for i in (0, 1)] == ["", ""]
@@ -548,7 +566,9 @@ def test_secret_spans_of_the_models_against_plain_python(spark):
     plain = ["river", "stone", "get_value", "user_name2", "lamp", "paper_size_a4", "note", "configuration_v2_name"]
     def odd():
         return "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randint(16, 40)))
-    texts = [" ".join(rng.choices([*plain, "x"], k=30)) + f" password={odd()} " + rng.choice([odd(), "some_long_identifier_7", ""]) for _ in range(60)]
+    extra = [odd, lambda: "some_long_identifier_7", str, lambda: f"/river/stone.{odd()}/lamp.note", lambda: f"paper={odd()}==", lambda: odd()[:9],
+             lambda: f"{odd()}.river_stone_paper_note_lamp_river_stone.{odd()}"]
+    texts = [" ".join(rng.choices([*plain, "x"], k=30)) + f" password={odd()} " + rng.choice(extra)() for _ in range(90)]
     kinds = [("assign", re.compile(secret_scan.ASSIGN), 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
     base = [[(k, m.start(), m.end(), m[g]) for k, p, g, least in kinds for m in p.finditer(t) if len(m[g]) >= least] for t in texts]
 
@@ -563,19 +583,37 @@ def test_secret_spans_of_the_models_against_plain_python(spark):
         return lambda a, b: log((n[a, b] + secret_scan.LEAN * single[b] / sum(single)) / (seen[a] + secret_scan.LEAN))
 
     random_ = table([v for spans in base for *_, v in spans])
-    words = [w for t in texts for w in re.findall(secret_scan.WORD, re.sub(r"AKIA[A-Z0-9]+", " ", re.sub(secret_scan.ASSIGN, " ", t)))]
-    ordinary = table([w for w in words if len(w) < 16 or not re.search("[0-9]", w)])
+    blank = lambda t: re.sub("[0-9a-f]{24,}", " ", re.sub(r"AKIA[A-Z0-9]+", " ", re.sub(secret_scan.ASSIGN, " ", t)))
+    runs = Counter(w for t in texts for w in re.findall(secret_scan.RUN, blank(t)) if not re.search(secret_scan.MIXED, w))
+    ordinary = table([w for w, n in runs.items() if n >= secret_scan.LEAST_TIMES for _ in range(n)])
+
+    def stretches(run):
+        """(start, end) of stretches of pieces, by a plain loop."""
+        score = lambda a, b: random_(ord(a), ord(b)) - ordinary(ord(a), ord(b))
+        out, start, end, total, peak = [], 0, 0, 0.0, 0.0
+        for m in [*re.finditer(secret_scan.PIECE, run), None]:
+            own = sum(score(a, b) for a, b in zip(m[0], m[0][1:])) if m else 0.0
+            now = total + (score(run[m.start() - 1], run[m.start()]) if m and m.start() else 0.0) + own
+            if m is None or total <= 0 or now <= 0 or peak - now > secret_scan.LEAST_SUM:
+                if peak > secret_scan.LEAST_SUM and peak > secret_scan.LEAST_RATIO * (end - start - 1):
+                    out.append((start, end))
+                if m:
+                    start, end, total, peak = m.start(), m.end(), own, own
+            else:
+                total = now
+                if now > peak:
+                    peak, end = now, m.end()
+        return out
+
     found = 0
     got = rows(secret_scan.digests(docs(spark, texts)))
     for i, t in enumerate(texts):
         spans = [(s, k, e) for k, s, e, _ in base[i]]
-        for m in re.finditer(secret_scan.TOKEN, t):
-            if any(s < m.end() and m.start() < e for s, _k, e in spans if _k != "markov"):
-                continue
-            pairs = [(ord(a), ord(b)) for a, b in zip(m[0], m[0][1:])]
-            if sum(random_(*p) - ordinary(*p) for p in pairs) / len(pairs) > secret_scan.LEAST_RATIO:
-                spans.append((m.start(), "markov", m.end()))
-                found += 1
+        for m in re.finditer(secret_scan.RUN, t):
+            for s, e in stretches(m[0]) if len(m[0]) >= secret_scan.LEAST_LENGTH else []:
+                if not any(b < m.start() + e and m.start() + s < f for _k, b, f, _v in base[i]):
+                    spans.append((m.start() + s, "markov", m.start() + e))
+                    found += 1
         order = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
         assert got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], order[x[1]])))
     assert found
