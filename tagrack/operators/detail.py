@@ -95,7 +95,8 @@ def _listing(rows: DataFrame, key: str, order: str, text) -> DataFrame:
 
 
 def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame | None = None,
-                events: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
+                events: DataFrame | None = None, order: list[str] | None = None,
+                index: related.RelatedIndex | None = None) -> DataFrame:
     """U16: one row per request with item_name (as requested), brand_name,
     description, rating, image_urls, sizes ('XS:true|S:false', size order),
     similar and more_from_brand ('name~brand~thumbnail' by rank, k=4) and a status; fields stay
@@ -103,7 +104,7 @@ def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame | None =
 
     Stock comes either as levels (``stock``) or as raw ``events`` with their
     ``order``; then only the requested items' SKUs are summed (a SKU's stock
-    depends on its own events alone)."""
+    depends on its own events alone). ``index`` is a kept index of related items."""
     res = materialize(resolve_items(requests, catalog))
     ok = res.filter(F.col("status").isin("ok", "ambiguous"))
     wanted = ok.select("base_item_id").distinct()   # only requested items are aggregated
@@ -120,7 +121,8 @@ def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame | None =
     seeds = ok.select("request_id", "base_item_name", "brand_name",
                       F.lit(DEFAULT_RELATED_K).alias("k"))
     card = F.concat_ws("~", "item_name", F.coalesce("brand_name", F.lit("")), F.coalesce("thumbnail_url", F.lit("")))
-    sim = _listing(related.similar_items(seeds, catalog, DEFAULT_RELATED_K), "request_id",
+    known = ok.select("request_id", F.col("base_item_id").alias("seed_id"), F.lit(DEFAULT_RELATED_K).alias("k"))
+    sim = _listing(related.similar_items(seeds, catalog, DEFAULT_RELATED_K, index=index, resolved=known), "request_id",
                    "rank", card).withColumnRenamed("_l", "similar")
     mfb = _listing(related.more_from_brand(seeds, catalog, DEFAULT_RELATED_K), "request_id",
                    "rank", card).withColumnRenamed("_l", "more_from_brand")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Catalog
+from ..plans.materialize import materialize
 from . import browse, detail, related, search, users
 
 
@@ -86,7 +87,7 @@ def detail_documents(requests: DataFrame, catalog: Catalog, stock: DataFrame) ->
     brand_name, description, image_urls, rating, item_specific_details
     [{size, in_stock}] and more_like {similar_items, more_from_brand}; error
     requests get {"error": status}."""
-    res = detail.resolve_items(requests, catalog)
+    res = materialize(detail.resolve_items(requests, catalog))
     ok = res.filter(F.col("status").isin("ok", "ambiguous"))
     wanted = ok.select("base_item_id").distinct()
     imgs = (catalog.base_item_image.join(wanted, "base_item_id", "left_semi")
@@ -97,7 +98,8 @@ def detail_documents(requests: DataFrame, catalog: Catalog, stock: DataFrame) ->
              .agg(_ordered("relative_order", "size", "in_stock").alias("item_specific_details")))
     seeds = ok.select("request_id", "base_item_name", "brand_name", F.lit(4).alias("k"))
     cols = ("item_name", "brand_name", "thumbnail_url")
-    sim = related.similar_items(seeds, catalog, 4).groupBy("request_id").agg(
+    known = ok.select("request_id", F.col("base_item_id").alias("seed_id"), F.lit(4).alias("k"))
+    sim = related.similar_items(seeds, catalog, 4, resolved=known).groupBy("request_id").agg(
         _ordered("rank", *cols).alias("similar_items"))
     mfb = related.more_from_brand(seeds, catalog, 4).groupBy("request_id").agg(
         _ordered("rank", *cols).alias("more_from_brand"))

@@ -7,13 +7,15 @@ then case-insensitive name, then name, then id (ties the reference leaves open).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k
 from ..functions.text import name_key
 from ..model import Catalog
 from ..plans.materialize import materialize
+from ..session import scratch_path
+from ..sources.tables import read_parquet_if_present
 
 
 def _k(c="k"):
@@ -66,12 +68,62 @@ def _display(rows: DataFrame, catalog: Catalog) -> DataFrame:
 HOT_SHARE = 0.02
 
 
-def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None,
-                  hot_share: float = HOT_SHARE) -> DataFrame:
+def _by_name() -> list:
+    return [F.col("name_key").asc_nulls_last(), F.col("name").asc_nulls_last(), F.col("base_item_id").asc()]
+
+
+class RelatedIndex:
+    """What similar items need of the catalogue alone, written once and kept.
+
+    Signatures of items, the tags of distinct signatures, the hot tags among them,
+    per signature and per hot projection the first ``keep`` items by name. Requests
+    read it and touch no other table but for the texts shown. Hotness looks at
+    all signatures, so a changed catalogue gets a new index in a new folder.
+    """
+
+    TABLES = ("signatures", "tags", "hot", "by_signature", "projections", "by_projection")
+
+    def __init__(self, spark: SparkSession, path: str):
+        done = read_parquet_if_present(spark, f"{path}/done")
+        if done is None:
+            raise ValueError(f"no whole index in {path}")
+        self.keep = done.first()["keep"]
+        self.signatures, self.tags, self.hot, self.by_signature, self.projections, self.by_projection = (
+            spark.read.parquet(f"{path}/{t}") for t in self.TABLES)
+
+    @classmethod
+    def build(cls, catalog: Catalog, keep: int, hot_share: float = HOT_SHARE, path: str | None = None) -> RelatedIndex:
+        """Write the index for lists of up to ``keep - 1`` items."""
+        spark = catalog.base_item.sparkSession
+        path = path or scratch_path(spark, "related-index")
+
+        def put(df: DataFrame, table: str) -> DataFrame:
+            df.write.parquet(f"{path}/{table}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{table}")
+
+        sigs = put(item_signatures(catalog), "signatures")
+        tags = put(sigs.select("sig").distinct().select("sig", F.explode(F.split("sig", ",")).alias("tag")), "tags")
+        n_sigs = tags.agg(F.count_distinct("sig")).first()[0]
+        hot = put(tags.groupBy("tag").agg(F.count(F.lit(1)).alias("_df"))
+                  .filter(F.col("_df") > hot_share * n_sigs).select("tag"), "hot")
+        named = sigs.join(catalog.base_item.select("base_item_id", "name", "name_key"), "base_item_id")
+        put(top_k(named, ["sig"], _by_name(), keep, rank_col="_r").drop("_r"), "by_signature")
+        proj = put(tags.join(hot, "tag", "left_semi").groupBy("sig")
+                   .agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("hp")), "projections")
+        put(top_k(named.join(proj, "sig"), ["hp"], _by_name(), keep, rank_col="_r").drop("_r", "sig"), "by_projection")
+        spark.range(1).select(F.lit(keep).alias("keep")).write.parquet(f"{path}/done")  # last: the index is whole
+        return cls(spark, path)
+
+
+def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None, hot_share: float = HOT_SHARE,
+                  index: RelatedIndex | None = None, resolved: DataFrame | None = None) -> DataFrame:
     """Top-k items sharing the most tags with each seed (seed excluded).
 
     Output (request_id, rank, item_name, brand_name, thumbnail_url, shared_tag_count).
 
+    ``index`` is a kept ``RelatedIndex`` of the catalogue (built for the call
+    without one); ``resolved`` the seeds' (request_id, seed_id, k) where known.
+
     Exact, without pairing items: items with equal tag sets form one
     signature, and each signature offers only its first kmax+1 items by name
     (equal score inside it). Tags split by how many signatures hold them:
@@ -89,44 +141,33 @@ def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None,
     group that score at least as much. Per seed signature kmax+1 candidates
     survive (partial WindowGroupLimit); each seed then drops itself, keeps k.
     """
-    kmax = max_k(seeds) if kmax is None else kmax
+    kmax = max_k(seeds if resolved is None else resolved) if kmax is None else kmax
     keep = kmax + 1
-    resolved = resolve_seeds(seeds, catalog).filter(F.col("k") > 0)
-    sigs = materialize(item_signatures(catalog))
-    seed_sig = materialize(resolved.join(sigs.withColumnRenamed("base_item_id", "seed_id"), "seed_id")
+    index = index or RelatedIndex.build(catalog, keep, hot_share)
+    if index.keep < keep:
+        raise ValueError(f"the index serves lists of {index.keep - 1} items, {kmax} are asked for")
+    resolved = (resolve_seeds(seeds, catalog) if resolved is None else resolved).filter(F.col("k") > 0)
+    seed_sig = materialize(resolved.join(index.signatures.withColumnRenamed("base_item_id", "seed_id"), "seed_id")
                            .withColumnRenamed("sig", "a"))
-    names = catalog.base_item.select("base_item_id", "name", "name_key")
-    by_name = [F.col("name_key").asc_nulls_last(), F.col("name").asc_nulls_last(),
-               F.col("base_item_id").asc()]
-    order = [F.col("shared_tag_count").desc()] + by_name
-
+    order = [F.col("shared_tag_count").desc()] + _by_name()
     a_tags = (seed_sig.select("a").distinct()
               .select("a", F.explode(F.split("a", ",")).alias("tag")))
-    b_tags = (sigs.select(F.col("sig").alias("b")).distinct()
-              .select("b", F.explode(F.split("b", ",")).alias("tag")))
-    n_sigs = b_tags.select("b").distinct().count()
-    hot = b_tags.groupBy("tag").agg(F.count(F.lit(1)).alias("_df")) \
-        .filter(F.col("_df") > hot_share * n_sigs).select("tag")
+    b_tags = index.tags.withColumnRenamed("sig", "b")
 
     # cold path: pairs through cold tags, exact overlap size
-    pairs = (a_tags.join(hot, "tag", "left_anti")
-             .join(b_tags.join(hot, "tag", "left_anti"), "tag")
+    pairs = (a_tags.join(index.hot, "tag", "left_anti")
+             .join(b_tags.join(index.hot, "tag", "left_anti"), "tag")
              .select("a", "b").distinct()
              .withColumn("shared_tag_count",
                          F.size(F.array_intersect(F.split("a", ","), F.split("b", ","))).cast("int")))
-    b_top = top_k(sigs.withColumnRenamed("sig", "b").join(names, "base_item_id"),
-                  ["b"], by_name, keep, rank_col="_rb").drop("_rb")
-    cold = pairs.join(b_top, "b").select("a", "base_item_id", "name", "name_key", "shared_tag_count")
+    cold = pairs.join(index.by_signature.withColumnRenamed("sig", "b"), "b").select(
+        "a", "base_item_id", "name", "name_key", "shared_tag_count")
 
     # hot path: candidates grouped by the hot tags they hold
-    proj = (b_tags.join(hot, "tag", "left_semi").groupBy("b")
-            .agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("hp")))
-    p_top = top_k(sigs.withColumnRenamed("sig", "b").join(proj, "b").join(names, "base_item_id"),
-                  ["hp"], by_name, keep, rank_col="_rp").drop("_rp", "b")
-    p_tags = proj.select("hp").distinct().select("hp", F.explode(F.split("hp", ",")).alias("tag"))
-    hot_scores = (a_tags.join(hot, "tag", "left_semi").join(p_tags, "tag")
+    p_tags = index.projections.select("hp").distinct().select("hp", F.explode(F.split("hp", ",")).alias("tag"))
+    hot_scores = (a_tags.join(index.hot, "tag", "left_semi").join(p_tags, "tag")
                   .groupBy("a", "hp").agg(F.count(F.lit(1)).cast("int").alias("shared_tag_count")))
-    warm = hot_scores.join(p_top, "hp").select("a", "base_item_id", "name", "name_key", "shared_tag_count")
+    warm = hot_scores.join(index.by_projection, "hp").select("a", "base_item_id", "name", "name_key", "shared_tag_count")
 
     merged = (cold.unionByName(warm)
               .groupBy("a", "base_item_id", "name", "name_key")
@@ -168,11 +209,11 @@ def more_from_brand(seeds: DataFrame, catalog: Catalog, kmax: int | None = None)
         "request_id", "rank", "item_name", "brand_name", "thumbnail_url")
 
 
-def more_like(seeds: DataFrame, catalog: Catalog) -> DataFrame:
+def more_like(seeds: DataFrame, catalog: Catalog, index: RelatedIndex | None = None) -> DataFrame:
     """Both lists, tagged by ``kind``; (request_id, kind, rank, item_name,
     brand_name, thumbnail_url)."""
     kmax = max_k(seeds)
-    sim = similar_items(seeds, catalog, kmax).drop("shared_tag_count") \
+    sim = similar_items(seeds, catalog, kmax, index=index).drop("shared_tag_count") \
         .withColumn("kind", F.lit("similar_items"))
     mfb = more_from_brand(seeds, catalog, kmax).withColumn("kind", F.lit("more_from_brand"))
     cols = ["request_id", "kind", "rank", "item_name", "brand_name", "thumbnail_url"]

@@ -289,6 +289,7 @@ SELECT query_id, kind, CAST(rank AS INTEGER) AS rank, name FROM (
  WHERE rank <= 5"""))
 
 SQL["search_names_indexed"] = SQL["search_names"]
+SQL["similar_items_indexed"] = SQL["similar_items"]
 
 register("normalize_queries", with_binding(SEARCH_REQ, body=r"""
 SELECT query_id, q FROM (

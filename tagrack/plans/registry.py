@@ -66,6 +66,15 @@ def _similar_items(spark, sf_dir):
     return related.similar_items(rq.seed_requests(b.t), b.catalog())
 
 
+@query("similar_items_indexed")
+def _similar_items_indexed(spark, sf_dir):
+    """The same from a kept index, opened anew, that serves longer lists as well."""
+    b = Binding.of(spark, sf_dir)
+    seeds, path = rq.seed_requests(b.t), scratch_path(spark, "related-index")
+    related.RelatedIndex.build(b.catalog(), related.max_k(seeds) + 4, path=path)
+    return related.similar_items(seeds, b.catalog(), index=related.RelatedIndex(spark, path))
+
+
 @query("more_from_brand")
 def _more_from_brand(spark, sf_dir):
     b = Binding.of(spark, sf_dir)

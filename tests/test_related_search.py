@@ -129,6 +129,29 @@ def test_similar_hot_tag_split_is_exact(spark):
         assert ok, (share, msg)
 
 
+def test_kept_related_index_serves_shorter_lists_and_refuses_longer_ones(spark, cat, tmp_path):
+    path = str(tmp_path / "index")
+    s = seeds(spark, (1, "seed", "ACME", 3), (2, "nope", "Acme", 4), (3, "seed", "Acme", None), (4, None, None, 3), (5, "beta", "acme", 1))
+    with pytest.raises(ValueError):
+        related.RelatedIndex(spark, path)      # nothing there
+    related.RelatedIndex.build(cat, 8, path=path)
+    kept = related.RelatedIndex(spark, path)
+    want = rows(related.similar_items(s, cat))
+    assert want and rows(related.similar_items(s, cat, index=kept)) == want
+    assert rows(related.more_like(s, cat, index=kept)) == rows(related.more_like(s, cat))
+    known = spark.createDataFrame([(1, 1, 3), (5, 2, 1)], "request_id long, seed_id long, k int")
+    assert rows(related.similar_items(s, cat, index=kept, resolved=known)) == want
+    with pytest.raises(ValueError):
+        related.similar_items(s, cat, 8, index=kept)
+
+
+def test_related_index_of_an_empty_catalogue(spark, cat):
+    none = catalog(spark, brands=[], items=[])
+    kept = related.RelatedIndex.build(none, 4)
+    assert [t.count() for t in (kept.signatures, kept.tags, kept.hot, kept.by_projection)] == [0, 0, 0, 0]
+    assert rows(related.similar_items(seeds(spark, (1, "seed", "acme", 3)), none, index=kept)) == []
+
+
 def test_kept_name_index_answers_like_the_catalogue_and_reads_what_is_asked(spark, tmp_path):
     import random
 
