@@ -10,9 +10,10 @@ clearer it must be, and its mean per transition ``LEAST_RATIO``. So a key is fou
 within a path or behind a name and ``=``, without them. A stretch ends where the sum
 falls to 0, or by ``LEAST_SUM`` under its peak. Both models are trained from
 labelled samples of the corpus: values and keys that the base patterns found are the random
-strings; the runs of all texts outside them that occur ``LEAST_TIMES`` and more are the
-ordinary identifiers, but for those with a long part that mixes letters and digits: a
-secret that no base pattern found must not speak for itself.
+strings; the runs of all texts outside them that occur ``LEAST_TIMES`` and more, or
+hold no letter (numbers rarely recur), are the ordinary identifiers, but for those with a
+long part that mixes letters and digits: a secret that no base pattern found must not
+speak for itself.
 
 DataFrame and SQL functions only. Positions are code points: pieces between
 matches (split) and matches (extract all) alternate, so their lengths add up to
@@ -117,9 +118,9 @@ def base_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 def _pairs(strings: DataFrame, least_times: int = 1) -> DataFrame:
     """Counts of neighbouring ASCII characters of column ``s``: (a, b, n). Equal
-    strings are counted before they are taken apart; rarer ones are left out."""
+    strings are counted before they are taken apart; rarer ones with a letter are left out."""
     two = strings.where("length(s) > 1 and s rlike '^[\\\\x01-\\\\x7f]+$'").groupBy("s").agg(F.count("*").alias("times"))
-    two = two.where(F.col("times") >= least_times)
+    two = two.where((F.col("times") >= least_times) | ~F.col("s").rlike("[A-Za-z]"))
     pairs = _let(_characters(F.col("s")), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.struct(
         F.ascii(c[i]).alias("a"), F.ascii(c[i + 1]).alias("b"))))
     return two.select("times", F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(

@@ -355,6 +355,16 @@ def test_markov_finds_keys_of_the_whole_alphabet_short_ones_and_parts_of_runs(sp
     assert cut[3] == [path_key]
 
 
+def test_markov_leaves_numbers_that_occur_once(spark):
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    number = [lambda: digits(16), lambda: f"555-{digits(4)}", lambda: ".".join(digits(3) for _ in range(4)), lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}"]
+    texts = ["the river flows through green valleys " * 5 + rng.choice(number)() + " of " + rng.choice(number)() for _ in range(80)]
+    texts += [f"the valleys token={''.join(rng.choices('0123456789abcdef', k=40))}" for _ in range(30)]
+    got = rows(secret_scan.digests(docs(spark, texts)))
+    assert not [got[i]["spans"] for i in range(len(texts)) if "markov" in got[i]["spans"]]
+
+
 def test_secret_scan_without_base_spans_and_empty(spark):
     got = rows(secret_scan.digests(docs(spark, ["a1b2c3d4e5f6g7h8i9j0", None])))
     assert [got[i]["spans"] for i in (0, 1)] == ["", ""]
@@ -585,7 +595,7 @@ def test_secret_spans_of_the_models_against_plain_python(spark):
     random_ = table([v for spans in base for *_, v in spans])
     blank = lambda t: re.sub("[0-9a-f]{24,}", " ", re.sub(r"AKIA[A-Z0-9]+", " ", re.sub(secret_scan.ASSIGN, " ", t)))
     runs = Counter(w for t in texts for w in re.findall(secret_scan.RUN, blank(t)) if not re.search(secret_scan.MIXED, w))
-    ordinary = table([w for w, n in runs.items() if n >= secret_scan.LEAST_TIMES for _ in range(n)])
+    ordinary = table([w for w, n in runs.items() if n >= secret_scan.LEAST_TIMES or not re.search("[A-Za-z]", w) for _ in range(n)])
 
     def stretches(run):
         """(start, end) of stretches of pieces, by a plain loop."""
