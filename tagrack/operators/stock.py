@@ -37,16 +37,69 @@ def signed_quantity() -> Column:
     return F.when(ev.isin("ship-out", "scrap"), -q).otherwise(q)
 
 
+# A hash class of SKUs with more events than this is folded in buckets; classes of one count.
+HOT_EVENTS, SKU_CLASSES = 1_000_000, 1 << 16
+
+
+def _sku_class() -> Column:
+    return F.pmod(F.xxhash64("item_id"), F.lit(SKU_CLASSES)).cast("int")
+
+
 def fold_stock_events(events: DataFrame, order: Sequence[str], bucket: Column | None = None,
                       opening: DataFrame | None = None) -> DataFrame:
     """Add ``delta_quantity`` and ``stock_after`` to each valid event.
 
     Per SKU in ``order``: an audit sets the stock to q, other events add their
-    signed q. Events are cut into order-monotone buckets so no window spans a
+    signed q. ``opening`` (item_id, stock_quantity) is the stock before the
+    first event (else 0).
+
+    SKUs of few events are folded by one window per SKU, so events move once, by
+    SKU, and not at all if a join has put them there. One count per hash class (summed
+    before the shuffle) tells the classes that hold a SKU of very many events; those
+    are folded in buckets, at any size. ``bucket`` asks for buckets throughout.
+    """
+    if bucket is not None:
+        return _fold_in_buckets(events, order, bucket, opening)
+    hot = [r["c"] for r in events.groupBy(_sku_class().alias("c")).agg(F.count(F.lit(1)).alias("n"))
+           .filter(F.col("n") > HOT_EVENTS).select("c").collect()]  # at most events / HOT_EVENTS numbers
+    if not hot:
+        return _fold_by_sku(events, order, opening)
+    crowded = _sku_class().isin(hot)
+    return _fold_by_sku(events.filter(~crowded), order, opening).unionByName(
+        _fold_in_buckets(events.filter(crowded), order, None, opening))
+
+
+def _fold_by_sku(events: DataFrame, order: Sequence[str], opening: DataFrame | None) -> DataFrame:
+    """The fold by one window per SKU: running sums, less those before the last audit."""
+    w = Window.partitionBy("item_id").orderBy(*[F.col(c).asc() for c in order])
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = signed_quantity()
+    x = events.filter(F.col("item_id").isNotNull())
+    if opening is not None:
+        x = x.join(opening.select("item_id", F.col("stock_quantity").cast("long").alias("_open")), "item_id", "left")
+    else:
+        x = x.withColumn("_open", F.lit(None).cast("long"))
+    x = x.select(*events.columns, F.coalesce("_open", F.lit(0).cast("long")).alias("_open"),
+                 F.coalesce(F.sum(v).over(running), F.lit(0)).alias("_sum"), F.count(v).over(running).alias("_n"))
+    # sum and count of quantities before the last audit
+    before = F.when(F.col("transaction_event") == "audit", F.struct(
+        (F.col("_sum") - F.coalesce(v, F.lit(0))).alias("sum"), (F.col("_n") - v.isNotNull().cast("int")).alias("n")))
+    x = x.withColumn("_before", F.last(before, ignorenulls=True).over(running))
+    since = F.when(F.col("_n") > F.coalesce("_before.n", F.lit(0)), F.col("_sum") - F.coalesce("_before.sum", F.lit(0)))
+    run = since + F.when(F.col("_before").isNull(), F.col("_open")).otherwise(F.lit(0))
+    x = x.withColumn("stock_after", run.cast("long"))
+    prev = F.coalesce(F.lag("stock_after").over(w), F.col("_open"))
+    return x.withColumn("delta_quantity", (F.col("stock_after") - prev).cast("long")).drop("_open", "_sum", "_n", "_before")
+
+
+def _fold_in_buckets(events: DataFrame, order: Sequence[str], bucket: Column | None = None,
+                      opening: DataFrame | None = None) -> DataFrame:
+    """The fold where a SKU may hold a large share of the events.
+
+    Events are cut into order-monotone buckets so no window spans a
     whole SKU: each bucket is reduced to a summary (ends in reset-to-value or
     add-value), a running fold over the summaries gives the stock entering
-    each bucket, then each bucket replays its rows from there. ``opening``
-    (item_id, stock_quantity) is the stock before the first event (else 0).
+    each bucket, then each bucket replays its rows from there.
 
     Without an explicit ``bucket`` the buckets are the partitions of one
     range-partitioned sort on (item_id, order), written once: Spark samples

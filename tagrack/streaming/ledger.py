@@ -2,9 +2,9 @@
 
 Each micro-batch is folded by the batch operators: events are validated, the
 valid ones folded by ``fold_stock_events`` on top of the stock that the SKUs
-had before the batch. That fold cuts events into order-monotone buckets, so a
-SKU with a third of the events is spread over tasks as in a batch, and all
-of it stays in the JVM.
+had before the batch. That fold cuts the events of crowded SKUs into
+order-monotone buckets, so a SKU with a third of the events is spread over
+tasks as in a batch; the others stay where the check has put them, by SKU.
 
 The stock per SKU is the state, kept beside the ledger as Parquet under the
 output folder: every batch writes the closing stock of the SKUs it touched,
@@ -71,7 +71,8 @@ def fold_batches(sku: DataFrame, order: Sequence[str], out: str) -> Callable[[Da
         return os.path.join(out, name, f"batch={batch_id}")
 
     def by_division(levels: DataFrame, path: str) -> None:
-        levels.withColumn("division", _division()).write.mode("overwrite").partitionBy("division").parquet(path)
+        # a division is written by one task: 64 files of a batch, not 64 from every task
+        levels.withColumn("division", _division()).repartition(DIVISIONS, "division").write.mode("overwrite").partitionBy("division").parquet(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

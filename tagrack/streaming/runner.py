@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialize import written
 from ..session import scratch_path
 from . import debounce as deb
 from . import ingest as ing
@@ -33,6 +34,7 @@ def run_ledger(spark: SparkSession, waves: list[DataFrame], sku: DataFrame,
     root = scratch_path(spark, "ledger")
     src, out, ck = (os.path.join(root, d) for d in ("src", "out", "ck"))
     schema = waves[0].schema
+    sku = written(sku.select("item_id").distinct(), "known-skus")  # every batch asks for the ids alone
     for wave in waves:
         wave.write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
