@@ -64,22 +64,36 @@ def closet_documents(requests: DataFrame, catalog: Catalog, block: int = 1_000)
     {"closet_id", "name", "created_at", "items": [{base_item_name, brand_name,
     thumbnail_url, added_at}, ...]} with at most ``block`` items in a document;
     closets in order of their names. A user without closets has one
-    row with [], an unknown one {"error": "unknown_user"}; both without a rank."""
-    rows = users.closets_by_name(requests, catalog.site_user, catalog.closet, catalog.closet_item, catalog)
+    row with [], an unknown one {"error": "unknown_user"}; both without a rank.
+
+    Documents are made once per asked name; requests join them last, so what is
+    shuffled grows with closets and requests, not with their product."""
+    named = requests.filter(F.col("username").isNotNull())
+    names = named.select("username").distinct().withColumn("request_id", F.col("username"))
+    rows = users.closets_by_name(names, catalog.site_user, catalog.closet, catalog.closet_item, catalog)
     at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     rows = rows.withColumns({"block": F.coalesce(F.floor((F.col("item_rank") - 1) / block), F.lit(0)).cast("long"),
                              "base_item_name": F.col("item_name"), "added": at("added_at"), "created": at("created_at")})
-    found = rows.filter(F.col("closet_id").isNotNull())
     item = F.when(F.col("item_rank").isNotNull(), F.struct(
         F.col("item_rank").alias("_o"), "base_item_name", "brand_name", "thumbnail_url", F.col("added").alias("added_at")))
-    lists = found.groupBy("request_id", "closet_rank", "closet_id", "closet_name", "created", "block").agg(
-        F.array_sort(F.collect_list(item)).alias("l"))  # at most ``block`` items
-    doc = F.struct("closet_id", F.col("closet_name").alias("name"), F.col("created").alias("created_at"), F.transform("l", lambda x: F.struct(
+    lists = rows.groupBy("username", "closet_rank", "closet_id", "closet_name", "created", "block").agg(
+        F.array_sort(F.collect_list(item)).alias("l"),  # at most ``block`` items
+        F.min("status").alias("status"), F.count(F.lit(1)).cast("int").alias("c"))
+    # a request that comes n times lists every item n times, and has n rows where there is no closet
+    asked = named.groupBy("request_id", "username").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    lists = lists.join(asked.select("username", "n").distinct(), "username")
+    l = F.when(F.col("n") == 1, F.col("l")).otherwise(F.flatten(F.transform("l", lambda x: F.array_repeat(x, F.col("n")))))
+    doc = F.struct("closet_id", F.col("closet_name").alias("name"), F.col("created").alias("created_at"), F.transform(l, lambda x: F.struct(
         x["base_item_name"].alias("base_item_name"), x["brand_name"].alias("brand_name"), x["thumbnail_url"].alias("thumbnail_url"),
         x["added_at"].alias("added_at"))).alias("items"))
-    none = F.when(F.col("status") == "no_closets", F.lit("[]")).otherwise(F.to_json(F.struct(F.col("status").alias("error"))))
-    return lists.select("request_id", "closet_rank", "block", F.to_json(doc).alias("doc")).unionByName(
-        rows.filter(F.col("closet_id").isNull()).select("request_id", "closet_rank", "block", none.alias("doc")))
+    error = lambda status: F.to_json(F.struct(status.alias("error")))
+    found = F.col("closet_id").isNotNull()
+    text = F.when(found, F.to_json(doc)).when(F.col("status") == "no_closets", F.lit("[]")).otherwise(error(F.col("status")))
+    copies = F.when(found, F.lit(1)).otherwise(F.col("n") * F.col("c"))
+    docs = lists.select("username", "n", "closet_rank", "block", F.explode(F.array_repeat(text, copies)).alias("doc"))
+    return asked.join(docs, ["username", "n"]).select("request_id", "closet_rank", "block", "doc").unionByName(
+        requests.filter(F.col("username").isNull()).select("request_id", F.lit(None).cast("long").alias("closet_rank"),
+                                                           F.lit(0).cast("long").alias("block"), error(F.lit("unknown_user")).alias("doc")))
 
 
 def detail_documents(requests: DataFrame, catalog: Catalog, stock: DataFrame) -> DataFrame:
