@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import spread
 from ..functions.ranking import top_k
 from ..functions.text import name_key
 from ..model import Catalog
@@ -34,8 +35,8 @@ def resolve_seeds(seeds: DataFrame, catalog: Catalog) -> DataFrame:
     """(request_id, seed_id, k): smallest base_item_id with that name and brand."""
     items = catalog.base_item.select("base_item_id", "name_key", "brand_id")
     brands = catalog.brand.select("brand_id", F.col("name_key").alias("brand_key"))
-    keyed = items.join(brands, "brand_id").select(
-        "base_item_id", F.col("name_key").alias("seed_nk"), "brand_key")
+    keyed = spread(items.join(brands, "brand_id").select(
+        "base_item_id", F.col("name_key").alias("seed_nk"), "brand_key"))
     s = seeds.select("request_id", _k().alias("k"),
                      name_key("base_item_name").alias("seed_nk"),
                      name_key("brand_name").alias("brand_key"))
@@ -59,8 +60,8 @@ def _display(rows: DataFrame, catalog: Catalog) -> DataFrame:
     br = catalog.brand.select("brand_id", F.col("name").alias("brand_name"))
     im = catalog.image.select(F.col("image_id").alias("thumbnail_image_id"),
                               F.col("url").alias("thumbnail_url"))
-    return (rows.join(bi, "base_item_id").join(br, "brand_id", "left")
-            .join(im, "thumbnail_image_id", "left"))
+    return (spread(rows).join(spread(bi), "base_item_id").join(br, "brand_id", "left")
+            .join(spread(im), "thumbnail_image_id", "left"))
 
 
 # A tag held by more than this share of the distinct signatures is "hot" (see
@@ -106,7 +107,7 @@ class RelatedIndex:
         n_sigs = tags.agg(F.count_distinct("sig")).first()[0]
         hot = put(tags.groupBy("tag").agg(F.count(F.lit(1)).alias("_df"))
                   .filter(F.col("_df") > hot_share * n_sigs).select("tag"), "hot")
-        named = sigs.join(catalog.base_item.select("base_item_id", "name", "name_key"), "base_item_id")
+        named = spread(sigs).join(spread(catalog.base_item.select("base_item_id", "name", "name_key")), "base_item_id")
         put(top_k(named, ["sig"], _by_name(), keep, rank_col="_r").drop("_r"), "by_signature")
         proj = put(tags.join(hot, "tag", "left_semi").groupBy("sig")
                    .agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("hp")), "projections")
@@ -147,7 +148,7 @@ def similar_items(seeds: DataFrame, catalog: Catalog, kmax: int | None = None, h
     if index.keep < keep:
         raise ValueError(f"the index serves lists of {index.keep - 1} items, {kmax} are asked for")
     resolved = (resolve_seeds(seeds, catalog) if resolved is None else resolved).filter(F.col("k") > 0)
-    seed_sig = materialize(resolved.join(index.signatures.withColumnRenamed("base_item_id", "seed_id"), "seed_id")
+    seed_sig = materialize(spread(resolved).join(spread(index.signatures.withColumnRenamed("base_item_id", "seed_id")), "seed_id")
                            .withColumnRenamed("sig", "a"))
     order = [F.col("shared_tag_count").desc()] + _by_name()
     a_tags = (seed_sig.select("a").distinct()
