@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import spread
 from ..functions.text import name_key
 from ..model import DEFAULT_RELATED_K, Catalog, seed_sizes
 from ..plans.materialize import materialize
@@ -31,7 +32,7 @@ def infer_brand(requests: DataFrame, catalog: Catalog) -> DataFrame:
     asked = r.select("name_key").distinct()          # aggregate only requested names
     first_brand = (_keyed_items(catalog).join(asked, "name_key", "left_semi").groupBy("name_key")
                    .agg(F.min_by("brand_name", "base_item_id").alias("_inferred")))
-    return (r.join(first_brand, "name_key", "left")
+    return (r.join(spread(first_brand), "name_key", "left")
             .select("request_id", F.coalesce("brand_name", "_inferred").alias("brand_name")))
 
 
@@ -39,7 +40,7 @@ def resolve_items(requests: DataFrame, catalog: Catalog) -> DataFrame:
     """(request_id, base_item_id, status) with status ok, ambiguous
     (several items; smallest id), missing, no_brand or missing_name."""
     brands = infer_brand(requests, catalog)
-    r = (requests.select("request_id", "base_item_name").join(brands, "request_id")
+    r = (requests.select("request_id", "base_item_name").join(spread(brands), "request_id")
          .select("request_id", "base_item_name", "brand_name",
                  name_key("base_item_name").alias("name_key"),
                  name_key("brand_name").alias("brand_key")))
@@ -47,7 +48,7 @@ def resolve_items(requests: DataFrame, catalog: Catalog) -> DataFrame:
     per_key = (_keyed_items(catalog).join(asked, ["name_key", "brand_key"], "left_semi")
                .groupBy("name_key", "brand_key")
                .agg(F.min("base_item_id").alias("base_item_id"), F.count(F.lit(1)).alias("_n")))
-    x = r.join(per_key, ["name_key", "brand_key"], "left")
+    x = r.join(spread(per_key), ["name_key", "brand_key"], "left")
     status = (F.when(F.col("base_item_name").isNull(), "missing_name")
               .when(F.col("brand_name").isNull(), "no_brand")
               .when(F.col("base_item_id").isNull(), "missing")
@@ -65,14 +66,14 @@ def item_images(catalog: Catalog, items: DataFrame | None = None) -> DataFrame:
     base = catalog.base_item.select("base_item_id")
     if items is not None:
         wanted = items.select("base_item_id").distinct()
-        links = links.join(wanted, "base_item_id", "left_semi")
-        base = base.join(wanted, "base_item_id", "left_semi")
-    imgs = links.join(catalog.image, "image_id")
+        links = links.join(spread(wanted), "base_item_id", "left_semi")
+        base = base.join(spread(wanted), "base_item_id", "left_semi")
+    imgs = spread(links).join(spread(catalog.image), "image_id")
     per_item = imgs.groupBy("base_item_id").agg(
         F.count(F.lit(1)).alias("n_images"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "url"))),
                                  lambda s: s["url"]), ",").alias("image_urls"))
-    return (base.join(per_item, "base_item_id", "left")
+    return (base.join(spread(per_item), "base_item_id", "left")
             .select("base_item_id", F.coalesce("n_images", F.lit(0)).cast("long").alias("n_images"),
                     F.coalesce("image_urls", F.lit("")).alias("image_urls")))
 
@@ -126,14 +127,14 @@ def item_detail(requests: DataFrame, catalog: Catalog, stock: DataFrame | None =
                    "rank", card).withColumnRenamed("_l", "similar")
     mfb = _listing(related.more_from_brand(seeds, catalog, DEFAULT_RELATED_K), "request_id",
                    "rank", card).withColumnRenamed("_l", "more_from_brand")
-    body = (ok.select("request_id", "base_item_id").join(bi, "base_item_id")
-            .join(imgs, "base_item_id")
-            .join(sizes, "base_item_id", "left")
-            .join(sim, "request_id", "left").join(mfb, "request_id", "left")
+    body = (ok.select("request_id", "base_item_id").join(spread(bi), "base_item_id")
+            .join(spread(imgs), "base_item_id")
+            .join(spread(sizes), "base_item_id", "left")
+            .join(spread(sim), "request_id", "left").join(spread(mfb), "request_id", "left")
             .select("request_id", "description", "rating", "image_urls",
                     F.coalesce("sizes", F.lit("")).alias("sizes"),
                     F.coalesce("similar", F.lit("")).alias("similar"),
                     F.coalesce("more_from_brand", F.lit("")).alias("more_from_brand")))
-    return (res.join(body, "request_id", "left")
+    return (res.join(spread(body), "request_id", "left")
             .select("request_id", "status", F.col("base_item_name").alias("item_name"), "brand_name",
                     "description", "rating", "image_urls", "sizes", "similar", "more_from_brand"))
