@@ -15,7 +15,7 @@ from ..functions.components import components
 from ..functions.ranking import positions
 from ..functions.text import name_key
 from ..model import DEFAULT_CLOSET, EMAIL_REGEX, SESSION_LIFETIME, Catalog
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, written
 
 
 # Signups that one fold goes through in order.
@@ -275,7 +275,7 @@ def new_closet_items(closets: DataFrame, closet_items: DataFrame, users: DataFra
               .when(F.col("item_id").isNull(), "unknown_item")
               .when(F.col("_present").isNotNull() | (F.col("seq") != F.col("_first")), "already_present")
               .otherwise("ok"))
-    x = x.withColumn("status", status)
+    x = written(x.select("seq", status.alias("status"), "closet_id", "item_id"), "closet-adds")  # read by both results
     new_rows = x.filter(F.col("status") == "ok").select(
         "closet_id", "item_id", F.lit(as_of).alias("added_at"))
     statuses = x.select("seq", "status", "closet_id", "item_id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import ingest, integrity, users
+from ..plans.materialize import written
 from .store import CatalogStore
 
 
@@ -63,7 +64,7 @@ def add_closets(store: CatalogStore, adds: DataFrame, as_of, command: str | None
 def remove_closets(store: CatalogStore, removes: DataFrame, command: str | None = None) -> DataFrame:
     """Closets and what is in them."""
     def run(cat):
-        statuses = users.closet_removals(cat.closet, cat.site_user, removes)
+        statuses = written(users.closet_removals(cat.closet, cat.site_user, removes), "removals")
         gone = statuses.where("status = 'ok'").select("closet_id")
         entries = cat.closet_item.join(gone, "closet_id", "left_semi")
         return {}, {"closet": gone, "closet_item": entries}, statuses

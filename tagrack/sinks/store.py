@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..model import Catalog
 from ..operators.integrity import PRIMARY_KEYS
+from ..plans.materialize import written
 
 MARK = "table string, part string, command string, version long"
 
@@ -114,9 +115,9 @@ class CatalogStore:
     def _without(self, table: str, version: int, parts: list[str], gone: DataFrame) -> list[str]:
         """``parts`` with those that hold a deleted row rewritten as one."""
         key = PRIMARY_KEYS[table]
-        gone = gone.select(*key).distinct()
         if not parts:
             return []
+        gone = written(gone.select(*key).distinct(), "gone")  # read to find the parts and to rewrite them
         each = [self.spark.read.parquet(f"{self.root}/parts/{p}").select(*key).withColumn("_part", F.lit(p)) for p in parts]
         hit = {r["_part"] for r in reduce(DataFrame.unionByName, each).join(gone, key, "left_semi").select("_part").distinct().collect()}
         if not hit:
