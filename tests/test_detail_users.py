@@ -179,3 +179,26 @@ def test_sign_in_by_email(spark):
     s, st = users.sign_in(old, users_df(spark), logins)
     assert rows(st) == [(5, "ok", 1), (6, "unknown_email", None)]
     assert rows(s, "site_user_id", "session_token") == [(1, "tA")]
+
+
+def test_images_and_ids_are_not_sent_through_the_driver(spark, cat):
+    from tagrack.plans.checks import plan_text
+    from tagrack.plans.materialize import written
+    # small files, as Spark would send through the driver
+    cat = cat.with_(**{t: written(getattr(cat, t), "small") for t in ("brand", "base_item", "image", "base_item_image")})
+    images = detail.item_images(cat)
+    assert "Broadcast" not in plan_text(images, "simple")
+    r = spark.createDataFrame([(1, "COAT", None)], "request_id long, base_item_name string, brand_name string")
+    assert plan_text(detail.resolve_items(r, cat), "simple").count("SortMergeJoin") >= 3
+
+
+def test_adding_to_closets_is_computed_once_for_rows_and_statuses(spark, cat):
+    from tagrack.plans.checks import plan_text
+    u = spark.createDataFrame([(1, "ann")], "site_user_id long, username string")
+    closets = spark.createDataFrame([(10, 1, "Fav")], "closet_id long, site_user_id long, name string")
+    items = spark.createDataFrame([(10, 1)], "closet_id long, item_id long").withColumn("added_at", lit_ts("2024-01-01 00:00:00"))
+    adds = spark.createDataFrame([(1, "ann", "Fav", "hat", "Zed"), (2, "ann", "Fav", "coat", "Acme")],
+                                 "seq long, username string, closet_name string, base_item_name string, brand_name string")
+    new, statuses = users.new_closet_items(closets, items, u, cat, adds, lit_ts("2024-01-02 00:00:00"))
+    assert rows(new, "closet_id", "item_id") == [(10, 3)] and rows(statuses, "seq", "status") == [(1, "ok"), (2, "already_present")]
+    assert "Join" not in plan_text(new, "simple") and "Join" not in plan_text(statuses, "simple")

@@ -78,3 +78,22 @@ def test_closet_documents_and_closets_by_name(spark, cat):
     items = got[(1, 2, 0)]["items"] + got[(1, 2, 1)]["items"]
     assert [(i["base_item_name"], i["brand_name"]) for i in items] == [("Coat", "Acme"), ("coat", "Zed"), ("Hat", "Zed")]
     assert items[0]["thumbnail_url"] == "c1.jpg" and items[0]["added_at"] == "2024-02-03T00:00:00" and len(got) == 9
+
+
+def test_closet_documents_are_made_once_per_name(spark, cat):
+    from fixtures import lit_ts
+    from tagrack.plans.checks import plan_text
+    people = spark.createDataFrame([(1, "ann"), (2, "bob")], "site_user_id long, username string")
+    closets = spark.createDataFrame([(7, 1, "Work")], "closet_id long, site_user_id long, name string").withColumn(
+        "created_at", lit_ts("2024-01-02 03:04:05"))
+    entries = spark.createDataFrame([(7, 1), (7, 3)], "closet_id long, item_id long").withColumn("added_at", lit_ts("2024-02-03 00:00:00"))
+    full = cat.with_(site_user=people, closet=closets, closet_item=entries)
+    asked = spark.createDataFrame([(1, "ann"), (4, "ann"), (4, "ann"), (5, "bob"), (5, "bob"), (6, None), (None, "ann")],
+                                  "request_id long, username string")
+    df = documents.closet_documents(asked, full, block=2)
+    got = sorted(((r["request_id"] or 0, [i["base_item_name"] for i in d["items"]] if "items" in (d := json.loads(r["doc"])) else d)
+                  for r in df.collect()), key=lambda x: x[0])
+    once, twice = ["Coat", "Hat"], ["Coat", "Coat", "Hat", "Hat"]
+    assert got == [(0, once), (1, once), (4, twice), (5, []), (5, []), (6, {"error": "unknown_user"})]
+    lists = [x for x in plan_text(df, "simple").splitlines() if "collect_list" in x]
+    assert lists and not any("keys=[request_id" in x for x in lists), lists

@@ -182,3 +182,16 @@ def test_kept_name_index_answers_like_the_catalogue_and_reads_what_is_asked(spar
     asked = index._asked("postings", "gram string", "gram", spark.createDataFrame([("a",)], "gram string"))
     files = {r[0] for r in asked.select(F.input_file_name()).collect()}
     assert len({f.split("division=")[1].split("/")[0] for f in files}) == 1
+
+
+def test_texts_of_related_items_are_not_sent_through_the_driver(spark, cat):
+    from tagrack.plans.checks import plan_text
+    from tagrack.plans.materialize import written
+    # small files, as Spark would send through the driver
+    cat = cat.with_(**{t: written(getattr(cat, t), "small") for t in ("brand", "base_item", "image")})
+    found = spark.createDataFrame([(1, 1, 2)], "request_id long, rank int, base_item_id long")
+    shown = related._display(found, cat)
+    assert rows(shown, "item_name", "brand_name", "thumbnail_url") == [("beta", "Acme", "b.jpg")]
+    assert plan_text(shown, "simple").count("SortMergeJoin") == 2
+    resolved = plan_text(related.resolve_seeds(seeds(spark, (1, "seed", "ACME", 3)), cat), "simple")
+    assert resolved.count("SortMergeJoin") == 1

@@ -184,3 +184,26 @@ def test_stream_stays_in_the_jvm(spark, tmp_path):
     sku = spark.createDataFrame([(1, 1, "S")], SKUS)
     text = plan_text(stock.fold_stock_events(stock.validate_stock_events(ev, sku), ["seq"]))
     assert not any(n in text for n in PYTHON_NODES)
+
+
+def test_fold_moves_events_once_and_crowded_skus_agree(spark, monkeypatch):
+    import random
+    from tagrack.plans.checks import plan_text
+    rng = random.Random(5)
+    events = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["audit", "ship-in", "ship-out", "scrap"]),
+               rng.choice([0, 4, 9, 30]), n) for n in range(200)]
+    df = spark.createDataFrame(events, SCHEMA)
+    op = spark.createDataFrame([(1, 50), (9, 3)], "item_id long, stock_quantity long")
+    want = replay([e for e in events if e[0] is not None], {1: 50})[0]
+    plain = stock.fold_stock_events(df, ["seq"], opening=op)
+    assert rows(plain, "item_id", "seq", "stock_after", "delta_quantity") == want
+    at_place = plan_text(stock.fold_stock_events(df.repartition("item_id"), ["seq"]), "simple")
+    assert at_place.count("Exchange") == 1, at_place
+    monkeypatch.setattr(stock, "HOT_EVENTS", 60)  # SKU 1 alone is crowded
+    assert rows(stock.fold_stock_events(df, ["seq"], opening=op), "item_id", "seq", "stock_after", "delta_quantity") == want
+
+
+def test_fold_of_missing_quantities(spark):
+    df = spark.createDataFrame([(1, "ship-in", None, 1), (1, "ship-in", 5, 2), (1, "audit", None, 3), (1, "ship-in", 2, 4)], SCHEMA)
+    got = rows(stock.fold_stock_events(df, ["seq"]), "seq", "stock_after", "delta_quantity")
+    assert got == [(1, None, None), (2, 5, 5), (3, None, None), (4, 2, 2)]
