@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagrack.llm import embed_dedup, exact_dedup, minhash
@@ -198,6 +200,50 @@ def test_embeddings_against_brute_force(spark, vectors, monkeypatch):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(near[i]), min(seen), i == min(seen)), i
 
 
+def test_embedding_cells_hold_little_at_a_time():
+    rng = np.random.default_rng(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4_000)), pa.array(list(rng.normal(size=(4_000, 16)))), pa.array(np.zeros(4_000, np.int32))],
+                                       ["id", "vector", "k"])
+    centres = {(16, 0): embed_dedup._unit(rng.normal(size=(2_048, 16)))}
+    run, sizes = embed_dedup._cells(centres, embed_dedup.REACH), []
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        sizes.append(out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # one array of all classes and centres takes 65 MB, and there were several
+    assert max(sizes) <= embed_dedup.HELD // 16 and sum(sizes) > 4_000
+
+
+def test_embeddings_without_neighbours_go_no_further(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(600, 64))
+    near = base[:40] + 0.01 * rng.normal(size=(40, 64))
+    df = spark.createDataFrame([(i, i % 2 if i < 600 else (i - 600) % 2, [float(v) for v in x]) for i, x in enumerate(np.vstack([base, near]))],
+                               "vec_id long, label int, embedding array<float>")
+    kept, keep = {}, embed_dedup.written
+    monkeypatch.setattr(embed_dedup, "written", lambda df, name: kept.setdefault((name, len(kept)), keep(df, name)))
+    monkeypatch.setattr(embed_dedup, "SKETCH_CELL", 32)  # several sketch cells and blocks of guests
+    monkeypatch.setattr(embed_dedup, "SKETCH_GUESTS", 2)
+    got = rows(embed_dedup.embedding_links(df).withColumnRenamed("vec_id", "doc_id"))
+    assert {i for i, r in got.items() if r["n_links"]} == {*range(40), *range(600, 640)}
+    assert all(got[600 + i]["component_id"] == i for i in range(40))
+    cells = next(df for (name, _), df in kept.items() if name == "cells")
+    assert {r["id"] for r in cells.select("id").collect()} == {*range(40), *range(600, 640)}
+
+
+def test_embeddings_across_sketch_cells_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 30))
+    x = np.array([base[i % 30] + rng.normal(size=30) * rng.choice([0.03, 0.13, 0.16]) for i in range(900)]).astype(np.float32)
+    monkeypatch.setattr(embed_dedup, "SKETCH_CELL", 40)
+    df = spark.createDataFrame([(i, "a", [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, label string, embedding array<float>")
+    got = rows(embed_dedup.embedding_links(df).withColumnRenamed("vec_id", "doc_id"))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(axis=1) - 1
+    assert [got[i]["n_links"] for i in range(900)] == links.tolist() and 0 < links.min() + links.max()
+
+
 def test_embeddings_empty_and_null_ids(spark):
     schema = "vec_id long, label int, embedding array<float>"
     assert embed_dedup.embedding_links(spark.createDataFrame([], schema)).count() == 0
