@@ -250,7 +250,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
     close = written(_with_neighbours(classes, classes.count()).select("id", "label", "vector", "m"), "close")
     n = close.count()
 
-    k = max(1, min(MOST_CELLS, ceil(n / BLOCK)))
+    # cells fit the largest label: more of them would only add copies at their borders
+    most = close.groupBy("label", F.size("vector")).count().agg(F.max("count")).first()[0] or 0
+    k = max(1, min(MOST_CELLS, ceil(most / BLOCK)))
     centres = {(dim, 0): fit_centres(x, min(k, len(x))) for dim, x in _sample(close, n).items()}
     asked = close.select("id", "label", "m", "vector", F.lit(0).alias("k"))
     cells = written(asked.mapInArrow(_cells(centres, REACH), T.StructType(asked.schema.fields[:-1]).add(
